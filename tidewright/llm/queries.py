@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.common import table
 from tidewright.llm.ngram_jaccard import ngram_jaccard_groups
+from tidewright.llm.packing import pack
+from tidewright.llm.tokens import tokenised
+
+#: The tokenizer file of the queries; its place is a parameter of the operators.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenised(table(spark, sf_dir, "documents"), TOKENIZER, end=2)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_ngram_jaccard_join,
+        op7_token_files,
+        op10_best_fit_packing,
     )
 }
 
