@@ -8,14 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.common import table
+from tidewright.llm.language import language_id
 from tidewright.llm.ngram_jaccard import ngram_jaccard_groups
 from tidewright.llm.packing import pack
 from tidewright.llm.tokens import tokenised
+from tidewright.llm.toxicity import toxicity
 
 #: The tokenizer file of the queries; its place is a parameter of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "set_id")
 
@@ -24,6 +30,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents"), TOKENIZER, end=2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end=0)
 
@@ -31,8 +41,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_ngram_jaccard_join,
         op7_token_files,
+        op8_toxicity,
         op10_best_fit_packing,
     )
 }
