@@ -11,6 +11,7 @@ from tidewright.llm.common import table
 from tidewright.llm.language import language_id
 from tidewright.llm.ngram_jaccard import ngram_jaccard_groups
 from tidewright.llm.packing import pack
+from tidewright.llm.secret_scan import secret_scan
 from tidewright.llm.tokens import tokenised
 from tidewright.llm.toxicity import toxicity
 
@@ -26,6 +27,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents"), TOKENIZER, end=2)
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id,
         op2_ngram_jaccard_join,
+        op4_secret_scan,
         op7_token_files,
         op8_toxicity,
         op10_best_fit_packing,
