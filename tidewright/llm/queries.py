@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.llm.chat_format import neighbouring_pairs
 from tidewright.llm.common import table
+from tidewright.llm.decontaminate import contaminated
+from tidewright.llm.hilbert_ann import nearest
 from tidewright.llm.language import language_id
 from tidewright.llm.ngram_jaccard import ngram_jaccard_groups
 from tidewright.llm.packing import pack
+from tidewright.llm.pii import pseudonymise
 from tidewright.llm.secret_scan import secret_scan
 from tidewright.llm.tokens import tokenised
 from tidewright.llm.toxicity import toxicity
@@ -27,10 +31,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents"), TOKENIZER, end=2)
 
@@ -39,6 +55,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbouring_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end=0)
 
@@ -48,12 +68,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id,
         op2_ngram_jaccard_join,
+        op3_benchmark_decontamination,
         op4_secret_scan,
+        op5_pii_surrogates,
+        op6_nearest_neighbours,
         op7_token_files,
         op8_toxicity,
+        op9_preference_format,
         op10_best_fit_packing,
     )
 }
 
 #: Queries that SQL can express over whole tables; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_preference_format": """
+        WITH turns AS (
+            SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        sides AS (
+            SELECT pair_id, side, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM turns GROUP BY ALL),
+        pairs AS (
+            SELECT pair_id, c.turns AS c, r.turns AS r
+            FROM (SELECT * FROM sides WHERE side = 0) c FULL JOIN (SELECT * FROM sides WHERE side = 1) r USING (pair_id)),
+        cut AS (
+            SELECT pair_id, c, r, CAST(coalesce(
+                list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1,
+                CASE WHEN c IS NULL OR r IS NULL THEN 0 ELSE len(c) END) AS INTEGER) AS prompt_turns
+            FROM pairs),
+        parts AS (
+            SELECT pair_id, prompt_turns, CASE WHEN prompt_turns = 0 THEN [] ELSE c[1:prompt_turns] END AS p,
+                list_transform(c[prompt_turns + 1:], lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS ct,
+                list_transform(r[prompt_turns + 1:], lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS rt,
+                c[prompt_turns + 1:] AS c, r[prompt_turns + 1:] AS r
+            FROM cut)
+        SELECT pair_id, prompt_turns,
+            list_aggregate(list_concat([''], list_transform(p, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10))), 'string_agg', '') AS prompt,
+            CASE WHEN c IS NOT NULL THEN list_aggregate(list_concat([''], ct), 'string_agg', '') END AS chosen,
+            CASE WHEN r IS NOT NULL THEN list_aggregate(list_concat([''], rt), 'string_agg', '') END AS rejected,
+            CASE WHEN c IS NOT NULL THEN coalesce(list_aggregate(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i:
+                CAST(CAST(coalesce(list_sum(list_transform(ct[1:i - 1], lambda s: length(s))), 0) AS BIGINT) + 13 + length(c[i].role) AS VARCHAR) || ':' ||
+                CAST(CAST(list_sum(list_transform(ct[1:i], lambda s: length(s))) AS BIGINT) - 1 AS VARCHAR)), 'string_agg', ','), '') END AS chosen_mask,
+            CASE WHEN r IS NOT NULL THEN coalesce(list_aggregate(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i:
+                CAST(CAST(coalesce(list_sum(list_transform(rt[1:i - 1], lambda s: length(s))), 0) AS BIGINT) + 13 + length(r[i].role) AS VARCHAR) || ':' ||
+                CAST(CAST(list_sum(list_transform(rt[1:i], lambda s: length(s))) AS BIGINT) - 1 AS VARCHAR)), 'string_agg', ','), '') END AS rejected_mask
+        FROM parts""",
+}
