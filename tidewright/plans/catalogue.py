@@ -5,6 +5,513 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.functions import scalars
+from tidewright.operators import aggregates, packets, regress, states, windows
+from tidewright.sources import series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The series of the queries, in DuckDB's SQL.
+EVENTS = "ev AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, ts, event_id, value FROM events WHERE value IS NOT NULL)"
+HOURLY = "hr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS idx FROM (SELECT event_type AS series, date_trunc('hour', ts) AS ts, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / CAST(1.001 AS DOUBLE) AS value FROM events GROUP BY ALL))"
+DAILY = "dy AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx FROM (SELECT 'orders' AS series, o_orderdate AS ts, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / CAST(1.001 AS DOUBLE) AS value FROM orders GROUP BY ALL))"
+CENTRED = HOURLY + ", st AS (SELECT series, idx, value, CASE WHEN value - m > 0.1 * s THEN 1 WHEN value - m < -0.1 * s THEN -1 ELSE 0 END AS state FROM (SELECT *, avg(value) OVER (PARTITION BY series) AS m, stddev_pop(value) OVER (PARTITION BY series) AS s FROM hr))"
+
+
+def runs_sql(source: str, state: str = "state") -> str:
+    return f"(SELECT series, {state} AS state, min(idx) AS start, count(*) AS len FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY idx) - row_number() OVER (PARTITION BY series, {state} ORDER BY idx) AS g FROM {source}) GROUP BY series, {state}, g)"
+
+
+def query(sql: str | None = None):
+    """Registers a query, and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double"})
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Sources, splits and scalings
+
+
+@query(f"WITH {EVENTS} SELECT series, idx, epoch_us(ts) AS micros, value FROM ev")
+def src_typed_series(spark, d):
+    return series.events(spark, d).select("series", "idx", F.unix_micros("ts").alias("micros"), "value")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def src_json_props(spark, d):
+    return _table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("""
+    WITH rows AS (SELECT event_id, printf('%08X', event_id) AS data FROM events)
+    SELECT event_id, printf('%03X', event_id % 2048) AS id, data, printf('%03X', event_id % 2048) || data AS packet, lpad(bin(event_id), 32, '0') AS bits FROM rows""")
+def src_packet_parse(spark, d):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    line = F.format_string("(%d.%06d) can0 %03X#%08X", F.floor(micros / 1000000), F.pmod(micros, F.lit(1000000)), F.pmod("event_id", F.lit(2048)), F.col("event_id"))
+    parsed = packets.parse(_table(spark, d, "events").select(line.alias("value")))
+    return parsed.select(F.conv("data", 16, 10).cast("long").alias("event_id"), "id", "data", "packet", "bits")
+
+
+SPLIT = "sp AS (SELECT *, CASE WHEN n - idx <= 100 THEN 'test' WHEN n - idx <= 300 THEN 'eval' ELSE 'train' END AS split FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM ev))"
+
+
+@query(f"WITH {EVENTS}, {SPLIT} SELECT series, split, count(*) AS n, min(value) AS low, max(value) AS high, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM sp GROUP BY series, split")
+def split_chrono(spark, d):
+    rows = scalars.chronological(series.events(spark, d), 200, 100)
+    micros = F.unix_micros("ts")
+    return rows.groupBy("series", "split").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(micros).alias("first_us"), F.max(micros).alias("last_us"))
+
+
+@query(f"""WITH {EVENTS}, {SPLIT}, t AS (SELECT series, min(value) AS a, max(value) AS b FROM sp WHERE split = 'train' GROUP BY series)
+    SELECT series, idx, split, round((value - a) / (b - a), 6) AS scaled FROM sp JOIN t USING (series)""")
+def scale_minmax_train(spark, d):
+    rows = scalars.scaled_on_train(scalars.chronological(series.events(spark, d), 200, 100))
+    return rounded(rows.select("series", "idx", "split", "scaled"))
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT avg(value) AS m, stddev_pop(value) AS s, min(value) AS a, max(value) AS b FROM dy)
+    SELECT idx, round_even(value - m, 4) AS center, round_even((value - m) / s, 4) AS standard, round_even((value - a) / (b - a), 4) AS minmax, round_even(2 * ((value - a) / (b - a)) - 1, 4) AS maxabs FROM dy, s""")
+def scale_all_kinds(spark, d):
+    return scalars.scaled(series.daily_orders(spark, d)).select("idx", "center", "standard", "minmax", "maxabs")
+
+
+# Windows
+
+
+@query(f"""WITH {EVENTS}, w AS (SELECT series, idx, list(value) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS x, value AS y FROM ev)
+    SELECT series, idx, x[1] AS x_first, x[16] AS x_last, round(list_sum(x), 6) AS x_sum, y FROM w WHERE len(x) = 16""")
+def sld_windows(spark, d):
+    rows = windows.supervised(series.events(spark, d), 16)
+    return rows.select("series", "idx", F.get("x", F.lit(0)).alias("x_first"), F.get("x", F.lit(15)).alias("x_last"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("x_sum"), "y")
+
+
+@query(f"""WITH {HOURLY}, w AS (SELECT series, idx, ts, list(value) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS x, value AS y FROM hr)
+    SELECT series, idx, 24 - coalesce(len(x), 0) AS zeros, coalesce(round(list_sum(x), 6), 0) AS x_sum, y FROM w WHERE hour(ts) = 12""")
+def sld_anchor_hour(spark, d):
+    rows = windows.padded(series.hourly(spark, d), 24).filter(F.hour("ts") == 12)
+    zeros = F.size(F.filter("x", lambda v: v == 0)).cast("long")
+    return rows.select("series", "idx", zeros.alias("zeros"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("x_sum"), "y")
+
+
+@query(f"""WITH {DAILY}, ex AS (SELECT o_orderdate AS ts, count(*) AS orders FROM orders GROUP BY ALL),
+    w AS (SELECT idx, ts, list(value) OVER (ORDER BY idx ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS x, value AS y FROM dy)
+    SELECT idx, round(list_sum(x), 6) AS x_sum, orders AS exog, CAST(y > x[7] AS INTEGER) AS label FROM w JOIN ex USING (ts) WHERE len(x) = 7""")
+def sld_exog(spark, d):
+    exog = _table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("timestamp").alias("ts")).agg(F.count("*").alias("exog"))
+    rows = windows.supervised(series.daily_orders(spark, d), 7).join(exog, "ts")
+    return rows.select("idx", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("x_sum"), "exog", (F.col("y") > F.get("x", F.lit(6))).cast("int").alias("label"))
+
+
+@query(f"WITH {EVENTS} SELECT series, idx, coalesce(lag(value, 3) OVER w, -1) AS back, coalesce(lead(value, 2) OVER w, 0) AS ahead FROM ev WINDOW w AS (PARTITION BY series ORDER BY idx)")
+def shift_fill(spark, d):
+    rows = series.events(spark, d)
+    back = windows.shifted(rows, 3, -1.0).withColumnRenamed("shifted", "back")
+    return windows.shifted(back, -2, 0.0).select("series", "idx", "back", F.col("shifted").alias("ahead"))
+
+
+@query(f"""WITH {DAILY} SELECT idx,
+    coalesce(round_even(value - lag(value) OVER w, 4), 0) AS d1, coalesce(round_even(value - 2 * lag(value) OVER w + lag(value, 2) OVER w, 4), 0) AS d2, round_even(lead(value) OVER w - value, 3) AS f1,
+    round(value - lead(value, 7) OVER w, 6) AS s, round((value - lead(value) OVER w) - (lead(value, 7) OVER w - lead(value, 8) OVER w), 6) AS f1s FROM dy WINDOW w AS (ORDER BY idx)""")
+def diff_family(spark, d):
+    return rounded(windows.differences(series.daily_orders(spark, d), 7).select("idx", "d1", "d2", "f1", "s", "f1s"))
+
+
+@query(f"""WITH {HOURLY} SELECT series, idx, round_even(coalesce(lead(value) OVER w - value, (value - lag(value, 2) OVER w) / 2), 3) AS diff FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)""")
+def first_diff(spark, d):
+    return windows.first_difference(series.hourly(spark, d)).select("series", "idx", "diff")
+
+
+AUTOCORR = """s AS (SELECT *, avg(value) OVER (PARTITION BY series) AS m, var_pop(value) OVER (PARTITION BY series) AS v, count(*) OVER (PARTITION BY series) AS n FROM {0}),
+    p AS (SELECT a.series, CAST(b.idx - a.idx AS INTEGER) AS lag, a.value AS x, b.value AS y, a.m, a.v, a.n FROM s a JOIN s b ON a.series = b.series AND b.idx - a.idx IN (1, 2, 3, 24))"""
+
+
+@query(f"WITH {HOURLY}, {AUTOCORR.format('hr')} SELECT series, lag, round(sum((x - m) * (y - m)) / (any_value(n) * any_value(v)), 6) AS r FROM p GROUP BY series, lag")
+def autocorr_lags(spark, d):
+    return rounded(windows.autocorrelation(series.hourly(spark, d), [1, 2, 3, 24]))
+
+
+@query(f"""WITH {HOURLY}, k AS (
+        SELECT series || '|plain' AS series, idx, value FROM hr
+        UNION ALL SELECT series || '|diff1', idx - 1, value - lag(value) OVER w FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)
+        UNION ALL SELECT series || '|diff2', idx - 2, value - 2 * lag(value) OVER w + lag(value, 2) OVER w FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)
+        UNION ALL SELECT series || '|diff1s', idx - 25, (value - lag(value) OVER w) - (lag(value, 24) OVER w - lag(value, 25) OVER w) FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)),
+    kk AS (SELECT * FROM k WHERE value IS NOT NULL), {AUTOCORR.format('kk')}
+    SELECT series, lag, round(sum((x - m) * (y - m)) / (any_value(n) * any_value(v)), 6) AS r FROM p GROUP BY series, lag""")
+def correlograms(spark, d):
+    return rounded(windows.autocorrelation(windows.transformed(series.hourly(spark, d), 24), [1, 2, 3, 24]))
+
+
+@query(f"WITH {HOURLY}, {AUTOCORR.format('hr')} SELECT series, lag, round(corr(x, y), 6) AS r FROM p GROUP BY series, lag")
+def pearson_autocorr(spark, d):
+    return rounded(windows.pearson_lags(series.hourly(spark, d), [1, 2, 3, 24]))
+
+
+@query(f"""WITH {HOURLY}, x AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS v FROM hr WHERE idx < 256)
+    SELECT series, k, round((power(sum(v * cos(2 * pi() * k * idx / 256)), 2) + power(sum(v * sin(2 * pi() * k * idx / 256)), 2)) * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END / 256, 4) AS power
+    FROM x, (SELECT unnest(range(0, 129)) AS k) GROUP BY series, k""")
+def periodogram_dft(spark, d):
+    from tidewright.operators.spectra import periodogram
+
+    return rounded(periodogram(series.hourly(spark, d), 256).select("series", "k", "power"), 4)
+
+
+# Aggregations
+
+
+@query(f"""WITH {EVENTS}, c AS (SELECT series, value, count(*) AS n FROM ev GROUP BY ALL), m AS (SELECT series, first(value ORDER BY n DESC, value) AS mode FROM c GROUP BY series)
+    SELECT series, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(median(value), 6) AS median, any_value(mode) AS mode, round(stddev_samp(value), 6) AS std FROM ev JOIN m USING (series) GROUP BY series""")
+def scalar_props(spark, d):
+    return rounded(aggregates.scalar_properties(series.events(spark, d)))
+
+
+@query(f"""WITH {EVENTS}, e AS (SELECT series, min(value) AS a, max(value) AS b FROM ev GROUP BY series),
+    c AS (SELECT series, CAST(least(floor((value - a) / ((b - a) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM ev JOIN e USING (series) GROUP BY ALL)
+    SELECT series, bin, coalesce(n, 0) AS n FROM (SELECT series, CAST(unnest(range(0, 10)) AS INTEGER) AS bin FROM e) LEFT JOIN c USING (series, bin)""")
+def hist10(spark, d):
+    return aggregates.histogram(series.events(spark, d)).select("series", "bin", "n")
+
+
+@query(f"""WITH {EVENTS}, c AS (SELECT series, CAST(round_even(value / 10, 0) AS BIGINT) AS level, count(*) * 10 AS minutes FROM ev GROUP BY ALL)
+    SELECT series, level, coalesce(minutes, 0) AS minutes FROM (SELECT series, unnest(range(min(level), max(level) + 1)) AS level FROM c GROUP BY series) LEFT JOIN c USING (series, level)""")
+def time_at_level(spark, d):
+    return aggregates.time_at_level(series.events(spark, d), 10, step=10.0)
+
+
+MATRIX = "mx AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, hour(ts) AS slot, value FROM hr WHERE series = 'view')"
+
+
+def _matrix(spark, d):
+    return series.hourly(spark, d).filter("series = 'view'").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("slot"), "value")
+
+
+@query(f"WITH {HOURLY}, {MATRIX} SELECT day, " + ", ".join(f'max(value) FILTER (slot = {h}) AS "{h}"' for h in range(24)) + " FROM mx GROUP BY day")
+def day_slot_matrix(spark, d):
+    return aggregates.pivoted(_matrix(spark, d), "day", "slot", list(range(24)))
+
+
+DAYS = [f"2024-01-{i:02d}" for i in range(1, 31)]
+
+
+@query(f"WITH {HOURLY}, {MATRIX} SELECT slot, " + ", ".join(f"max(value) FILTER (day = '{x}') AS \"{x}\"" for x in DAYS) + " FROM mx GROUP BY slot")
+def slot_day_matrix(spark, d):
+    return aggregates.pivoted(_matrix(spark, d), "slot", "day", DAYS)
+
+
+@query(f"""WITH {HOURLY}, {MATRIX} SELECT margin, key, round_even(ave, 3) AS ave, round_even(std, 3) AS std, round_even(low, 2) AS low, round_even(high, 2) AS high FROM (
+    SELECT 'slot' AS margin, CAST(slot AS VARCHAR) AS key, avg(value) AS ave, stddev_pop(value) AS std, min(value) AS low, max(value) AS high FROM mx GROUP BY slot
+    UNION ALL SELECT 'day', day, avg(value), stddev_pop(value), min(value), max(value) FROM mx GROUP BY day)""")
+def matrix_margins(spark, d):
+    return aggregates.margins(_matrix(spark, d), "slot", "day")
+
+
+@query(f"""WITH {DAILY}, a AS (SELECT series, CAST(floor((idx - 42) / 72) AS BIGINT) AS area, value FROM dy WHERE idx >= 42),
+    s AS (SELECT series, area, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS low, max(value) AS high FROM a GROUP BY ALL HAVING count(*) = 72)
+    SELECT area, round(mean, 6) AS mean, round(std, 6) AS std, low, high, count(*) FILTER (value BETWEEN mean * 0.9 AND mean * 1.1) AS n_in, count(*) FILTER (value NOT BETWEEN mean * 0.9 AND mean * 1.1) AS n_out
+    FROM a JOIN s USING (series, area) GROUP BY area, mean, std, low, high""")
+def stability_windows(spark, d):
+    return rounded(windows.tumbling(series.daily_orders(spark, d), 72, 42).drop("series"))
+
+
+@query("SELECT a.quality AS actual, b.toxic AS predicted, count(l.doc_id) AS n FROM (SELECT unnest([0, 1]) AS quality) a CROSS JOIN (SELECT unnest([0, 1]) AS toxic) b LEFT JOIN labels l ON l.quality = a.quality AND l.toxic = b.toxic GROUP BY ALL")
+def confusion(spark, d):
+    return aggregates.confusion(_table(spark, d, "labels"), "quality", "toxic", [0, 1])
+
+
+@query("""WITH c AS (SELECT CAST(count(*) FILTER (quality = 0 AND toxic = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (quality = 0 AND toxic = 1) AS DOUBLE) AS fp, CAST(count(*) FILTER (quality = 1 AND toxic = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (quality = 1 AND toxic = 1) AS DOUBLE) AS tp FROM labels),
+    r AS (SELECT *, tp / (tp + fn) AS tpr, tn / (tn + fp) AS tnr, tp / (tp + fp) AS ppv, tn / (tn + fn) AS npv FROM c)
+    SELECT CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp, round(tpr, 4) AS tpr, round(tnr, 4) AS tnr, round(ppv, 4) AS ppv, round(npv, 4) AS npv,
+    round(1 - tpr, 4) AS fnr, round(1 - tnr, 4) AS fpr, round(1 - ppv, 4) AS fdr, round(1 - npv, 4) AS for_, round((sqrt(tpr * (1 - tnr)) + tnr - 1) / (tpr + tnr - 1), 4) AS pt, round(tp / (tp + fn + fp), 4) AS ts,
+    round((tp + tn) / (tp + tn + fp + fn), 4) AS acc, round((tpr + tnr) / 2, 4) AS ba, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 4) AS mcc,
+    round(sqrt(ppv * tpr), 4) AS fm, round(tpr + tnr - 1, 4) AS bm, round(ppv + npv - 1, 4) AS mk FROM r""")
+def binary_rates(spark, d):
+    return aggregates.binary_rates(_table(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("""WITH e AS (SELECT event_type AS series, CAST(least(floor(value / 50), 9) AS INTEGER) AS bin FROM events), p AS (SELECT series, bin, count(*) AS n FROM e GROUP BY ALL), q AS (SELECT bin, count(*) AS n FROM e GROUP BY ALL)
+    SELECT series, round(sum(pp * ln(pp / qq)), 6) AS kl FROM (SELECT p.series, p.n / sum(p.n) OVER (PARTITION BY p.series) + 1e-15 AS pp, q.n / (SELECT sum(n) FROM q) + 1e-15 AS qq FROM p JOIN q USING (bin)) GROUP BY series""")
+def discrete_kl(spark, d):
+    binned = _table(spark, d, "events").groupBy(F.col("event_type").alias("series"), F.least(F.floor(F.col("value") / 50), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return rounded(aggregates.discrete_kl(binned, binned.groupBy("bin").agg(F.sum("n").alias("n"))))
+
+
+# States, runs and transitions
+
+
+@query(f"WITH {CENTRED} SELECT series, state, start, len FROM " + runs_sql("st"))
+def sign_runs(spark, d):
+    return windows.runs(states.centred(series.hourly(spark, d))).select("series", "state", "start", "len")
+
+
+ABRUPT = HOURLY + ", ab AS (SELECT series, idx, CASE WHEN value <= a + (b - a) * (1 - 0.8) THEN -1 WHEN value >= b - (b - a) * (1 - 0.8) THEN 1 ELSE 0 END AS state FROM (SELECT *, min(value) OVER (PARTITION BY series) AS a, max(value) OVER (PARTITION BY series) AS b FROM hr))"
+
+
+def _abrupt(spark, d):
+    return states.abrupt_states(series.hourly(spark, d), 0.8)
+
+
+@query(f"WITH {ABRUPT} SELECT series, idx, state FROM ab")
+def abrupt_states(spark, d):
+    return _abrupt(spark, d).select("series", "idx", "state")
+
+
+@query(f"WITH {ABRUPT} SELECT series, state, max(len) AS len, min(start) FILTER (rk = 1) AS start FROM (SELECT *, row_number() OVER (PARTITION BY series, state ORDER BY len DESC, start) AS rk FROM {runs_sql('ab')}) GROUP BY series, state")
+def abrupt_runs(spark, d):
+    return windows.longest_runs(windows.runs(_abrupt(spark, d))).select("series", "state", "len", "start")
+
+
+@query(f"WITH {ABRUPT} SELECT series, state, round(count(*) / (n * 60.0), 6) AS rate, round(n * 60.0 / count(*), 6) AS period FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM ab) GROUP BY series, state, n")
+def abrupt_rates(spark, d):
+    return rounded(states.rates(_abrupt(spark, d), 60))
+
+
+RAMPS = DAILY + ", up AS (SELECT series, idx, value, coalesce(value > lag(value) OVER (ORDER BY idx), false) AS state FROM dy), rs AS (SELECT start - 1 AS s, start + len - 1 AS e FROM " + runs_sql("up") + " WHERE state)"
+
+
+@query(f"WITH {RAMPS} SELECT s AS start, e AS \"end\", e - s AS duration, round_even(b.value - a.value, 1) AS delta FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e")
+def ramp_segments(spark, d):
+    return windows.ramps(series.daily_orders(spark, d), True).drop("series")
+
+
+@query(f"""WITH {RAMPS} SELECT duration, count(*) AS n, sum(duration) AS total, CAST(CASE WHEN rate < 0.01 THEN 0 WHEN rate < 0.075 THEN 1 WHEN rate < 0.15 THEN 2 WHEN rate < 0.225 THEN 3 ELSE 4 END AS INTEGER) AS code
+    FROM (SELECT e - s AS duration, round_even(abs(round_even(b.value - a.value, 1)) / ((e - s) * 1440), 4) AS rate FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e) GROUP BY ALL""")
+def ramp_states(spark, d):
+    coded = windows.ramps(series.daily_orders(spark, d), True).withColumn("code", states.ramp_code(F.col("duration"), F.col("delta"), 1440))
+    return coded.groupBy("duration", "code").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
+
+
+@query(f"""WITH {DAILY}, r AS (SELECT idx, (value - lag(value) OVER (ORDER BY idx)) / 1440 AS rate FROM dy)
+    SELECT idx, round(rate, 6) AS rate, kind FROM (SELECT *, 'up' AS kind FROM r WHERE rate IS NOT NULL ORDER BY rate DESC, idx LIMIT 10) UNION ALL SELECT idx, round(rate, 6), kind FROM (SELECT *, 'down' AS kind FROM r WHERE rate IS NOT NULL ORDER BY rate, idx LIMIT 10)""")
+def power_rate_topk(spark, d):
+    lagged = windows.in_blocks(series.daily_orders(spark, d), 1, 0, lambda x, w: x.withColumn("rate", (F.col("value") - F.lag("value").over(w)) / 1440)).filter("rate is not null").select("idx", "rate")
+    up = lagged.orderBy(F.desc("rate"), "idx").limit(10).withColumn("kind", F.lit("up"))
+    return rounded(up.unionByName(lagged.orderBy("rate", "idx").limit(10).withColumn("kind", F.lit("down"))))
+
+
+WIDE = HOURLY + ", wd AS (SELECT 'all' AS series, row_number() OVER (ORDER BY ts) - 1 AS idx, * FROM (SELECT ts, coalesce(max(value) FILTER (series = 'purchase'), 0) AS a, coalesce(max(value) FILTER (series = 'view'), 0) AS b, coalesce(max(value) FILTER (series = 'click'), 0) - 300 AS c FROM hr GROUP BY ts))"
+
+
+def _wide(spark, d):
+    wide = aggregates.pivoted(series.hourly(spark, d), "ts", "series", ["purchase", "view", "click"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return series.indexed(wide.select(F.lit("all").alias("series"), "ts", zero("purchase").alias("a"), zero("view").alias("b"), (zero("click") - 300).alias("c")))
+
+
+@query(f"""WITH {HOURLY}, x AS (SELECT series, idx, value - 300 AS v, lag(value - 300) OVER w AS p, lead(value - 300) OVER w AS n FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx))
+    SELECT series, idx, CASE WHEN v > p AND n > 2 * v - p THEN 4 WHEN v < p AND n < 2 * v - p THEN 3 WHEN v > 0.001 THEN 2 WHEN v < -0.001 THEN 1 ELSE 0 END AS state FROM x""")
+def state5(spark, d):
+    return states.five_states(series.hourly(spark, d).withColumn("value", F.col("value") - 300)).select("series", "idx", "state")
+
+
+@query(f"WITH {WIDE} SELECT idx, CAST((a > 0) AS INTEGER) * 4 + CAST((b > 0) AS INTEGER) * 2 + CAST((c > 0) AS INTEGER) AS code FROM wd")
+def state8(spark, d):
+    return _wide(spark, d).select("idx", states.eight_states(F.col("a"), F.col("b"), F.col("c")).alias("code"))
+
+
+def _bits_sql() -> str:
+    parts = []
+    for c in "abc":
+        step = f"coalesce({c} - lag({c}) OVER (ORDER BY idx), 0)"
+        parts += [f"({c} > 0)", f"({step} > 0.577)", f"({step} < -0.577)"]
+    return " + ".join(f"CAST({p} AS INTEGER) * {1 << (8 - i)}" for i, p in enumerate(parts))
+
+
+@query(f"WITH {WIDE} SELECT idx, {_bits_sql()} AS code FROM wd")
+def state36(spark, d):
+    return states.change_code(_wide(spark, d), ["a", "b", "c"], 0.577).select("idx", "code")
+
+
+PAIRS = "tr AS (SELECT series, state AS i, lead(state) OVER (PARTITION BY series ORDER BY idx) AS j FROM st)"
+
+
+@query(f"""WITH {CENTRED}, {PAIRS}, n AS (SELECT series, i, j, count(*) AS n FROM tr WHERE j IS NOT NULL GROUP BY ALL)
+    SELECT series, i, j, round(coalesce(n.n / t.n, 0), 6) AS p FROM (SELECT DISTINCT series FROM st) s CROSS JOIN (SELECT CAST(unnest([-1, 0, 1]) AS INTEGER) AS i) a CROSS JOIN (SELECT CAST(unnest([-1, 0, 1]) AS INTEGER) AS j) b
+    LEFT JOIN n USING (series, i, j) LEFT JOIN (SELECT series, i, sum(n) AS n FROM n GROUP BY ALL) t USING (series, i)""")
+def transition_matrix(spark, d):
+    return rounded(states.transition_matrix(states.centred(series.hourly(spark, d)), [-1, 0, 1]))
+
+
+@query(f"WITH {CENTRED}, {PAIRS} SELECT i, j, count(*) AS n FROM tr WHERE j IS NOT NULL GROUP BY ALL")
+def pattern_counts(spark, d):
+    return states.transition_counts(states.centred(series.hourly(spark, d))).groupBy("i", "j").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {CENTRED} SELECT series, state, round(count(*) / n, 6) AS pi, round(avg(value), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 1e-4 ELSE greatest(0.01, stddev_pop(value)) END, 6) AS std FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM st) GROUP BY series, state, n")
+def emission_params(spark, d):
+    return rounded(states.emissions(states.centred(series.hourly(spark, d))))
+
+
+@query(f"WITH {CENTRED} SELECT state, round(count(*) / (SELECT count(*) FROM st WHERE idx = 0), 6) AS pi FROM st WHERE idx = 0 GROUP BY state")
+def initial_dist(spark, d):
+    first = states.centred(series.hourly(spark, d)).filter("idx = 0").groupBy("state").agg(F.count("*").alias("n"))
+    total = first.agg(F.sum("n").alias("total"))
+    return rounded(first.join(F.broadcast(total)).select("state", (F.col("n") / F.col("total")).alias("pi")))  # one row
+
+
+# Packets
+
+
+GAPS = "gp AS (SELECT user_id AS key, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events)"
+
+
+def _keyed(spark, d):
+    return _table(spark, d, "events").withColumn("key", F.col("user_id"))
+
+
+@query(f"WITH {GAPS} SELECT key, count(*) AS n, round(count(*) / (SELECT count(*) FROM gp), 5) AS prob, CASE WHEN count(*) > 2 THEN round(avg(gap), 2) END AS mean, CASE WHEN count(*) > 2 THEN round(stddev_pop(gap), 2) END AS std FROM gp GROUP BY key")
+def packet_gap_stats(spark, d):
+    return packets.gap_statistics(_keyed(spark, d))
+
+
+@query(f"WITH {GAPS} SELECT key, count(gap) AS n, round(count(gap) / sum(gap) * 1e3, 6) AS rate_ms, round(power(count(gap) / sum(gap), 2) / count(gap) * 1e9, 4) AS variance_ns FROM gp GROUP BY key HAVING count(gap) >= 3 AND sum(gap) > 0")
+def mle_exp(spark, d):
+    found = regress.exponential_rates(packets.gaps(_keyed(spark, d)).filter("gap is not null"), 3)
+    return found.select("key", "n", F.round(F.col("rate") * 1e3, 6).alias("rate_ms"), F.round(F.col("variance") * 1e9, 4).alias("variance_ns"))
+
+
+HALF = "TIMESTAMP '2024-01-16 00:00:00'"
+
+
+@query(f"""WITH {GAPS}, a AS (SELECT key, count(gap) AS n, count(gap) / sum(gap) AS r FROM gp WHERE ts < {HALF} GROUP BY key HAVING count(gap) >= 3 AND sum(gap) > 0), b AS (SELECT key, count(gap) AS n, count(gap) / sum(gap) AS r FROM gp WHERE ts >= {HALF} GROUP BY key HAVING count(gap) >= 3 AND sum(gap) > 0),
+    k AS (SELECT key, 2 * b.n * (ln(b.r / a.r) + a.r / b.r - 1) AS directed, a.n * b.n / (a.n + b.n) * (a.r / b.r + b.r / a.r - 2) AS divergence FROM a JOIN b USING (key))
+    SELECT key, round(directed, 6) AS directed, round(divergence, 6) AS divergence, directed > 3.84 OR divergence > 3.84 AS anomaly FROM k""")
+def kl_exp_anomaly(spark, d):
+    gap = packets.gaps(_keyed(spark, d)).filter("gap is not null")
+    half = F.expr("timestamp '2024-01-16 00:00:00'")
+    return rounded(regress.rate_divergence(regress.exponential_rates(gap.filter(F.col("ts") < half), 3), regress.exponential_rates(gap.filter(F.col("ts") >= half), 3)))
+
+
+@query("""WITH r AS (SELECT event_type AS id, floor(idx / 128) AS chunk, event_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events)), f AS (SELECT chunk FROM r GROUP BY chunk HAVING count(*) = 128)
+    SELECT id, CAST(chunk AS BIGINT) AS chunk, CAST(pos AS INTEGER) AS pos, round(avg(CAST(substr(lpad(bin(event_id), 32, '0'), CAST(pos + 1 AS BIGINT), 1) = '1' AS INTEGER)), 6) AS prb FROM r JOIN f USING (chunk), (SELECT unnest(range(0, 32)) AS pos) GROUP BY ALL""")
+def bit_features(spark, d):
+    rows = series.indexed(_table(spark, d, "events").select(F.lit("all").alias("series"), F.col("event_type").alias("id"), "event_id"), ("event_id",), bucket=F.floor(F.col("event_id") / 65536))
+    return rounded(packets.bit_features(rows.withColumn("data", F.format_string("%08X", "event_id")), 128))
+
+
+@query(f"SELECT user_id AS item, bool_or(ts < {HALF}) AS trained FROM events GROUP BY user_id HAVING bool_or(ts < {HALF})")
+def bloom_check(spark, d):
+    rows = _table(spark, d, "events")
+    trained = rows.filter(F.col("ts") < F.expr("timestamp '2024-01-16 00:00:00'")).select("user_id")
+    bits_, k = 1 << 20, 7
+    checked = packets.bloom_check(rows, "user_id", packets.bloom(trained, "user_id", bits_, k), bits_, k).filter("member")
+    known = trained.select(F.col("user_id").alias("item")).distinct()
+    # A filter has no false negatives; the few false positives are told apart by the exact semi-join.
+    return checked.join(known, "item", "left_semi").select("item", F.col("member").alias("trained"))
+
+
+@query("""WITH c AS (SELECT event_id, '*' || lpad(bin(event_id % 256), 8, '0') AS s FROM events), t AS (SELECT event_id, substr(s, CAST(i AS BIGINT), 2) AS p FROM c, (SELECT unnest(range(1, 9)) AS i))
+    SELECT event_id, CAST(sum(CASE p WHEN '*0' THEN 1 WHEN '*1' THEN 3 WHEN '00' THEN 5 WHEN '01' THEN 6 WHEN '10' THEN 7 ELSE 8 END) AS BIGINT) AS code_sum FROM t GROUP BY event_id""")
+def bit_transitions(spark, d):
+    codes = packets.transitions(packets.bits(F.format_string("%02X", F.pmod("event_id", F.lit(256)))))
+    return _table(spark, d, "events").select("event_id", F.aggregate(codes, F.lit(0).cast("long"), lambda s, v: s + v).alias("code_sum"))
+
+
+# Regression
+
+
+@query("SELECT l_returnflag AS flag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY l_returnflag")
+def ols_simple(spark, d):
+    fit = _table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.regr_slope("l_extendedprice", "l_quantity").alias("slope"), F.regr_intercept("l_extendedprice", "l_quantity").alias("intercept"))
+    return fit.select("flag", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+def _ols_sql(by: str) -> str:
+    c = lambda ab, a, b: f"({ab} - {a} * {b} / n)"
+    c11, c12, c22, c1y, c2y = c("s11", "s1", "s1"), c("s12", "s1", "s2"), c("s22", "s2", "s2"), c("s1y", "s1", "sy"), c("s2y", "s2", "sy")
+    det = f"({c11} * {c22} - {c12} * {c12})"
+    sums = f"SELECT {by}count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy FROM li {'GROUP BY ALL' if by else ''}"
+    return f"SELECT *, sst - b1 * c1y - b2 * c2y AS sse, (sy - b1 * s1 - b2 * s2) / n AS b0 FROM (SELECT *, ({c1y} * {c22} - {c2y} * {c12}) / {det} AS b1, ({c2y} * {c11} - {c1y} * {c12}) / {det} AS b2, {c('syy', 'sy', 'sy')} AS sst, {c1y} AS c1y, {c2y} AS c2y FROM ({sums}))"
+
+
+LINES = "li AS (SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, l_quantity AS x1, l_discount AS x2 FROM lineitem)"
+
+
+def _lines(spark, d):
+    return _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"))
+
+
+@query(f"WITH {LINES} SELECT flag, n, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2 FROM ({_ols_sql('flag, ')})")
+def ols_multi(spark, d):
+    return rounded(regress.solved(regress.moments(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), ["flag"])).select("flag", "n", "b0", "b1", "b2"), 4)
+
+
+@query(f"""WITH {LINES}, f AS ({_ols_sql('')}), e AS (SELECT y - b0 - b1 * x1 - b2 * x2 AS e, f.* FROM li, f), q AS (SELECT any_value(sst) AS sst, sum(e * e) AS sse, avg(abs(e)) AS mean_abs, max(abs(e)) AS max_abs, count(*) AS n FROM e)
+    SELECT n, round((sst - sse) / sst, 4) AS r2, round(sse / (n - 1), 4) AS sigma2, round(mean_abs, 4) AS mean_abs, round(max_abs, 4) AS max_abs, round((sst - sse) / 2 / (sse / (n - 3)), 1) AS f FROM q""")
+def ols_quality(spark, d):
+    q = regress.quality(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"))
+    return q.select("n", *[F.round(c, 4).alias(c) for c in ("r2", "sigma2", "mean_abs", "max_abs")], F.round("f", 1).alias("f"))
+
+
+@query(f"""WITH {LINES}, o AS (SELECT sum(sse) AS sse, sum(n) AS n, count(*) AS k FROM ({_ols_sql('flag, ')})), p AS (SELECT sse AS pooled FROM ({_ols_sql('')}))
+    SELECT CAST(n AS BIGINT) AS n, k, round(sse, 2) AS sse, round(pooled - sse, 2) AS ssb, round(sse / (n - 3 * k), 4) AS mse, round((pooled - sse) / (3 * (k - 1)) / (sse / (n - 3 * k)), 4) AS f, round((pooled - sse) / (sse / (n - 3 * k)), 4) AS divergence FROM o, p""")
+def anova_categories(spark, d):
+    a = regress.anova(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), "flag")
+    return a.select("n", "k", F.round("sse", 2).alias("sse"), F.round("ssb", 2).alias("ssb"), *[F.round(c, 4).alias(c) for c in ("mse", "f", "divergence")])
+
+
+@query("""WITH r AS (SELECT l_extendedprice / l_quantity AS density FROM lineitem WHERE abs(l_quantity) >= 1e-6), e AS (SELECT min(density) AS a, max(density) AS b FROM r)
+    SELECT CASE WHEN density <= a + (b - a) / 3 THEN 'LOW' WHEN density <= a + 2 * (b - a) / 3 THEN 'MID' ELSE 'HIGH' END AS band, count(*) AS n, round(avg(density), 4) AS mean FROM r, e GROUP BY band""")
+def co2_bands(spark, d):
+    density = _table(spark, d, "lineitem").filter(F.abs("l_quantity") >= 1e-6).select((F.col("l_extendedprice") / F.col("l_quantity")).alias("density"))
+    ends = density.agg(F.min("density").alias("a"), F.max("density").alias("b"))
+    cut = lambda k: F.col("a") + k * (F.col("b") - F.col("a")) / 3
+    band = F.when(F.col("density") <= cut(1), "LOW").when(F.col("density") <= cut(2), "MID").otherwise("HIGH")
+    return density.join(F.broadcast(ends)).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("density"), 4).alias("mean"))  # one row
+
+
+# Sets, retention and forecasts
+
+
+@query(f"WITH {EVENTS} SELECT series, event_id, value FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM ev) WHERE idx >= n - 64")
+def retention_lastn(spark, d):
+    return windows.last_n(series.events(spark, d), 64).select("series", "event_id", "value")
+
+
+@query(f"SELECT user_id FROM events WHERE ts < {HALF} INTERSECT SELECT user_id FROM events WHERE ts >= {HALF}")
+def key_intersection(spark, d):
+    rows, half = _table(spark, d, "events"), F.expr("timestamp '2024-01-16 00:00:00'")
+    return rows.filter(F.col("ts") < half).select("user_id").intersect(rows.filter(F.col("ts") >= half).select("user_id"))
+
+
+@query("SELECT k AS missing FROM (SELECT unnest(range(min(user_id), max(user_id) + 1)) AS k FROM events) WHERE k NOT IN (SELECT user_id FROM events)")
+def range_difference(spark, d):
+    seen = _table(spark, d, "events").select("user_id").distinct()
+    grid = seen.agg(F.min("user_id").alias("a"), F.max("user_id").alias("b")).select(F.explode(F.sequence("a", "b")).alias("missing"))
+    return grid.join(seen, F.col("missing") == F.col("user_id"), "left_anti")
+
+
+@query("SELECT event_id, CAST(round_even(round_even(value / 12.5, 0) * 12.5, 0) AS BIGINT) AS quantised, greatest(value - 100, 0) AS turbine, greatest(100 - value, 0) AS pump, round_even(value - 50.5, 2) AS delta FROM events")
+def projections(spark, d):
+    v = F.col("value")
+    return _table(spark, d, "events").select("event_id", scalars.quantised(v, 12.5).alias("quantised"), F.greatest(v - 100, F.lit(0.0)).alias("turbine"), F.greatest(100 - v, F.lit(0.0)).alias("pump"), F.bround(v - 50.5, 2).alias("delta"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 1 DAY + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS later, strftime(ts, '%Y-%m-%d %H:%M:%S') AS wall, hour(ts) = 12 AND minute(ts) = 30 AS anchor FROM events")
+def date_functions(spark, d):
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00"))
+    return _table(spark, d, "events").select("event_id", scalars.shift_time(text, days=1, minutes=10).alias("later"), scalars.wall_clock(iso).alias("wall"), ((F.hour("ts") == 12) & (F.minute("ts") == 30)).alias("anchor"))
+
+
+@query(f"""WITH {EVENTS}, {SPLIT}, t AS (SELECT series, min(value) AS a, max(value) AS b FROM sp WHERE split = 'train' GROUP BY series),
+    x AS (SELECT series, split, idx, (value - a) / (b - a) AS v FROM sp JOIN t USING (series)), w AS (SELECT *, avg(v) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS f FROM x)
+    SELECT series, split, count(*) AS n, round(avg(abs(v - f)), 6) AS mae, round(max(abs(v - f)), 6) AS max_abs, round(avg(v - f), 6) AS mean, round(stddev_pop(v - f), 6) AS std FROM w WHERE idx >= 16 GROUP BY series, split""")
+def forecast_baseline(spark, d):
+    rows = scalars.scaled_on_train(scalars.chronological(series.events(spark, d), 200, 100))
+    x = windows.supervised(rows, 16, "scaled").withColumn("e", F.col("y") - F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / 16)
+    return rounded(x.groupBy("series", "split").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.max(F.abs("e")).alias("max_abs"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("std")))
