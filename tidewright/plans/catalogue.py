@@ -515,3 +515,96 @@ def forecast_baseline(spark, d):
     rows = scalars.scaled_on_train(scalars.chronological(series.events(spark, d), 200, 100))
     x = windows.supervised(rows, 16, "scaled").withColumn("e", F.col("y") - F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / 16)
     return rounded(x.groupBy("series", "split").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.max(F.abs("e")).alias("max_abs"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("std")))
+
+
+# Models: their results are checked by tests, not by SQL
+
+
+@query()
+def hmm_decode(spark, d):
+    from tidewright.operators import hmm
+
+    return hmm.decoded(states.centred(series.hourly(spark, d)), [-1, 0, 1])
+
+
+@query()
+def arima_grid(spark, d):
+    from tidewright.operators import forecast
+
+    return forecast.best_orders(forecast.order_grid(series.hourly(spark, d)))
+
+
+@query()
+def arima_forecast(spark, d):
+    from tidewright.operators import forecast
+
+    return forecast.arima_forecasts(series.hourly(spark, d))
+
+
+@query()
+def mlp_forecast(spark, d):
+    from tidewright.operators import forecast
+
+    return forecast.network_forecasts(series.hourly(spark, d), epochs=5)
+
+
+@query()
+def welch_psd(spark, d):
+    from tidewright.operators.spectra import welch
+
+    return welch(series.hourly(spark, d))
+
+
+@query()
+def pacf_lags(spark, d):
+    from tidewright.operators.spectra import partial_autocorrelation
+
+    return partial_autocorrelation(series.hourly(spark, d), 12)
+
+
+@query()
+def wavelet_denoise(spark, d):
+    from tidewright.operators.spectra import haar_denoised
+
+    return haar_denoised(series.hourly(spark, d), 50.0)
+
+
+@query()
+def stationarity(spark, d):
+    from tidewright.operators.spectra import stationarity as tested
+
+    return tested(series.hourly(spark, d))
+
+
+@query()
+def block_clusters(spark, d):
+    from tidewright.operators import cluster
+
+    blocks = cluster.series_blocks(series.hourly(spark, d), 24, share=0.2)
+    pcs, _ = cluster.principal(cluster.centred_columns(blocks))
+    return cluster.cluster_profiles(blocks, cluster.kmeans_members(pcs, "pcs", 3, ["series", "start"]), ["series", "start"])
+
+
+@query()
+def kmeans_embeddings(spark, d):
+    from tidewright.operators import cluster
+
+    rows = _table(spark, d, "embeddings").withColumnRenamed("embedding", "data")
+    return cluster.kmeans_members(cluster.centred_columns(rows), "centred", 4, ["vec_id"])
+
+
+@query()
+def sim_traffic(spark, d):
+    from tidewright.operators.simulate import simulations
+
+    return simulations(spark, 16)
+
+
+T = "(1 / (1 + 0.2316419 * abs(z)))"
+TAIL = f"exp(-z * z / 2) / 2.5066282746310002::DOUBLE * {T} * (0.319381530::DOUBLE + {T} * (-0.356563782::DOUBLE + {T} * (1.781477937::DOUBLE + {T} * (-1.821255978::DOUBLE + {T} * 1.330274429::DOUBLE))))"
+
+
+@query(f"WITH {EVENTS} SELECT series, idx, round(CASE WHEN z >= 0 THEN 1 - {TAIL} ELSE {TAIL} END, 6) AS cdf FROM (SELECT series, idx, (value - 100) / 50 AS z FROM ev)")
+def normal_cdf(spark, d):
+    rows = series.events(spark, d)
+    return rows.select("series", "idx", F.round(scalars.normal_cdf((F.col("value") - 100) / 50), 6).alias("cdf"))
