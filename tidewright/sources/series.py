@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: What becomes of values that are missing or not numbers.
 DROP, ZERO, PREFIX = "drop", "zero", "prefix"
@@ -49,7 +48,7 @@ def read_csv(spark: SparkSession, path: str, ts: str, values: Sequence[str], pat
 
 
 #: A polled widget: its included series have values in one order of times.
-WIDGET = T.StructType.fromDDL(
+WIDGET = (
     "data struct<type string, id string, attributes struct<title string, `last-update` string>>, "
     "included array<struct<type string, id string, attributes struct<title string, `values` array<struct<value double, percentage double, datetime string>>>>>"
 )
