@@ -93,7 +93,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     Alternates the large-star and small-star steps until no edge changes. Each step groups with map-side minima and joins
     them back, so a hub is split by the skew join, and no component meets in one task. Nodes without edges don't appear.
     """
-    spark = edges.sparkSession
     now = materialise(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct(), "edges")
     seen = None
     for _ in range(rounds):
@@ -109,5 +108,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         now = materialise(small, "stars")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    del spark
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
