@@ -114,8 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_
     return np.frombuffer(got["at"], "<i8"), np.frombuffer(got["w"], "<f8"), got["slope"], got["intercept"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float], columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (doc_id if none) and score, 0 to 1."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float], columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The given columns of docs (doc_id if none) and the score, 0 to 1, under a name that none of them has."""
     columns = columns or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32), model[2], model[3]))  # at most 8 bytes for each of 2**BITS coordinates
 
@@ -131,11 +131,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float], c
                 pair = np.unique(row[hit] << BITS | coordinates[hit])
                 total = np.bincount(pair >> BITS, weights=dense[pair & ((1 << BITS) - 1)], minlength=n)
                 p = 1 / (1 + np.exp(-np.clip(slope * total + intercept, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[low:high] for c in columns), pa.array(p)], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[low:high] for c in columns), pa.array(p)], names=[*columns, name])
 
     chosen = docs.select(*columns, F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return chosen.mapInArrow(run, f"{schema}, score double")
+    return chosen.mapInArrow(run, f"{schema}, {name} double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -153,4 +153,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Documents that score below the threshold, with all their columns."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
-    return score(docs, model, docs.columns).filter(F.col("score") < threshold).drop("score")
+    return score(docs, model, docs.columns, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
