@@ -50,10 +50,8 @@ def test_same_as_all_pairs(docs, k, num, den, seed):
     assert got == brute(list(enumerate(texts)), k, num, den)
 
 
-@pytest.mark.parametrize("blocks", [16, 0])
-def test_small_tiles_lose_no_link(docs, blocks, monkeypatch):
+def test_small_tiles_lose_no_link(docs, monkeypatch):
     monkeypatch.setattr(nj, "TILE_SETS", 6)
-    monkeypatch.setattr(nj, "MAX_BLOCKS", blocks)
     texts = corpus_of(3, 40)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.ngram_jaccard_groups(docs(texts), 3, 8, 10).collect()}
     assert got == brute(list(enumerate(texts)), 3, 8, 10)

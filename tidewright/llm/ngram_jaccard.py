@@ -12,8 +12,10 @@ pigeonhole argument needs: a set with at most ``slack`` partitions that hold suc
 any other set emits all of its own. If either of two linked sets is of the first kind, they share a signature that isn't
 weak; if neither is, they share a weak one. Nothing is lost.
 
-Copies have one set, one id and one set of signatures. Candidates are then grouped, their sets are rebuilt from the texts,
-and the exact test runs within bounded tiles that emit a spanning forest of the links, never all pairs of a group.
+Copies have one set, one id and one set of signatures. The sets that share a signature are compared by sketches of CELLS
+bytes, which rule out most pairs and no link; the sets of the components that remain are rebuilt from the texts and tested
+exactly. Both tests run within tiles of bounded size and emit a spanning forest, never all pairs of a group; a group over
+several blocks is tested in all pairs of its blocks.
 
 Nulls and texts without words have an empty set, which is linked with nothing; a text with fewer than k words has one
 shingle, the whole sequence. Repeated rows form one group. Rows with a null doc_id keep it and get a null component only if
@@ -27,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import components, materialise, mix
@@ -35,10 +37,12 @@ from tidewright.llm.words import chunks, words
 
 #: Cells a first-level partition has, and cells that may differ in one.
 N2, K2 = 2, 1
-#: A signature over fewer elements is weak.
-WEAK = 3
-#: Candidate groups of at most so many sets and elements are tested as one; larger ones by signature, in tiles.
-TILE_SETS, TILE_ELEMENTS = 1024, 1 << 21
+#: A tile holds so many sets and elements at most.
+TILE_SETS, TILE_ELEMENTS = 4096, 1 << 21
+#: Bytes of a sketch.
+CELLS = 256
+#: Elements of so many sets of a tile are counted by a matrix product, rarer ones pair by pair.
+FREQUENT = 32
 #: Up to so many ids are broadcast to find their texts (64 MB); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -74,6 +78,11 @@ def set_ids(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * _A[2]).view(np.int64)
 
 
+def weak_below(num: int, den: int) -> int:
+    """A signature over fewer elements is weak: 2, or 1 at similarities under 0.9, where signatures are too small for more."""
+    return 2 if 10 * num >= 9 * den else 1
+
+
 @lru_cache
 def bands(num: int, den: int) -> np.ndarray:
     """The largest size in each band."""
@@ -86,10 +95,15 @@ def bands(num: int, den: int) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def instance(j: int, num: int, den: int, n2: int, k2: int, weak: int) -> tuple[int, int, int]:
-    """(first-level partitions, slack, differing elements) of instance j, which serves sets of the bands j-1 and j."""
-    top = int(bands(num, den)[j])
-    low = int(bands(num, den)[j - 2]) + 1 if j >= 2 else 1
-    differ = (den - num) * 2 * top // (den + num)
+    """(first-level partitions, slack, differing elements) of instance j.
+
+    It serves pairs within band j-1 and pairs of the bands j-1 and j, and so no pair for j = 0.
+    """
+    if not j:
+        return 1, 0, 0
+    ends = bands(num, den)
+    low = int(ends[j - 2]) + 1 if j >= 2 else 1
+    differ = (den - num) * int(ends[j - 1] + ends[j]) // (den + num)
     need = differ // (k2 + 1) + 1
     if need <= 3:
         return need, 0, differ
@@ -112,10 +126,10 @@ def _subsets(n2: int, k2: int) -> np.ndarray:
     return np.array(list(combinations(range(n2), n2 - k2)))
 
 
-def signatures(elements: np.ndarray, bounds: np.ndarray, num: int, den: int, n2: int = N2, k2: int = K2, weak: int = WEAK) -> tuple[np.ndarray, np.ndarray]:
+def signatures(elements: np.ndarray, bounds: np.ndarray, num: int, den: int, n2: int = N2, k2: int = K2) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, bounds) of the sets of a chunk, signed 64-bit; empty sets have none."""
     size = np.diff(bounds)
-    band = np.searchsorted(bands(num, den), size)
+    band, weak = np.searchsorted(bands(num, den), size), weak_below(num, den)
     subsets = _subsets(n2, k2)
     found, owners = [], []
     for step in (0, 1):
@@ -144,42 +158,67 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, num: int, den: int, n2:
     return np.concatenate(found)[order].view(np.int64), np.searchsorted(owner[order], np.arange(len(size) + 1))
 
 
-def document_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sid, sigs): the size and id of each document's set; its signatures once for each id and batch."""
+def document_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, sid): the size and id of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
             for low, high, data, offsets in chunks(batch):
                 elements, bounds = shingle_sets(data, offsets, k)
-                n, ids = np.diff(bounds), set_ids(elements, bounds)
-                fresh = np.zeros(len(n), bool)
-                for i in np.flatnonzero(n):
-                    fresh[i] = ids[i] not in seen
-                    seen.add(ids[i])
+                n = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array(n, pa.int64()), pa.array(set_ids(elements, bounds), mask=n == 0)], names=["doc_id", "n", "sid"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sid long")
+
+
+def set_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sid, sig): the signatures of each set, once for each set and run of rows; computed anew from the texts when needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch):
+                elements, bounds = shingle_sets(data, offsets, k)
+                ids, first = np.unique(set_ids(elements, bounds), return_index=True)
+                n, fresh = np.diff(bounds), np.zeros(len(bounds) - 1, bool)
+                fresh[first] = True
                 some = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(fresh, n, 0))])
                 sigs, at = signatures(elements[np.repeat(fresh, n)], some, num, den)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sigs, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array(n, pa.int64()), pa.array(ids, pa.int64(), mask=n == 0), lists], names=["doc_id", "n", "sid", "sigs"])
+                order = np.argsort(first)
+                sid = np.repeat(ids[order], np.diff(at)[np.sort(first)])
+                for low in range(0, len(sigs), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[low : low + (1 << 16)]), pa.array(sigs[low : low + (1 << 16)])], names=["sid", "sig"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sid long, sig long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sid long, sigs array<long>")
 
+def sketches(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """CELLS bytes for each set of a chunk: the domain is dealt to cells, a byte hashes a set's elements in one.
 
-def _rebuilt(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sid, elements): the sets of the documents whose doc_id is in wanted (rep, sid), from their texts."""
+    An element that only one of two sets has changes one cell, so two sets differ in no fewer elements than cells.
+    """
+    n = len(bounds) - 1
+    x = mix(elements + _A[1])
+    total = np.zeros(n * CELLS, np.uint64)
+    np.add.at(total, np.repeat(np.arange(n), np.diff(bounds)) * CELLS + (x >> np.uint64(24)).astype(np.int64) % CELLS, mix(x ^ _A[2]))
+    return (mix(total) >> np.uint64(56)).astype(np.uint8).reshape(n, CELLS)
+
+
+def _rebuilt(docs: DataFrame, wanted: DataFrame, k: int, sketch: bool) -> DataFrame:
+    """(sid, n, elements): the sets, or their sketches, of the documents whose doc_id is in wanted (rep, sid), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in chunks(batch):
                 elements, bounds = shingle_sets(data, offsets, k)
-                raw = pa.array([elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                parts = sketches(elements, bounds) if sketch else [elements[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                raw = pa.array([x.tobytes() for x in parts], pa.binary())
                 sid = batch.column("sid")[low:high]
                 same = set_ids(elements, bounds) == sid.to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([sid, raw], names=["sid", "elements"]).filter(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([sid, pa.array(np.diff(bounds)), raw], names=["sid", "n", "elements"]).filter(pa.array(same, pa.bool_()))
 
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids, "rep").select("sid", "text")
-    return found.mapInArrow(run, "sid long, elements binary").dropDuplicates(["sid"])
+    return found.mapInArrow(run, "sid long, n long, elements binary").dropDuplicates(["sid"])
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -188,18 +227,23 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[
     size = np.array([len(s) for s in sets])
     _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), size)
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[inverse]
-    owner, inverse = owner[keep], column[inverse[keep]]
-    common = np.zeros((m, m), np.float32)
-    for low in range(0, int(shared.sum()), 4096):
-        here = (inverse >= low) & (inverse < low + 4096)
-        block = np.zeros((m, min(4096, int(shared.sum()) - low)), np.float32)
-        block[owner[here], inverse[here] - low] = 1
-        common += block @ block.T
-    inter = np.rint(common).astype(np.int64)
-    linked = den * inter >= num * (size[:, None] + size[None, :] - inter)
+    order = np.argsort(inverse, kind="stable")
+    owner, first = owner[order], np.cumsum(times) - times
+    common = np.zeros(m * m, np.int32)
+    for d in range(2, min(FREQUENT, m + 1)):
+        rows = owner[first[times == d][:, None] + np.arange(d)]
+        for x in range(d - 1):
+            for y in range(x + 1, d):
+                np.add.at(common, rows[:, x] * m + rows[:, y], 1)
+    common = common.reshape(m, m)
+    frequent = np.flatnonzero(times >= FREQUENT)
+    for low in range(0, len(frequent), 1024):
+        some = frequent[low : low + 1024]
+        block = np.zeros((m, len(some)), np.float32)
+        for k, e in enumerate(some):
+            block[owner[first[e] : first[e] + times[e]], k] = 1
+        for at in range(0, m, 512):
+            common[at : at + 512] += np.rint(block[at : at + 512] @ block.T).astype(np.int32)
     root = np.arange(m)
 
     def find(x: int) -> int:
@@ -208,33 +252,72 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[
         return x
 
     out = []
-    for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        if (p := find(x)) != (q := find(y)):
-            root[max(p, q)] = min(p, q)
-            out.append((int(ids[x]), int(ids[y])))
+    for x in range(m - 1):
+        inter = common[x, x + 1 :].astype(np.int64)
+        for y in np.flatnonzero((inter > 0) & (den * inter >= num * (size[x] + size[x + 1 :] - inter))) + x + 1:
+            if (p := find(x)) != (q := find(y)):
+                root[max(p, q)] = min(p, q)
+                out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def sketch_forest(ids: np.ndarray, n: np.ndarray, cells: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches don't rule a link out: it connects all that links connect."""
+    m, out = len(ids), []
+    root = np.arange(m)
+    left = np.arange(m)
+    while len(left):
+        # Grow the component of the first set left, one set's pairs at a time.
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            differ = (cells[left] != cells[x]).sum(1)
+            near = (den + num) * differ <= (den - num) * (n[left] + n[x])
+            for y in left[near]:
+                root[y] = root[x]
+                out.append((int(ids[x]), int(ids[y])))
+                todo.append(y)
+            left = left[~near]
     return out
 
 
-def _tested(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within each tile of members (tile, sid, elements)."""
+def _tested(members: DataFrame, num: int, den: int, sketch: bool) -> DataFrame:
+    """Links (a, b) within each tile of members (tile, sid, n, elements), or the pairs that sketches leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, ids, sets = None, [], []
+        tile, ids, sizes, raws = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            links = forest(np.array(ids), sets, num, den) if len(ids) > 1 else []
+            links = []
+            if len(ids) > 1 and sketch:
+                links = sketch_forest(np.array(ids), np.array(sizes), np.frombuffer(b"".join(raws), np.uint8).reshape(len(ids), CELLS), num, den)
+            elif len(ids) > 1:
+                links = forest(np.array(ids), [np.frombuffer(x, np.uint64) for x in raws], num, den)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for t, sid, raw in zip(batch.column("tile").to_pylist(), batch.column("sid").to_pylist(), batch.column("elements"), strict=True):
+            for t, sid, n, raw in zip(*(batch.column(c).to_pylist() for c in ("tile", "sid", "n", "elements")), strict=True):
                 if t != tile:
                     yield done()
-                    tile, ids, sets = t, [], []
+                    tile, ids, sizes, raws = t, [], [], []
                 ids.append(sid)
-                sets.append(np.frombuffer(raw.as_py(), np.uint64))
+                sizes.append(n)
+                raws.append(raw)
         yield done()
 
-    return members.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return members.select("tile", "sid", "n", "elements").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
+def _blocks(members: Column, elements: Column) -> Column:
+    """Blocks that a list of sets is cut into: one if it fits a tile, else so many that two blocks fit one."""
+    many = F.greatest(F.ceil(members * 2 / TILE_SETS), F.ceil(elements * 2 / TILE_ELEMENTS))
+    return F.when((members <= TILE_SETS) & (elements <= TILE_ELEMENTS), 1).otherwise(many).cast("int")
+
+
+def _tiles(kind: int, key: str) -> Column:
+    """The tiles, one for each pair of blocks, that a set with columns sid and t belongs to."""
+    mine = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("t")).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda x: F.concat_ws("|", F.lit(kind), F.col(key), F.least(x, mine), F.greatest(x, mine)))
 
 
 def ngram_jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -242,30 +325,27 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 1
 
     component_id is the smallest doc_id reachable by links; set_id is the class of documents with equal sets (null: empty).
     """
-    sets = materialise(document_sets(docs, k, num, den), "sets")
+    sets = materialise(document_sets(docs, k), "sets")
     classes = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    rows = sets.filter("size(sigs) > 0").select("sid", F.explode("sigs").alias("sig"))
-    live = rows.groupBy("sig").agg(F.min("sid").alias("hub"), F.max("sid").alias("other")).filter("hub < other").select("sig", "hub")
-    live = materialise(live, "live")
-    links = rows.join(live.hint("shuffle_hash"), "sig").filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-    groups = materialise(components(links).join(classes, F.col("node") == F.col("sid")).select("sid", "rep", "n", "root"), "candidates")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    large = (F.col("members") > TILE_SETS) | (F.col("elements") > TILE_ELEMENTS)
-    sized = groups.join(sizes.select("root", large.alias("large")), "root")
-    small = sized.filter("not large").select("sid", F.struct(F.lit(0).alias("kind"), F.col("root").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("tile"))
-    big = sized.filter("large").select("sid", "n")
-    # Larger groups: by signature; equal member lists are tested once, long ones in all pairs of blocks.
-    by_sig = rows.join(live.hint("shuffle_hash"), "sig").join(big, "sid").select("sig", "sid", "n").distinct()
-    lists = by_sig.groupBy("sig").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("print2")).filter("c > 1")
-    lists = lists.groupBy("c", "total", "print", "print2").agg(F.min("sig").alias("sig"))
-    blocks = F.greatest(F.ceil(F.col("c") * 2 / TILE_SETS), F.ceil(F.col("total") * 2 / TILE_ELEMENTS)).cast("int")
-    dealt = by_sig.join(lists.select("sig", F.when((F.col("c") <= TILE_SETS) & (F.col("total") <= TILE_ELEMENTS), 1).otherwise(blocks).alias("t")), "sig")
-    mine = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("t")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda x: F.struct(F.lit(1).alias("kind"), F.col("sig").alias("key"), F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
-    tiled = dealt.select("sid", F.explode(pairs).alias("tile"))
-    elements = materialise(_rebuilt(docs, groups.select("rep", "sid"), k), "elements")
-    members = small.unionByName(tiled).select("sid", F.to_json("tile").alias("tile")).join(elements, "sid")
-    linked = components(_tested(members, num, den))
+    rows = set_signatures(docs, k, num, den)
+    ends = rows.groupBy("sig").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("c")).filter("low < high")
+    live = materialise(ends, "live")
+    # A signature of two rows has its members already; those of more are looked up among all rows once more.
+    more = live.filter("c > 2").select("sig")
+    more = F.broadcast(more) if more.count() <= BROADCAST_IDS else more
+    two = live.filter("c = 2").select("sig", F.explode(F.array("low", "high")).alias("sid"))
+    members = materialise(two.unionByName(rows.join(more, "sig").select("sig", "sid").distinct()), "members")
+    lists = members.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("print2"))
+    lists = materialise(lists.groupBy("c", "print", "print2").agg(F.min("sig").alias("sig")), "lists")  # equal lists are tested once
+    found = materialise(members.join(lists.select("sig", _blocks(F.col("c"), F.lit(0)).alias("t")), "sig"), "found")
+    wanted = materialise(found.select("sid").distinct().join(classes, "sid").select("sid", "rep"), "wanted")
+    # Sketches first: what they leave is close to the links, so that whole sets go to few tiles, once each.
+    tiled = found.select("sid", F.explode(_tiles(0, "sig")).alias("tile"))
+    near = components(_tested(tiled.join(_rebuilt(docs, wanted, k, True), "sid"), num, den, True))
+    groups = materialise(near.withColumnRenamed("node", "sid").join(classes, "sid").select("sid", "rep", "n", "root"), "candidates")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    tiled = groups.join(sizes.select("root", _blocks(F.col("members"), F.col("total")).alias("t")), "root").select("sid", F.explode(_tiles(1, "root")).alias("tile"))
+    linked = components(_tested(tiled.join(_rebuilt(docs, groups.select("sid", "rep"), k, False), "sid"), num, den, False))
     least = classes.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     first = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialise(least.join(first, "root").select("sid", "component_id"), "classes")
