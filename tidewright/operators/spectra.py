@@ -44,6 +44,19 @@ def welch(df: DataFrame, segment: int = 256, fs: float = 1.0, value: str = "valu
     return per_series(df, body, "series string, frequency double, power double")
 
 
+def whole_periodogram(df: DataFrame, fs: float = 1.0, value: str = "value") -> DataFrame:
+    """(series, k, power) of every value of each series less their mean: one-sided density at n // 2 + 1 frequencies k fs / n."""
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[value].to_numpy(float)
+        n = len(x)
+        p = np.abs(np.fft.rfft(x - x.mean())) ** 2 / (n * fs)
+        p[1 : (None if n % 2 else -1)] *= 2
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "k": np.arange(len(p)), "power": p})
+
+    return per_series(df, body, "series string, k long, power double")
+
+
 def partial_autocorrelation(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
     """(series, lag, r): Durbin-Levinson recursion on the biased autocorrelations."""
 

@@ -171,6 +171,15 @@ def periodogram_dft(spark, d):
     return rounded(periodogram(series.hourly(spark, d), 256).select("series", "k", "power"), 4)
 
 
+@query(f"""WITH {HOURLY}, x AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS v, count(*) OVER (PARTITION BY series) AS n FROM hr), f AS (SELECT series, unnest(range(0, count(*) // 2 + 1)) AS k FROM hr GROUP BY series)
+    SELECT series, k, round((power(sum(v * cos(2 * pi() * k * idx / n)), 2) + power(sum(v * sin(2 * pi() * k * idx / n)), 2)) * CASE WHEN k = 0 OR 2 * k = any_value(n) THEN 1 ELSE 2 END / any_value(n), 4) AS power
+    FROM x JOIN f USING (series) GROUP BY series, k""")
+def periodogram_whole(spark, d):
+    from tidewright.operators.spectra import whole_periodogram
+
+    return rounded(whole_periodogram(series.hourly(spark, d)), 4)
+
+
 # Aggregations
 
 
