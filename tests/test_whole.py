@@ -15,3 +15,14 @@ def test_periodogram_reads_the_whole_series(spark):
     power = np.abs(np.exp(-1j * angle) @ (x - x.mean())) ** 2 / 301
     power[1:] *= 2
     assert [r.k for r in found] == list(range(151)) and [r.power for r in found] == pytest.approx(power, abs=1e-9)
+
+
+def test_ramps_of_both_directions_cover_every_step(spark):
+    from tidewright.plans import catalogue
+
+    rows = catalogue.QUERIES["ramp_segments_both"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.rising for r in rows} == {True, False} and all((r.delta > 0) == r.rising for r in rows)
+    steps = sorted(i for r in rows for i in range(r.start, r.end))
+    assert steps == sorted(set(steps))
+    codes = {r.code for r in catalogue.QUERIES["ramp_states_both"](spark, "/root/testdata/sf0.001").collect()}
+    assert codes & {1, 2, 3, 4} and codes & {5, 6, 7, 8}

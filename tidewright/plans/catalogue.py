@@ -304,6 +304,27 @@ def ramp_states(spark, d):
     return coded.groupBy("duration", "code").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
 
 
+MOVES = DAILY + ", mv AS (SELECT series, idx, value, coalesce(sign(value - lag(value) OVER (ORDER BY idx)), 0) AS state FROM dy), rs AS (SELECT state > 0 AS rising, start - 1 AS s, start + len - 1 AS e FROM " + runs_sql("mv") + " WHERE state <> 0)"
+
+
+def _all_ramps(spark, d):
+    rows = series.daily_orders(spark, d)
+    return windows.ramps(rows, True).withColumn("rising", F.lit(True)).unionByName(windows.ramps(rows, False).withColumn("rising", F.lit(False)))
+
+
+@query(f"WITH {MOVES} SELECT rising, s AS start, e AS \"end\", e - s AS duration, round_even(b.value - a.value, 1) AS delta FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e")
+def ramp_segments_both(spark, d):
+    return _all_ramps(spark, d).drop("series")
+
+
+@query(f"""WITH {MOVES} SELECT duration, count(*) AS n, sum(duration) AS total, CAST(CASE WHEN band > 0 AND delta < 0 THEN band + 4 ELSE band END AS INTEGER) AS code
+    FROM (SELECT *, CASE WHEN rate < 0.01 THEN 0 WHEN rate < 0.075 THEN 1 WHEN rate < 0.15 THEN 2 WHEN rate < 0.225 THEN 3 ELSE 4 END AS band FROM (
+        SELECT e - s AS duration, round_even(b.value - a.value, 1) AS delta, round_even(abs(round_even(b.value - a.value, 1)) / ((e - s) * 1440), 4) AS rate FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e)) GROUP BY duration, code""")
+def ramp_states_both(spark, d):
+    coded = _all_ramps(spark, d).withColumn("code", states.ramp_code(F.col("duration"), F.col("delta"), 1440))
+    return coded.groupBy("duration", "code").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
+
+
 @query(f"""WITH {DAILY}, r AS (SELECT idx, (value - lag(value) OVER (ORDER BY idx)) / 1440 AS rate FROM dy)
     SELECT idx, round(rate, 6) AS rate, kind FROM (SELECT *, 'up' AS kind FROM r WHERE rate IS NOT NULL ORDER BY rate DESC, idx LIMIT 10) UNION ALL SELECT idx, round(rate, 6), kind FROM (SELECT *, 'down' AS kind FROM r WHERE rate IS NOT NULL ORDER BY rate, idx LIMIT 10)""")
 def power_rate_topk(spark, d):
