@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewright.operators import spectra
+from tidewright.operators import spectra, windows
 
 from test_windows import series
 
@@ -26,3 +26,14 @@ def test_ramps_of_both_directions_cover_every_step(spark):
     assert steps == sorted(set(steps))
     codes = {r.code for r in catalogue.QUERIES["ramp_states_both"](spark, "/root/testdata/sf0.001").collect()}
     assert codes & {1, 2, 3, 4} and codes & {5, 6, 7, 8}
+
+
+def test_every_lag_is_correlated(spark):
+    x = np.random.default_rng(1).normal(size=80)
+    r = {row.lag: row.r for row in windows.pearson_all_lags(series(spark, x), 512).collect()}
+    assert set(r) == set(range(80))
+    assert [r[k] for k in range(1, 78)] == pytest.approx([np.corrcoef(x[k:], x[:-k])[0, 1] for k in range(1, 78)])
+    found = spectra.correlograms(series(spark, x), 24).collect()
+    assert {(row.series, row.lag) for row in found} == {(f"s|{k}", lag) for k in ("plain", "diff1", "diff2", "diff1s") for lag in range(20)}
+    z = np.diff(x, 2) - np.diff(x, 2).mean()
+    assert next(row.r for row in found if row.series == "s|diff2" and row.lag == 7) == pytest.approx((z[7:] * z[:-7]).sum() / (z * z).sum())

@@ -57,6 +57,24 @@ def whole_periodogram(df: DataFrame, fs: float = 1.0, value: str = "value") -> D
     return per_series(df, body, "series string, k long, power double")
 
 
+def correlograms(df: DataFrame, season: int, value: str = "value") -> DataFrame:
+    """(series, lag, r): biased autocorrelations of a series and its three differences, named series|kind, at all lags under n // 4."""
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, name, out = pdf[value].to_numpy(float), pdf["series"].iloc[0], []
+        d = np.diff(x)
+        for kind, z in (("plain", x), ("diff1", d), ("diff2", np.diff(x, 2)), ("diff1s", d[season:] - d[:-season])):
+            n = len(z)
+            if top := min(len(x) // 4, n):
+                z = z - z.mean()
+                r = np.fft.irfft(np.abs(np.fft.rfft(z, 2 * n)) ** 2, 2 * n)[:top]
+                s = (z * z).sum()
+                out.append(pd.DataFrame({"series": f"{name}|{kind}", "lag": np.arange(top), "r": r / s if s else np.full(top, np.nan)}))
+        return pd.concat(out) if out else pd.DataFrame({"series": [], "lag": [], "r": []})
+
+    return per_series(df, body, "series string, lag int, r double")
+
+
 def partial_autocorrelation(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
     """(series, lag, r): Durbin-Levinson recursion on the biased autocorrelations."""
 

@@ -108,6 +108,13 @@ def pearson_lags(df: DataFrame, lags: list[int], value: str = "value") -> DataFr
     return lag_pairs(df, lags, value).groupBy("series", "lag").agg(F.corr("a", "b").alias("r"))
 
 
+def pearson_all_lags(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
+    """(series, lag, r): correlation at every lag from 0 to lags - 1 that the series has pairs for."""
+    past = in_blocks(df, lags - 1, 0, lambda d, w: d.withColumn("_past", F.collect_list(F.struct(F.col(value).alias("b"))).over(w.rowsBetween(1 - lags, 0))))
+    pairs = past.select("series", F.col(value).alias("a"), F.size("_past").alias("_n"), F.posexplode("_past").alias("_at", "_p"))
+    return pairs.groupBy("series", (F.col("_n") - 1 - F.col("_at")).alias("lag")).agg(F.corr("a", "_p.b").alias("r"))
+
+
 def transformed(df: DataFrame, season: int) -> DataFrame:
     """The series and its first, second and first-of-seasonal differences, as series named series|kind, re-indexed."""
 

@@ -162,6 +162,24 @@ def pearson_autocorr(spark, d):
     return rounded(windows.pearson_lags(series.hourly(spark, d), [1, 2, 3, 24]))
 
 
+@query(f"WITH {HOURLY} SELECT series, CAST(b.idx - a.idx AS INTEGER) AS lag, round(corr(a.value, b.value), 6) AS r FROM hr a JOIN hr b USING (series) WHERE b.idx - a.idx BETWEEN 0 AND 511 GROUP BY series, lag")
+def pearson_autocorr_all(spark, d):
+    return rounded(windows.pearson_all_lags(series.hourly(spark, d), 512))
+
+
+@query(f"""WITH {HOURLY}, h AS (SELECT *, count(*) OVER (PARTITION BY series) // 4 AS top FROM hr), k AS (
+        SELECT series || '|plain' AS series, idx, top, value FROM h
+        UNION ALL SELECT series || '|diff1', idx, top, value - lag(value) OVER w FROM h WINDOW w AS (PARTITION BY series ORDER BY idx)
+        UNION ALL SELECT series || '|diff2', idx, top, value - 2 * lag(value) OVER w + lag(value, 2) OVER w FROM h WINDOW w AS (PARTITION BY series ORDER BY idx)
+        UNION ALL SELECT series || '|diff1s', idx, top, (value - lag(value) OVER w) - (lag(value, 24) OVER w - lag(value, 25) OVER w) FROM h WINDOW w AS (PARTITION BY series ORDER BY idx)),
+    s AS (SELECT *, avg(value) OVER v AS m, var_pop(value) OVER v AS s2, count(*) OVER v AS n FROM k WHERE value IS NOT NULL WINDOW v AS (PARTITION BY series))
+    SELECT series, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum((a.value - a.m) * (b.value - b.m)) / (any_value(a.n) * any_value(a.s2)), 6) AS r FROM s a JOIN s b USING (series) WHERE b.idx - a.idx BETWEEN 0 AND a.top - 1 GROUP BY series, lag""")
+def correlograms_all(spark, d):
+    from tidewright.operators import spectra
+
+    return rounded(spectra.correlograms(series.hourly(spark, d), 24))
+
+
 @query(f"""WITH {HOURLY}, x AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS v FROM hr WHERE idx < 256)
     SELECT series, k, round((power(sum(v * cos(2 * pi() * k * idx / 256)), 2) + power(sum(v * sin(2 * pi() * k * idx / 256)), 2)) * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END / 256, 4) AS power
     FROM x, (SELECT unnest(range(0, 129)) AS k) GROUP BY series, k""")
