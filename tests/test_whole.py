@@ -37,3 +37,14 @@ def test_every_lag_is_correlated(spark):
     assert {(row.series, row.lag) for row in found} == {(f"s|{k}", lag) for k in ("plain", "diff1", "diff2", "diff1s") for lag in range(20)}
     z = np.diff(x, 2) - np.diff(x, 2).mean()
     assert next(row.r for row in found if row.series == "s|diff2" and row.lag == 7) == pytest.approx((z[7:] * z[:-7]).sum() / (z * z).sum())
+
+
+def test_matrices_have_every_series_and_day(spark, tmp_path):
+    from tidewright.plans import catalogue
+
+    hours = "select 'a' event_type, timestamp'2024-01-05 03:00:00' ts, 1.0D value, 1L event_id union all select 'b', timestamp'2031-07-09 04:00:00', 2.0D, 2L"
+    spark.sql(hours).write.parquet(f"{tmp_path}/events.parquet")
+    cells = {(r.series, r.slot, r.day) for r in catalogue.QUERIES["slot_day_cells"](spark, str(tmp_path)).filter("value is not null").collect()}
+    assert cells == {("a", 3, "2024-01-05"), ("b", 4, "2031-07-09")}
+    for name in ("day_slot_matrices", "matrices_margins"):
+        assert {r.series for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} == {"a", "b"}

@@ -31,15 +31,15 @@ def time_at_level(df: DataFrame, minutes: int, value: str = "value", step: float
     return grid.join(counts, ["series", "level"], "left").fillna(0, ["minutes"])
 
 
-def margins(df: DataFrame, row: str, column: str, value: str = "value") -> DataFrame:
-    """(margin, key, ave, std, low, high) by row and by column of a long matrix, in one pass over grouping sets."""
+def margins(df: DataFrame, row: str, column: str, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, margin, key, ave, std, low, high) by row and by column of long matrices, in one pass over grouping sets."""
     side = F.when(F.grouping(row) == 0, row).otherwise(column)
     key = F.coalesce(F.col(row).cast("string"), F.col(column).cast("string"))
     stats = [F.avg(value).alias("ave"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high")]
-    return df.groupingSets([[row], [column]], row, column).agg(side.alias("margin"), *stats).select("margin", key.alias("key"), F.bround("ave", 3).alias("ave"), F.bround("std", 3).alias("std"), F.bround("low", 2).alias("low"), F.bround("high", 2).alias("high"))
+    return df.groupingSets([[*by, row], [*by, column]], *by, row, column).agg(side.alias("margin"), *stats).select(*by, "margin", key.alias("key"), F.bround("ave", 3).alias("ave"), F.bround("std", 3).alias("std"), F.bround("low", 2).alias("low"), F.bround("high", 2).alias("high"))
 
 
-def pivoted(df: DataFrame, row: str, column: str, columns: list, value: str = "value") -> DataFrame:
+def pivoted(df: DataFrame, row: str | list[str], column: str, columns: list, value: str = "value") -> DataFrame:
     """One row for each row key and one column for each of the given column keys."""
     return df.groupBy(row).pivot(column, columns).agg(F.first(value))
 

@@ -247,6 +247,33 @@ def matrix_margins(spark, d):
     return aggregates.margins(_matrix(spark, d), "slot", "day")
 
 
+MATRICES = "mx AS (SELECT series, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, hour(ts) AS slot, value FROM hr)"
+
+
+def _matrices(spark, d):
+    return series.hourly(spark, d).select("series", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("slot"), "value")
+
+
+@query(f"WITH {HOURLY}, {MATRICES} SELECT series, day, " + ", ".join(f'max(value) FILTER (slot = {h}) AS "{h}"' for h in range(24)) + " FROM mx GROUP BY series, day")
+def day_slot_matrices(spark, d):
+    return aggregates.pivoted(_matrices(spark, d), ["series", "day"], "slot", list(range(24)))
+
+
+@query(f"WITH {HOURLY}, {MATRICES} SELECT series, slot, day, value FROM (SELECT DISTINCT series, slot FROM mx) CROSS JOIN (SELECT DISTINCT day FROM mx) LEFT JOIN mx USING (series, slot, day)")
+def slot_day_cells(spark, d):
+    """Cells as rows, as the days are those of the data; cells without events have no value."""
+    cells = _matrices(spark, d)
+    grid = cells.select("series", "slot").distinct().crossJoin(F.broadcast(cells.select("day").distinct()))
+    return grid.join(cells, ["series", "slot", "day"], "left")
+
+
+@query(f"""WITH {HOURLY}, {MATRICES} SELECT series, margin, key, round_even(ave, 3) AS ave, round_even(std, 3) AS std, round_even(low, 2) AS low, round_even(high, 2) AS high FROM (
+    SELECT series, 'slot' AS margin, CAST(slot AS VARCHAR) AS key, avg(value) AS ave, stddev_pop(value) AS std, min(value) AS low, max(value) AS high FROM mx GROUP BY series, slot
+    UNION ALL SELECT series, 'day', day, avg(value), stddev_pop(value), min(value), max(value) FROM mx GROUP BY series, day)""")
+def matrices_margins(spark, d):
+    return aggregates.margins(_matrices(spark, d), "slot", "day", by=("series",))
+
+
 @query(f"""WITH {DAILY}, a AS (SELECT series, CAST(floor((idx - 42) / 72) AS BIGINT) AS area, value FROM dy WHERE idx >= 42),
     s AS (SELECT series, area, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS low, max(value) AS high FROM a GROUP BY ALL HAVING count(*) = 72)
     SELECT area, round(mean, 6) AS mean, round(std, 6) AS std, low, high, count(*) FILTER (value BETWEEN mean * 0.9 AND mean * 1.1) AS n_in, count(*) FILTER (value NOT BETWEEN mean * 0.9 AND mean * 1.1) AS n_out
