@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewright.operators import spectra, windows
+from tidewright.operators import forecast, packets, regress, spectra, windows
 
 from test_windows import series
 
@@ -48,3 +49,25 @@ def test_matrices_have_every_series_and_day(spark, tmp_path):
     assert cells == {("a", 3, "2024-01-05"), ("b", 4, "2031-07-09")}
     for name in ("day_slot_matrices", "matrices_margins"):
         assert {r.series for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} == {"a", "b"}
+
+
+def test_seasonal_order_is_found(spark):
+    e = np.random.default_rng(2).normal(size=400)
+    for i in range(6, 400):
+        e[i] += 0.9 * e[i - 6]
+    rows = {r.kind: r for r in forecast.seasonal_orders(series(spark, e), 6).collect()}
+    assert rows["seasonal"].sp == 1 and rows["seasonal"].aic < rows["plain"].aic and not rows["plain"].chosen
+
+
+def test_gap_histograms_and_their_comparison(spark):
+    x = np.random.default_rng(3).exponential(size=60)
+    rows = [("k", i, float(t)) for i, t in enumerate(np.cumsum(x))] + [("rare", i, float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "key string, event_id long, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    got = packets.gap_histogram(df).orderBy("bin").collect()
+    gaps = [r.gap for r in packets.gaps(df.filter("key = 'k'")).collect() if r.gap is not None]
+    assert [r.key for r in got] == ["k"] * 10 and [r.n for r in got] == np.histogram(gaps)[0].tolist()
+    flat = spark.createDataFrame([("k", b, 7) for b in range(10)], "key string, bin int, n long")
+    steep = spark.createDataFrame([("k", b, 91 if b == 0 else 1) for b in range(10)], "key string, bin int, n long")
+    rates = spark.createDataFrame([("k", 2, 3.0)], "key string, n long, rate double")
+    r = regress.histogram_anomaly(flat, steep, rates).collect()[0]
+    assert (r.d, r.ks, r.p_n) == pytest.approx((0.81, 0.9, 4.5 * np.exp(-3))) and r.anomaly and r.p == pytest.approx(2 * 20 / 184756)

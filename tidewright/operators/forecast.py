@@ -20,24 +20,25 @@ def _differenced(x: np.ndarray, d: int, seasonal: int, period: int) -> np.ndarra
     return x
 
 
-def _design(x: np.ndarray, e: np.ndarray, p: int, q: int, sp: int, period: int) -> tuple[np.ndarray, np.ndarray]:
-    """(regressors, targets): a constant, p and seasonal lags of x, q lags of the residuals e."""
+def _design(x: np.ndarray, e: np.ndarray, p: int, q: int, sp: int, period: int, sq: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(regressors, targets): a constant, p and seasonal lags of x, q and seasonal lags of the residuals e."""
     lags = [*range(1, p + 1), *(period * i for i in range(1, sp + 1))]
-    first = max([0, q, *lags])
-    rows = [np.ones(len(x) - first), *(x[first - n : len(x) - n] for n in lags), *(e[first - n : len(e) - n] for n in range(1, q + 1))]
+    shocks = [*range(1, q + 1), *(period * i for i in range(1, sq + 1))]
+    first = max([0, *lags, *shocks])
+    rows = [np.ones(len(x) - first), *(x[first - n : len(x) - n] for n in lags), *(e[first - n : len(e) - n] for n in shocks)]
     return np.column_stack(rows), x[first:]
 
 
-def fit_arima(x: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int] = (0, 0), period: int = 0) -> tuple[float, dict]:
+def fit_arima(x: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, ...] = (0, 0), period: int = 0) -> tuple[float, dict]:
     """(AIC, model) by the two steps of Hannan and Rissanen: residuals of a long autoregression, then least squares."""
-    (p, d, q), (sp, sd) = order, seasonal
+    (p, d, q), (sp, sd, sq) = order, (*seasonal, 0)[:3]
     z = _differenced(np.asarray(x, float), d, sd, period)
     e = np.zeros(len(z))
-    if q:
+    if q or sq:
         long = min(max(10, p + q), len(z) // 4)
         a, y = _design(z, e, long, 0, 0, 0)
         e[long:] = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
-    a, y = _design(z, e, p, q, sp, period)
+    a, y = _design(z, e, p, q, sp, period, sq)
     if len(y) <= a.shape[1] + 1:
         return np.inf, {}
     b = np.linalg.lstsq(a, y, rcond=None)[0]
@@ -52,10 +53,10 @@ def forecast_arima(x: np.ndarray, model: dict, steps: int) -> np.ndarray:
     """Recursive forecasts; the differences are undone step by step. Zeros if there is no model."""
     if not model:
         return np.zeros(steps)
-    (p, d, q), (sp, sd), period, b = model["order"], model["seasonal"], model["period"], model["b"]
+    (p, d, q), (sp, sd, sq), period, b = model["order"], (*model["seasonal"], 0)[:3], model["period"], model["b"]
     z, e, out = list(_differenced(np.asarray(x, float), d, sd, period)), list(model["resid"]), list(map(float, x))
     for _ in range(steps):
-        row = [1.0, *(z[-n] for n in range(1, p + 1)), *(z[-period * i] for i in range(1, sp + 1)), *(e[-n] for n in range(1, q + 1))]
+        row = [1.0, *(z[-n] for n in range(1, p + 1)), *(z[-period * i] for i in range(1, sp + 1)), *(e[-n] for n in range(1, q + 1)), *(e[-period * i] for i in range(1, sq + 1))]
         z.append(float(np.dot(row, b)))
         e.append(0.0)
         # The next value is the one whose difference, with those before it, is the forecast difference.
@@ -80,6 +81,22 @@ def best_orders(grid: DataFrame) -> DataFrame:
     return grid.groupBy("series").agg(F.min_by(F.struct("p", "d", "q"), F.struct("aic", "p", "d", "q")).alias("o"), F.min("aic").alias("aic")).select("series", "o.*", "aic")
 
 
+def seasonal_orders(df: DataFrame, period: int, max_order: tuple[int, int, int] = (2, 2, 2), max_seasonal: tuple[int, int, int] = (1, 0, 1)) -> DataFrame:
+    """(series, kind, p, d, q, sp, sd, sq, aic, chosen): the best plain order, the best seasonal order alone, and both together; the least AIC is chosen."""
+    plain, seasonal = (list(itertools.product(*(range(n + 1) for n in top))) for top in (max_order, max_seasonal))
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf["value"].to_numpy(float)
+        aic = lambda o, s: fit_arima(x, o, s, period)[0]
+        none = (0, 0, 0)
+        o, s = min(plain, key=lambda o: (aic(o, none), o)), min(seasonal, key=lambda s: (aic(none, s), s))
+        rows = [(pdf["series"].iloc[0], kind, *a, *b, aic(a, b)) for kind, a, b in (("plain", o, none), ("seasonal", none, s), ("both", o, s))]
+        least = min(range(3), key=lambda i: rows[i][-1])
+        return pd.DataFrame([(*r, i == least) for i, r in enumerate(rows)], columns=["series", "kind", "p", "d", "q", "sp", "sd", "sq", "aic", "chosen"])
+
+    return per_series(df, body, "series string, kind string, p int, d int, q int, sp int, sd int, sq int, aic double, chosen boolean")
+
+
 class Network:
     """A small dense network for one-step forecasts, trained by Adam on mean squared errors; features are scaled lags."""
 

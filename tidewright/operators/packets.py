@@ -54,6 +54,21 @@ def gap_statistics(packets: DataFrame, key: str = "key") -> DataFrame:
     return stats.join(F.broadcast(total)).select("key", "n", F.round(F.col("n") / F.col("total"), 5).alias("prob"), F.when(many, F.round("m", 2)).alias("mean"), F.when(many, F.round("s", 2)).alias("std"))  # one row
 
 
+def gap_histogram(packets: DataFrame, key: str = "key", least: int = 20, bins: int = 10) -> DataFrame:
+    """(key, bin, n): equal bins from the smallest gap to the largest, for keys with more than least packets."""
+    many = packets.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select("key")
+    return histogram(gaps(packets, key).filter("gap is not null").join(many, "key", "left_semi"), bins)
+
+
+def histogram(values: DataFrame, bins: int = 10, key: str = "key", value: str = "gap") -> DataFrame:
+    """(key, bin, n), empty bins included; if all values are one it is in the middle of a range of width 1."""
+    ends = values.groupBy(key).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    place = F.when(F.col("_a") == F.col("_b"), bins // 2).otherwise(F.least(F.floor((F.col(value) - F.col("_a")) / ((F.col("_b") - F.col("_a")) / bins)), F.lit(bins - 1))).cast("int")
+    counts = values.join(ends, key).groupBy(key, place.alias("bin")).agg(F.count("*").alias("n"))
+    grid = ends.select(key, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(counts, [key, "bin"], "left").fillna(0, ["n"])
+
+
 def bit_features(packets: DataFrame, chunk: int, key: str = "id", data: str = "data", binary: bool = False) -> DataFrame:
     """(id, chunk, pos, prb): share of packets with a bit set, by id, full chunk of idx and bit position."""
     chunked = packets.withColumn("chunk", F.floor(F.col("idx") / chunk))

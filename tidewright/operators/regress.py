@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,25 @@ def rate_divergence(train: DataFrame, test: DataFrame, key: str = "key") -> Data
 def poisson_log(n: Column, rate: Column) -> Column:
     """Logarithm of the Poisson probability of n events."""
     return -rate + n * F.log(rate) - F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+
+
+def ks_points(bins: int) -> list[float]:
+    """Exact two-sided p-values of a Kolmogorov-Smirnov statistic of h / bins, h = 0 to bins, for two samples of bins values."""
+    c = math.comb
+    return [1.0, *(2 * sum((-1) ** (j - 1) * c(2 * bins, bins - j * h) for j in range(1, bins // h + 1)) / c(2 * bins, bins) for h in range(1, bins + 1))]
+
+
+def histogram_anomaly(train: DataFrame, test: DataFrame, rates: DataFrame, bins: int = 10) -> DataFrame:
+    """(key, n, rate, p_n, d, ks, p, anomaly) of keys in both periods, from two tables (key, bin, n) and rates (key, n, rate).
+
+    d is the largest difference of the bins' shares, ks and p compare the two sets of shares as samples; keys without both
+    histograms have 0, 0 and 0.6. p_n is the Poisson probability of the n packets of a key.
+    """
+    total = lambda df, name: df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("_h"), F.sum("n").alias("_s")).select("key", F.transform("_h", lambda x: x["n"] / F.col("_s")).alias(name))
+    both = rates.join(total(train, "_a"), "key", "left").join(total(test, "_b"), "key", "left")
+    below = lambda column, x: F.size(F.filter(column, lambda v: v <= x))
+    h = F.array_max(F.transform(F.concat("_a", "_b"), lambda x: F.abs(below("_a", x) - below("_b", x))))
+    found = both.withColumns({"_k": F.coalesce(h, F.lit(0)), "_known": F.col("_a").isNotNull() & F.col("_b").isNotNull()})
+    d = F.coalesce(F.array_max(F.zip_with("_a", "_b", lambda a, b: F.abs(a - b))), F.lit(0.0))
+    p = F.when(F.col("_known"), F.element_at(F.array(*map(F.lit, ks_points(bins))), F.col("_k") + 1)).otherwise(0.6)
+    return found.select("key", "n", "rate", F.exp(poisson_log(F.col("n"), F.col("rate"))).alias("p_n"), d.alias("d"), (F.col("_k") / bins).alias("ks"), p.alias("p"), (p < 0.05).alias("anomaly"))

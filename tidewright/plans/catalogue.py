@@ -609,6 +609,30 @@ def arima_grid(spark, d):
     return forecast.best_orders(forecast.order_grid(series.hourly(spark, d)))
 
 
+@query()
+def sarima_grid(spark, d):
+    from tidewright.operators import forecast
+
+    return forecast.seasonal_orders(series.hourly(spark, d), 24)
+
+
+@query()
+def packet_gap_histogram(spark, d):
+    return packets.gap_histogram(_keyed(spark, d))
+
+
+@query()
+def histogram_anomaly(spark, d):
+    """Gaps of the first half against offsets of the second one from its start, as the surveyed method compares them."""
+    rows, half = _keyed(spark, d), F.expr("timestamp '2024-01-16 00:00:00'")
+    train, test = rows.filter(F.col("ts") < half), rows.filter(F.col("ts") >= half)
+    start = test.agg(F.min("ts").alias("_start"), (F.count("*") + 1).alias("_total"))
+    offsets = test.join(F.broadcast(start)).select("key", ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / 1e6).alias("gap"), "_total")
+    seen = offsets.groupBy("key", "_total").agg(F.count("*").alias("n"))
+    rates = seen.join(packets.gap_statistics(train).select("key", "prob"), "key").select("key", "n", (F.col("prob") * F.col("_total")).alias("rate"))
+    return regress.histogram_anomaly(packets.gap_histogram(train), packets.histogram(offsets), rates)
+
+
 @query()
 def arima_forecast(spark, d):
     from tidewright.operators import forecast
