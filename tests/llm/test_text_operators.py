@@ -116,3 +116,9 @@ def test_preference_pairs(spark):
     assert (got[1].prompt_turns, got[1].chosen, got[1].rejected) == (1, "", "")
     assert got[2].rejected is None and got[2].prompt_turns == 0 and got[2].chosen_mask == "" and set(got) == {0, 1, 2}
     assert chat_format.neighbouring_pairs(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("key", ["QwErTyUiOpAsDfGhJkLz", "x7Kq9ZtB2mWp"])
+def test_secrets_without_digits_and_short_ones_are_novel(docs, key):
+    found = secret_scan.secret_scan(docs([f"Authorization: Bearer {key}", f"nothing near {key}"])).orderBy("doc_id").collect()
+    assert [r.n_novel for r in found] == [1, 0] and found[0].spans == f"novel:22:{22 + len(key)}"
