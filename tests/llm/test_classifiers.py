@@ -99,3 +99,19 @@ def test_sparse_weights():
     texts, toxic = labelled(600)
     at, w, _, _ = toxicity.train([(t.encode(), y) for t, y in zip(texts, toxic, strict=True)])
     assert 0 < len(at) < 2000 and np.all(w != 0)
+
+
+def test_every_language_is_learned_in_as_many_models_as_it_takes(corpus):
+    rows = corpus("documents").filter("doc_id < 120")
+    one, more = (language.fit(rows, F.lit(True), at_once=n) for n in (256, 1))
+    assert len(more.models) == len(one.languages) > 1 and more.languages == one.languages
+    texts = [r.text for r in rows.select("text").limit(20).collect()]
+    assert np.allclose(one.entropies(texts)[0], more.entropies(texts)[0], atol=1e-4)
+    names, score, _ = more.predict(texts)
+    assert names == one.predict(texts)[0] and score == pytest.approx(one.predict(texts)[1], abs=1e-3)
+
+
+def test_more_languages_than_one_model_holds(spark):
+    words = {f"l{i:03d}": "".join(chr(97 + (i * k + k * k) % 26) for k in range(1, 9)) for i in range(language.LANGUAGES + 4)}
+    df = spark.createDataFrame([(i, " ".join([w] * 9), k) for i, (k, w) in enumerate(words.items())], "doc_id long, text string, lang string")
+    assert set(language.fit(df, F.lit(True)).languages) == set(words)

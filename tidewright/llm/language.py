@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import mix
+from tidewright.llm.common import materialise, mix
 from tidewright.llm.words import chunks
 
 ORDER = 4
 #: Bounds of the training sample for each language: rows, those with the smallest hashes, and bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 4 << 20
-#: Languages that are learned at most, the most frequent ones, so that the model's size is bounded.
+#: Languages of one model; more are learned in several models, whose lowest cross-entropy wins over all.
 LANGUAGES = 256
 #: Share of the left-out texts that lie within the accepted cross-entropy of their own language.
 REJECT = 0.995
@@ -83,8 +83,8 @@ def hashes(points: np.ndarray) -> list[np.ndarray]:
 class Model:
     """Sorted hash arrays of every order: n-gram -> log-probability by language; context -> back-off weight by language."""
 
-    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        """grams: language -> (distinct 4-grams as rows of code points, oldest first; their counts)."""
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], size: int | None = None):
+        """grams: language -> (distinct 4-grams as rows of code points, oldest first; their counts); size: of the alphabet, with one for others."""
         self.languages = sorted(grams)
         keys: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
         tables = []
@@ -96,7 +96,7 @@ class Model:
                 orders.append((g_n, c_n))
                 g = g_n
             tables.append(orders[::-1])
-        self.size = len(np.unique(np.concatenate([t[0][0][:, 0] for t in tables]))) + 1
+        self.size = size or len(np.unique(np.concatenate([t[0][0][:, 0] for t in tables]))) + 1
         for n in range(ORDER):
             keys[n] = np.unique(np.concatenate([self._hash(t[n][0]) for t in tables]))
         self.keys, self.prob = keys, [np.zeros((len(k), len(tables)), np.float32) for k in keys]
@@ -176,7 +176,10 @@ class Model:
 
     def calibrate(self, texts: list[str], truth: np.ndarray) -> None:
         """Fits the temperature and the accepted cross-entropies on texts that the counts left out."""
-        h, letters = self.entropies(texts)
+        parts = [self.entropies(texts[i : i + 256]) for i in range(0, len(texts), 256)]
+        if not parts:
+            return
+        h, letters = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         h, truth = h[letters > 0], truth[letters > 0]
         if not len(h):
             return
@@ -201,15 +204,24 @@ class Model:
         return names, np.where(some, 1 / z.sum(1), 0.0), ~some | (h.min(1) > self.limits[best])
 
 
-def fit(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model | None:
-    """Counts the 4-grams of a bounded sample for each language on the executors, and builds the model on the driver."""
+class Models(Model):
+    """Several models over one alphabet as one: a language's cross-entropies don't depend on the others of its model."""
+
+    def __init__(self, models: list[Model]):
+        self.models, self.languages = models, [x for m in models for x in m.languages]
+        self.temperature, self.limits = 1.0, np.full(len(self.languages), np.inf)
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [m.entropies(texts) for m in self.models]
+        return np.concatenate([h for h, _ in found], 1), found[0][1]
+
+
+def fit(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, at_once: int = LANGUAGES) -> Model | None:
+    """Counts the 4-grams of a bounded sample for each language on the executors, and builds models of at_once languages on the driver."""
     known = docs.filter("lang is not null and doc_id is not null").filter(allowed).select("doc_id", "lang")
-    named = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not named:
-        return None
     order = F.xxhash64("doc_id", F.lit(1))
     # A row number of at most so many: only as many rows of each language leave a task.
-    chosen = known.filter(F.col("lang").isin(named)).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).filter(F.col("at") <= rows)
+    chosen = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).filter(F.col("at") <= rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -227,14 +239,19 @@ def fit(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, size: int = S
         grams = np.stack([points[at - i] for i in range(ORDER - 1, -1, -1)], 1) if len(at) else np.empty((0, ORDER), np.uint32)
         kinds, count = np.unique(grams, axis=0, return_counts=True)
         left = [x for x in left if len(x) < 20_000][:200]
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "grams": [kinds.astype("<u4").tobytes()], "counts": [count.astype("<i8").tobytes()], "left": [left]})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "grams": [kinds.astype("<u4").tobytes()], "counts": [count.astype("<i8").tobytes()], "left": [left], "alphabet": [np.unique(grams[:, -1]).astype(np.int64).tolist()]})
 
-    found = sample.groupBy("lang").applyInPandas(run, "lang string, grams binary, counts binary, left array<string>").collect()
-    found = [r for r in found if len(r["counts"])]
-    if not found:
+    found = materialise(sample.groupBy("lang").applyInPandas(run, "lang string, grams binary, counts binary, left array<string>, alphabet array<long>").filter(F.length("counts") > 0), "languages")
+    named = sorted(r["lang"] for r in found.select("lang").collect())
+    if not named:
         return None
-    model = Model({r["lang"]: (np.frombuffer(r["grams"], "<u4").reshape(-1, ORDER), np.frombuffer(r["counts"], "<i8")) for r in found})
-    texts = [(t, model.languages.index(r["lang"])) for r in found for t in r["left"]]
+    alphabet = found.select(F.explode("alphabet").alias("c")).distinct().count() + 1
+    models, texts = [], []
+    for i in range(0, len(named), at_once):
+        group = found.filter(F.col("lang").isin(named[i : i + at_once])).select("lang", "grams", "counts", "left").collect()
+        models.append(Model({r["lang"]: (np.frombuffer(r["grams"], "<u4").reshape(-1, ORDER), np.frombuffer(r["counts"], "<i8")) for r in group}, alphabet))
+        texts += [(t, i + models[-1].languages.index(r["lang"])) for r in group for t in r["left"]]
+    model = models[0] if len(models) == 1 else Models(models)
     model.calibrate([t for t, _ in texts], np.array([c for _, c in texts], np.int64))
     return model
 
