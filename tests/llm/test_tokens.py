@@ -93,3 +93,10 @@ def test_evolution_is_not_worse_than_best_fit():
     found = packing.evolve(sizes, 2048, 5)
     assert sorted(p for b in found for p in b) == list(range(300)) and all(sum(sizes[p] for p in b) <= 2048 for b in found)
     assert len(found) <= len(packing.best_fit(sizes, down, 2048))
+
+
+def test_islands_without_well_filled_bins_are_merged(docs, monkeypatch):
+    monkeypatch.setattr(packing, "ISLAND", 10)
+    once = packing.pack(docs(["one two three four five six seven"]), PATH, capacity=64).collect()[0].length
+    rows = packing.pack(docs(["one two three four five six seven"] * 60), PATH, capacity=3 * once + 1).collect()
+    assert len(rows) == 60 and len({r.sequence_id for r in rows}) == 20

@@ -122,8 +122,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataF
     return materialise(found.withColumn("key", F.monotonically_increasing_id()), "pieces")
 
 
-def _epoch(pieces: DataFrame, islands: int, epoch: int, capacity: int, last: bool) -> DataFrame:
-    """(key, length, bin, offset): elite bins are named by their smallest key; in the others bin is null."""
+def _epoch(pieces: DataFrame, islands: int, epoch: int, capacity: int, last: bool, trim: bool = False) -> DataFrame:
+    """(key, length, bin, offset): kept bins are named by their smallest key; in the others bin is null.
+
+    The elite bins are kept, all bins at last, and with trim all but the emptiest eighth of each island.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -136,8 +139,9 @@ def _epoch(pieces: DataFrame, islands: int, epoch: int, capacity: int, last: boo
         for low, high in zip([0, *edges], [*edges, len(key)], strict=True):
             sizes = size[low:high].tolist()
             rows = ([], [], [], [])
-            for b in evolve(sizes, capacity, epoch * 1_000_003 + int(island[low])):
-                good = last or sum(sizes[p] for p in b) >= ELITE * capacity
+            bins = sorted(evolve(sizes, capacity, epoch * 1_000_003 + int(island[low])), key=lambda b: sum(sizes[p] for p in b))
+            for k, b in enumerate(bins):
+                good = last or sum(sizes[p] for p in b) >= ELITE * capacity or (trim and k >= max(1, len(bins) // 8))
                 name, at = int(min(key[low + p] for p in b)), 0
                 for p in b:
                     for column, value in zip(rows, (int(key[low + p]), sizes[p], name if good else None, at if good else None), strict=True):
@@ -154,15 +158,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) ->
     pieces = pieces_of(docs, tokenizer, capacity, end)
     left = pieces.filter(F.col("length") < capacity).select("key", "length")
     placed = pieces.filter(F.col("length") == capacity).select("key", F.col("key").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    n, epoch = left.count(), 0
+    n, epoch, trim, halved = left.count(), 0, False, 0
     while n:
-        islands = -(-n // ISLAND)
-        done = _epoch(left, islands, epoch, capacity, islands == 1)
+        islands = max(1, -(-n // ISLAND) >> halved)
+        done = _epoch(left, islands, epoch, capacity, islands == 1, trim)
         placed = placed.unionByName(done.filter("bin is not null").select("key", "bin", "offset"))
         left = done.filter("bin is null").select("key", "length")
         now, epoch = left.count(), epoch + 1
-        if islands > 1 and now > 0.9 * n:  # hardly any bin is well filled: migration can't help, so each island keeps its own
-            placed = placed.unionByName(_epoch(left, -(-now // ISLAND), epoch, capacity, True).select("key", "bin", "offset"))
-            break
+        if now > 0.9 * n:  # hardly any bin is well filled: only the emptiest are dealt anew, and if that does not help, to fewer islands
+            trim, halved = True, halved + trim
         n = now
     return pieces.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
