@@ -12,14 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch, so that a batch of long texts stays small in a Python worker.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, so that a batch of long texts stays small in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of this session, where it still has Spark's default."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the Arrow batches of this session, where it still has Spark's defaults."""
+    for name, default, ours in (("Records", "10000", BATCH_ROWS), ("Bytes", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(key := f"spark.sql.execution.arrow.max{name}PerBatch", default) == default:
+            spark.conf.set(key, str(ours))
     return spark
 
 
@@ -45,9 +46,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and rereads it: the lineage ends, and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, name)
+
+
+class Scratch:
+    """Intermediate tables of one operator; ``clear`` deletes those that its result doesn't read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table that the result may read."""
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table that only the operator's own steps read."""
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
 
 
 class WordCache(dict):
@@ -87,25 +112,26 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges of long ids: (node, root), root being the smallest id that a node reaches.
 
-    Alternates the large-star and small-star steps until no edge changes. Each step groups with map-side minima and joins
-    them back, so a hub is split by the skew join, and no component meets in one task. Nodes without edges don't appear.
+    Alternates the large-star and small-star steps until no edge changes; every step lowers some end of an edge or ends the
+    loop. Each step groups with map-side minima and joins them back, so a hub is split by the skew join, and no component
+    meets in one task. Nodes without edges don't appear. The result is a table of scratch.
     """
-    now = materialise(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct(), "edges")
+    now = scratch.table(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    while True:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
         if state[0] == 0 or state == seen:
             break
-        seen = state
+        seen, before = state, Scratch(scratch.spark)
+        before.paths, scratch.paths = [scratch.paths[-1]], scratch.paths[:-1]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = materialise(small, "stars")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        now = scratch.table(small, "stars")
+        before.clear()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,10 +10,10 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
 
+#: A word's hash is the sum of one random number for each byte and place in it: SPAN places by table, the rest by random odd factors.
+_SPAN = 64
 _rng = np.random.default_rng(20240101)
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x5851F42D4C957F2B | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_VALUE = _rng.integers(0, 1 << 64, (_SPAN, 256), dtype=np.uint64).ravel()
 
 
 def _table(inside) -> np.ndarray:
@@ -28,18 +28,12 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SAME = np.arange(256, dtype=np.uint8)
 
 
-def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of them."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x, have, step = np.ones(size, np.uint64), 1, base
-            while have < size:
-                more = min(have, size - have)
-                x[have : have + more] = x[:more] * np.full(1, step, np.uint64)
-                have, step = have + more, step * step % (1 << 64)
-            _powers[i] = x
-    return _powers[0], _powers[1]
+def _factor(block: np.ndarray) -> np.ndarray:
+    """A random odd factor for each block of places, 1 for the first."""
+    x = block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,7 +65,14 @@ def words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = WHITE,
     ends = inner.copy()
     ends[:-1] &= ~inner[1:] | edge[1:n]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    power, inverse = _up_to(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[fold[data]] * power[:n], out=total[1:])
-    return (total[ends] - total[starts]) * inverse[starts], starts, ends, np.searchsorted(starts, offsets)
+    size = ends - starts
+    place = np.flatnonzero(inner)
+    at = place - np.repeat(starts, size)
+    value = _VALUE[(at % _SPAN) * 256 + fold[data[place]]]
+    far = np.flatnonzero(at >= _SPAN)
+    if len(far):
+        value[far] *= _factor(at[far] // _SPAN)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    to = np.cumsum(size)
+    return total[to] - total[to - size], starts, ends, np.searchsorted(starts, offsets)
