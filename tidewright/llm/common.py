@@ -49,6 +49,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).keep(df, name)
 
 
+#: Hadoop's local file system starts four processes for each file that it writes, three of them for its checksum file; Parquet pages have
+#: checksums of their own, so tables of local folders are written without. Other file systems don't read these options.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+
+
 class Scratch:
     """Intermediate tables of one operator; ``clear`` deletes those that its result doesn't read."""
 
@@ -58,14 +63,14 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a table that the result may read."""
         path = shared_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.options(**PLAIN_FILES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a table that only the operator's own steps read."""
         path = shared_path(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.options(**PLAIN_FILES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

@@ -482,7 +482,7 @@ def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, whole: bool) -
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "leaf").mapInArrow(run, "a long, b long")
 
 
-def _tested(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool, scratch: Scratch) -> DataFrame:
+def _tested(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
     """Links (a, b) within each list of members (list, sid, root), or the pairs that sketches leave; root tells what is connected already.
 
     A list that fits a tile is one. Of a larger one, the sets outside its largest connected part and the others are cut into blocks;
@@ -510,7 +510,7 @@ def _tested(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool
         yield done()
 
     size = sets.select("sid", F.length("data").cast("long").alias("bytes"))
-    sized = scratch.table(members.join(size, "sid"), "sized")
+    sized = members.join(size, "sid")
     parts = sized.groupBy("list", "root").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
     lists = parts.groupBy("list").agg(F.sum("c").alias("c"), F.sum("bytes").alias("bytes"), F.max(F.struct("c", "root", "bytes")).alias("top"))
     fits = (F.col("c") <= TILE_SETS) & (F.col("bytes") <= TILE_BYTES)
@@ -540,11 +540,10 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 1
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    first = scratch.table(document_sets(docs, k), "first")
-    sets = scratch.keep(first.select("doc_id", "n", "sid"), "sets")
-    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sets = scratch.keep(document_sets(docs, k), "sets")
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    classes = scratch.table(first.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("data")), "classes")
+    classes = scratch.table(sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("data")), "classes")
     sketched = classes.select("sid", "n", "data")
 
     shared = scratch.table(shared_signatures(docs, k, num, den, buckets), "shared")
@@ -556,21 +555,21 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 1
     pivots = members.groupBy("list").agg(F.min("sid").alias("b"))
     pairs = members.join(pivots, "list").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
     near = scratch.table(_pairs(scratch.table(pairs, "pairs"), sketched, num, den, False), "near")
-    open_ = _unsettled(members, components(near, scratch))
-    more = scratch.table(_tested(open_, sketched, num, den, False, scratch), "more")
+    open_ = scratch.table(_unsettled(members, components(near, scratch)), "open")
+    more = scratch.table(_tested(open_, sketched, num, den, False), "more")
 
     near = near.unionByName(more).distinct()
     groups = scratch.table(components(near, scratch).withColumnRenamed("node", "sid").join(classes.select("sid", "rep"), "sid"), "groups")
     whole = _rebuilt(docs, groups.select("sid", "rep"), k, scratch)
     links = scratch.table(_pairs(near, whole, num, den, True), "links")
-    open_ = _unsettled(groups.select(F.col("root").alias("list"), "sid"), components(links, scratch))
-    links = links.unionByName(scratch.table(_tested(open_, whole, num, den, True, scratch), "last"))
+    open_ = scratch.table(_unsettled(groups.select(F.col("root").alias("list"), "sid"), components(links, scratch)), "unlinked")
+    links = links.unionByName(scratch.table(_tested(open_, whole, num, den, True), "last"))
 
     least = classes.select("sid", "rep").join(components(links, scratch).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     smallest = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(least.join(smallest, "root").select("sid", "component_id"), "named")
     scratch.clear()
-    return sets.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id"))
+    return sets.select("doc_id", "n", "sid").join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -579,5 +578,5 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -
     Documents with an empty set or a null doc_id stay, each of them. Rows that repeat a doc_id stay or go together.
     """
     groups = ngram_jaccard_groups(docs, k, num, den)
-    gone = Scratch(docs.sparkSession).keep(groups.filter("doc_id <> component_id and set_id is not null").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Scratch(docs.sparkSession).keep(groups.filter("doc_id <> component_id and set_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == gone["gone"], "left_anti")
