@@ -1,18 +1,20 @@
 """Token ids of whole texts by a given tokenizer, and a file format of independent zstandard frames that reads single documents.
 
 Encoding. The tokenizer splits at white space, so the ids of a text are those of its white-space-delimited words in turn. A
-worker keeps a table of the words it has met (64-bit hash -> ids), emptied when it is full, and lets the tokenizers library
-encode new words only.
+worker keeps a table of the words it has met (64-bit hash -> bytes, ids), emptied when it is full, and lets the tokenizers
+library encode new words only. Every word is compared with the bytes of the one in the table; words that have another one's
+hash are encoded by themselves.
 
 File format. A shard holds documents in ascending doc_id order. The ids, little-endian unsigned 32-bit, are cut at document
 ends into blocks of about FRAME_IDS ids; each block is one zstandard frame with a content checksum. A skippable frame with
 the document index follows (doc_id, frame, first id in the frame, number of ids; 8 bytes each), then a skippable frame with
-the seek table: for each frame its compressed size, decompressed size and the CRC-32 of its compressed bytes (4 bytes
-each), and at the very end the number of frames, a flags byte and a magic number. A reader takes the tail, finds the frames
-it needs and decompresses no others.
+the public seek table: for each frame its compressed size, decompressed size and the low 32 bits of the XXH64 of its
+decompressed bytes (4 bytes each), and at the very end the number of frames, a flags byte and a magic number. A reader takes
+the tail, finds the frames it needs and decompresses no others.
 
-Nulls and empty texts have the end id only. Rows that repeat a doc_id follow each other, ordered by text. A null doc_id comes
-first and is stored as the smallest long. An empty table has no shard and gives no rows.
+Nulls and empty texts have the end id only; a very long text has a frame of its own. Rows that repeat a doc_id follow each
+other, ordered by the hash of their texts, over several shards if they are many. A null doc_id comes first and is stored as the
+smallest long. An empty table has no shard and gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +26,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import materialise, shared_path
-from tidewright.llm.words import SAME, WHITE, chunks, words
+from tidewright.llm.words import SAME, WHITE, chunks, places, slices, words
 
 #: Ids of a frame, at least; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
-#: Words that a worker's table holds (about 100 MB).
-TABLE_WORDS = 3_000_000
+#: Words that a worker's table holds, and bytes of them (about 60 MB with the ids).
+TABLE_WORDS, TABLE_BYTES = 600_000, 16 << 20
 #: Magic numbers of zstandard's skippable frames and seek tables.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
@@ -63,7 +66,9 @@ class Encoder:
 
     def _empty(self) -> None:
         self.keys, self.start, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.spell, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.bytes, self.spelled = np.empty(1 << 18, np.uint8), 0
 
     def _ids(self, some: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
@@ -88,33 +93,56 @@ class Encoder:
             out[i] = np.array(ids, np.uint32)
         return out
 
-    def _learn(self, hashes: np.ndarray, new: list[str]) -> None:
-        found = self._encode(new)
-        count = np.array([len(x) for x in found], np.int64)
-        more = np.concatenate(found) if found else np.empty(0, np.uint32)
-        if len(self.flat) < self.used + len(more):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + len(more), np.uint32)])
+    @staticmethod
+    def _room(flat: np.ndarray, used: int, more: int) -> np.ndarray:
+        return flat if len(flat) >= used + more else np.concatenate([flat[:used], np.empty(used + more, flat.dtype)])
+
+    def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
+        found = self._encode([w.decode("utf-8", "replace") for w in new])
+        count, size = np.array([len(x) for x in found], np.int64), np.array([len(w) for w in new], np.int64)
+        more, spelled = np.concatenate(found), np.frombuffer(b"".join(new), np.uint8)
+        self.flat, self.bytes = self._room(self.flat, self.used, len(more)), self._room(self.bytes, self.spelled, len(spelled))
         self.flat[self.used : self.used + len(more)] = more
-        start = self.used + np.cumsum(count) - count
-        self.used += len(more)
+        self.bytes[self.spelled : self.spelled + len(spelled)] = spelled
+        start, spell = self.used + np.cumsum(count) - count, self.spelled + np.cumsum(size) - size
+        self.used, self.spelled = self.used + len(more), self.spelled + len(spelled)
         at = np.searchsorted(self.keys, hashes)
-        self.keys, self.start, self.count = np.insert(self.keys, at, hashes), np.insert(self.start, at, start), np.insert(self.count, at, count)
+        self.keys, self.start, self.count, self.spell, self.size = (np.insert(a, at, b) for a, b in ((self.keys, hashes), (self.start, start), (self.count, count), (self.spell, spell), (self.size, size)))
+
+    def _strange(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The words whose bytes aren't those of the table's word of their hash (its row)."""
+        same = size == self.size[row]
+        for low, high in slices(size):
+            some = np.flatnonzero(same[low:high]) + low
+            n = size[some]
+            at = places(n)
+            differ = data[np.repeat(starts[some], n) + at] != self.bytes[np.repeat(self.spell[row[some]], n) + at]
+            same[np.repeat(some, n)[differ]] = False
+        return np.flatnonzero(~same)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text i of a chunk has ids[bounds[i]:bounds[i+1]]."""
         hashes, starts, ends, first = words(data, offsets, WHITE, SAME)
+        if not len(hashes):
+            return np.empty(0, np.uint32), first
         distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > TABLE_WORDS:
+        if len(self.keys) + len(distinct) > TABLE_WORDS or self.spelled > TABLE_BYTES:
             self._empty()
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
             raw = data.tobytes()
-            self._learn(distinct[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in index[new]])
+            self._learn(distinct[new], [raw[starts[i] : ends[i]] for i in index[new]])
             at = np.searchsorted(self.keys, distinct)
-        start, count = self.start[at][inverse] if len(at) else np.empty(0, np.int64), self.count[at][inverse] if len(at) else np.empty(0, np.int64)
+        row = at[inverse]
+        start, count, flat = self.start[row], self.count[row], self.flat
+        if len(strange := self._strange(data, starts, ends - starts, row)):
+            ids = [np.array(x, np.uint32) for x in self._ids([data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in strange])]
+            count[strange] = [len(x) for x in ids]
+            start[strange] = self.used + np.cumsum(count[strange]) - count[strange]
+            flat = np.concatenate([flat[: self.used], *ids])
         ends = np.cumsum(count)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)]
+        ids = flat[np.arange(ends[-1]) + np.repeat(start - (ends - count), count)]
         return ids, np.concatenate([np.zeros(1, np.int64), ends])[first]
 
 
@@ -156,7 +184,7 @@ def write_shard(root: str, name: str, documents: Iterable[tuple[int, np.ndarray]
         def frame() -> bytes:
             raw = b"".join(held)
             packed = press.compress(raw)
-            seek.append((len(packed), len(raw), zlib.crc32(packed)))
+            seek.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
             held.clear()
             return packed
 
@@ -202,9 +230,13 @@ class Shard:
     def frame(self, k: int) -> np.ndarray:
         if self.held[0] != k:
             packed = self.file.read_at(int(self.seek[k, 0]), int(self.at[k]))
-            if zlib.crc32(packed) != self.seek[k, 2]:
+            try:
+                raw = self.press.decompress(packed)
+            except zstandard.ZstdError as e:
+                raise ValueError(f"frame {k} is damaged") from e
+            if xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.seek[k, 2]:
                 raise ValueError(f"frame {k} is damaged")
-            self.held, self.read = (k, np.frombuffer(self.press.decompress(packed), "<u4")), self.read + 1
+            self.held, self.read = (k, np.frombuffer(raw, "<u4")), self.read + 1
         return self.held[1]
 
     def document(self, row: int) -> np.ndarray:
@@ -237,7 +269,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, end: int = 2) -> Da
             n_docs, n_tokens, first = write_shard(root, name, (x for part in ([head], todo) for x in part))
             yield pa.RecordBatch.from_pydict({"name": [name], "first_id": [first], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash and a number for each row cut a doc_id that very many rows repeat.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     return materialise(ordered.mapInArrow(run, "name string, first_id long, n_docs long, n_tokens long"), "manifest")
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
+#: Bytes of words that are hashed at once.
+SLICE = 1 << 18
 
 #: A word's hash is the sum of one random number for each byte and place in it: SPAN places by table, the rest by random odd factors.
 _SPAN = 64
@@ -65,14 +67,34 @@ def words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = WHITE,
     ends = inner.copy()
     ends[:-1] &= ~inner[1:] | edge[1:n]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    size = ends - starts
-    place = np.flatnonzero(inner)
-    at = place - np.repeat(starts, size)
-    value = _VALUE[(at % _SPAN) * 256 + fold[data[place]]]
-    far = np.flatnonzero(at >= _SPAN)
-    if len(far):
-        value[far] *= _factor(at[far] // _SPAN)
-    total = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
-    to = np.cumsum(size)
-    return total[to] - total[to - size], starts, ends, np.searchsorted(starts, offsets)
+    return _hashes(data, starts, ends - starts, fold), starts, ends, np.searchsorted(starts, offsets)
+
+
+def slices(size: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of words of so many bytes together at most; a longer word is a run of its own."""
+    upto, low = np.cumsum(size), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most, "right")))
+        yield low, high
+        low = high
+
+
+def places(size: np.ndarray) -> np.ndarray:
+    """The place within its word of every byte of some words."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    for low, high in slices(size):
+        n = size[low:high]
+        at = places(n)
+        value = _VALUE[(at % _SPAN) * 256 + fold[data[np.repeat(starts[low:high], n) + at]]]
+        far = np.flatnonzero(at >= _SPAN)
+        if len(far):
+            value[far] *= _factor(at[far] // _SPAN)
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        to = np.cumsum(n)
+        out[low:high] = total[to] - total[to - n]
+    return out
