@@ -5,10 +5,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 import zstandard
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tidewright.llm import packing, tokens
+from tidewright.llm.words import words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Hello World, it's 2024!", None, "", "<|endoftext|> óo  xy", "a b c\tD'LL", "word " * 3000, "Σίσυφος ΣΣ İstanbul ﬁ", "Hello World, it's 2024!"]
@@ -25,13 +29,41 @@ def crc(ids):
 
 def test_files_hold_the_ids(docs):
     ids = [70, 3, 5, 9, 1, 2, 8, 70]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], TEXTS[i] or ""))
-    want, at = [], 0
-    for i, x in ((i, expected(TEXTS, 2)[i]) for i in order):
-        want.append((ids[i], at, len(x), crc(x)))
-        at += len(x)
     got = [tuple(r) for r in tokens.tokenised(docs(TEXTS, ids), PATH).orderBy("start").collect()]
-    assert got == want
+    assert sorted((r[0], r[2], r[3]) for r in got) == sorted((i, len(x), crc(x)) for i, x in zip(ids, expected(TEXTS, 2), strict=True))
+    assert [r[0] for r in got] == sorted(ids) and [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+
+
+def test_clashing_columns_null_ids_and_a_doc_id_that_many_rows_repeat(spark):
+    rows = [(7, "a b", 1), (7, "a b", 2), (7, None, 3), (None, "c", 4), (3, "d " * 400_000, 5)] + [(7, f"x {i % 3}", 6) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `start` int").withColumn("hash", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = [tuple(r) for r in tokens.tokenised(df, PATH).orderBy("start").collect()]
+    want = expected([t for _, t, _ in rows], 2)
+    key = lambda r: (r[0] is not None, r)
+    assert sorted(((r[0], r[2], r[3]) for r in got), key=key) == sorted(((i, len(x), crc(x)) for (i, _, _), x in zip(rows, want, strict=True)), key=key)
+    assert got[0][0] is None and [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_with_one_hash_keep_their_own_ids(monkeypatch):
+    texts = [" ".join([*thue_morse(11), "cat", "dog", "cats"]), "dog cat é", "", "cat"]
+    raw = [t.encode() for t in texts]
+    chunk = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+    def hashed(data, offsets, ends_word, fold):
+        h, starts, ends, first = words(data, offsets, ends_word, fold)
+        return np.minimum(h, np.uint64(3)) * np.uint64(0) + (ends - starts).astype(np.uint64) // np.uint64(3), starts, ends, first
+
+    for make in (words, hashed):  # the second one has collisions throughout
+        monkeypatch.setattr(tokens, "words", make)
+        ids, bounds = tokens.Encoder(PATH).encode(*chunk)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [x[:-1] for x in expected(texts, 0)]
 
 
 def test_empty_table(docs):
@@ -47,6 +79,7 @@ def test_single_documents_are_read_from_their_frame(tmp_path):
     assert np.array_equal(shard.find(6), rows[6][1]) and shard.read == 1 and shard.find(99) is None
     assert all(np.array_equal(shard.find(i), x) for i, x in rows)
     raw = (tmp_path / "a.zst").read_bytes()
+    assert all(x[2] == xxhash.xxh64_intdigest(zstandard.ZstdDecompressor().decompress(raw[a : a + x[0]])) & 0xFFFFFFFF for x, a in zip(shard.seek.tolist(), shard.at.tolist()))
     whole = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(raw)
     assert whole == b"".join(x.astype("<u4").tobytes() for _, x in rows)
     (tmp_path / "b.zst").write_bytes(raw[:100] + bytes([raw[100] ^ 1]) + raw[101:])
@@ -95,6 +128,58 @@ def test_evolution_is_not_worse_than_best_fit():
     assert len(found) <= len(packing.best_fit(sizes, down, 2048))
 
 
+def triplets(n, capacity=1000, seed=0):
+    """Lengths that fill n bins of three without a gap; no bin holds four."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(380, 470))
+        b = int(rng.integers(251, (capacity - a) // 2 + 1))
+        out += [a, b, capacity - a - b]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def test_evolution_beats_best_fit_decreasing_where_that_misses_the_bound():
+    better = 0
+    for seed in range(6):
+        sizes = triplets(40, seed=seed)
+        first = packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda p: -sizes[p]), 1000)
+        found = packing.evolve(sizes, 1000, seed)
+        assert sorted(p for b in found for p in b) == list(range(len(sizes))) and len(found) <= len(first) and len(first) > 40
+        score = lambda bins: (-len(bins), packing.fitness(sizes, bins, 1000))  # noqa: E731, B023
+        better += score(found) > score(first)
+    assert better >= 4
+
+
+def test_islands_receive_elite_bins_and_keep_them():
+    sizes, migrants = [600, 400, 300, 300, 200, 250], [[0, 1]]
+    found = packing.evolve(sizes, 1000, 1, migrants=migrants)
+    assert [0, 1] in [sorted(b) for b in found] and len(found) == 3
+    opened = packing.evolve([500, 498, 500, 502], 1000, 1, migrants=[[0, 1]])  # with the migrant kept there would be three bins
+    assert sorted(map(sorted, opened)) in ([[0, 2], [1, 3]], [[0, 2], [3, 1]])
+
+
+def test_elite_bins_migrate_before_they_are_done(spark, monkeypatch):
+    from tidewright.llm.common import Scratch
+
+    rows = [(i, x, None) for i, x in enumerate(triplets(30))]
+    left = spark.createDataFrame(rows, "key long, length long, group long")
+    monkeypatch.setattr(packing, "ELITE", 0.99)
+    first = packing._epoch(left, 3, 0, 1000, False, False, Scratch(spark)).collect()
+    moving = [r for r in first if not r.done and r.bin is not None]
+    assert moving and all((r.offset is None) == (not r.done) for r in first) and {r.key for r in first} == set(range(90))
+    again = packing._epoch(spark.createDataFrame([(r.key, r.length, r.bin) for r in first if not r.done], left.schema), 2, 1, 1000, False, False, Scratch(spark)).collect()
+    kept = {r.bin for r in again if r.done} & {r.bin for r in moving}
+    assert kept and {r.key for r in again} == {r.key for r in first if not r.done}
+
+
+def test_repeated_ids_null_ids_and_clashing_columns(spark):
+    df = spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "c"), (5, None)], "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("length", F.lit("x"))
+    rows = packing.pack(df, PATH, capacity=64).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 2), (5, 1), (5, len(expected(["a b"], 0)[0])), (5, len(expected(["a b"], 0)[0]))] and len({r.sequence_id for r in rows}) == 1
+    assert len({r.offset for r in rows}) == 4
+
+
 def test_islands_without_well_filled_bins_are_merged(docs, monkeypatch):
     monkeypatch.setattr(packing, "ISLAND", 10)
     once = packing.pack(docs(["one two three four five six seven"]), PATH, capacity=64).collect()[0].length

@@ -4,11 +4,16 @@ Texts are cut into pieces of at most ``capacity`` ids; only longer ones are cut.
 other pieces' lengths are dealt by a hash to islands of about ISLAND pieces. Each island evolves a small population of
 packings: the first is best-fit decreasing, the others best-fit in random orders. Crossover injects whole well-filled bins
 of one parent into the other, removes the bins that hold duplicates, and best-fits the displaced pieces in decreasing
-order; fitness is the mean squared fill. At the end of an epoch an island emits its elite, the bins that are filled to
-ELITE or more; the pieces of its other bins migrate to new islands, fewer each epoch, until one island is left.
+order; fitness is the mean squared fill. An island whose first packing meets the lower bound has nothing to evolve.
 
-Only (doc_id, piece, length) move between tasks, never ids or texts. Nulls and empty texts are the end id alone. Rows that
-repeat a doc_id are packed each by itself. An empty table gives no rows.
+At the end of an epoch an island's elite, the bins that are filled to ELITE or more, migrate whole to other islands, whose
+populations hold them as bins beside packings that open them; an elite bin that its new island's best packing keeps is done, and
+so is one without room. The pieces of poorly filled bins are dealt anew. Where hardly any bin is elite (no sums of
+lengths come near the capacity), all but the emptiest bins are done, and the rest goes to fewer islands, until one is left.
+
+Only (key, length, group) move between tasks, never ids or texts. Nulls and empty texts are the end id alone; very long texts are
+cut into full pieces. Rows that repeat a doc_id are packed each by itself. An empty table gives no rows. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialise
+from tidewright.llm.common import Scratch
 from tidewright.llm.tokens import Encoder, with_end
 from tidewright.llm.words import chunks
 
-ISLAND, POPULATION, GENERATIONS, ELITE = 4096, 4, 6, 0.998
+ISLAND, POPULATION, GENERATIONS, ELITE = 4096, 6, 16, 0.998
+#: Tasks of an epoch at most; each takes its islands one after the other.
+TASKS = 4096
 
 
 def best_fit(sizes: list[int], pieces: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
@@ -77,17 +84,23 @@ def crossover(sizes: list[int], giver: list[list[int]], taker: list[list[int]],
     return best_fit(sizes, sorted(loose, key=lambda p: (-sizes[p], p)), capacity, kept)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best packing of an island, never worse than best-fit decreasing."""
+def evolve(sizes: list[int], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS, migrants: list[list[int]] | None = None) -> list[list[int]]:
+    """The best packing of an island, never worse than best-fit decreasing; migrants are bins that came from other islands."""
     rng = np.random.default_rng(seed)
     down = sorted(range(len(sizes)), key=lambda p: (-sizes[p], p))
-    packings = [best_fit(sizes, down, capacity)]
     lower = -(-sum(sizes) // capacity)
+    held = {p for b in migrants or [] for p in b}
+    loose = [p for p in down if p not in held]
+    packings = [best_fit(sizes, loose, capacity, migrants)] if migrants else []
+    if not packings or len(packings[0]) > lower:
+        packings.append(best_fit(sizes, down, capacity))
+    score = lambda b: (-len(b), fitness(sizes, b, capacity))
+    packings.sort(key=score, reverse=True)
     if len(packings[0]) <= lower or len(sizes) < 3:
         return packings[0]
-    for _ in range(population - 1):
-        packings.append(best_fit(sizes, list(rng.permutation(len(sizes))), capacity))
-    score = lambda b: (-len(b), fitness(sizes, b, capacity))
+    while len(packings) < population:
+        some = loose if migrants and len(packings) % 2 else list(range(len(sizes)))
+        packings.append(best_fit(sizes, [some[i] for i in rng.permutation(len(some))], capacity, migrants if some is loose else None))
     packings.sort(key=score, reverse=True)
     for _ in range(generations):
         giver, taker = rng.integers(0, max(1, population // 2)), rng.integers(0, population)
@@ -99,7 +112,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, population: int = POPULAT
     return packings[0]
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end: int, scratch: Scratch) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, key): each text's ids and the end id, cut into pieces; key tells rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,53 +132,78 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([ids[low + i] for i in row], pa.int64()), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    return materialise(found.withColumn("key", F.monotonically_increasing_id()), "pieces")
+    return scratch.keep(found.withColumn("key", F.monotonically_increasing_id()), "pieces")
 
 
-def _epoch(pieces: DataFrame, islands: int, epoch: int, capacity: int, last: bool, trim: bool = False) -> DataFrame:
-    """(key, length, bin, offset): kept bins are named by their smallest key; in the others bin is null.
+def _epoch(pieces: DataFrame, islands: int, epoch: int, capacity: int, last: bool, trim: bool, scratch: Scratch) -> DataFrame:
+    """(key, length, bin, offset, done) of pieces (key, length, group): bins are named by their smallest key, null for pieces to be dealt anew.
 
-    The elite bins are kept, all bins at last, and with trim all but the emptiest eighth of each island.
+    Bins that are done: elite ones that came as a group and were kept, or have no room; all bins at last; with trim all but the
+    emptiest eighth of each island. Other elite bins are the groups of the next epoch.
     """
 
+    def island(key: np.ndarray, size: list[int], group: np.ndarray, number: int) -> pa.RecordBatch:
+        named: dict[int, list[int]] = {}
+        for p in np.flatnonzero(group >= 0).tolist():
+            named.setdefault(int(group[p]), []).append(p)
+        migrants = list(named.values())
+        came = {tuple(b) for b in migrants}
+        filled = sorted(((sum(size[p] for p in b), b) for b in evolve(size, capacity, epoch * 1_000_003 + number, migrants=migrants)), key=lambda x: x[0])
+        rows = ([], [], [], [], [])
+        for k, (fill, b) in enumerate(filled):
+            elite = fill >= ELITE * capacity
+            done = last or fill == capacity or (elite and tuple(sorted(b)) in came) or (trim and k >= max(1, len(filled) // 8))
+            name, at = int(min(key[p] for p in b)), 0
+            for p in b:
+                for column, value in zip(rows, (int(key[p]), size[p], name if done or elite else None, at if done else None, done), strict=True):
+                    column.append(value)
+                at += size[p]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["key", "length", "bin", "offset", "done"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        order = np.lexsort((t["key"].to_numpy(), t["island"].to_numpy()))
-        key, size, island = (t[c].to_numpy()[order] for c in ("key", "length", "island"))
-        edges = np.flatnonzero(np.diff(island)) + 1
-        for low, high in zip([0, *edges], [*edges, len(key)], strict=True):
-            sizes = size[low:high].tolist()
-            rows = ([], [], [], [])
-            bins = sorted(evolve(sizes, capacity, epoch * 1_000_003 + int(island[low])), key=lambda b: sum(sizes[p] for p in b))
-            for k, b in enumerate(bins):
-                good = last or sum(sizes[p] for p in b) >= ELITE * capacity or (trim and k >= max(1, len(bins) // 8))
-                name, at = int(min(key[low + p] for p in b)), 0
-                for p in b:
-                    for column, value in zip(rows, (int(key[low + p]), sizes[p], name if good else None, at if good else None), strict=True):
-                        column.append(value)
-                    at += sizes[p]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["key", "length", "bin", "offset"])
-
-    mine = pieces.select("key", "length", F.pmod(F.xxhash64("key", F.lit(epoch)), F.lit(islands)).alias("island"))
-    return materialise(mine.repartition(islands, "island").mapInArrow(run, "key long, length long, bin long, offset long"), "epoch")
+        held, now = [], None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if held:
+                key, size, group = (np.concatenate([h[i] for h in held]) for i in range(3))
+                held.clear()
+                order = np.argsort(key, kind="stable")
+                yield island(key[order], size[order].tolist(), group[order], now)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column("island").to_numpy()
+            parts = [batch.column("key").to_numpy(), batch.column("length").to_numpy(), batch.column("group").fill_null(-1).to_numpy(zero_copy_only=False)]
+            edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if int(number[low]) != now:
+                    yield from ended()
+                    now = int(number[low])
+                held.append([x[low:high] for x in parts])
+        yield from ended()
+
+    home = F.pmod(F.xxhash64(F.coalesce("group", "key"), F.lit(epoch)), F.lit(islands))
+    mine = pieces.select("key", "length", "group", home.alias("island"))
+    return scratch.keep(mine.repartition(min(islands, TASKS), "island").sortWithinPartitions("island").mapInArrow(run, "key long, length long, bin long, offset long, done boolean"), "epoch")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): whole documents in few sequences of at most capacity ids."""
-    pieces = pieces_of(docs, tokenizer, capacity, end)
-    left = pieces.filter(F.col("length") < capacity).select("key", "length")
+    scratch = Scratch(docs.sparkSession)
+    pieces = pieces_of(docs, tokenizer, capacity, end, scratch)
+    left = pieces.filter(F.col("length") < capacity).select("key", "length", F.lit(None).cast("long").alias("group"))
     placed = pieces.filter(F.col("length") == capacity).select("key", F.col("key").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    n, epoch, trim, halved = left.count(), 0, False, 0
+    n = loose = left.count()
+    epoch, trim, halved = 0, False, 0
     while n:
         islands = max(1, -(-n // ISLAND) >> halved)
-        done = _epoch(left, islands, epoch, capacity, islands == 1, trim)
-        placed = placed.unionByName(done.filter("bin is not null").select("key", "bin", "offset"))
-        left = done.filter("bin is null").select("key", "length")
-        now, epoch = left.count(), epoch + 1
-        if now > 0.9 * n:  # hardly any bin is well filled: only the emptiest are dealt anew, and if that does not help, to fewer islands
+        done = _epoch(left, islands, epoch, capacity, islands == 1, trim, scratch)
+        placed = placed.unionByName(done.filter("done").select("key", "bin", "offset"))
+        left = done.filter("not done").select("key", "length", F.col("bin").alias("group"))
+        n, now = left.agg(F.count("*"), F.count_if(F.col("group").isNull())).first()
+        if now > 0.9 * loose:  # hardly any bin is well filled: only the emptiest are dealt anew, and if that does not help, to fewer islands
             trim, halved = True, halved + trim
-        n = now
+        loose, epoch = now, epoch + 1
     return pieces.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
