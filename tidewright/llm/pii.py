@@ -1,29 +1,39 @@
 """Personal data: detected entities get keyed surrogates of the same type and format, by SQL functions alone.
 
 Kinds: e-mail address, IPv4 address, telephone number, social security number, payment card number (valid check digit) and
-person after a form of address. A surrogate depends on the key, the kind and the canonical entity (lower-cased address,
-bare digits, name without its form of address) only, so every mention gets the same one, in this text and in all others.
+person after a form of address. A surrogate depends on the key, by HMAC-SHA256, on the kind and on the canonical entity
+(lower-cased address, bare digits, words of a name) only, so every mention gets the same one, in this text and in all others.
 
 * Numbers keep their length, separators and country code or first card digit; their other digits go through a keyed Feistel
-  permutation (halves, four rounds of SHA-256), cards get a new check digit, IPv4 addresses are permuted as two halves
-  of 16 bits. A permutation maps different numbers of one format to different ones: no collision is possible.
-* E-mail addresses get a given name, letters and the same top-level domain under an example domain; persons a given name of
-  the gender of the form of address and a family name of syllables, in the script of the name, with as many words.
-  These can collide, so the distinct entities are checked: of those with one surrogate all but the smallest draw again,
-  from a larger space, until none collide. Only such rare redraws are joined back to the documents.
-
-Null texts stay null, empty texts empty. Digits of other kinds (order numbers, cards with a wrong check digit) stay. Repeated
-rows are replaced alike. Columns of the documents stay; n_chars, where there is one, is counted anew.
+  permutation (halves, four rounds), cards get a new check digit, IPv4 addresses are permuted as two halves of 16 bits.
+  Country codes are read from the digits alone and none begins another, so different numbers, in whatever format, get
+  different surrogates: no collision is possible.
+* E-mail addresses get a given name, letters and the same top-level domain under an example domain.
+* Persons get given names of the gender of the form of address and a family name of syllables, in the script of the name. The
+  family name depends on the family name alone, the given names on the given names, so "Mr Smith" and "Mr John Smith" still share
+  their family name, and stay as ambiguous as they were.
+
+Addresses, family names, and given names under one family name can collide, so the distinct ones are checked: of those with one
+surrogate all but the smallest draw again, from a larger space, until none collide. Only such rare redraws are joined back to
+the documents. A surrogate may by chance be the name or number of somebody else; that one is replaced in turn.
+
+Null texts stay null, empty texts empty; an empty table gives no rows. Very long texts are handled whole: no pattern repeats
+a group without bound, and the unbounded runs are single characters. Addresses count up to 64 characters before the @ and 253
+after it. Digits of other kinds (order numbers, cards with a wrong check digit) stay. Repeated rows are replaced alike. Columns
+of the documents stay, whatever their names, but those named like the counts n_<kind> are replaced where counts are asked for;
+n_chars, where there is one, is counted anew.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialise
+from tidewright.llm.common import Scratch
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[A-Za-z]{2,63}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -50,14 +60,20 @@ SYLLABLES = {
     "cyrillic": "ба де фи го ху жа ке ли мо ну па ре си то ву за".split(),
     "greek": "βα δε φι γο χυ ζα κε λι μο νυ πα ρε σι το θυ ξα".split(),
 }
-#: Draws again at most so often.
-REDRAWS = 12
+#: Country codes, none of which begins another (fixed values of the numbering plan; all others have three digits).
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Draws beyond which something else must be wrong: each one has a larger space than the one before.
+REDRAWS = 40
 
 
 def _random(key: str, *parts: Column | str) -> Column:
-    """60 keyed pseudo-random bits of the parts, as a long."""
-    text = F.concat_ws(":", F.lit(key), *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    """60 pseudo-random bits of the parts, as a long: the head of their HMAC-SHA256 under the key."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    text = F.concat_ws(":", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def _power(n: Column) -> Column:
@@ -121,38 +137,59 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """What two mentions of one e-mail address or person share."""
+    """What two mentions of one e-mail address or person share; a person's is the gender and the name."""
     name = F.regexp_replace(entity, rf"^{ADDRESS}\.? ", "")
     return F.when(kind == "email", F.lower(entity)).when(kind == "person", F.concat_ws("|", F.when(entity.rlike(f"^(?:{'|'.join(FEMALE)})\\b"), "f").otherwise("m"), F.lower(name)))
 
 
+def _family(person: Column) -> Column:
+    """The canonical family name of a canonical person: its last word."""
+    return F.concat(F.lit("family|"), F.regexp_extract(person, r"([^ |]+)$", 1))
+
+
 def _pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
-def _email(entity: Column, canon: Column, attempt: Column, key: str) -> Column:
+def _by_script(name: Column, make) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), make("cyrillic")).when(name.rlike(r"\p{IsGreek}"), make("greek")).otherwise(make("latin"))
+
+
+def _email(entity: Column, attempt: Column, key: str) -> Column:
+    canon = F.lower(entity)
     seed = lambda part: _random(key, "email", part, attempt, canon)
     letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7) + attempt), lambda i: F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.pmod(_random(key, "letter", i, attempt, canon), F.lit(26)) + 1).cast("int"), F.lit(1))), "")
     return F.concat(F.lower(_pick(GIVEN["latin", "m"] + GIVEN["latin", "f"], seed("given"))), F.lit("."), letters, F.lit("@mail.example."), F.lower(F.regexp_extract(entity, r"\.([A-Za-z]{2,})$", 1)))
 
 
-def _person(entity: Column, canon: Column, attempt: Column, key: str) -> Column:
-    address = F.regexp_extract(entity, rf"^{ADDRESS}\.? ", 0)
-    female = canon.startswith("f|")
+def _family_name(family: Column, attempt: Column, key: str) -> Column:
+    """Syllables, one more each draw."""
+    name = lambda script: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4) + attempt), lambda i: _pick(SYLLABLES[script], _random(key, "family", i, attempt, family))), "")
+    return _let(_by_script(F.substr(family, F.lit(8)), name), lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2))))
+
+
+def _given_names(person: Column, attempt: Column, key: str) -> Column:
+    """One given name for each word before the family name; names joined by hyphens, one more each draw. Empty without such words."""
+    words = F.split(F.substr(person, F.lit(3)), " ")
 
     def name(script: str) -> Column:
-        given = lambda i: F.when(female, _pick(GIVEN[script, "f"], _random(key, "given", i, attempt, canon))).otherwise(_pick(GIVEN[script, "m"], _random(key, "given", i, attempt, canon)))
-        family = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4) + attempt), lambda i: _pick(SYLLABLES[script], _random(key, "family", i, attempt, canon))), "")
-        words = F.size(F.split(F.substr(canon, F.lit(3)), " "))
-        before = F.transform(F.slice(F.array(F.lit(1), F.lit(2)), 1, words - 1), given)
-        return F.array_join(F.concat(before, F.array(F.concat(F.upper(F.substr(family, F.lit(1), F.lit(1))), F.substr(family, F.lit(2))))), " ")
+        one = lambda w, i: F.when(person.startswith("f|"), _pick(GIVEN[script, "f"], _random(key, "given", i, attempt, w))).otherwise(_pick(GIVEN[script, "m"], _random(key, "given", i, attempt, w)))
+        # A later draw depends on the whole name, so that persons who share a given name move apart.
+        seed = lambda w: F.when(attempt == 0, w).otherwise(F.concat(w, F.lit("|"), person))
+        return F.array_join(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: one(seed(w), i)), "-")), " ")
+
+    return _by_script(F.substr(person, F.lit(3)), name)
 
-    rest = F.substr(canon, F.lit(3))
-    return F.concat(address, F.when(rest.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(rest.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin")))
+
+def _person(entity: Column, canon: Column, attempt, key: str) -> Column:
+    """attempt gives the draws of a canonical name."""
+    address = F.regexp_extract(entity, rf"^{ADDRESS}\.? ", 0)
+    given = _given_names(canon, attempt(canon), key)
+    return F.concat(address, _let(given, lambda g: F.when(g == "", "").otherwise(F.concat(g, F.lit(" ")))), _let(_family(canon), lambda f: _family_name(f, attempt(f), key)))
 
 
-def surrogate(entity: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one match; attempt counts the draws that collided."""
+def surrogate(entity: Column, attempt, key: str) -> Column:
+    """The replacement of one match; attempt(canonical name or address) counts the draws that collided."""
 
     def number(kind: str, fixed: Column) -> Column:
         return _let(bare(entity), lambda d: _poured(entity, F.concat(F.substr(d, F.lit(1), fixed), _permuted(F.substr(d, fixed + 1), key, kind))))
@@ -171,17 +208,17 @@ def surrogate(entity: Column, attempt: Column, key: str) -> Column:
         dotted = lambda s: F.concat_ws(".", *(x.cast("string") for h in ("l", "r") for x in (F.shiftright(s[h], 8), s[h].bitwiseAND(255))))
         return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step, dotted)
 
-    code = F.when(entity.startswith("+"), F.least(F.length(F.regexp_extract(entity, r"^\+(\d+)", 1)), F.lit(3))).otherwise(0)
+    code = F.when(entity.startswith("+"), F.length(F.regexp_extract(bare(entity), COUNTRY, 0))).otherwise(0)
     kind = kind_of(entity)
     return _let(
         kind,
         lambda k: F.coalesce(
-            F.when(k == "email", _email(entity, canonical(entity, k), attempt, key))
+            F.when(k == "email", _email(entity, attempt(F.lower(entity)), key))
             .when(k == "ip", ip(F.split(entity, r"\.")))
-            .when(k == "phone", number("phone", code))
+            .when(k == "phone", F.when(entity.startswith("+"), number("international", code)).otherwise(number("phone", code)))
             .when(k == "ssn", number("ssn", F.lit(0)))
             .when(k == "card", _let(bare(entity), card))
-            .when(k == "person", _person(entity, canonical(entity, k), attempt, key)),
+            .when(k == "person", _let(canonical(entity, k), lambda c: _person(entity, c, attempt, key))),
             entity,
         ),
     )
@@ -192,40 +229,51 @@ def _entities(text: Column, pattern: str = ENTITY) -> Column:
     return F.when(text.rlike(rf"\d\d|@|\d\.\d|{ADDRESS}"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
+def _drawn(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+    """What must differ between the canonical entities of a kind; null for a person without a given name."""
+    given = _let(_given_names(canon, attempt, key), lambda g: F.when(g != "", F.concat(g, F.lit("|"), _family(canon))))
+    return F.when(kind == "email", _email(canon, attempt, key)).when(kind == "family", _family_name(canon, attempt, key)).otherwise(given)
+
+
 def redraws(docs: DataFrame, key: str) -> DataFrame | None:
-    """(kind, canon, attempt) of the entities whose first surrogate collides with another's; None if there are none."""
+    """(canon, attempt) of the addresses, family names and persons whose first surrogate collides with another's; None if there are none."""
+    scratch = Scratch(docs.sparkSession)
     found = docs.select(F.explode(_entities(F.col("text").cast("string"), f"{EMAIL}|{PERSON}")).alias("entity"))
-    kinds = found.select("entity", kind_of(F.col("entity")).alias("kind"))
-    now = materialise(kinds.groupBy("kind", canonical(F.col("entity"), F.col("kind")).alias("canon")).agg(F.min("entity").alias("entity"), F.lit(0).alias("attempt")), "entities")
+    kinds = found.select("entity", kind_of(F.col("entity")).alias("kind")).select("kind", canonical(F.col("entity"), F.col("kind")).alias("canon")).distinct()
+    named = F.when(F.col("kind") == "person", F.array(F.struct("kind", "canon"), F.struct(F.lit("family").alias("kind"), _family(F.col("canon")).alias("canon")))).otherwise(F.array(F.struct("kind", "canon")))
+    now = scratch.table(kinds.select(F.explode(named).alias("e")).select("e.*").distinct().withColumn("attempt", F.lit(0)), "entities")
     for _ in range(REDRAWS):
-        drawn = now.withColumn("drawn", F.when(F.col("kind") == "person", F.regexp_replace(surrogate(F.col("entity"), F.col("attempt"), key), rf"^{ADDRESS}\.? ", "")).otherwise(surrogate(F.col("entity"), F.col("attempt"), key)))
-        clash = materialise(drawn.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min("canon").alias("first")).filter("n > 1"), "clashes")
+        drawn = now.withColumn("drawn", _drawn(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        clash = scratch.table(drawn.filter("drawn is not null").groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min("canon").alias("first")).filter("n > 1"), "clashes")
         if clash.isEmpty():
             break
-        now = materialise(drawn.join(clash, ["kind", "drawn"], "left").select("kind", "canon", "entity", (F.col("attempt") + F.coalesce((F.col("canon") != F.col("first")).cast("int"), F.lit(0))).alias("attempt")), "redrawn")
-    late = now.filter("attempt > 0").select("kind", "canon", "attempt")
+        now = scratch.table(drawn.join(clash, ["kind", "drawn"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce((F.col("canon") != F.col("first")).cast("int"), F.lit(0))).alias("attempt")), "redrawn")
+    else:
+        raise RuntimeError(f"surrogates still collide after {REDRAWS} draws")
+    late = scratch.keep(now.filter("attempt > 0").select("canon", "attempt"), "late")
+    scratch.clear()
     return None if late.isEmpty() else late
 
 
-def pseudonymise(docs: DataFrame, key: str = "tidewright") -> DataFrame:
-    """The documents with surrogates in their text, and a column n_<kind> for each kind with the number of replacements."""
-    text = F.col("text").cast("string")
-    late = redraws(docs, key)
+def pseudonymise(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
+    """The documents with surrogates in their text; with counts, also a column n_<kind> for each kind with the number of replacements."""
+    rows = (docs.drop(*(f"n_{k}" for k in KINDS)) if counts else docs).select(F.struct("*").alias("row"))
+    text, late = F.col("row.text").cast("string"), redraws(docs, key)
     if late is None:
-        ready, attempt = docs.withColumn("_redrawn", F.lit(None).cast("map<string,int>")), lambda e: F.lit(0)
+        ready, attempt = rows, lambda canon: F.lit(0)
     else:
-        mention = docs.select("doc_id", F.explode(_entities(text, f"{EMAIL}|{PERSON}")).alias("entity")).select("doc_id", kind_of(F.col("entity")).alias("kind"), "entity")
-        mine = mention.select("doc_id", "kind", canonical(F.col("entity"), F.col("kind")).alias("canon")).distinct().join(late, ["kind", "canon"])
-        by_doc = mine.groupBy(F.col("doc_id").alias("_of")).agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("_redrawn"))
-        ready = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-        attempt = lambda e: F.coalesce(F.element_at(F.col("_redrawn"), canonical(e, kind_of(e))), F.lit(0))
-    split = ready.withColumn("_found", _entities(text))
-    swapped = split.withColumn("_new", F.transform("_found", lambda e: F.struct(kind_of(e).alias("kind"), surrogate(e, attempt(e), key).alias("text"))))
+        mention = docs.select("doc_id", F.explode(_entities(F.col("text").cast("string"), f"{EMAIL}|{PERSON}")).alias("entity")).select("doc_id", canonical(F.col("entity"), kind_of(F.col("entity"))).alias("canon"))
+        mine = mention.select("doc_id", F.explode(F.array("canon", _family(F.col("canon")))).alias("canon")).distinct().join(late, "canon")
+        by_doc = mine.groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("redrawn"))
+        ready = rows.join(by_doc, F.col("row.doc_id").eqNullSafe(F.col("of")), "left")
+        attempt = lambda canon: F.coalesce(F.element_at(F.col("redrawn"), canon), F.lit(0))
+    split = ready.withColumn("found", _entities(text))
+    swapped = split.withColumn("new", F.transform("found", lambda e: F.struct(kind_of(e).alias("kind"), surrogate(e, attempt, key).alias("text"))))
     gaps = F.split(text, ENTITY, -1)
-    whole = F.when(F.size("_found") > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["text"], F.lit("")))), "")).otherwise(text)
-    of_kind = lambda k: F.filter("_new", lambda x: x["kind"] == k)
-    counts = {f"n_{k}": F.coalesce(F.size(of_kind(k)), F.lit(0)) for k in KINDS}
-    done = swapped.withColumns({"text": whole, **counts})
+    whole = F.when(F.size("found") > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i)["text"], F.lit("")))), "")).otherwise(text)
+    row = F.col("row").withField("text", whole)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return done.drop("_redrawn", "_found", "_new")
+        row = row.withField("n_chars", F.coalesce(F.length(whole).cast(docs.schema["n_chars"].dataType), F.col("row.n_chars")))
+    of_kind = lambda k: F.filter("new", lambda x: x["kind"] == k)
+    numbers = [F.coalesce(F.size(of_kind(k)), F.lit(0)).alias(f"n_{k}") for k in KINDS] if counts else []
+    return swapped.select(row.alias("row"), *numbers).select("row.*", *(f"n_{k}" for k in KINDS if counts))

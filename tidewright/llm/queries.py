@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.chat_format import neighbouring_pairs
+from tidewright.llm.chat_format import answer_pairs
 from tidewright.llm.common import table
 from tidewright.llm.decontaminate import contaminated
 from tidewright.llm.hilbert_ann import nearest
@@ -21,6 +21,8 @@ from tidewright.llm.toxicity import toxicity
 
 #: The tokenizer file of the queries; its place is a parameter of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The key of the queries' surrogates; real data need a secret one.
+TEST_KEY = "key of the synthetic tables"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), TEST_KEY)
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbouring_pairs(table(spark, sf_dir, "conversations"))
+    return answer_pairs(table(spark, sf_dir, "conversations"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +84,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Queries that SQL can express over whole tables; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op9_preference_format": """
-        WITH turns AS (
-            SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
-            FROM conversations WHERE conv_id IS NOT NULL),
+        WITH plain AS (
+            SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        answers AS (
+            SELECT conv_id, turn, text FROM plain WHERE role = 'assistant'
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) = 1),
+        swap AS (
+            SELECT a.conv_id, a.turn, b.text FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1)),
+        turns AS (
+            SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM plain
+            UNION SELECT p.conv_id, 1, p.turn, p.role, p.text FROM plain p JOIN swap s ON p.conv_id = s.conv_id AND (p.turn IS NULL OR p.turn < s.turn)
+            UNION SELECT conv_id, 1, turn, 'assistant', text FROM swap),
         sides AS (
             SELECT pair_id, side, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM turns GROUP BY ALL),
         pairs AS (
