@@ -7,9 +7,11 @@ rates and L1 shrinkage, so most weights are exactly zero; the rest are sent to t
 of a slope times the summed weights plus an intercept; both are calibrated on the last quarter of the sample, which the weights
 don't learn from.
 
-Nulls and empty texts score the intercept alone. Labels that are null are skipped; a doc_id with several labels counts with
-the largest. With no labelled row, or one class only, the score is the class share, or 0 with no label. Rows that repeat
-a doc_id are scored each by itself. Columns of other names, and label columns of the documents, are ignored.
+Nulls and empty texts score the intercept alone, very long ones are read whole. Labels that are null are skipped; a doc_id with
+several labels counts with the largest. With no labelled row, or one class only, the score is the class share, or 0 with no
+label. Rows that repeat a doc_id are scored each by itself; of them the smallest text is learned, once. Equal texts have equal
+scores. An empty table gives no rows. Other columns, whatever their names, are carried along where documents are returned and
+ignored else.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import mix
+from tidewright.llm.common import Scratch, mix
 from tidewright.llm.words import LOWER, NOT_ALNUM, chunks, words
 
 BITS = 20
@@ -90,52 +92,55 @@ def train(sample: list[tuple[bytes, int]], bits: int = BITS, alpha: float = ALPH
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Trains in one task on a bounded sample of the labelled rows for which allowed holds; only the weights come back."""
+    """Trains in one task on a bounded sample of the labelled rows for which allowed holds; only the weights come back.
+
+    The sample is cut to its bytes before its texts meet in that task.
+    """
+    scratch = Scratch(docs.sparkSession)
     known = labels.filter("toxic is not null and doc_id is not null").filter(allowed).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit(8))
     chosen = known.orderBy(order, "doc_id").limit(rows)
-    found = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text", order.alias("at"), "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = scratch.table(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text", order.alias("at"), "doc_id", F.octet_length("text").cast("long").alias("bytes")), "labelled")
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most ``rows`` rows, without their texts
+    within = found.select("at", "doc_id", "bytes", before.alias("before")).filter((F.col("before") + F.col("bytes") <= size) | (F.col("before") == 0)).select("doc_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sample, total = [], 0
-        for label, text in zip(pdf["label"], pdf["text"], strict=True):
-            raw = text.encode()
-            total += len(raw)
-            if total > size and sample:
-                break
-            sample.append((raw, int(label)))
-        at, w, slope, intercept = train(sample)
+        ready = pdf.sort_values(["at", "doc_id"])
+        at, w, slope, intercept = train([(text.encode(), int(label)) for label, text in zip(ready["label"], ready["text"], strict=True)])
         return pd.DataFrame({"at": [at.astype("<i8").tobytes()], "w": [w.astype("<f8").tobytes()], "slope": [slope], "intercept": [intercept]})
 
-    bounded = found.orderBy("at", "doc_id", "text").limit(rows)
-    got = bounded.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: run(pdf.sort_values(["at", "doc_id", "text"])), "at binary, w binary, slope double, intercept double").first()
+    bounded = found.join(F.broadcast(within), "doc_id").select("label", "text", "at", "doc_id")
+    got = bounded.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "at binary, w binary, slope double, intercept double").first()
+    scratch.clear()
     if got is None:
         return np.empty(0, np.int64), np.empty(0), 0.0, -40.0
     return np.frombuffer(got["at"], "<i8"), np.frombuffer(got["w"], "<f8"), got["slope"], got["intercept"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float], columns: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The given columns of docs (doc_id if none) and the score, 0 to 1, under a name that none of them has."""
-    columns = columns or ["doc_id"]
+def scored(docs: DataFrame, text: str, model: tuple[np.ndarray, np.ndarray, float, float]) -> DataFrame:
+    """The columns of docs by number (c0, c1, ...) and the score of the column named text, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32), model[2], model[3]))  # at most 8 bytes for each of 2**BITS coordinates
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ready = docs.toDF(*names)
+    ready = ready.select(*names, F.col(names[docs.columns.index(text)]).cast("string").alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, slope, intercept = shared.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
         for batch in batches:
-            for low, high, data, offsets in chunks(batch, "_text"):
+            for low, high, data, offsets in chunks(batch, "words"):
                 n = high - low
                 coordinates, row = features(data, offsets)
                 hit = dense[coordinates] != 0
                 pair = np.unique(row[hit] << BITS | coordinates[hit])
                 total = np.bincount(pair >> BITS, weights=dense[pair & ((1 << BITS) - 1)], minlength=n)
                 p = 1 / (1 + np.exp(-np.clip(slope * total + intercept, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[low:high] for c in columns), pa.array(p)], names=[*columns, name])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[low:high] for c in names), pa.array(p)], names=[*names, "score"])
 
-    chosen = docs.select(*columns, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return chosen.mapInArrow(run, f"{schema}, {name} double")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema[:-1])
+    return ready.mapInArrow(run, f"{schema}, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -146,11 +151,11 @@ def held_out(doc_id: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", model).select(F.col("c0").alias("doc_id"), "score")
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Documents that score below the threshold, with all their columns."""
-    model = fit(docs, labels, ~held_out(F.col("doc_id")))
-    return score(docs, model, docs.columns, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    found = scored(docs, "text", fit(docs, labels, ~held_out(F.col("doc_id"))))
+    return found.filter(F.col("score") < threshold).drop("score").toDF(*docs.columns)
