@@ -11,8 +11,10 @@ temperature that is calibrated on a part of the sample that the counts leave out
 what REJECT of that part's texts have in their own language is marked rejected, but its language is still given.
 
 Nulls and texts without a letter are ``und`` with score 0. Texts are learned whole, but the sample is bounded in rows and
-bytes for each language. Ties go to the language that sorts first. With nothing to learn every text is ``und``. Repeated
-rows are predicted each by itself; other columns are ignored.
+bytes for each language; every eighth text of it calibrates. Very long texts are scored whole, a slice of positions at a time.
+Ties go to the language that sorts first. With nothing to learn every text is ``und``. Repeated rows are predicted each by
+itself; of rows that share a doc_id and a language, the smallest text is learned, once, and a row without a language teaches
+nothing. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +27,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialise, mix
+from tidewright.llm.common import Scratch, mix
 from tidewright.llm.words import chunks
 
 ORDER = 4
 #: Bounds of the training sample for each language: rows, those with the smallest hashes, and bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 4 << 20
-#: Languages of one model; more are learned in several models, whose lowest cross-entropy wins over all.
-LANGUAGES = 256
+#: Languages of one model, so that its dense tables stay small; more are learned in several models, whose lowest cross-entropy wins over all.
+LANGUAGES = 16
+#: Up to so many ids of the sample are broadcast (about 50 MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Positions of a text that are scored at once.
+SLICE = 1 << 18
 #: Share of the left-out texts that lie within the accepted cross-entropy of their own language.
 REJECT = 0.995
 
+#: Temperatures that the calibration tries.
+TEMPERATURES = np.geomspace(0.005, 2, 30)
+
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _fold: list[np.ndarray] = []
 
@@ -151,45 +160,46 @@ class Model:
             real[bounds[:-1] + i] = False
         at = np.flatnonzero(real)
         out = np.zeros((len(texts), len(self.languages)))
-        if len(at):
+        grams = hashes(points) if len(at) else []
+        for low in range(0, len(at), SLICE):
+            part = at[low : low + SLICE]
             # The longest n-gram that the model has, and the back-off weights of the contexts above it.
-            grams = hashes(points)
-            logs = np.zeros((len(at), len(self.languages)), np.float32)
-            todo = np.arange(len(at))
+            logs = np.zeros((len(part), len(self.languages)), np.float32)
+            todo = np.arange(len(part))
             for n in range(ORDER - 1, -1, -1):
-                h = grams[n][at[todo]]
+                h = grams[n][part[todo]]
                 where = np.minimum(np.searchsorted(self.keys[n], h), len(self.keys[n]) - 1)
                 hit = self.keys[n][where] == h
                 logs[todo[hit]] += self.prob[n][where[hit]]
                 todo = todo[~hit]
                 if n:
-                    h = grams[n - 1][at[todo] - 1]
+                    h = grams[n - 1][part[todo] - 1]
                     where = np.minimum(np.searchsorted(self.context[n], h), len(self.context[n]) - 1)
                     known = self.context[n][where] == h
                     logs[todo[known]] += self.backoff[n][where[known]]
                 else:
                     logs[todo] += self.backoff[0][0] - np.log(self.size)
             for col in range(len(self.languages)):
-                out[:, col] = -np.bincount(row[at], weights=logs[:, col], minlength=len(texts))
+                out[:, col] -= np.bincount(row[part], weights=logs[:, col], minlength=len(texts))
         letters = np.bincount(row[at], weights=points[at] != 32, minlength=len(texts))
         return out / np.maximum(np.bincount(row[at], minlength=len(texts)), 1)[:, None], letters
 
-    def calibrate(self, texts: list[str], truth: np.ndarray) -> None:
-        """Fits the temperature and the accepted cross-entropies on texts that the counts left out."""
-        parts = [self.entropies(texts[i : i + 256]) for i in range(0, len(texts), 256)]
-        if not parts:
-            return
-        h, letters = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    def losses(self, texts: list[str], truth: np.ndarray) -> np.ndarray:
+        """For each text that has a letter: its language, its cross-entropy in it, and its loss at each temperature."""
+        h, letters = self.entropies(texts)
         h, truth = h[letters > 0], truth[letters > 0]
-        if not len(h):
+        z = -(h - h.min(1, keepdims=True))
+        own = np.arange(len(h))
+        loss = [np.log(np.exp(z / t).sum(1)) - z[own, truth] / t for t in TEMPERATURES]
+        return np.column_stack([truth, h[own, truth], *loss])
+
+    def calibrate(self, found: np.ndarray) -> None:
+        """Fits the temperature and the accepted cross-entropies on the losses of texts that the counts left out."""
+        if not len(found):
             return
-        losses = []
-        for t in (grid := np.geomspace(0.005, 2, 30)):
-            z = -(h - h.min(1, keepdims=True)) / t
-            losses.append(float((np.log(np.exp(z).sum(1)) - z[np.arange(len(h)), truth]).mean()))
-        self.temperature = float(grid[int(np.argmin(losses))])
+        self.temperature = float(TEMPERATURES[int(np.argmin(found[:, 2:].mean(0)))])
         for col in range(len(self.languages)):
-            own = h[truth == col, col]
+            own = found[found[:, 0] == col, 1]
             self.limits[col] = np.quantile(own, REJECT) if len(own) else np.inf
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -216,17 +226,26 @@ class Models(Model):
         return np.concatenate([h for h, _ in found], 1), found[0][1]
 
 
+def sampled(docs: DataFrame, allowed: Column, rows: int, scratch: Scratch) -> DataFrame:
+    """(lang, at, text): at most so many documents of each language, those with the smallest hashes."""
+    order = F.xxhash64("doc_id", F.lit(1))
+    known = docs.filter("lang is not null and doc_id is not null and text is not null").filter(allowed).select("doc_id", "lang").distinct()
+    # A threshold leaves some four times as many ids of a language as are wanted, so that no task ranks all of them.
+    share = known.groupBy(F.col("lang").alias("of")).agg((F.lit(4.0 * rows) / F.count("*")).alias("share"))
+    near = known.withColumn("at", order).join(share, F.col("lang") == F.col("of")).filter((F.col("at") / 2.0**64 + 0.5) < F.col("share"))
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).filter(F.col("rank") <= rows).select("doc_id", "lang", "at")
+    chosen = scratch.table(chosen, "chosen")
+    texts = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).filter("text is not null")
+    return texts.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["doc_id", "lang"]).groupBy("lang", "at", "doc_id").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, at_once: int = LANGUAGES) -> Model | None:
     """Counts the 4-grams of a bounded sample for each language on the executors, and builds models of at_once languages on the driver."""
-    known = docs.filter("lang is not null and doc_id is not null").filter(allowed).select("doc_id", "lang")
-    order = F.xxhash64("doc_id", F.lit(1))
-    # A row number of at most so many: only as many rows of each language leave a task.
-    chosen = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).filter(F.col("at") <= rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
+    scratch = Scratch(docs.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         learned, left, total = [], [], 0
-        for i, text in enumerate(pdf.sort_values(["at", "text"])["text"]):
+        for i, text in enumerate(pdf.sort_values(["at", "doc_id"])["text"]):
             total += len(text.encode())
             if total > size and i:
                 break
@@ -238,21 +257,31 @@ def fit(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, size: int = S
         at = np.flatnonzero(real)
         grams = np.stack([points[at - i] for i in range(ORDER - 1, -1, -1)], 1) if len(at) else np.empty((0, ORDER), np.uint32)
         kinds, count = np.unique(grams, axis=0, return_counts=True)
-        left = [x for x in left if len(x) < 20_000][:200]
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "grams": [kinds.astype("<u4").tobytes()], "counts": [count.astype("<i8").tobytes()], "left": [left], "alphabet": [np.unique(grams[:, -1]).astype(np.int64).tolist()]})
 
-    found = materialise(sample.groupBy("lang").applyInPandas(run, "lang string, grams binary, counts binary, left array<string>, alphabet array<long>").filter(F.length("counts") > 0), "languages")
+    found = scratch.table(sampled(docs, allowed, rows, scratch).groupBy("lang").applyInPandas(run, "lang string, grams binary, counts binary, left array<string>, alphabet array<long>").filter(F.length("counts") > 0), "languages")
     named = sorted(r["lang"] for r in found.select("lang").collect())
     if not named:
+        scratch.clear()
         return None
     alphabet = found.select(F.explode("alphabet").alias("c")).distinct().count() + 1
-    models, texts = [], []
+    models = []
     for i in range(0, len(named), at_once):
-        group = found.filter(F.col("lang").isin(named[i : i + at_once])).select("lang", "grams", "counts", "left").collect()
+        group = found.filter(F.col("lang").isin(named[i : i + at_once])).select("lang", "grams", "counts").collect()
         models.append(Model({r["lang"]: (np.frombuffer(r["grams"], "<u4").reshape(-1, ORDER), np.frombuffer(r["counts"], "<i8")) for r in group}, alphabet))
-        texts += [(t, i + models[-1].languages.index(r["lang"])) for r in group for t in r["left"]]
     model = models[0] if len(models) == 1 else Models(models)
-    model.calibrate([t for t, _ in texts], np.array([c for _, c in texts], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {x: i for i, x in enumerate(shared.value.languages)}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                got = shared.value.losses([text], np.array([number[lang]]))
+                yield pa.RecordBatch.from_arrays([pa.array(got.tolist(), pa.list_(pa.float64()))], names=["row"])
+
+    left = found.select("lang", F.explode("left").alias("text")).repartition(max(8, len(named)))
+    model.calibrate(np.array([r["row"] for r in left.mapInArrow(measured, "row array<double>").collect()]))
+    scratch.clear()
     return model
 
 
