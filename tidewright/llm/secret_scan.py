@@ -2,13 +2,15 @@
 
 The plain kinds are assign, access and hex (see PATTERNS); a pass over the bytes finds the texts in which one of them can
 match at all, and the patterns then run over those whole texts. The novelty kind looks at runs of secret-like characters
-that follow a sensitive word closely and overlap no plain span: of 12 characters or more, of which one is a letter. Each is measured by its marginal compressed bytes: the
+that follow a sensitive word closely and overlap no plain span: of 12 characters or more, of which one is a letter, with
+``=`` at their ends only, so that a name and its value are two. Each is measured by its marginal compressed bytes: the
 size of its surroundings with it less their size without it, under zstandard with a dictionary of common identifiers. A
 string that repeats its surroundings, or is made of identifiers, costs little; one that costs NOVEL bytes a character or
 more is reported. So is a long word that is new to its surroundings, such as a name in camel case.
 
-Spans are code points, end exclusive, ordered by start, then by kind as listed in KINDS. Nulls and empty texts have none.
-Repeated rows are scanned each by itself; other columns are ignored.
+Spans are code points, end exclusive, ordered by start, then by kind as listed in KINDS. Nulls and empty texts have none; very
+long texts are scanned whole. Repeated rows are scanned each by itself. An empty table gives no rows. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 
 #: Words that make a context sensitive, in lower case.
 SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "auth", "bearer", "credential", "private", "session", "signature", "access_key", "api-key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: Characters before a candidate in which a sensitive word must end, and around it that are its surroundings.
 REACH, AROUND = 48, 256
 #: Marginal compressed bytes a character from which a string is novel.
