@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewright.llm import chat_format, decontaminate, pii, secret_scan
 
 rng = random.Random(4)
+KEY = "test key"
 
 
 def sentence(n):
@@ -23,12 +24,25 @@ def test_decontamination(spark, docs):
     texts = [sentence(500) + " " + items[1] + " " + sentence(300), upper(items[0]), sentence(70) + "\n" + items[2], items[3], items[1].rsplit(" ", 15)[0], sentence(900), None, "", "of the " * 50, " ".join(random.Random(1).sample(items[1].split(), 30))]
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(texts), bench).collect())
     assert got == [(0, 1), (1, 0), (2, 2), (3, 3)]
+    assert [(r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(docs(["OF the!", "of the of", "the of", "so of the"]), bench).collect()] == [(0, 4, 1.0)]
+    long = sentence(150_000)
+    assert [r.item_id for r in decontaminate.contaminated(docs([f"{long} {items[2]} {long}"]), bench).collect()] == [2]
     kept = decontaminate.without_benchmark(docs(texts), bench)
     assert kept.columns == docs([]).columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 8, 9]
     assert decontaminate.contaminated(docs(texts), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs([]), bench).count() == 0
 
 
+def test_scores_do_not_depend_on_the_cut_of_the_benchmark(spark, docs, monkeypatch):
+    items = [sentence(n) + " the of and" for n in (8, 30, 64, 150, 40, 41, 90)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    texts = docs([sentence(20) + " " + t + " " + sentence(9) for t in items] + items)
+    one = sorted(map(tuple, decontaminate.contaminated(texts, bench).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_POSTINGS", 400)
+    more = sorted(map(tuple, decontaminate.contaminated(texts, bench).collect()))
+    assert len(one) >= 14 and [r[:2] for r in one] == [r[:2] for r in more] and all(a == pytest.approx(b) for a, b in zip(one, more, strict=True))
+
+
 def test_search_is_lossless():
     import numpy as np
 
@@ -50,6 +64,13 @@ def test_search_is_lossless():
                 if score >= index.threshold:
                     want[i, s * 64, k] = score
     assert want and set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    for k in range(0, 60, 7):  # block-max WAND alone, without the bounds before it, at a low threshold
+        index.threshold = 0.2
+        at = np.searchsorted(index.terms, h[first[k] : first[k + 1]])
+        terms = np.unique(at[index.terms[np.minimum(at, len(index.terms) - 1)] == h[first[k] : first[k + 1]]])
+        every = {p: float(index._impacts(p)[np.isin(np.unique(index.parts[p][1]), index.terms[terms])].sum()) for p in range(len(index.parts))}
+        found = dict(index.wand(terms))
+        assert set(found) == {p for p, x in every.items() if x >= 0.2 + 1e-9} and all(found[p] == pytest.approx(every[p]) for p in found)
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -72,7 +93,7 @@ def test_secrets(docs):
 
 def test_pii(docs):
     texts = ["Mail Bob.x@Mail7.example.com or bob.x@mail7.example.com, +1 (017) 555-7713, 97.51.17.173, 4417744280351547.", "no 9807915762804490 order 12345678", None, "", "4417 7442 8035 1547; bob.x@mail7.example.com; Mr. John Smith, Mrs Smith, Mr John Smith, Госпожа Петрова", "+1 (017) 555-7714 97.51.17.174"]
-    out = {r.doc_id: r for r in pii.pseudonymise(docs(texts)).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(docs(texts), KEY).collect()}
     assert out[1].text == texts[1] and out[2].text is None and out[3].text == ""
     assert (out[0].n_email, out[0].n_phone, out[0].n_ip, out[0].n_card) == (2, 1, 1, 1) and (out[4].n_card, out[4].n_person) == (1, 4)
     for t in ("7713", "Bob", "bob.x", "97.51.17.173", "4417744280351547", "Smith", "Петрова"):
@@ -83,12 +104,88 @@ def test_pii(docs):
     assert card == spaced.replace(" ", "") and sum(sum(divmod(int(d) * 2, 10)) if i % 2 else int(d) for i, d in enumerate(card[::-1])) % 10 == 0
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, \d+\.\d+\.\d+\.\d+", out[0].text) and re.search("Госпожа [А-Я][а-я]+", out[4].text)
     assert re.search(r"\(.*", out[0].text)[0][:14] != re.search(r"\(.*", out[5].text)[0][:14] and out[0].n_chars == len(out[0].text)
-    assert pii.pseudonymise(docs([])).count() == 0
+    assert pii.pseudonymise(docs([]), KEY).count() == 0
 
 
 def test_number_surrogates_are_distinct(spark):
     rows = spark.range(0, 2000).select(F.format_string("+1 (017) 555-%04d", "id").alias("e"))
-    assert rows.select(pii.surrogate(F.col("e"), F.lit(0), "k").alias("s")).distinct().count() == 2000
+    assert rows.select(pii.surrogate(F.col("e"), lambda canon: F.lit(0), "k").alias("s")).distinct().count() == 2000
+
+
+def test_formats_of_one_number_agree_and_country_codes_stay(spark):
+    forms = ["+1 (017) 555-7713", "+10175557713", "+1 017 555 7713", "+49 30 1234 5678", "+493012345678", "+358 401 234 567"]
+    rows = spark.createDataFrame([(f,) for f in forms], "e string")
+    got = {r.e: r.s for r in rows.select("e", pii.surrogate(F.col("e"), lambda canon: F.lit(0), "k").alias("s")).collect()}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert len({digits(got[f]) for f in forms[:3]}) == 1 and digits(got[forms[3]]) == digits(got[forms[4]])
+    assert all(re.sub("[0-9]", "0", got[f]) == re.sub("[0-9]", "0", f) and got[f] != f for f in forms)
+    assert [digits(got[f])[:n] for f, n in zip(forms, (1, 1, 1, 2, 2, 3), strict=True)] == ["1", "1", "1", "49", "49", "358"]
+
+
+def test_the_hmac_is_the_standard_one(spark):
+    import hmac
+
+    for key in ("k", "long key " * 20):
+        got = spark.range(1).select(pii._random(key, "kind", F.lit("x")).alias("r")).first().r
+        assert got == int(hmac.new(key.encode(), b"kind:x", "sha256").hexdigest()[:15], 16)
+
+
+def test_family_names_are_shared_by_their_bearers(docs):
+    texts = ["Mr John Smith met Mrs Smith and Mr. Smith; Mr Peter Smith too. Mr John Jones came."]
+    out = pii.pseudonymise(docs(texts), KEY).first().text
+    john, mrs, short, peter, jones = re.findall(r"(?:Mr\.?|Mrs) ([\w -]+?)(?= met| and|;| too| came)", out)
+    family = john.split()[-1]
+    assert mrs == short == family and peter.split()[-1] == family and peter != john and jones.split()[-1] != family and jones.split()[0] == john.split()[0]
+
+
+def test_long_and_hostile_texts_end(docs):
+    texts = ["a@b" + ".c9" * 300_000, "a" * 1_000_000, "a@" * 400_000, "1" * 1_000_000, "1.2." * 250_000, "+1 " * 300_000, "Mr " + "Ab " * 300_000, "Mr A" + "b" * 1_000_000, "x@y.com " * 20_000]
+    out = [r.text for r in pii.pseudonymise(docs(texts), KEY).orderBy("doc_id").collect()]
+    assert out[0:6] == texts[0:6] and "x@y.com" not in out[8] and len(set(out[8].split())) == 1
+
+
+JAVA = {k: re.compile(p.replace(r"\p{Lu}", "A-ZÄÖÜÉÈÁÍÓÚÑА-ЯΑ-Ω" if k == "x" else "[A-ZÄÖÜÉÈÁÍÓÚÑА-ЯΑ-Ω]").replace(r"[\p{L}'-]", r"(?:[^\W\d_]|['-])").replace(r"[\p{L}]", r"[^\W\d_]")) for k, p in {"email": pii.EMAIL, "ip": pii.IP, "phone": pii.PHONE, "ssn": pii.SSN, "card": pii.CARD, "person": pii.PERSON}.items()}
+
+
+def test_surrogates_against_a_plain_search(corpus):
+    """Every entity that a plain search finds is replaced, everything else stays, and the mapping is one to one."""
+    rows = corpus("documents").select("doc_id", "text")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(rows, KEY).collect()}
+    entity, of, back = re.compile("|".join(f"(?:{p.pattern})" for p in JAVA.values())), {}, {}
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+    found = 0
+    for r in rows.collect():
+        new, at = out[r.doc_id], 0
+        for piece, m in zip(entity.split(r.text or ""), [*entity.finditer(r.text or ""), None], strict=True):
+            assert (new or "")[at : at + len(piece)] == piece
+            at += len(piece)
+            if m is None:
+                break
+            digits = re.sub("[^0-9]", "", m[0])
+            keep = m[0][0].isdigit() and JAVA["card"].fullmatch(m[0]) and not JAVA["phone"].fullmatch(m[0]) and not JAVA["ip"].fullmatch(m[0]) and not luhn(digits)
+            step = re.compile(r"[^\s,;]+@mail\.example\.[a-z]+" if "@" in m[0] else r"\d+\.\d+\.\d+\.\d+" if JAVA["ip"].fullmatch(m[0]) else re.sub("[0-9]", "[0-9]", re.escape(m[0])) if not m[0][0].isalpha() else r"\S+(?: [^\W\d_][\w'-]*){%d}" % (len(m[0].split()) - 1))
+            got = step.match(new, at)
+            assert got, (m[0], new[at : at + 40])
+            assert (got[0] == m[0]) == bool(keep), m[0]
+            if not keep:
+                canon = m[0].lower() if "@" in m[0] else m[0] if m[0][0].isalpha() or "." in m[0] else ("+" in m[0], digits)
+                assert of.setdefault(canon, digits and re.sub("[^0-9]", "", got[0]) or got[0]) == (digits and re.sub("[^0-9]", "", got[0]) or got[0])
+                assert back.setdefault((isinstance(canon, tuple), of[canon]), canon) == canon
+                found += 1
+            at = got.end()
+        assert at == len(new or "")
+    assert found > 10
+
+
+def test_clashing_columns_stay(docs):
+    rows = docs(["Mr Smith", None]).withColumn("found", F.lit(1)).withColumn("new", F.lit("n")).withColumn("redrawn", F.lit(2)).withColumn("of", F.lit(3)).withColumn("a.b", F.lit(4)).withColumn("n_email", F.lit("mine")).withColumn("row", F.lit(5))
+    out = pii.pseudonymise(rows, KEY, counts=False)
+    assert out.columns == rows.columns and [r[1:] for r in out.drop("text", "n_chars").collect()] == [r[1:] for r in rows.drop("text", "n_chars").collect()]
+    counted = pii.pseudonymise(rows, KEY)
+    assert sorted(counted.columns) == sorted([*rows.drop("n_email").columns, *(f"n_{k}" for k in pii.KINDS)]) and counted.first().n_person == 1
 
 
 def test_collisions_draw_again(docs, monkeypatch):
@@ -96,7 +193,7 @@ def test_collisions_draw_again(docs, monkeypatch):
     monkeypatch.setattr(pii, "GIVEN", {k: v[:1] for k, v in pii.GIVEN.items()})
     names = ["Ada", "Bea", "Cleo", "Dora"]
     texts = [f"Mrs {n} and again Mrs {n}" for n in names]
-    out = [r.text for r in pii.pseudonymise(docs(texts)).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymise(docs(texts), KEY).orderBy("doc_id").collect()]
     assert len(set(out)) == 4 and all(len(set(re.findall(r"Mrs (\w+)", t))) == 1 for t in out)
 
 
@@ -118,6 +215,29 @@ def test_preference_pairs(spark):
     assert chat_format.neighbouring_pairs(rows.limit(0)).count() == 0
 
 
+def test_answer_pairs_share_a_prefix(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "so?"), (0, 3, "assistant", "so."), (0, 4, "user", "bye"), (1, 0, "user", "ho"), (1, 1, "assistant", "no"), (2, 0, "user", "a"), (3, 0, "user", "b"), (3, 1, "assistant", "c")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("side", F.lit(1)).withColumn("a.b", F.lit(1))
+    got = {r.pair_id: r for r in chat_format.answer_pairs(rows).collect()}
+    assert {k: r.prompt_turns for k, r in got.items()} == {0: 3, 1: 1, 2: 0, 3: 0}
+    assert "no<|im_end|>" in got[0].rejected and "bye" in got[0].chosen and "so." in got[1].rejected and got[2].rejected is None and got[3].rejected is None
+    long = spark.createDataFrame([(0, 0, "user", "x " * 600_000), (0, 1, "assistant", "y"), (1, 0, "assistant", "z")], "conv_id long, turn long, role string, text string")
+    assert {r.pair_id: (r.prompt_turns, len(r.prompt) > 1_000_000) for r in chat_format.answer_pairs(long).collect()} == {0: (1, True), 1: (0, False)}
+
+
+@pytest.mark.parametrize("text", ["session=4f9Xk2LmQ8rT1vB6nY3w", "pwd=Zx81kQ0aPl29mmQv7R", "credential QzWxEcRvTbYnUmIkOlPaSd"])
+def test_a_name_and_its_value_are_two(docs, text):
+    found = secret_scan.secret_scan(docs([text])).first()
+    at = max(text.find("="), text.find(" ")) + 1
+    assert found.spans == f"novel:{at}:{len(text)}"
+
+
+def test_secrets_in_long_texts(docs):
+    filler = "plain words and more of them " * 40_000
+    found = secret_scan.secret_scan(docs([filler + "token: abcdef12 " + filler, "a" * 1_200_000, "password " * 100_000])).orderBy("doc_id").collect()
+    assert found[0].spans == f"assign:{len(filler)}:{len(filler) + 15}" and [r.n_hex for r in found] == [0, 1, 0]
+
+
 @pytest.mark.parametrize("key", ["QwErTyUiOpAsDfGhJkLz", "x7Kq9ZtB2mWp"])
 def test_secrets_without_digits_and_short_ones_are_novel(docs, key):
     found = secret_scan.secret_scan(docs([f"Authorization: Bearer {key}", f"nothing near {key}"])).orderBy("doc_id").collect()

@@ -8,7 +8,9 @@ a loss applies to: the texts of assistant turns with their end mark.
 All of it is DataFrame functions; one shuffle brings a pair's turns together, with repeated rows dropped on the map side. A
 null role is ``user``, a null text empty, a null turn comes first; turns with one number are ordered by role and text. Rows with a
 null conv_id are in no pair. A pair with one conversation has an empty prompt and a null completion on the other side; equal
-conversations have two empty completions. An empty table gives no rows; other columns are ignored.
+conversations have two empty completions. Very long texts are rendered whole. A pair's distinct turns meet in one row, as its
+prompt is one string; their number is that of a conversation. An empty table gives no rows. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +51,21 @@ def preference_pairs(conversations: DataFrame, pair: Column, rejected: Column) -
     return cut.select("pair_id", _rendered(F.col("prompt")).alias("prompt"), "prompt_turns", _rendered(F.col("c")).alias("chosen"), _rendered(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
 
 
+def answer_pairs(conversations: DataFrame) -> DataFrame:
+    """Pairs that share their turns up to the last answer: each conversation is chosen, and rejected with another's last answer instead.
+
+    The other conversation of 2n is 2n + 1 and the reverse; the pair has the number of the chosen one. Turns from the last
+    assistant turn on are those that differ. A conversation without an answer, or whose neighbour has none, has no rejected side.
+    """
+    turns = conversations.filter("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.filter("role = 'assistant'").groupBy(F.col("conv_id").alias("of")).agg(F.max(F.struct("turn", "text")).alias("last"))
+    answers = last.select("of", F.col("last.turn").alias("at")).join(last.select(F.col("of").bitwiseXOR(F.lit(1).cast("long")).alias("of"), F.col("last.text").alias("other")), "of")
+    chosen = turns.withColumn("side", F.lit(False))
+    before = turns.join(answers, F.col("conv_id") == F.col("of")).filter(F.col("turn").isNull() | (F.col("turn") < F.col("at"))).select("conv_id", "turn", "role", "text", F.lit(True).alias("side"))
+    swapped = answers.select(F.col("of").alias("conv_id"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"), F.lit(True).alias("side"))
+    return preference_pairs(chosen.unionByName(before).unionByName(swapped), F.col("conv_id"), F.col("side"))
+
+
 def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
     """Conversations 2n and 2n + 1 are pair n: the even one is chosen, the odd one rejected."""
     odd = F.pmod("conv_id", F.lit(2))
