@@ -11,7 +11,7 @@ from tidewright.llm.decontaminate import without_benchmark
 from tidewright.llm.ngram_jaccard import drop_near_copies
 from tidewright.llm.packing import pack
 from tidewright.llm.pii import pseudonymise
-from tidewright.llm.queries import TOKENIZER
+from tidewright.llm.queries import TEST_KEY, TOKENIZER
 from tidewright.llm.toxicity import without_toxic
 
 
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become surrogates; the documents stay."""
-    return pseudonymise(docs).select(docs.columns)
+    return pseudonymise(docs, TEST_KEY, counts=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
