@@ -8,6 +8,7 @@ import pytest
 
 from tidewright.operators import forecast, hmm, simulate
 
+#: Fixed values of small models whose probabilities and paths are known.
 PI, A = np.array([0.2, 0.8]), np.array([[0.5, 0.5], [0.4, 0.6]])
 BY_TIME = np.array([[0.1, 0.5, 0.1], [0.4, 0.2, 0.4]])
 
@@ -82,5 +83,5 @@ def test_spectra(spark):
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "series string, idx long, value double")
     p = np.abs(np.fft.rfft(x - x.mean())) ** 2 / 64
     p[1:-1] *= 2
-    assert np.allclose([r.power for r in periodogram(df, 64).orderBy("k").collect()], p)
+    assert np.allclose([r.power for r in periodogram(df).orderBy("k").collect()], p)
     assert welch(df, 32).count() == 17

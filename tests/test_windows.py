@@ -40,12 +40,90 @@ def test_runs_and_longest(spark):
 
 def test_ramps(spark):
     up = windows.ramps(series(spark, [1, 2, 4, 3, 5]), True).orderBy("start").collect()
-    assert [(r.start, r.end, r.duration, r.delta) for r in up] == [(0, 2, 2, 3.0), (3, 4, 1, 2.0)]
+    assert [(r.start, r.end, r.duration, r.change) for r in up] == [(0, 2, 2, 3.0), (3, 4, 1, 2.0)]
+
+
+def test_ramp_codes_and_samples(spark):
+    # Rates a minute over the samples of each ramp: 3 / 30, no code under a change of 1, -4 / 20, and the last sample has none.
+    df = series(spark, [1, 2, 4, 4, 4.5, 4.5, 0.5, 9])
+    ramps = windows.both_ramps(df)
+    coded = {(r.start, r.end): r.code for r in ramps.withColumn("code", states.ramp_code(F.col("duration"), F.col("change"), 10)).collect()}
+    assert coded == {(0, 2): 2, (3, 4): None, (5, 6): 7, (6, 7): 4}
+    assert [r.state for r in states.ramp_samples(df, ramps, 10).orderBy("idx").collect()] == [2, 2, 2, 0, 0, 7, 7, 0]
 
 
 def test_five_states(spark):
-    rows = states.five_states(series(spark, [1, 2, 9, -1, 0])).orderBy("idx").collect()
-    assert [r.state for r in rows] == [states.EXCESS, states.SURGE, states.EXCESS, states.LACK, states.BALANCE]
+    """Less generated than consumed is positive: lack above zero, excess below."""
+    rows = states.five_states(series(spark, [1, 2, 9, -1, -12, 0, -3])).orderBy("idx").collect()
+    want = [states.LACK, states.DEMAND_RISE, states.LACK, states.GENERATION_RISE, states.EXCESS, states.BALANCE, states.EXCESS]
+    assert [r.state for r in rows] == want
+
+
+def test_eight_states_tell_turbine_pump_and_off_apart(spark):
+    cases = [(1, 0, 0, 0), (0, 1, 0, 1), (1, 1, 0, 2), (1, 0, 1, 3), (0, 1, 1, 4), (1, 1, 1, 5), (0, 1, -1, 6), (1, 1, -1, 7), (0, 0, 0, None), (0, 0, 1, None), (1, 0, -1, None), (-1, 1, 0, None)]
+    df = spark.createDataFrame([(float(d), float(w), float(h), c) for d, w, h, c in cases], "d double, w double, h double, c int")
+    assert all(r.c == r.s for r in df.withColumn("s", states.eight_states(F.col("d"), F.col("w"), F.col("h"))).collect())
+    assert states.names8()[6] == ("WP_", "WindTurbines, Hydraulic Pump")
+
+
+def test_change_states(spark):
+    rows = [(0, 1.0, 0.0, 0.0), (1, 1.2, 0.0, 0.0), (2, 2.0, 1.0, 0.0), (3, 2.0, 0.2, 3.0), (4, 1.0, 0.3, -3.0), (5, 0.0, 0.0, 0.0), (6, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame([("s", *r) for r in rows], "series string, idx long, d double, w double, h double")
+    found = states.change_states(df, "d", "w", "h").orderBy("idx").collect()
+    assert [r.code for r in found] == [1 + 8 + 128, 1, 2 + 16, 1 + 32 + 128, 4 + 8 + 256, 4, 0]
+    names = states.names36()
+    assert len(names) == 36 and [r.state is not None and names[r.state][0] for r in found] == ["_D_WT", "_Dxxx", False, "_DdWT", "dD_WP", False, False]
+    assert states.change_states(df, "d", "w", "h", compat=False).filter("idx = 0").first().code == 1
+    assert {n for n, _ in names.values()} >= {"xxxW_", "xxiWT", "iDiWP", "dDxxT", "_D_W_"}
+
+
+def test_abrupt_sides(spark):
+    df = series(spark, [0, 1, 5, 9, 10])
+    got = lambda side: [r.state for r in states.abrupt_states(df, 0.7, side).orderBy("idx").collect()]
+    assert got("all") == [-1, -1, 0, 1, 1] and got("upper") == [0, 0, 0, 1, 1] and got("lower") == [-1, -1, 0, 0, 0]
+
+
+def test_stability_runs(spark):
+    runs, times = windows.stability(series(spark, [10, 10, 0, 10, 20]), 9, 11, 10)
+    assert sorted((r.stable, r.minutes) for r in runs.collect()) == [(False, 10), (True, 30)]
+    assert tuple(times.first()) == ("s", 30, 10, 10)
+
+
+def test_power_rates_report_the_first_step_of_a_rate(spark):
+    rows = windows.power_rates(series(spark, [0, 10, 0, 10, 5, 5, 5, 5]), 10).collect()
+    assert sorted((r.kind, r.idx, r.rate) for r in rows) == [("fall", 1, -1.0), ("fall", 3, -0.5), ("rise", 0, 1.0), ("rise", 0, 1.0)]
+
+
+def test_gaps_cross_days(spark):
+    times = ["2024-01-01 23:59:59", "2024-01-02 00:00:01", "2024-01-05 00:00:00"]
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)], "key string, event_id long, t string").withColumn("ts", F.to_timestamp("t"))
+    assert [r.gap for r in packets.gaps(df).orderBy("ts").collect()] == [None, 2.0, 3 * 86400 - 1.0]
+
+
+def test_median_of_buckets(spark):
+    from tidewright.operators import aggregates
+
+    for values in ([3], [1, 2], [5, 5, 1, 9], list(range(1001)), [1e9, 0, 1, 2, 3]):
+        r = aggregates.scalar_properties(series(spark, values)).first()
+        ordered = sorted(map(float, values))
+        assert r.median == (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+
+
+def test_grids_are_dealt_to_tasks(spark):
+    from tidewright.operators import aggregates
+
+    keys = spark.createDataFrame([(1,), (200_000,), (5,)], "k long")
+    assert aggregates.missing(keys, "k").count() == 200_000 - 3
+
+
+def test_rate_and_gap_divergences(spark):
+    from tidewright.operators import regress
+
+    one = lambda n, gap: spark.createDataFrame([("k", n, 1 / gap)], "key string, n long, rate double")
+    r = regress.gap_divergence(one(10, 2.0), one(30, 4.0)).first()
+    mean = (10 * 2e6 + 30 * 4e6) / 40
+    directed = (10 * (2e6 - mean) ** 2 + 30 * (4e6 - mean) ** 2) / mean
+    assert r.directed == pytest.approx(directed) and r.divergence == pytest.approx(0.5 * directed + 0.5 * (10 * (2e6 - mean) ** 2 / 2e6 + 30 * (4e6 - mean) ** 2 / 4e6)) and r.anomaly
 
 
 def test_transition_matrix_has_zeros(spark):

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def scalar_properties(df: DataFrame, value: str = "value") -> DataFrame:
-    """(series, low, high, mean, median, mode, std); the mode is the smallest of the most frequent values."""
-    mode = df.groupBy("series", value).count().groupBy("series").agg(F.max_by(value, F.struct("count", -F.col(value))).alias("mode"))
-    stats = df.groupBy("series").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"))
-    return stats.join(mode, "series")
+    """(series, low, high, mean, median, mode, std); the mode is the smallest of the most frequent values.
+
+    The median comes from the running counts of distinct values within buckets of the range, so no series' values meet in one buffer.
+    """
+    counts = df.groupBy("series", F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    mode = counts.groupBy("series").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("mode"))
+    stats = df.groupBy("series").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("_n"))
+    share = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    placed = counts.join(stats.select("series", "low", "high", "_n"), "series").withColumn("_b", F.floor(share * 1024))
+    buckets = placed.groupBy("series", "_b").agg(F.sum("n").alias("_rows"))
+    before = buckets.select("series", "_b", F.coalesce(F.sum("_rows").over(Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("series", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = placed.join(before, ["series", "_b"]).withColumn("_to", upto)
+    holds = lambda rank: F.when((F.col("_to") > rank) & (F.col("_to") - F.col("n") <= rank), F.col("value"))
+    middle = ranked.groupBy("series").agg(((F.max(holds(F.floor((F.col("_n") - 1) / 2))) + F.max(holds(F.floor(F.col("_n") / 2)))) / 2).alias("median"))
+    return stats.drop("_n").join(mode, "series").join(middle, "series").select("series", "low", "high", "mean", "median", "mode", "std")
 
 
 def histogram(df: DataFrame, bins: int = 10, value: str = "value") -> DataFrame:
@@ -23,20 +35,34 @@ def histogram(df: DataFrame, bins: int = 10, value: str = "value") -> DataFrame:
     return grid.join(counts, ["series", "bin"], "left").fillna(0, ["n"])
 
 
+def spanned(ends: DataFrame, low: str, high: str, name: str, step: int = 1 << 16) -> DataFrame:
+    """The rows of ends once for each integer from low to high: chunks first, dealt to the tasks, then their numbers."""
+    chunk = ends.withColumn("_c", F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))))
+    inside = F.sequence(F.greatest(F.col("_c") * step, F.col(low)), F.least((F.col("_c") + 1) * step - 1, F.col(high)))
+    return chunk.repartition("_c").withColumn(name, F.explode(inside)).drop("_c")
+
+
 def time_at_level(df: DataFrame, minutes: int, value: str = "value", step: float = 1.0) -> DataFrame:
     """(series, level, minutes) on the whole grid of levels between the smallest and the largest."""
     level = F.bround(F.col(value) / step).cast("long")
     counts = df.groupBy("series", level.alias("level")).agg((F.count("*") * minutes).alias("minutes"))
-    grid = counts.groupBy("series").agg(F.min("level").alias("a"), F.max("level").alias("b")).select("series", F.explode(F.sequence("a", "b")).alias("level"))
+    grid = spanned(counts.groupBy("series").agg(F.min("level").alias("a"), F.max("level").alias("b")), "a", "b", "level").select("series", "level")
     return grid.join(counts, ["series", "level"], "left").fillna(0, ["minutes"])
 
 
-def margins(df: DataFrame, row: str, column: str, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, margin, key, ave, std, low, high) by row and by column of long matrices, in one pass over grouping sets."""
+def missing(df: DataFrame, key: str, name: str = "missing") -> DataFrame:
+    """(name): the whole numbers between the smallest and the largest key that no row has."""
+    seen = df.select(F.col(key).cast("long").alias("_seen")).filter("_seen is not null").distinct()
+    grid = spanned(seen.agg(F.min("_seen").alias("a"), F.max("_seen").alias("b")), "a", "b", name).select(name)
+    return grid.join(seen, F.col(name) == F.col("_seen"), "left_anti")
+
+
+def margins(df: DataFrame, row: str, column: str, value: str = "value", by: tuple[str, ...] = (), places: tuple[int, ...] = (3, 3, 2, 2)) -> DataFrame:
+    """(*by, margin, key, ave, std, low, high) by row and by column of long matrices, in one pass over grouping sets, rounded."""
     side = F.when(F.grouping(row) == 0, row).otherwise(column)
     key = F.coalesce(F.col(row).cast("string"), F.col(column).cast("string"))
     stats = [F.avg(value).alias("ave"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high")]
-    return df.groupingSets([[*by, row], [*by, column]], *by, row, column).agg(side.alias("margin"), *stats).select(*by, "margin", key.alias("key"), F.bround("ave", 3).alias("ave"), F.bround("std", 3).alias("std"), F.bround("low", 2).alias("low"), F.bround("high", 2).alias("high"))
+    return df.groupingSets([[*by, row], [*by, column]], *by, row, column).agg(side.alias("margin"), *stats).select(*by, "margin", key.alias("key"), *[F.bround(c, n).alias(c) for c, n in zip(("ave", "std", "low", "high"), places, strict=True)])
 
 
 def pivoted(df: DataFrame, row: str | list[str], column: str, columns: list, value: str = "value") -> DataFrame:
@@ -73,3 +99,14 @@ def discrete_kl(p: DataFrame, q: DataFrame, key: str = "bin") -> DataFrame:
     share = p.join(p.groupBy("series").agg(F.sum("n").alias("total")), "series").select("series", key, (F.col("n") / F.col("total") + 1e-15).alias("p"))
     base = q.join(F.broadcast(q.agg(F.sum("n").alias("total")))).select(key, (F.col("n") / F.col("total") + 1e-15).alias("q"))  # one row
     return share.join(base, key).groupBy("series").agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"))
+
+
+def fixed_histogram(df: DataFrame, low: float, high: float, bins: int, value: str = "value", by: str = "series") -> DataFrame:
+    """(by, bin, n, density) over equal bins of a given range, the last closed; values outside don't count."""
+    width = (high - low) / bins
+    place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
+    counts = df.filter(F.col(value).between(low, high)).groupBy(by, place.alias("bin")).agg(F.count("*").alias("n"))
+    grid = df.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    full = grid.join(counts, [by, "bin"], "left").fillna(0, ["n"])
+    total = counts.groupBy(by).agg(F.sum("n").alias("_all"))
+    return full.join(total, by, "left").select(by, "bin", "n", F.coalesce(F.col("n") / F.col("_all") / width, F.lit(0.0)).alias("density"))

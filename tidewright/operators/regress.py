@@ -40,6 +40,68 @@ def anova(df: DataFrame, y: Column, x1: Column, x2: Column, by: str) -> DataFram
     return both.select("n", "k", "sse", ssb.alias("ssb"), mse.alias("mse"), (ssb / (3 * (F.col("k") - 1)) / mse).alias("f"), (ssb / mse).alias("divergence"))
 
 
+def _beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return min(max(x, 0.0), 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 400):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + top * d), 1 + top / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def f_quantile(q: float, dfn: float, dfd: float) -> float | None:
+    """The value below which a share q of the F distribution lies; None unless q is between 0 and 1."""
+    if not 0 < q < 1:
+        return None
+    low, high = 0.0, 1.0
+    for _ in range(200):  # x = dfn F / (dfn F + dfd)
+        mid = (low + high) / 2
+        low, high = (mid, high) if _beta(dfn / 2, dfd / 2, mid) < q else (low, mid)
+    return dfd * low / (dfn * (1 - low))
+
+
+def decision(table: DataFrame) -> DataFrame:
+    """A one-row table of anova with dfn, dfd, critical, the 95 % point of its F distribution, and quantile, the point at the divergence's F taken as a share."""
+
+    def run(parts):
+        for pdf in parts:
+            dfn, dfd = 3 * (pdf["k"] - 1), pdf["n"] - 3 * pdf["k"]
+            share = pdf["divergence"] / dfn
+            at = lambda q: [f_quantile(x, a, b) for x, a, b in zip(q, dfn, dfd, strict=True)]
+            yield pdf.assign(dfn=dfn, dfd=dfd, critical=at([0.95] * len(pdf)), quantile=at(share))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return table.mapInPandas(run, f"{schema}, dfn long, dfd long, critical double, quantile double")
+
+
+def shapes(df: DataFrame, columns: list[str], y: str, by: str) -> DataFrame:
+    """One row: k categories, n rows, p features, and whether every category has a value of y for each of its rows and as many of each feature."""
+    whole = F.count(y) == F.count("*")
+    for c in columns:
+        whole = whole & (F.count(c) == F.count("*"))
+    each = df.groupBy(by).agg(F.count("*").alias("n"), whole.alias("whole"))
+    return each.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit(len(columns)).alias("p"), (F.coalesce(F.every("whole"), F.lit(False))).alias("valid"))
+
+
+def predicted(df: DataFrame, y: Column, x1: Column, x2: Column, by: str) -> DataFrame:
+    """The rows with own and pooled: what the line of their category, and the one of all, say."""
+    sums = moments(df, y, x1, x2, [by])
+    own = solved(sums).select(F.col(by).alias("_by"), *[F.col(f"b{i}").alias(f"_b{i}") for i in range(3)])
+    one = solved(pooled(sums)).select(*[F.col(f"b{i}").alias(f"_p{i}") for i in range(3)])
+    both = df.join(own, F.col(by).eqNullSafe(F.col("_by"))).join(F.broadcast(one))  # one row
+    line = lambda p: F.col(f"_{p}0") + F.col(f"_{p}1") * x1 + F.col(f"_{p}2") * x2
+    return both.withColumns({"own": line("b"), "pooled": line("p")}).drop("_by", *[f"_{p}{i}" for p in "bp" for i in range(3)])
+
+
 def quality(df: DataFrame, y: Column, x1: Column, x2: Column) -> DataFrame:
     """One row: fit of y on 1, x1, x2 with r2, sse, ssr, sigma2, mean_abs, max_abs, f, from one more pass over the residuals."""
     fit = solved(moments(df, y, x1, x2, []))
@@ -70,6 +132,19 @@ def rate_divergence(train: DataFrame, test: DataFrame, key: str = "key") -> Data
     return both.select(key, directed.alias("directed"), divergence.alias("divergence"), ((directed > CHI2) | (divergence > CHI2)).alias("anomaly"))
 
 
+def gap_divergence(train: DataFrame, test: DataFrame, key: str = "key", units: float = 1e6) -> DataFrame:
+    """(key, directed, divergence, anomaly): squared differences of two mean gaps from their pooled mean, over that and over the means.
+
+    Gaps count in microseconds; the statistics grow with the unit.
+    """
+    both = train.select(key, F.col("n").alias("n1"), (units / F.col("rate")).alias("x1")).join(test.select(key, F.col("n").alias("n2"), (units / F.col("rate")).alias("x2")), key)
+    pooled = both.withColumn("x", (F.col("n1") * F.col("x1") + F.col("n2") * F.col("x2")) / (F.col("n1") + F.col("n2")))
+    square = lambda i: F.col(f"n{i}") * (F.col(f"x{i}") - F.col("x")) * (F.col(f"x{i}") - F.col("x"))
+    directed = (square(1) + square(2)) / F.col("x")
+    divergence = 0.5 * directed + 0.5 * (square(1) / F.col("x1") + square(2) / F.col("x2"))
+    return pooled.select(key, directed.alias("directed"), divergence.alias("divergence"), ((directed > CHI2) | (divergence > CHI2)).alias("anomaly"))
+
+
 def poisson_log(n: Column, rate: Column) -> Column:
     """Logarithm of the Poisson probability of n events."""
     return -rate + n * F.log(rate) - F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))

@@ -10,20 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def periodogram(df: DataFrame, n: int, value: str = "value", fs: float = 1.0) -> DataFrame:
-    """(series, k, power) of the first n values less their mean: one-sided density, by n/2 + 1 sums of cosines and sines.
-
-    n is a bounded segment; every row meets every frequency, and the sums are combined before the shuffle.
-    """
-    head = df.filter(F.col("idx") < n)
-    mean = head.groupBy("series").agg(F.avg(value).alias("_m"))
-    at = head.join(mean, "series").select("series", (F.col(value) - F.col("_m")).alias("v"), "idx", F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k"))
-    angle = 2 * math.pi * F.col("k") * F.col("idx") / n
-    sums = at.groupBy("series", "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("c"), F.sum(F.col("v") * F.sin(angle)).alias("s"))
-    sides = F.when((F.col("k") == 0) | ((F.col("k") * 2 == n)), 1).otherwise(2)
-    return sums.select("series", F.col("k").cast("long").alias("k"), ((F.col("c") * F.col("c") + F.col("s") * F.col("s")) * sides / (n * fs)).alias("power"))
-
-
 def per_series(df: DataFrame, body, schema: str) -> DataFrame:
     """Applies a sequential function to each series, ordered by idx, in one task a series."""
     return df.groupBy("series").applyInPandas(lambda pdf: body(pdf.sort_values("idx")), schema)
@@ -44,7 +30,7 @@ def welch(df: DataFrame, segment: int = 256, fs: float = 1.0, value: str = "valu
     return per_series(df, body, "series string, frequency double, power double")
 
 
-def whole_periodogram(df: DataFrame, fs: float = 1.0, value: str = "value") -> DataFrame:
+def periodogram(df: DataFrame, fs: float = 1.0, value: str = "value") -> DataFrame:
     """(series, k, power) of every value of each series less their mean: one-sided density at n // 2 + 1 frequencies k fs / n."""
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:

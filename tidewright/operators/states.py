@@ -7,10 +7,48 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.windows import in_blocks
 
-#: Codes of the five balance states (fixed values).
-BALANCE, LACK, EXCESS, SAG, SURGE = 0, 1, 2, 3, 4
-#: Names of the five and eight states (fixed values).
-NAMES5 = {BALANCE: ("BLNC", "balance"), LACK: ("LACK", "lack of energy"), EXCESS: ("EXCS", "excess of energy"), SAG: ("SIGP", "sharp drop"), SURGE: ("SIPC", "sharp rise")}
+#: Codes and names of the balance of consumers and generators (fixed values).
+BALANCE, LACK, DEMAND_RISE, EXCESS, GENERATION_RISE = range(5)
+NAMES5 = {
+    BALANCE: ("BLNC", "Balance of consumer power and generated power"),
+    LACK: ("LACK", "Lack electrical power"),
+    DEMAND_RISE: ("SIPC", "Sharp increase in power consumption"),
+    EXCESS: ("EXCS", "Excess electrical power"),
+    GENERATION_RISE: ("SIGP", "Sharp increase in generation power"),
+}
+#: The eight states in the order of their codes: diesels, wind turbines, and the hydraulic plant as turbine (T), as pump (P) or off (fixed values).
+NAMES8 = ("D__", "W__", "DW_", "DT_", "WT_", "DWT", "WP_", "DWP")
+#: The 36 states in the order of their codes, by what the hydraulic plant does: (diesels, wind turbines), each off (empty), steady (_), or
+#: changing power up (i) or down (d) (fixed values).
+STATES36 = {
+    "": (("_", ""), ("i", ""), ("", "_"), ("", "i"), ("", "d"), ("_", "_"), ("_", "i"), ("_", "d"), ("i", "_"), ("i", "d"), ("d", "_"), ("d", "i")),
+    "T": (("_", ""), ("i", ""), ("d", ""), ("", "_"), ("", "i"), ("", "d"), ("_", "_"), ("_", "i"), ("_", "d"), ("i", "_"), ("i", "d"), ("d", "_"), ("d", "i")),
+    "P": (("", "_"), ("", "i"), ("", "d"), ("_", "_"), ("_", "i"), ("_", "d"), ("i", "_"), ("i", "i"), ("i", "d"), ("d", "_"), ("d", "i")),
+}
+#: Bits of the flags: a source that is steady, rising, falling; the plant as turbine, as pump (fixed values).
+DIESEL_BITS, WIND_BITS, PLANT_BITS = {"": 0, "_": 1, "i": 2, "d": 4}, {"": 0, "_": 8, "i": 16, "d": 32}, {"": 0, "T": 128, "P": 256}
+
+
+def codes36() -> list[int]:
+    """The flags of the 36 states, in the order of their codes."""
+    return [DIESEL_BITS[d] + WIND_BITS[w] + PLANT_BITS[h] for h, pairs in STATES36.items() for d, w in pairs]
+
+
+def names8() -> dict[int, tuple[str, str]]:
+    part = {"D": "Diesels", "W": "WindTurbines", "T": "Hydraulic Turbine", "P": "Hydraulic Pump"}
+    return {i: (n, ", ".join(part[c] for c in n if c != "_")) for i, n in enumerate(NAMES8)}
+
+
+def names36() -> dict[int, tuple[str, str]]:
+    power = {"_": "", "i": "IncPower ", "d": "DecPower "}
+    out = {}
+    for h, pairs in STATES36.items():
+        for d, w in pairs:
+            wind = "xx" if not w else f"x{'W'}" if not d and w == "_" else f"{w}W"
+            short = (f"{d}D" if d else "xx") + wind + (h or ("_" if w else "x"))
+            long = (f"{power[d]}Diesels" if d else "Diesels Off", f"{power[w]}WindTurbine" if w else "WindTurbine Off", {"": "Hydraulic Off", "T": "Hydraulic Turbine", "P": "Hydraulic Pump"}[h])
+            out[len(out)] = (short, ", ".join(long))
+    return out
 
 
 def named(df: DataFrame, code: str, names: dict[int, tuple[str, str]]) -> DataFrame:
@@ -26,41 +64,65 @@ def sign_state(value: Column, band: Column | float) -> Column:
 
 
 def five_states(df: DataFrame, value: str = "value", band: float = 1e-3) -> DataFrame:
-    """Adds state: the sign band, overridden where the next value runs away from the line through the last two."""
+    """Adds state: excess below the band, lack above it; overridden where the next value runs away from the line through the last two.
+
+    The value is the consumers' power less the generated one. The first and last samples have their band only.
+    """
 
     def body(d: DataFrame, w) -> DataFrame:
         x, before, after = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
-        level = F.when(x > band, EXCESS).when(x < -band, LACK).otherwise(BALANCE)
-        surge, sag = (x > before) & (after > 2 * x - before), (x < before) & (after < 2 * x - before)
-        return d.withColumn("state", F.when(surge, SURGE).when(sag, SAG).otherwise(level))
+        level = F.when(x < -band, EXCESS).when(x > band, LACK).otherwise(BALANCE)
+        demand, generation = (x > before) & (after > 2 * x - before), (x < before) & (after < 2 * x - before)
+        return d.withColumn("state", F.when(demand, DEMAND_RISE).when(generation, GENERATION_RISE).otherwise(level))
 
     return in_blocks(df, 1, 1, body)
 
 
-def eight_states(first: Column, second: Column, third: Column) -> Column:
-    """Code of which sources run and the sign of the third: 4 for the first, 2 for the second, 1 for the third positive."""
-    return F.when(first.isNull() | second.isNull() | third.isNull(), None).otherwise((first > 0).cast("int") * 4 + (second > 0).cast("int") * 2 + (third > 0).cast("int"))
+def eight_states(diesel: Column, wind: Column, hydro: Column) -> Column:
+    """The code of which sources run, the hydraulic plant as turbine above zero and as pump below; null for other combinations."""
+    on = {"D": diesel > 0, "W": wind > 0, "T": hydro > 0, "P": hydro < 0}
+    off = {"D": diesel == 0, "W": wind == 0, "T": hydro == 0}
+    state = F.lit(None).cast("int")
+    for code, name in enumerate(NAMES8):
+        plant = on["T"] if "T" in name else on["P"] if "P" in name else off["T"]
+        state = F.when((on if "D" in name else off)["D"] & (on if "W" in name else off)["W"] & plant, code).otherwise(state)
+    return state
+
 
+def change_states(df: DataFrame, diesel: str, wind: str, hydro: str, threshold: float = 0.577, compat: bool = True) -> DataFrame:
+    """Adds code, the flags of steady, rising and falling sources and of the plant, and state, their number of 36; null if they have none.
 
-def change_code(df: DataFrame, columns: list[str], threshold: float) -> DataFrame:
-    """Adds code: for each column three bits, on, rising and falling by more than the threshold, packed in order."""
+    With compat the first sample counts wind and turbine as running whatever their values, as in older results.
+    """
 
     def body(d: DataFrame, w) -> DataFrame:
-        code = F.lit(0)
-        for c in columns:
+        def flags(c: str, bits: dict[str, int]) -> Column:
             step = F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
-            for flag in (F.col(c) > 0, step > threshold, step < -threshold):
-                code = F.shiftleft(code, 1).bitwiseOR(flag.cast("int"))
+            return F.when(step > threshold, bits["i"]).when(step < -threshold, bits["d"]).when(F.col(c) > 0, bits["_"]).otherwise(0)
+
+        plant = F.when(F.col(hydro) > 0, PLANT_BITS["T"]).when(F.col(hydro) < 0, PLANT_BITS["P"]).otherwise(0)
+        code = flags(diesel, DIESEL_BITS) + flags(wind, WIND_BITS) + plant
+        if compat:
+            first = F.when(F.col(diesel) > 0, DIESEL_BITS["_"]).otherwise(0) + F.lit(WIND_BITS["_"] + PLANT_BITS["T"]) + F.when(F.col(hydro) < 0, PLANT_BITS["P"]).otherwise(0)
+            code = F.when(F.col("idx") == 0, first).otherwise(code)
         return d.withColumn("code", code)
 
-    return in_blocks(df, 1, 0, body)
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(codes36()) for x in (c, i)])
+    return in_blocks(df, 1, 0, body).withColumn("state", F.element_at(number, F.col("code")))
+
 
+def abrupt_states(df: DataFrame, level: float, sides: str = "all", value: str = "value") -> DataFrame:
+    """Adds state: 1 near the largest value of the series, -1 near the smallest (which wins), 0 between.
 
-def abrupt_states(df: DataFrame, level: float, one_sided: bool = False, value: str = "value") -> DataFrame:
-    """Adds state: 1 near the largest value of the series, -1 near the smallest (which wins), 0 between."""
+    sides is all, upper or lower; for one side the band is half as wide, and only that side is marked.
+    """
     ends = df.groupBy("series").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    delta = (F.col("_high") - F.col("_low")) * (1 - level) / (2 if one_sided else 1)
-    state = F.when(F.col(value) <= F.col("_low") + delta, -1).when(F.col(value) >= F.col("_high") - delta, 1).otherwise(0)
+    delta = (F.col("_high") - F.col("_low")) * (1 - level) / (1 if sides == "all" else 2)
+    state = F.lit(0)
+    if sides != "lower":
+        state = F.when(F.col(value) >= F.col("_high") - delta, 1).otherwise(state)
+    if sides != "upper":
+        state = F.when(F.col(value) <= F.col("_low") + delta, -1).otherwise(state)
     return df.join(ends, "series").withColumn("state", state).drop("_low", "_high")
 
 
@@ -103,8 +165,20 @@ def rates(df: DataFrame, minutes: int, state: str = "state") -> DataFrame:
     return n.select("series", "state", rate.alias("rate"), (1 / rate).alias("period"))
 
 
-def ramp_code(duration: Column, delta: Column, minutes: int) -> Column:
-    """0 to 4 by the rate of change at 0.01, 0.075, 0.15 and 0.225 a minute, 4 more for a fall."""
-    rate = F.bround(F.abs(delta) / (duration * minutes), 4)
-    band = F.when(rate < 0.01, 0).when(rate < 0.075, 1).when(rate < 0.15, 2).when(rate < 0.225, 3).otherwise(4)
-    return F.when((delta < 0) & (band > 0), band + 4).otherwise(band)
+def ramp_code(duration: Column, change: Column, minutes: int) -> Column:
+    """0 to 4 by the rate of change at 0.01, 0.075, 0.15 and 0.225 a minute, 4 more for a fall; null for changes under 1.
+
+    The rate is over all samples of the ramp, one more than its steps.
+    """
+    rate = F.bround(F.abs(change) / ((duration + 1) * minutes), 4)
+    band = F.when(rate >= 0.225, 4).when(rate >= 0.15, 3).when(rate >= 0.075, 2).when(rate >= 0.01, 1).otherwise(0)
+    return F.when(F.abs(change) >= 1, F.when((change < 0) & (band > 0), band + 4).otherwise(band))
+
+
+def ramp_samples(df: DataFrame, ramps: DataFrame, minutes: int) -> DataFrame:
+    """(series, idx, state): the code of the ramp that covers each sample, the falling one if two do, else 0; the last sample has 0."""
+    coded = ramps.withColumn("code", ramp_code(F.col("duration"), F.col("change"), minutes)).filter("code is not null")
+    ends = df.groupBy("series").agg(F.max("idx").alias("_last"))
+    covered = coded.join(ends, "series").filter(F.col("start") < F.col("_last")).select("series", F.explode(F.sequence("start", F.least(F.col("end"), F.col("_last") - 1))).alias("idx"), "code", (F.col("change") < 0).alias("fall"))
+    states_ = covered.groupBy("series", "idx").agg(F.max_by("code", "fall").alias("state"))
+    return df.select("series", "idx").join(states_, ["series", "idx"], "left").fillna(0, ["state"])

@@ -132,13 +132,19 @@ def transformed(df: DataFrame, season: int) -> DataFrame:
 def runs(df: DataFrame, state: str = "state") -> DataFrame:
     """(series, run, state, start, len) of maximal runs of one state, in order.
 
-    A run starts where the state changes, found within blocks; the starts, one row for each run, then get their lengths.
+    A run starts where the state changes, found within blocks; starts are numbered and followed within blocks too, and a block's last
+    run takes its end from the next block with a start, so no series' runs meet in one task.
     """
     starts = in_blocks(df, 1, 0, lambda d, w: d.withColumn("_new", ~F.col(state).eqNullSafe(F.lag(state).over(w)) | (F.col("idx") == 0))).filter("_new")
     ends = df.groupBy("series").agg((F.max("idx") + 1).alias("_end"))
-    w = Window.partitionBy("series").orderBy("start")
-    found = starts.select("series", F.col("idx").alias("start"), F.col(state).alias("state")).join(ends, "series")
-    return found.withColumns({"run": F.row_number().over(w) - 1, "len": F.coalesce(F.lead("start").over(w), F.col("_end")) - F.col("start")}).select("series", "run", "state", "start", "len")
+    found = starts.select("series", F.col("idx").alias("start"), F.col(state).alias("state"), F.floor(F.col("idx") / BLOCK).alias("_b"))
+    by_series = Window.partitionBy("series").orderBy("_b")
+    blocks = found.groupBy("series", "_b").agg(F.min("start").alias("_first"), F.count("*").alias("_n"))
+    blocks = blocks.select("series", "_b", F.lead("_first").over(by_series).alias("_after"), F.coalesce(F.sum("_n").over(by_series.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("series", "_b").orderBy("start")
+    inside = found.withColumns({"_next": F.lead("start").over(w), "_rank": F.row_number().over(w) - 1})
+    whole = inside.join(blocks, ["series", "_b"]).join(ends, "series")
+    return whole.select("series", (F.col("_rank") + F.col("_before")).alias("run"), "state", "start", (F.coalesce("_next", "_after", "_end") - F.col("start")).alias("len"))
 
 
 def longest_runs(run_table: DataFrame) -> DataFrame:
@@ -147,14 +153,51 @@ def longest_runs(run_table: DataFrame) -> DataFrame:
 
 
 def ramps(df: DataFrame, rising: bool, value: str = "value") -> DataFrame:
-    """(series, start, end, duration, delta): maximal monotone segments that rise (or fall), delta at one place."""
+    """(series, start, end, duration, change): maximal monotone segments that rise (or fall), in steps."""
     ok = (lambda a, b: a > b) if rising else (lambda a, b: a < b)
     moved = in_blocks(df, 1, 0, lambda d, w: d.withColumn("_up", F.coalesce(ok(F.col(value), F.lag(value).over(w)), F.lit(False))))
     steps = runs(moved.select("series", "idx", F.col("_up").alias("state"))).filter("state")
     spans = steps.select("series", (F.col("start") - 1).alias("start"), (F.col("start") + F.col("len") - 1).alias("end"))
     at = lambda name: df.select("series", F.col("idx").alias(name), F.col(value).alias(f"_{name}"))
     joined = spans.join(at("start"), ["series", "start"]).join(at("end"), ["series", "end"])
-    return joined.select("series", "start", "end", (F.col("end") - F.col("start")).alias("duration"), F.bround(F.col("_end") - F.col("_start"), 1).alias("delta"))
+    return joined.select("series", "start", "end", (F.col("end") - F.col("start")).alias("duration"), (F.col("_end") - F.col("_start")).alias("change"))
+
+
+def both_ramps(df: DataFrame, value: str = "value") -> DataFrame:
+    """Rising and falling segments together."""
+    return ramps(df, True, value).unionByName(ramps(df, False, value))
+
+
+def exactly(value: Column, places: int) -> Column:
+    """Half to even on the shortest decimal form, cut to nine places, so that binary noise of sums doesn't decide ties."""
+    return F.bround(value.cast("decimal(28,9)"), places).cast("double")
+
+
+def power_rates(df: DataFrame, minutes: float, value: str = "value", places: int = 3) -> DataFrame:
+    """(series, idx, rate, kind): the tenth of steps (2 at least) that fall and rise most a minute; idx is the first step of that rate.
+
+    Steps are ranked within buckets of rates, so no series is sorted in one task.
+    """
+    moved = in_blocks(df, 0, 1, lambda d, w: d.withColumn("_next", F.lead(value).over(w))).filter("_next is not null")
+    steps = moved.select("series", "idx", exactly((F.col("_next") - F.col(value)) / minutes, places).alias("rate"))
+    ends = steps.groupBy("series").agg(F.min("rate").alias("_a"), F.max("rate").alias("_b"), F.count("*").alias("_n"))
+    k = F.greatest(F.floor((F.col("_n") + 1) / 10), F.lit(0))
+    sized = steps.join(ends, "series").withColumn("_k", F.least(F.when(k > 1, k).otherwise(2), F.col("_n")))
+    bucket = F.floor(F.coalesce(F.try_divide((F.col("rate") - F.col("_a")) * 1024, F.col("_b") - F.col("_a")), F.lit(0.0)))
+    ranked = positions(sized.withColumn("at", F.col("idx")), ("rate", "at"), bucket)
+    first = steps.groupBy("series", "rate").agg(F.min("idx").alias("idx"))
+    low = ranked.filter(F.col("rank") < F.col("_k")).select("series", "rate", F.lit("fall").alias("kind"))
+    high = ranked.filter(F.col("rank") >= F.col("_n") - F.col("_k")).select("series", "rate", F.lit("rise").alias("kind"))
+    return low.unionByName(high).join(first, ["series", "rate"]).select("series", "idx", "rate", "kind")
+
+
+def positions(df: DataFrame, order: tuple[str, ...], bucket: Column) -> DataFrame:
+    """Adds rank, from 0, within the series: ranks within buckets, which must follow the order, shifted by the earlier buckets' rows."""
+    keyed = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy("series").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shift = keyed.groupBy("series", "_bucket").count().select("series", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("series", "_bucket").orderBy(*order)))
+    return ranked.join(shift, ["series", "_bucket"]).withColumn("rank", (F.col("_rank") - 1 + F.col("_before")).cast("long")).drop("_rank", "_before", "_bucket")
 
 
 def last_n(df: DataFrame, n: int) -> DataFrame:
@@ -172,6 +215,33 @@ def tumbling(df: DataFrame, period: int, offset: int, value: str = "value") -> D
     return rows.join(stats, ["series", "area"]).groupBy("series", "area", "mean", "std", "low", "high").agg(F.count_if(inside).alias("n_in"), F.count_if(~inside).alias("n_out"))
 
 
+def stability(df: DataFrame, low: float | Column, high: float | Column, minutes: int, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(runs (series, stable, minutes), times (series, stable, unstable, off)): samples within and out of a band.
+
+    Samples of zero or less are off: they count as such and break no run.
+    """
+    on = df.filter(F.col(value) > 0)
+    kept = positions(on, ("idx",), F.floor(F.col("idx") / BLOCK)).select("series", F.col("rank").alias("idx"), F.col(value).between(low, high).alias("state"))
+    found = runs(kept).select("series", F.col("state").alias("stable"), (F.col("len") * minutes).alias("minutes"))
+    inside = (F.col(value) > 0) & F.col(value).between(low, high)
+    n = lambda c: (F.count_if(c) * minutes)
+    return found, df.groupBy("series").agg(n(inside).alias("stable"), n((F.col(value) > 0) & ~inside).alias("unstable"), n(F.col(value) <= 0).alias("off"))
+
+
+def day_profiles(df: DataFrame, value: str = "value") -> DataFrame:
+    """(series, day, pos, value): samples from each midnight sample to the next; those before the first and from the last one on are left out.
+
+    Midnights are found among the rows, and looked up by date, one row for each series and date.
+    """
+    midnight = (F.hour("ts") == 0) & (F.minute("ts") == 0)
+    dates = df.groupBy("series", F.to_date("ts").alias("date")).agg(F.min(F.when(midnight, F.col("idx"))).alias("at"), F.min(F.when(midnight, F.col("ts"))).alias("day"))
+    so_far = Window.partitionBy("series").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = dates.select("series", "date", F.last("at", ignorenulls=True).over(so_far).alias("at"), F.last("day", ignorenulls=True).over(so_far).alias("day"))
+    last = dates.groupBy("series").agg(F.max("at").alias("_last"))
+    rows = df.select("series", "idx", F.to_date("ts").alias("date"), F.col(value).alias("value")).join(known.filter("at is not null"), ["series", "date"]).join(last, "series")
+    return rows.filter((F.col("idx") >= F.col("at")) & (F.col("at") < F.col("_last"))).select("series", "day", (F.col("idx") - F.col("at")).alias("pos"), "value")
+
+
 def smoothed(values: Column) -> Column:
     """v[i+1] = v[i] wherever v[i] = v[i+2], left to right, so that a change carries on."""
     start = F.slice(values, 1, 2)

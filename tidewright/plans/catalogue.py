@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars
-from tidewright.operators import aggregates, packets, regress, states, windows
+from tidewright.operators import aggregates, cleaning, packets, regress, states, windows
 from tidewright.sources import series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,8 +16,8 @@ ORACLES: dict[str, str] = {}
 
 #: The series of the queries, in DuckDB's SQL.
 EVENTS = "ev AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, ts, event_id, value FROM events WHERE value IS NOT NULL)"
-HOURLY = "hr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS idx FROM (SELECT event_type AS series, date_trunc('hour', ts) AS ts, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / CAST(1.001 AS DOUBLE) AS value FROM events GROUP BY ALL))"
-DAILY = "dy AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx FROM (SELECT 'orders' AS series, o_orderdate AS ts, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / CAST(1.001 AS DOUBLE) AS value FROM orders GROUP BY ALL))"
+HOURLY = "hr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS idx FROM (SELECT event_type AS series, date_trunc('hour', ts) AS ts, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM events GROUP BY ALL))"
+DAILY = "dy AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx FROM (SELECT 'orders' AS series, o_orderdate AS ts, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM orders GROUP BY ALL))"
 CENTRED = HOURLY + ", st AS (SELECT series, idx, value, CASE WHEN value - m > 0.1 * s THEN 1 WHEN value - m < -0.1 * s THEN -1 ELSE 0 END AS state FROM (SELECT *, avg(value) OVER (PARTITION BY series) AS m, stddev_pop(value) OVER (PARTITION BY series) AS s FROM hr))"
 
 
@@ -146,24 +146,8 @@ def autocorr_lags(spark, d):
     return rounded(windows.autocorrelation(series.hourly(spark, d), [1, 2, 3, 24]))
 
 
-@query(f"""WITH {HOURLY}, k AS (
-        SELECT series || '|plain' AS series, idx, value FROM hr
-        UNION ALL SELECT series || '|diff1', idx - 1, value - lag(value) OVER w FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)
-        UNION ALL SELECT series || '|diff2', idx - 2, value - 2 * lag(value) OVER w + lag(value, 2) OVER w FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)
-        UNION ALL SELECT series || '|diff1s', idx - 25, (value - lag(value) OVER w) - (lag(value, 24) OVER w - lag(value, 25) OVER w) FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)),
-    kk AS (SELECT * FROM k WHERE value IS NOT NULL), {AUTOCORR.format('kk')}
-    SELECT series, lag, round(sum((x - m) * (y - m)) / (any_value(n) * any_value(v)), 6) AS r FROM p GROUP BY series, lag""")
-def correlograms(spark, d):
-    return rounded(windows.autocorrelation(windows.transformed(series.hourly(spark, d), 24), [1, 2, 3, 24]))
-
-
-@query(f"WITH {HOURLY}, {AUTOCORR.format('hr')} SELECT series, lag, round(corr(x, y), 6) AS r FROM p GROUP BY series, lag")
-def pearson_autocorr(spark, d):
-    return rounded(windows.pearson_lags(series.hourly(spark, d), [1, 2, 3, 24]))
-
-
 @query(f"WITH {HOURLY} SELECT series, CAST(b.idx - a.idx AS INTEGER) AS lag, round(corr(a.value, b.value), 6) AS r FROM hr a JOIN hr b USING (series) WHERE b.idx - a.idx BETWEEN 0 AND 511 GROUP BY series, lag")
-def pearson_autocorr_all(spark, d):
+def pearson_autocorr(spark, d):
     return rounded(windows.pearson_all_lags(series.hourly(spark, d), 512))
 
 
@@ -174,28 +158,19 @@ def pearson_autocorr_all(spark, d):
         UNION ALL SELECT series || '|diff1s', idx, top, (value - lag(value) OVER w) - (lag(value, 24) OVER w - lag(value, 25) OVER w) FROM h WINDOW w AS (PARTITION BY series ORDER BY idx)),
     s AS (SELECT *, avg(value) OVER v AS m, var_pop(value) OVER v AS s2, count(*) OVER v AS n FROM k WHERE value IS NOT NULL WINDOW v AS (PARTITION BY series))
     SELECT series, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum((a.value - a.m) * (b.value - b.m)) / (any_value(a.n) * any_value(a.s2)), 6) AS r FROM s a JOIN s b USING (series) WHERE b.idx - a.idx BETWEEN 0 AND a.top - 1 GROUP BY series, lag""")
-def correlograms_all(spark, d):
+def correlograms(spark, d):
     from tidewright.operators import spectra
 
     return rounded(spectra.correlograms(series.hourly(spark, d), 24))
 
 
-@query(f"""WITH {HOURLY}, x AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS v FROM hr WHERE idx < 256)
-    SELECT series, k, round((power(sum(v * cos(2 * pi() * k * idx / 256)), 2) + power(sum(v * sin(2 * pi() * k * idx / 256)), 2)) * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END / 256, 4) AS power
-    FROM x, (SELECT unnest(range(0, 129)) AS k) GROUP BY series, k""")
-def periodogram_dft(spark, d):
-    from tidewright.operators.spectra import periodogram
-
-    return rounded(periodogram(series.hourly(spark, d), 256).select("series", "k", "power"), 4)
-
-
 @query(f"""WITH {HOURLY}, x AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS v, count(*) OVER (PARTITION BY series) AS n FROM hr), f AS (SELECT series, unnest(range(0, count(*) // 2 + 1)) AS k FROM hr GROUP BY series)
     SELECT series, k, round((power(sum(v * cos(2 * pi() * k * idx / n)), 2) + power(sum(v * sin(2 * pi() * k * idx / n)), 2)) * CASE WHEN k = 0 OR 2 * k = any_value(n) THEN 1 ELSE 2 END / any_value(n), 4) AS power
     FROM x JOIN f USING (series) GROUP BY series, k""")
-def periodogram_whole(spark, d):
-    from tidewright.operators.spectra import whole_periodogram
+def periodogram(spark, d):
+    from tidewright.operators import spectra
 
-    return rounded(whole_periodogram(series.hourly(spark, d)), 4)
+    return rounded(spectra.periodogram(series.hourly(spark, d)), 4)
 
 
 # Aggregations
@@ -204,47 +179,20 @@ def periodogram_whole(spark, d):
 @query(f"""WITH {EVENTS}, c AS (SELECT series, value, count(*) AS n FROM ev GROUP BY ALL), m AS (SELECT series, first(value ORDER BY n DESC, value) AS mode FROM c GROUP BY series)
     SELECT series, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(median(value), 6) AS median, any_value(mode) AS mode, round(stddev_samp(value), 6) AS std FROM ev JOIN m USING (series) GROUP BY series""")
 def scalar_props(spark, d):
-    return rounded(aggregates.scalar_properties(series.events(spark, d)))
+    return rounded(aggregates.scalar_properties(series.samples(spark, d)))
 
 
 @query(f"""WITH {EVENTS}, e AS (SELECT series, min(value) AS a, max(value) AS b FROM ev GROUP BY series),
     c AS (SELECT series, CAST(least(floor((value - a) / ((b - a) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM ev JOIN e USING (series) GROUP BY ALL)
     SELECT series, bin, coalesce(n, 0) AS n FROM (SELECT series, CAST(unnest(range(0, 10)) AS INTEGER) AS bin FROM e) LEFT JOIN c USING (series, bin)""")
 def hist10(spark, d):
-    return aggregates.histogram(series.events(spark, d)).select("series", "bin", "n")
+    return aggregates.histogram(series.samples(spark, d)).select("series", "bin", "n")
 
 
 @query(f"""WITH {EVENTS}, c AS (SELECT series, CAST(round_even(value / 10, 0) AS BIGINT) AS level, count(*) * 10 AS minutes FROM ev GROUP BY ALL)
     SELECT series, level, coalesce(minutes, 0) AS minutes FROM (SELECT series, unnest(range(min(level), max(level) + 1)) AS level FROM c GROUP BY series) LEFT JOIN c USING (series, level)""")
 def time_at_level(spark, d):
-    return aggregates.time_at_level(series.events(spark, d), 10, step=10.0)
-
-
-MATRIX = "mx AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, hour(ts) AS slot, value FROM hr WHERE series = 'view')"
-
-
-def _matrix(spark, d):
-    return series.hourly(spark, d).filter("series = 'view'").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("slot"), "value")
-
-
-@query(f"WITH {HOURLY}, {MATRIX} SELECT day, " + ", ".join(f'max(value) FILTER (slot = {h}) AS "{h}"' for h in range(24)) + " FROM mx GROUP BY day")
-def day_slot_matrix(spark, d):
-    return aggregates.pivoted(_matrix(spark, d), "day", "slot", list(range(24)))
-
-
-DAYS = [f"2024-01-{i:02d}" for i in range(1, 31)]
-
-
-@query(f"WITH {HOURLY}, {MATRIX} SELECT slot, " + ", ".join(f"max(value) FILTER (day = '{x}') AS \"{x}\"" for x in DAYS) + " FROM mx GROUP BY slot")
-def slot_day_matrix(spark, d):
-    return aggregates.pivoted(_matrix(spark, d), "slot", "day", DAYS)
-
-
-@query(f"""WITH {HOURLY}, {MATRIX} SELECT margin, key, round_even(ave, 3) AS ave, round_even(std, 3) AS std, round_even(low, 2) AS low, round_even(high, 2) AS high FROM (
-    SELECT 'slot' AS margin, CAST(slot AS VARCHAR) AS key, avg(value) AS ave, stddev_pop(value) AS std, min(value) AS low, max(value) AS high FROM mx GROUP BY slot
-    UNION ALL SELECT 'day', day, avg(value), stddev_pop(value), min(value), max(value) FROM mx GROUP BY day)""")
-def matrix_margins(spark, d):
-    return aggregates.margins(_matrix(spark, d), "slot", "day")
+    return aggregates.time_at_level(series.samples(spark, d), 10, step=10.0)
 
 
 MATRICES = "mx AS (SELECT series, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, hour(ts) AS slot, value FROM hr)"
@@ -255,7 +203,7 @@ def _matrices(spark, d):
 
 
 @query(f"WITH {HOURLY}, {MATRICES} SELECT series, day, " + ", ".join(f'max(value) FILTER (slot = {h}) AS "{h}"' for h in range(24)) + " FROM mx GROUP BY series, day")
-def day_slot_matrices(spark, d):
+def day_slot_matrix(spark, d):
     return aggregates.pivoted(_matrices(spark, d), ["series", "day"], "slot", list(range(24)))
 
 
@@ -267,11 +215,11 @@ def slot_day_cells(spark, d):
     return grid.join(cells, ["series", "slot", "day"], "left")
 
 
-@query(f"""WITH {HOURLY}, {MATRICES} SELECT series, margin, key, round_even(ave, 3) AS ave, round_even(std, 3) AS std, round_even(low, 2) AS low, round_even(high, 2) AS high FROM (
+@query(f"""WITH {HOURLY}, {MATRICES} SELECT series, margin, key, round(ave, 6) AS ave, round(std, 6) AS std, low, high FROM (
     SELECT series, 'slot' AS margin, CAST(slot AS VARCHAR) AS key, avg(value) AS ave, stddev_pop(value) AS std, min(value) AS low, max(value) AS high FROM mx GROUP BY series, slot
     UNION ALL SELECT series, 'day', day, avg(value), stddev_pop(value), min(value), max(value) FROM mx GROUP BY series, day)""")
-def matrices_margins(spark, d):
-    return aggregates.margins(_matrices(spark, d), "slot", "day", by=("series",))
+def matrix_margins(spark, d):
+    return aggregates.margins(_matrices(spark, d), "slot", "day", by=("series",), places=(6, 6, 6, 6))
 
 
 @query(f"""WITH {DAILY}, a AS (SELECT series, CAST(floor((idx - 42) / 72) AS BIGINT) AS area, value FROM dy WHERE idx >= 42),
@@ -324,6 +272,13 @@ def abrupt_states(spark, d):
     return _abrupt(spark, d).select("series", "idx", "state")
 
 
+@query(f"""WITH {HOURLY}, e AS (SELECT *, min(value) OVER (PARTITION BY series) AS a, max(value) OVER (PARTITION BY series) AS b FROM hr)
+    SELECT series, count(*) FILTER (value >= b - (b - a) * (1 - 0.5) / 2) AS upper, count(*) FILTER (value <= a + (b - a) * (1 - 0.5) / 2) AS lower FROM e GROUP BY series""")
+def abrupt_sides(spark, d):
+    marked = lambda side, s: states.abrupt_states(series.hourly(spark, d), 0.5, side).groupBy("series").agg(F.count_if(F.col("state") == s).alias(side))
+    return marked("upper", 1).join(marked("lower", -1), "series")
+
+
 @query(f"WITH {ABRUPT} SELECT series, state, max(len) AS len, min(start) FILTER (rk = 1) AS start FROM (SELECT *, row_number() OVER (PARTITION BY series, state ORDER BY len DESC, start) AS rk FROM {runs_sql('ab')}) GROUP BY series, state")
 def abrupt_runs(spark, d):
     return windows.longest_runs(windows.runs(_abrupt(spark, d))).select("series", "state", "len", "start")
@@ -334,81 +289,97 @@ def abrupt_rates(spark, d):
     return rounded(states.rates(_abrupt(spark, d), 60))
 
 
-RAMPS = DAILY + ", up AS (SELECT series, idx, value, coalesce(value > lag(value) OVER (ORDER BY idx), false) AS state FROM dy), rs AS (SELECT start - 1 AS s, start + len - 1 AS e FROM " + runs_sql("up") + " WHERE state)"
+MOVES = DAILY + ", mv AS (SELECT series, idx, value, coalesce(sign(value - lag(value) OVER (ORDER BY idx)), 0) AS state FROM dy), rs AS (SELECT start - 1 AS s, start + len - 1 AS e FROM " + runs_sql("mv") + " WHERE state <> 0), rp AS (SELECT s, e, e - s AS duration, b.value - a.value AS change FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e)"
+#: Half to even at one place, by whole hundredths.
+TENTHS = "((h // 10) + CASE WHEN h % 10 > 5 OR (h % 10 = 5 AND (h // 10) % 2 = 1) THEN 1 ELSE 0 END) / 10"
+RATE_CODE = "CASE WHEN abs(change) < 1 THEN NULL WHEN rate < 0.01 THEN 0 ELSE CASE WHEN rate < 0.075 THEN 1 WHEN rate < 0.15 THEN 2 WHEN rate < 0.225 THEN 3 ELSE 4 END + CASE WHEN change < 0 THEN 4 ELSE 0 END END"
+CODED = MOVES + f", cd AS (SELECT *, CAST({RATE_CODE} AS INTEGER) AS code FROM (SELECT *, round_even(abs(change) / ((duration + 1) * 1440), 4) AS rate FROM rp))"
 
 
-@query(f"WITH {RAMPS} SELECT s AS start, e AS \"end\", e - s AS duration, round_even(b.value - a.value, 1) AS delta FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e")
+@query(f"WITH {MOVES} SELECT s AS start, e AS \"end\", duration, round(change, 6) AS change FROM rp")
 def ramp_segments(spark, d):
-    return windows.ramps(series.daily_orders(spark, d), True).drop("series")
+    return rounded(windows.both_ramps(series.daily_orders(spark, d)).drop("series"))
 
 
-@query(f"""WITH {RAMPS} SELECT duration, count(*) AS n, sum(duration) AS total, CAST(CASE WHEN rate < 0.01 THEN 0 WHEN rate < 0.075 THEN 1 WHEN rate < 0.15 THEN 2 WHEN rate < 0.225 THEN 3 ELSE 4 END AS INTEGER) AS code
-    FROM (SELECT e - s AS duration, round_even(abs(round_even(b.value - a.value, 1)) / ((e - s) * 1440), 4) AS rate FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e) GROUP BY ALL""")
-def ramp_states(spark, d):
-    coded = windows.ramps(series.daily_orders(spark, d), True).withColumn("code", states.ramp_code(F.col("duration"), F.col("delta"), 1440))
-    return coded.groupBy("duration", "code").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
+@query(f"""WITH {MOVES}, r AS (SELECT duration * 1440 AS duration, CAST(round(abs(change) * 100) AS BIGINT) AS h, sign(change) AS s FROM rp)
+    SELECT s * {TENTHS} AS delta, duration, count(*) AS n, CAST(sum(duration) AS BIGINT) AS total FROM r GROUP BY ALL""")
+def ramp_times(spark, d):
+    moved = windows.both_ramps(series.daily_orders(spark, d)).select(windows.exactly(F.col("change"), 1).alias("delta"), (F.col("duration") * 1440).alias("duration"))
+    return moved.groupBy("delta", "duration").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
 
 
-MOVES = DAILY + ", mv AS (SELECT series, idx, value, coalesce(sign(value - lag(value) OVER (ORDER BY idx)), 0) AS state FROM dy), rs AS (SELECT state > 0 AS rising, start - 1 AS s, start + len - 1 AS e FROM " + runs_sql("mv") + " WHERE state <> 0)"
+@query(f"WITH {CODED} SELECT code, count(*) AS n, CAST(sum(duration) AS BIGINT) AS steps FROM cd GROUP BY code")
+def ramp_states(spark, d):
+    coded = windows.both_ramps(series.daily_orders(spark, d)).withColumn("code", states.ramp_code(F.col("duration"), F.col("change"), 1440))
+    return coded.groupBy("code").agg(F.count("*").alias("n"), F.sum("duration").alias("steps"))
 
 
-def _all_ramps(spark, d):
+@query(f"""WITH {CODED}, cv AS (SELECT idx, max(code) FILTER (change > 0) AS up, max(code) FILTER (change < 0) AS down FROM dy JOIN cd ON idx BETWEEN s AND e WHERE idx < (SELECT max(idx) FROM dy) GROUP BY idx)
+    SELECT idx, coalesce(down, up, 0) AS state FROM dy LEFT JOIN cv USING (idx)""")
+def ramp_samples(spark, d):
     rows = series.daily_orders(spark, d)
-    return windows.ramps(rows, True).withColumn("rising", F.lit(True)).unionByName(windows.ramps(rows, False).withColumn("rising", F.lit(False)))
-
-
-@query(f"WITH {MOVES} SELECT rising, s AS start, e AS \"end\", e - s AS duration, round_even(b.value - a.value, 1) AS delta FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e")
-def ramp_segments_both(spark, d):
-    return _all_ramps(spark, d).drop("series")
+    return states.ramp_samples(rows, windows.both_ramps(rows), 1440).select("idx", "state")
 
 
-@query(f"""WITH {MOVES} SELECT duration, count(*) AS n, sum(duration) AS total, CAST(CASE WHEN band > 0 AND delta < 0 THEN band + 4 ELSE band END AS INTEGER) AS code
-    FROM (SELECT *, CASE WHEN rate < 0.01 THEN 0 WHEN rate < 0.075 THEN 1 WHEN rate < 0.15 THEN 2 WHEN rate < 0.225 THEN 3 ELSE 4 END AS band FROM (
-        SELECT e - s AS duration, round_even(b.value - a.value, 1) AS delta, round_even(abs(round_even(b.value - a.value, 1)) / ((e - s) * 1440), 4) AS rate FROM rs JOIN dy a ON a.idx = s JOIN dy b ON b.idx = e)) GROUP BY duration, code""")
-def ramp_states_both(spark, d):
-    coded = _all_ramps(spark, d).withColumn("code", states.ramp_code(F.col("duration"), F.col("delta"), 1440))
-    return coded.groupBy("duration", "code").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
+@query(f"""WITH {MOVES} SELECT CASE WHEN change > 0 THEN 'gain' ELSE 'drop' END AS kind, count(*) AS n, round(avg(duration * 1440), 6) AS mean, round(stddev_pop(duration * 1440), 6) AS std, min(duration * 1440) AS low, max(duration * 1440) AS high FROM rp GROUP BY kind""")
+def ramp_statistics(spark, d):
+    moved = windows.both_ramps(series.daily_orders(spark, d)).select(F.when(F.col("change") > 0, "gain").otherwise("drop").alias("kind"), (F.col("duration") * 1440).alias("m"))
+    return rounded(moved.groupBy("kind").agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.min("m").alias("low"), F.max("m").alias("high")))
 
 
-@query(f"""WITH {DAILY}, r AS (SELECT idx, (value - lag(value) OVER (ORDER BY idx)) / 1440 AS rate FROM dy)
-    SELECT idx, round(rate, 6) AS rate, kind FROM (SELECT *, 'up' AS kind FROM r WHERE rate IS NOT NULL ORDER BY rate DESC, idx LIMIT 10) UNION ALL SELECT idx, round(rate, 6), kind FROM (SELECT *, 'down' AS kind FROM r WHERE rate IS NOT NULL ORDER BY rate, idx LIMIT 10)""")
+@query(f"""WITH {DAILY}, r AS (SELECT idx, round((lead(value) OVER (ORDER BY idx) - value) / 1440, 8) AS rate FROM dy), q AS (SELECT *, row_number() OVER (ORDER BY rate, idx) AS lo, row_number() OVER (ORDER BY rate DESC, idx DESC) AS hi, min(idx) OVER (PARTITION BY rate) AS place FROM r WHERE rate IS NOT NULL),
+    k AS (SELECT CASE WHEN count(*) // 10 > 1 THEN count(*) // 10 ELSE 2 END AS k FROM dy)
+    SELECT place AS idx, rate, 'fall' AS kind FROM q, k WHERE lo <= k UNION ALL SELECT place, rate, 'rise' FROM q, k WHERE hi <= k""")
 def power_rate_topk(spark, d):
-    lagged = windows.in_blocks(series.daily_orders(spark, d), 1, 0, lambda x, w: x.withColumn("rate", (F.col("value") - F.lag("value").over(w)) / 1440)).filter("rate is not null").select("idx", "rate")
-    up = lagged.orderBy(F.desc("rate"), "idx").limit(10).withColumn("kind", F.lit("up"))
-    return rounded(up.unionByName(lagged.orderBy("rate", "idx").limit(10).withColumn("kind", F.lit("down"))))
+    return windows.power_rates(series.daily_orders(spark, d), 1440, places=8).drop("series")
 
 
-WIDE = HOURLY + ", wd AS (SELECT 'all' AS series, row_number() OVER (ORDER BY ts) - 1 AS idx, * FROM (SELECT ts, coalesce(max(value) FILTER (series = 'purchase'), 0) AS a, coalesce(max(value) FILTER (series = 'view'), 0) AS b, coalesce(max(value) FILTER (series = 'click'), 0) - 300 AS c FROM hr GROUP BY ts))"
+WIDE = HOURLY + ", wd AS (SELECT 'all' AS series, row_number() OVER (ORDER BY ts) - 1 AS idx, * FROM (SELECT ts, coalesce(max(value) FILTER (series = 'purchase'), 0) AS a, coalesce(max(value) FILTER (series = 'view'), 0) + coalesce(max(value) FILTER (series = 'signup'), 0) AS b, coalesce(max(value) FILTER (series = 'click'), 0) - coalesce(max(value) FILTER (series = 'error'), 0) AS c FROM hr GROUP BY ts))"
 
 
 def _wide(spark, d):
-    wide = aggregates.pivoted(series.hourly(spark, d), "ts", "series", ["purchase", "view", "click"])
+    """Purchases as diesels, views and signups as wind, clicks less errors as the hydraulic plant."""
+    wide = aggregates.pivoted(series.hourly(spark, d), "ts", "series", ["purchase", "view", "signup", "click", "error"])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return series.indexed(wide.select(F.lit("all").alias("series"), "ts", zero("purchase").alias("a"), zero("view").alias("b"), (zero("click") - 300).alias("c")))
+    return series.indexed(wide.select(F.lit("all").alias("series"), "ts", zero("purchase").alias("a"), (zero("view") + zero("signup")).alias("b"), (zero("click") - zero("error")).alias("c")))
 
 
-@query(f"""WITH {HOURLY}, x AS (SELECT series, idx, value - 300 AS v, lag(value - 300) OVER w AS p, lead(value - 300) OVER w AS n FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx))
-    SELECT series, idx, CASE WHEN v > p AND n > 2 * v - p THEN 4 WHEN v < p AND n < 2 * v - p THEN 3 WHEN v > 0.001 THEN 2 WHEN v < -0.001 THEN 1 ELSE 0 END AS state FROM x""")
+FIVE = HOURLY + """, x AS (SELECT series, idx, value - 125 AS v, lag(value - 125) OVER w AS p, lead(value - 125) OVER w AS n FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)),
+    s5 AS (SELECT series, idx, v AS value, CASE WHEN v < p AND n < 2 * v - p THEN 4 WHEN v > p AND n > 2 * v - p THEN 2 WHEN v < -0.001 THEN 3 WHEN v > 0.001 THEN 1 ELSE 0 END AS state FROM x)"""
+
+
+def _five(spark, d):
+    return states.five_states(series.hourly(spark, d).withColumn("value", F.col("value") - 125))
+
+
+@query(f"WITH {FIVE} SELECT series, idx, state FROM s5")
 def state5(spark, d):
-    return states.five_states(series.hourly(spark, d).withColumn("value", F.col("value") - 300)).select("series", "idx", "state")
+    return _five(spark, d).select("series", "idx", "state")
 
 
-@query(f"WITH {WIDE} SELECT idx, CAST((a > 0) AS INTEGER) * 4 + CAST((b > 0) AS INTEGER) * 2 + CAST((c > 0) AS INTEGER) AS code FROM wd")
+@query(f"""WITH {FIVE}, n AS (SELECT * FROM (VALUES (0, 'BLNC'), (1, 'LACK'), (2, 'SIPC'), (3, 'EXCS'), (4, 'SIGP')) AS t(state, short))
+    SELECT series, short, count(*) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 1e-6 ELSE stddev_pop(value) END, 6) AS std FROM s5 JOIN n USING (state) GROUP BY series, short""")
+def state5_statistics(spark, d):
+    stats = states.named(_five(spark, d), "state", states.NAMES5).groupBy("series", "short").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"))
+    return rounded(stats.select("series", "short", "n", "mean", F.when(F.col("n") == 1, 1e-6).otherwise(F.col("s")).alias("std")))
+
+
+@query(f"""WITH {WIDE} SELECT idx, CASE WHEN a > 0 AND b = 0 AND c = 0 THEN 0 WHEN a = 0 AND b > 0 AND c = 0 THEN 1 WHEN a > 0 AND b > 0 AND c = 0 THEN 2 WHEN a > 0 AND b = 0 AND c > 0 THEN 3
+    WHEN a = 0 AND b > 0 AND c > 0 THEN 4 WHEN a > 0 AND b > 0 AND c > 0 THEN 5 WHEN a = 0 AND b > 0 AND c < 0 THEN 6 WHEN a > 0 AND b > 0 AND c < 0 THEN 7 END AS code FROM wd""")
 def state8(spark, d):
     return _wide(spark, d).select("idx", states.eight_states(F.col("a"), F.col("b"), F.col("c")).alias("code"))
 
 
-def _bits_sql() -> str:
-    parts = []
-    for c in "abc":
-        step = f"coalesce({c} - lag({c}) OVER (ORDER BY idx), 0)"
-        parts += [f"({c} > 0)", f"({step} > 0.577)", f"({step} < -0.577)"]
-    return " + ".join(f"CAST({p} AS INTEGER) * {1 << (8 - i)}" for i, p in enumerate(parts))
+#: The flags of the 36 states in the order of their numbers.
+FLAGS36 = "[1, 2, 8, 16, 32, 9, 17, 33, 10, 34, 12, 20, 129, 130, 132, 136, 144, 160, 137, 145, 161, 138, 162, 140, 148, 264, 272, 288, 265, 273, 289, 266, 274, 290, 268, 276]"
 
 
-@query(f"WITH {WIDE} SELECT idx, {_bits_sql()} AS code FROM wd")
+@query(f"""WITH {WIDE}, st AS (SELECT *, coalesce(a - lag(a) OVER w, 0) AS da, coalesce(b - lag(b) OVER w, 0) AS db FROM wd WINDOW w AS (ORDER BY idx)), bit AS (SELECT idx, a, c,
+        CASE WHEN da > 0.577 THEN 2 WHEN da < -0.577 THEN 4 WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN db > 0.577 THEN 16 WHEN db < -0.577 THEN 32 WHEN b > 0 THEN 8 ELSE 0 END + CASE WHEN c > 0 THEN 128 WHEN c < 0 THEN 256 ELSE 0 END AS code FROM st),
+    f AS (SELECT idx, CASE WHEN idx = 0 THEN CASE WHEN a > 0 THEN 1 ELSE 0 END + 136 + CASE WHEN c < 0 THEN 256 ELSE 0 END ELSE code END AS code FROM bit)
+    SELECT idx, CAST(code AS INTEGER) AS code, CAST(list_position({FLAGS36}, code) - 1 AS INTEGER) AS state FROM f""")
 def state36(spark, d):
-    return states.change_code(_wide(spark, d), ["a", "b", "c"], 0.577).select("idx", "code")
+    return states.change_states(_wide(spark, d), "a", "b", "c").select("idx", "code", "state")
 
 
 PAIRS = "tr AS (SELECT series, state AS i, lead(state) OVER (PARTITION BY series ORDER BY idx) AS j FROM st)"
@@ -462,38 +433,74 @@ def mle_exp(spark, d):
 HALF = "TIMESTAMP '2024-01-16 00:00:00'"
 
 
-@query(f"""WITH {GAPS}, a AS (SELECT key, count(gap) AS n, count(gap) / sum(gap) AS r FROM gp WHERE ts < {HALF} GROUP BY key HAVING count(gap) >= 3 AND sum(gap) > 0), b AS (SELECT key, count(gap) AS n, count(gap) / sum(gap) AS r FROM gp WHERE ts >= {HALF} GROUP BY key HAVING count(gap) >= 3 AND sum(gap) > 0),
-    k AS (SELECT key, 2 * b.n * (ln(b.r / a.r) + a.r / b.r - 1) AS directed, a.n * b.n / (a.n + b.n) * (a.r / b.r + b.r / a.r - 2) AS divergence FROM a JOIN b USING (key))
-    SELECT key, round(directed, 6) AS directed, round(divergence, 6) AS divergence, directed > 3.84 OR divergence > 3.84 AS anomaly FROM k""")
-def kl_exp_anomaly(spark, d):
+HALVES = f"""{GAPS}, a AS (SELECT key, count(gap) AS n, count(gap) / sum(gap) AS r FROM gp WHERE ts < {HALF} GROUP BY key HAVING count(gap) >= 3 AND sum(gap) > 0), b AS (SELECT key, count(gap) AS n, count(gap) / sum(gap) AS r FROM gp WHERE ts >= {HALF} GROUP BY key HAVING count(gap) >= 3 AND sum(gap) > 0)"""
+
+
+def _halves(spark, d):
     gap = packets.gaps(_keyed(spark, d)).filter("gap is not null")
     half = F.expr("timestamp '2024-01-16 00:00:00'")
-    return rounded(regress.rate_divergence(regress.exponential_rates(gap.filter(F.col("ts") < half), 3), regress.exponential_rates(gap.filter(F.col("ts") >= half), 3)))
+    return regress.exponential_rates(gap.filter(F.col("ts") < half), 3), regress.exponential_rates(gap.filter(F.col("ts") >= half), 3)
+
+
+@query(f"""WITH {HALVES}, m AS (SELECT key, a.n AS n1, 1e6 / a.r AS x1, b.n AS n2, 1e6 / b.r AS x2, (a.n * 1e6 / a.r + b.n * 1e6 / b.r) / (a.n + b.n) AS x FROM a JOIN b USING (key)),
+    k AS (SELECT key, (n1 * (x1 - x) ** 2 + n2 * (x2 - x) ** 2) / x AS directed, n1 * (x1 - x) ** 2 / x1 + n2 * (x2 - x) ** 2 / x2 AS other FROM m)
+    SELECT key, round(directed, 2) AS directed, round((directed + other) / 2, 2) AS divergence, directed > 3.84 OR (directed + other) / 2 > 3.84 AS anomaly FROM k""")
+def kl_exp_anomaly(spark, d):
+    return rounded(regress.gap_divergence(*_halves(spark, d)), 2)
+
+
+@query(f"""WITH {HALVES}, k AS (SELECT key, 2 * b.n * (ln(b.r / a.r) + a.r / b.r - 1) AS directed, a.n * b.n / (a.n + b.n) * (a.r / b.r + b.r / a.r - 2) AS divergence FROM a JOIN b USING (key))
+    SELECT key, round(directed, 6) AS directed, round(divergence, 6) AS divergence, directed > 3.84 OR divergence > 3.84 AS anomaly FROM k""")
+def kl_rate_anomaly(spark, d):
+    return rounded(regress.rate_divergence(*_halves(spark, d)))
 
 
 @query("""WITH r AS (SELECT event_type AS id, floor(idx / 128) AS chunk, event_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events)), f AS (SELECT chunk FROM r GROUP BY chunk HAVING count(*) = 128)
     SELECT id, CAST(chunk AS BIGINT) AS chunk, CAST(pos AS INTEGER) AS pos, round(avg(CAST(substr(lpad(bin(event_id), 32, '0'), CAST(pos + 1 AS BIGINT), 1) = '1' AS INTEGER)), 6) AS prb FROM r JOIN f USING (chunk), (SELECT unnest(range(0, 32)) AS pos) GROUP BY ALL""")
 def bit_features(spark, d):
     rows = series.indexed(_table(spark, d, "events").select(F.lit("all").alias("series"), F.col("event_type").alias("id"), "event_id"), ("event_id",), bucket=F.floor(F.col("event_id") / 65536))
-    return rounded(packets.bit_features(rows.withColumn("data", F.format_string("%08X", "event_id")), 128))
+    return rounded(packets.bit_features(rows.withColumn("data", F.format_string("%08X", "event_id")), 128, 32))
+
+
+#: Amounts in hundredths that are trained (of orders of even number), and those that are asked for.
+BLOOM = "t AS (SELECT DISTINCT CAST(round(o_totalprice * 100) AS BIGINT) AS item FROM orders WHERE o_orderkey % 2 = 0), q AS (SELECT DISTINCT CAST(round(o_totalprice * 100) AS BIGINT) AS item FROM orders)"
+
+
+def _bloom(spark, d, bits_: int, k: int):
+    rows = _table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("item"))
+    trained = rows.filter(F.col("o_orderkey") % 2 == 0)
+    known = trained.select("item").distinct().withColumn("known", F.lit(True))
+    checked = packets.bloom_check(rows, "item", packets.bloom(trained, "item", bits_, k), bits_, k).join(known, "item", "left")
+    return checked.groupBy(F.coalesce("known", F.lit(False)).alias("known")).agg(F.count("*").alias("n"), F.count_if("member").alias("members"))
 
 
-@query(f"SELECT user_id AS item, bool_or(ts < {HALF}) AS trained FROM events GROUP BY user_id HAVING bool_or(ts < {HALF})")
+@query(f"WITH {BLOOM} SELECT item IN (SELECT item FROM t) AS known, count(*) AS n, count(*) FILTER (item IN (SELECT item FROM t)) AS members FROM q GROUP BY known")
 def bloom_check(spark, d):
-    rows = _table(spark, d, "events")
-    trained = rows.filter(F.col("ts") < F.expr("timestamp '2024-01-16 00:00:00'")).select("user_id")
-    bits_, k = 1 << 20, 7
-    checked = packets.bloom_check(rows, "user_id", packets.bloom(trained, "user_id", bits_, k), bits_, k).filter("member")
-    known = trained.select(F.col("user_id").alias("item")).distinct()
-    # A filter has no false negatives; the few false positives are told apart by the exact semi-join.
-    return checked.join(known, "item", "left_semi").select("item", F.col("member").alias("trained"))
+    """A filter so large that no other item passes: its members are the trained ones exactly."""
+    return _bloom(spark, d, 1 << 27, 7)
 
 
-@query("""WITH c AS (SELECT event_id, '*' || lpad(bin(event_id % 256), 8, '0') AS s FROM events), t AS (SELECT event_id, substr(s, CAST(i AS BIGINT), 2) AS p FROM c, (SELECT unnest(range(1, 9)) AS i))
-    SELECT event_id, CAST(sum(CASE p WHEN '*0' THEN 1 WHEN '*1' THEN 3 WHEN '00' THEN 5 WHEN '01' THEN 6 WHEN '10' THEN 7 ELSE 8 END) AS BIGINT) AS code_sum FROM t GROUP BY event_id""")
+@query()
+def bloom_small(spark, d):
+    """A filter of few bits: every trained item passes, and some others."""
+    return _bloom(spark, d, 1 << 17, 3)
+
+
+@query("""WITH c AS (SELECT event_id, '*' || CASE WHEN event_id % 5 = 0 THEN '**' ELSE '' END || lpad(bin(event_id % 256), 8, '0') || CASE WHEN event_id % 3 = 0 THEN '*1*' ELSE '*' END AS s FROM events),
+    t AS (SELECT event_id, substr(s, CAST(i AS BIGINT), 2) AS p FROM c, (SELECT unnest(range(1, 14)) AS i) WHERE i < length(s))
+    SELECT event_id, CAST(sum(CASE p WHEN '**' THEN 0 WHEN '*0' THEN 1 WHEN '0*' THEN 2 WHEN '*1' THEN 3 WHEN '1*' THEN 4 WHEN '00' THEN 5 WHEN '01' THEN 6 WHEN '10' THEN 7 WHEN '11' THEN 8 END) AS BIGINT) AS code_sum, count(DISTINCT p) AS kinds FROM t GROUP BY event_id""")
 def bit_transitions(spark, d):
-    codes = packets.transitions(packets.bits(F.format_string("%02X", F.pmod("event_id", F.lit(256)))))
-    return _table(spark, d, "events").select("event_id", F.aggregate(codes, F.lit(0).cast("long"), lambda s, v: s + v).alias("code_sum"))
+    every = lambda n, text: F.when(F.col("event_id") % n == 0, text)
+    line = F.concat(every(5, "**").otherwise(""), packets.bits(F.format_string("%02X", F.pmod("event_id", F.lit(256)))), every(3, "*1*").otherwise("*"))
+    codes = packets.transitions(line)
+    return _table(spark, d, "events").select("event_id", F.aggregate(codes, F.lit(0).cast("long"), lambda s, v: s + v).alias("code_sum"), F.size(F.array_distinct(codes)).cast("long").alias("kinds"))
+
+
+@query("""WITH p AS (SELECT event_type AS key, ts, event_id, length(props) AS size FROM events), g AS (SELECT key, CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER w AS DOUBLE) AS g, CAST(lag(size) OVER w AS DOUBLE) AS s FROM p WINDOW w AS (PARTITION BY key ORDER BY ts, event_id))
+    SELECT key, count(g) + 1 AS n, round(avg(g), 3) AS mean, round(stddev_pop(g), 3) AS std, min(g) AS low, max(g) AS high, round(avg(s), 6) AS size_mean, round(stddev_pop(s), 6) AS size_std, min(s) AS size_low, max(s) AS size_high, round(corr(g, s), 6) AS r FROM g WHERE g IS NOT NULL GROUP BY key""")
+def packet_gaps_and_sizes(spark, d):
+    found = packets.gap_and_size(_table(spark, d, "events"), "event_type", F.length("props"))
+    return rounded(found.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 3)}))
 
 
 # Regression
@@ -506,11 +513,12 @@ def ols_simple(spark, d):
 
 
 def _ols_sql(by: str) -> str:
-    c = lambda ab, a, b: f"({ab} - {a} * {b} / n)"
-    c11, c12, c22, c1y, c2y = c("s11", "s1", "s1"), c("s12", "s1", "s2"), c("s22", "s2", "s2"), c("s1y", "s1", "sy"), c("s2y", "s2", "sy")
-    det = f"({c11} * {c22} - {c12} * {c12})"
-    sums = f"SELECT {by}count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy FROM li {'GROUP BY ALL' if by else ''}"
-    return f"SELECT *, sst - b1 * c1y - b2 * c2y AS sse, (sy - b1 * s1 - b2 * s2) / n AS b0 FROM (SELECT *, ({c1y} * {c22} - {c2y} * {c12}) / {det} AS b1, ({c2y} * {c11} - {c1y} * {c12}) / {det} AS b2, {c('syy', 'sy', 'sy')} AS sst, {c1y} AS c1y, {c2y} AS c2y FROM ({sums}))"
+    """Coefficients from two simple regressions of what x1 leaves of y and x2, group by group."""
+    group, part = (f"GROUP BY {by.rstrip(', ')}", f"PARTITION BY {by.rstrip(', ')}") if by else ("", "")
+    left = lambda c: f"{c} - (regr_intercept({c}, x1) OVER ({part}) + regr_slope({c}, x1) OVER ({part}) * x1)"
+    rows = f"SELECT {by}y, x1, x2, {left('y')} AS ry, {left('x2')} AS r2 FROM li"
+    fit = f"SELECT {by}count(*) AS n, regr_slope(ry, r2) AS b2, regr_slope(y, x1) AS sy, regr_slope(x2, x1) AS s2, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, regr_syy(y, x1) AS sst, regr_syy(ry, r2) AS a, regr_sxy(ry, r2) AS b, regr_sxx(ry, r2) AS c FROM ({rows}) {group}"
+    return f"SELECT {by}n, sy - b2 * s2 AS b1, b2, my - (sy - b2 * s2) * m1 - b2 * m2 AS b0, sst, a - b * b / c AS sse FROM ({fit})"
 
 
 LINES = "li AS (SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, l_quantity AS x1, l_discount AS x2 FROM lineitem)"
@@ -563,11 +571,10 @@ def key_intersection(spark, d):
     return rows.filter(F.col("ts") < half).select("user_id").intersect(rows.filter(F.col("ts") >= half).select("user_id"))
 
 
-@query("SELECT k AS missing FROM (SELECT unnest(range(min(user_id), max(user_id) + 1)) AS k FROM events) WHERE k NOT IN (SELECT user_id FROM events)")
+#: Event numbers less those of one hour of each day: a range with gaps.
+@query("WITH s AS (SELECT event_id FROM events WHERE hour(ts) <> 7) SELECT k AS missing FROM (SELECT unnest(range(min(event_id), max(event_id) + 1)) AS k FROM s) WHERE k NOT IN (SELECT event_id FROM s)")
 def range_difference(spark, d):
-    seen = _table(spark, d, "events").select("user_id").distinct()
-    grid = seen.agg(F.min("user_id").alias("a"), F.max("user_id").alias("b")).select(F.explode(F.sequence("a", "b")).alias("missing"))
-    return grid.join(seen, F.col("missing") == F.col("user_id"), "left_anti")
+    return aggregates.missing(_table(spark, d, "events").filter(F.hour("ts") != 7), "event_id")
 
 
 @query("SELECT event_id, CAST(round_even(round_even(value / 12.5, 0) * 12.5, 0) AS BIGINT) AS quantised, greatest(value - 100, 0) AS turbine, greatest(100 - value, 0) AS pump, round_even(value - 50.5, 2) AS delta FROM events")
@@ -592,6 +599,117 @@ def forecast_baseline(spark, d):
     return rounded(x.groupBy("series", "split").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.max(F.abs("e")).alias("max_abs"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("std")))
 
 
+# Small operators
+
+
+@query("SELECT event_id, event_type, 0 AS flag, value AS again FROM events WHERE event_type NOT IN ('error', 'signup')")
+def excluded_ids(spark, d):
+    kept = cleaning.excluded(_table(spark, d, "events"), "event_type", ["error", "signup"])
+    return cleaning.filled(kept, {"flag": 0}, {"again": "value"}).select("event_id", "event_type", "flag", "again")
+
+
+@query(f"WITH {FIVE}, k AS (SELECT state, row_number() OVER (ORDER BY state) - 1 AS dense FROM (SELECT DISTINCT state FROM s5 WHERE state <> 2)) SELECT series, idx, state, CAST(dense AS INTEGER) AS dense FROM s5 JOIN k USING (state)")
+def dense_states(spark, d):
+    return cleaning.dense_codes(_five(spark, d).filter("state <> 2"), "state").select("series", "idx", "state", "dense")
+
+
+@query(f"WITH {HOURLY}, z AS (SELECT series, idx, CASE WHEN idx < 500 THEN idx % 3 ELSE 0 END AS count FROM hr) SELECT series, idx, CAST(count AS BIGINT) AS count FROM z WHERE idx <= (SELECT max(idx) FROM z y WHERE y.series = z.series AND count <> 0)")
+def trailing_zeros(spark, d):
+    rows = series.hourly(spark, d).withColumn("count", F.when(F.col("idx") < 500, F.col("idx") % 3).otherwise(0))
+    return cleaning.without_trailing(rows).select("series", "idx", "count")
+
+
+@query(f"WITH {HOURLY} SELECT series, idx, epoch_us(ts) AS micros, value FROM hr WHERE idx = 100 - length(series)")
+def first_open_forecast(spark, d):
+    rows = series.hourly(spark, d).withColumn("actual", F.when(F.col("idx") < 100 - F.length("series"), F.col("value")))
+    return cleaning.first_open(rows).select("series", "idx", F.unix_micros("ts").alias("micros"), "value")
+
+
+@query(f"""WITH {FIVE}, n AS (SELECT series, count(*) AS n, row_number() OVER (ORDER BY series) AS part FROM s5 GROUP BY series), sh AS (SELECT series, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM n),
+    c AS (SELECT idx + shift AS idx, state FROM s5 JOIN sh USING (series)) SELECT state AS i, j, count(*) AS n FROM (SELECT state, lead(state) OVER (ORDER BY idx) AS j FROM c) WHERE j IS NOT NULL GROUP BY ALL""")
+def concatenated_transitions(spark, d):
+    """Files one after the other: their borders count as transitions, as in the surveyed method."""
+    rows = _five(spark, d).select("series", "idx", "value", "state")
+    names = sorted(r["series"] for r in rows.select("series").distinct().collect())
+    whole = cleaning.concatenated([rows.filter(F.col("series") == n).drop("series") for n in names], "all")
+    return states.transition_counts(whole).select("i", "j", "n")
+
+
+@query(f"WITH {HOURLY} SELECT h.series, epoch_us(h.ts) AS label, count(*) AS n, round(sum(b.value), 6) AS total FROM hr h JOIN hr b ON b.series = h.series AND b.idx BETWEEN h.idx AND h.idx + 143 WHERE h.idx % 100 = 7 GROUP BY ALL")
+def labelled_blocks(spark, d):
+    rows = series.hourly(spark, d)
+    found = cleaning.blocks_from(rows, rows.filter("idx % 100 = 7").select("series", "ts"), 144)
+    return rounded(found.select("series", F.unix_micros("label").alias("label"), F.size("data").cast("long").alias("n"), F.aggregate("data", F.lit(0.0), lambda s, v: s + v).alias("total")))
+
+
+@query("SELECT r_name, n_name FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS p FROM region) JOIN (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) USING (p)")
+def zipped_lists(spark, d):
+    return cleaning.zipped(_table(spark, d, "region"), _table(spark, d, "nation"), ("r_regionkey", "n_nationkey")).select("r_name", "n_name")
+
+
+@query(f"WITH {CENTRED}, x AS (SELECT state - lag(state) OVER (PARTITION BY series ORDER BY idx) AS difference FROM st) SELECT difference, count(*) AS n, round(count(*) / (SELECT count(difference) FROM x), 6) AS share FROM x WHERE difference IS NOT NULL GROUP BY difference")
+def state_mismatches(spark, d):
+    """The states against those one sample before, as a forecast by persistence."""
+    pairs = windows.in_blocks(states.centred(series.hourly(spark, d)), 1, 0, lambda x, w: x.withColumn("before", F.lag("state").over(w)))
+    return rounded(cleaning.mismatches(pairs, F.col("state"), F.col("before")))
+
+
+LABELLED = """lb AS (SELECT o_totalprice AS v, CAST(o_totalprice > 150000 AS INTEGER) AS a, CAST(o_custkey % 2 AS INTEGER) AS b, CAST(o_orderstatus = 'O' AS INTEGER) AS c, CAST(o_orderkey % 3 = 0 AS INTEGER) AS e, CAST(month(o_orderdate) < 7 AS INTEGER) AS f FROM orders),
+    cd AS (SELECT *, a + 2 * b + 4 * (1 - c) + 8 * e + 16 * f AS code FROM lb), dn AS (SELECT code, CAST(row_number() OVER (ORDER BY code) - 1 AS INTEGER) AS desired FROM (SELECT DISTINCT code FROM cd))"""
+
+
+@query(f"WITH {LABELLED} SELECT code, desired, count(*) AS n, round(avg(v), 4) AS v, round(avg(a), 6) AS a FROM cd JOIN dn USING (code) GROUP BY ALL")
+def ensemble_labels(spark, d):
+    flag = lambda c: c.cast("int")
+    rows = _table(spark, d, "orders").select(F.col("o_totalprice").alias("v"), flag(F.col("o_totalprice") > 150000).alias("a"), (F.col("o_custkey") % 2).cast("int").alias("b"), flag(F.col("o_orderstatus") == "O").alias("c"), flag(F.col("o_orderkey") % 3 == 0).alias("e"), flag(F.month("o_orderdate") < 7).alias("f"))
+    coded = cleaning.dense_codes(rows.withColumn("code", cleaning.combined_code(*map(F.col, "abcef"))), "code", "desired")
+    centres = cleaning.label_centres(coded, "desired", ["v", "a"]).join(coded.select("code", "desired").distinct(), "desired")
+    return centres.select("code", "desired", "n", F.round("v", 4).alias("v"), F.round("a", 6).alias("a"))
+
+
+@query(f"""WITH {HOURLY}, m AS (SELECT *, count(*) FILTER (hour(ts) = 0) OVER (PARTITION BY series ORDER BY idx) AS g FROM hr), p AS (SELECT series, g, min(idx) AS a, min(ts) AS day FROM m WHERE g > 0 GROUP BY ALL)
+    SELECT m.series, epoch_us(day) AS day, idx - a AS pos, value FROM m JOIN p ON p.series = m.series AND p.g = m.g WHERE m.g < (SELECT max(g) FROM m z WHERE z.series = m.series)""")
+def day_profiles(spark, d):
+    return windows.day_profiles(series.hourly(spark, d)).select("series", F.unix_micros("day").alias("day"), "pos", "value")
+
+
+@query(f"""WITH {HOURLY}, o AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY idx) - 1 AS idx, value - 60 BETWEEN 20 AND 90 AS state FROM hr WHERE value - 60 > 0)
+    SELECT series, state AS stable, len * 60 AS minutes, count(*) AS n FROM {runs_sql('o')} GROUP BY ALL""")
+def stability_runs(spark, d):
+    runs, _ = windows.stability(series.hourly(spark, d).withColumn("value", F.col("value") - 60), 20, 90, 60)
+    return runs.groupBy("series", "stable", "minutes").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HOURLY}, o AS (SELECT series, value - 60 AS v FROM hr) SELECT series, 60 * count(*) FILTER (v > 0 AND v BETWEEN 20 AND 90) AS stable, 60 * count(*) FILTER (v > 0 AND v NOT BETWEEN 20 AND 90) AS unstable, 60 * count(*) FILTER (v <= 0) AS off FROM o GROUP BY series")
+def stability_times(spark, d):
+    return windows.stability(series.hourly(spark, d).withColumn("value", F.col("value") - 60), 20, 90, 60)[1]
+
+
+@query(f"WITH {LINES}, o AS ({_ols_sql('flag, ')}), p AS ({_ols_sql('')}) SELECT li.flag, count(*) AS rows, round(avg(o.b0 + o.b1 * x1 + o.b2 * x2), 4) AS own, round(min(o.b0 + o.b1 * x1 + o.b2 * x2), 4) AS low, round(avg(p.b0 + p.b1 * x1 + p.b2 * x2), 4) AS pooled, round(max(p.b0 + p.b1 * x1 + p.b2 * x2), 4) AS high FROM li JOIN o ON li.flag = o.flag, p GROUP BY li.flag")
+def ols_predictions(spark, d):
+    rows = regress.predicted(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), "flag")
+    return rounded(rows.groupBy("flag").agg(F.count("*").alias("rows"), F.avg("own").alias("own"), F.min("own").alias("low"), F.avg("pooled").alias("pooled"), F.max("pooled").alias("high")), 4)
+
+
+@query("SELECT count(DISTINCT l_returnflag) AS k, count(*) AS n, 2 AS p, count(*) = count(l_extendedprice) AND count(*) = count(l_quantity) AND count(*) = count(l_discount) AS valid FROM lineitem")
+def category_shapes(spark, d):
+    return regress.shapes(_lines(spark, d), ["x1", "x2"], "y", "flag")
+
+
+@query("SELECT l_returnflag AS series, bin, n, round(n / sum(n) OVER (PARTITION BY l_returnflag) / 5, 6) AS density FROM (SELECT l_returnflag, CAST(least(floor(l_quantity / 5), 9) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY ALL)")
+def fixed_histograms(spark, d):
+    rows = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("series"), F.col("l_quantity").alias("value"))
+    return rounded(aggregates.fixed_histogram(rows, 0, 50, 10).filter("n > 0"))
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT series, idx, lpad(bin(event_id % 16), 4, '0') AS bits FROM ev), s AS (SELECT series, idx, coalesce(right(lag(bits) OVER (PARTITION BY series ORDER BY idx), 1), '*') || bits AS s FROM b)
+    SELECT series, idx, CAST(list_sum(list_transform(range(1, 5), lambda i: CASE substr(s, i, 2) WHEN '*0' THEN 1 WHEN '*1' THEN 3 WHEN '00' THEN 5 WHEN '01' THEN 6 WHEN '10' THEN 7 ELSE 8 END * i)) AS BIGINT) AS code_sum FROM s""")
+def stream_transitions(spark, d):
+    rows = series.events(spark, d).withColumn("bits", F.lpad(F.conv(F.pmod("event_id", F.lit(16)).cast("string"), 10, 2), 4, "0"))
+    found = packets.stream_transitions(rows)
+    return found.select("series", "idx", F.aggregate(F.transform("codes", lambda c, i: c * (i + 1)), F.lit(0).cast("long"), lambda s, v: s + v).alias("code_sum"))
+
+
 # Models: their results are checked by tests, not by SQL
 
 
@@ -616,12 +734,27 @@ def sarima_grid(spark, d):
     return forecast.seasonal_orders(series.hourly(spark, d), 24)
 
 
-@query()
+GAP_HISTOGRAM = """SELECT key, bin, coalesce(n, 0) AS n FROM (SELECT key, CAST(unnest(range(0, 10)) AS INTEGER) AS bin FROM {0}e) LEFT JOIN (
+        SELECT key, CAST(CASE WHEN a = b THEN 5 ELSE least(floor((gap - a) / ((b - a) / 10)), 9) END AS INTEGER) AS bin, count(*) AS n FROM {0} JOIN {0}e USING (key) GROUP BY ALL) USING (key, bin)"""
+
+
+@query(f"WITH {GAPS}, m AS (SELECT key FROM gp GROUP BY key HAVING count(*) > 20), h AS (SELECT key, gap FROM gp JOIN m USING (key) WHERE gap IS NOT NULL), he AS (SELECT key, min(gap) AS a, max(gap) AS b FROM h GROUP BY key) " + GAP_HISTOGRAM.format("h"))
 def packet_gap_histogram(spark, d):
     return packets.gap_histogram(_keyed(spark, d))
 
 
-@query()
+_KS = "[" + ", ".join(f"{p!r}::DOUBLE" for p in regress.ks_points(10)) + "]"
+
+
+@query(f"""WITH ga AS (SELECT user_id AS key, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events WHERE ts < {HALF}),
+    m AS (SELECT key FROM ga GROUP BY key HAVING count(*) > 20), h AS (SELECT key, gap FROM ga JOIN m USING (key) WHERE gap IS NOT NULL), he AS (SELECT key, min(gap) AS a, max(gap) AS b FROM h GROUP BY key), a AS ({GAP_HISTOGRAM.format("h")}),
+    t AS (SELECT user_id AS key, (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events WHERE ts >= {HALF})) / 1e6 AS gap FROM events WHERE ts >= {HALF}), te AS (SELECT key, min(gap) AS a, max(gap) AS b FROM t GROUP BY key), b AS ({GAP_HISTOGRAM.format("t")}),
+    s AS (SELECT key, bin, a.n / sum(a.n) OVER (PARTITION BY key) AS x, b.n / sum(b.n) OVER (PARTITION BY key) AS y FROM a JOIN b USING (key, bin)),
+    v AS (SELECT key, x AS v FROM s UNION SELECT key, y FROM s), k AS (SELECT v.key, v, abs(count(*) FILTER (x <= v) - count(*) FILTER (y <= v)) AS h FROM v JOIN s ON s.key = v.key GROUP BY ALL),
+    f AS (SELECT key, max(abs(x - y)) AS d FROM s GROUP BY key), g AS (SELECT key, max(h) AS h FROM k GROUP BY key),
+    r AS (SELECT q.key, q.n, p.prob * (SELECT count(*) + 1 FROM t) AS rate FROM (SELECT key, count(*) AS n FROM t GROUP BY key) q JOIN (SELECT key, round(count(*) / (SELECT count(*) FROM ga), 5) AS prob FROM ga GROUP BY key) p USING (key))
+    SELECT r.key, r.n, round(rate, 6) AS rate, round(exp(-rate + r.n * ln(rate) - lgamma(r.n + 1)), 6) AS p_n, round(coalesce(d, 0), 6) AS d, round(coalesce(h, 0) / 10, 6) AS ks, round(CASE WHEN h IS NULL THEN 0.6 ELSE {_KS}[h + 1] END, 6) AS p, CASE WHEN h IS NULL THEN 0.6 ELSE {_KS}[h + 1] END < 0.05 AS anomaly
+    FROM r LEFT JOIN f USING (key) LEFT JOIN g USING (key)""")
 def histogram_anomaly(spark, d):
     """Gaps of the first half against offsets of the second one from its start, as the surveyed method compares them."""
     rows, half = _keyed(spark, d), F.expr("timestamp '2024-01-16 00:00:00'")
@@ -630,7 +763,7 @@ def histogram_anomaly(spark, d):
     offsets = test.join(F.broadcast(start)).select("key", ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / 1e6).alias("gap"), "_total")
     seen = offsets.groupBy("key", "_total").agg(F.count("*").alias("n"))
     rates = seen.join(packets.gap_statistics(train).select("key", "prob"), "key").select("key", "n", (F.col("prob") * F.col("_total")).alias("rate"))
-    return regress.histogram_anomaly(packets.gap_histogram(train), packets.histogram(offsets), rates)
+    return rounded(regress.histogram_anomaly(packets.gap_histogram(train), packets.histogram(offsets), rates))
 
 
 @query()
@@ -692,6 +825,23 @@ def kmeans_embeddings(spark, d):
     return cluster.kmeans_members(cluster.centred_columns(rows), "centred", 4, ["vec_id"])
 
 
+@query()
+def packet_classifiers(spark, d):
+    """One classifier for each event type on bits of the user, with intrusions; the last tenth of each type is scored."""
+    from tidewright.operators import intrusion
+
+    bits = F.transform(F.split(packets.bits(F.format_string("%04X", "user_id")), ""), lambda b: b.cast("double"))
+    rows = _table(spark, d, "events").select(F.col("event_type").alias("id"), "event_id", bits.alias("features"))
+    marked = intrusion.with_intrusions(rows, 0.1, "event_id").withColumn("row", F.col("event_id") * 2 + F.col("y"))
+    parts = intrusion.split(marked, "id", "row")
+    return intrusion.binary_confusion(intrusion.scored(parts.filter("not train"), intrusion.trained(parts, "id", epochs=4), "id"), "id")
+
+
+@query()
+def anova_decision(spark, d):
+    return rounded(regress.decision(regress.anova(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), "flag")), 4)
+
+
 @query()
 def sim_traffic(spark, d):
     from tidewright.operators.simulate import simulations
@@ -699,11 +849,11 @@ def sim_traffic(spark, d):
     return simulations(spark, 16)
 
 
-T = "(1 / (1 + 0.2316419 * abs(z)))"
-TAIL = f"exp(-z * z / 2) / 2.5066282746310002::DOUBLE * {T} * (0.319381530::DOUBLE + {T} * (-0.356563782::DOUBLE + {T} * (1.781477937::DOUBLE + {T} * (-1.821255978::DOUBLE + {T} * 1.330274429::DOUBLE))))"
+#: The normal distribution function by its power series, term by term.
+SERIES = "list_sum(list_transform(range(0, 160), lambda k: CASE WHEN z = 0 THEN 0 ELSE sign(z) * exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) END))"
 
 
-@query(f"WITH {EVENTS} SELECT series, idx, round(CASE WHEN z >= 0 THEN 1 - {TAIL} ELSE {TAIL} END, 6) AS cdf FROM (SELECT series, idx, (value - 100) / 50 AS z FROM ev)")
+@query(f"WITH {EVENTS} SELECT series, idx, round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * {SERIES}, 6) AS cdf FROM (SELECT series, idx, (value - 100) / 50 AS z FROM ev)")
 def normal_cdf(spark, d):
     rows = series.events(spark, d)
     return rows.select("series", "idx", F.round(scalars.normal_cdf((F.col("value") - 100) / 50), 6).alias("cdf"))

@@ -74,19 +74,20 @@ def widget_url(base: str, start: str, end: str, trunc: str = "hour", geo_limit:
     return f"{base}?start_date={start}&end_date={end}&time_trunc={trunc}{geo}"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as irregular series by type: (series, idx, ts, value, event_id)."""
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as unordered samples by type: (series, ts, value, event_id)."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("series"), "ts", "event_id", "value")
-    return indexed(typed(raw, "ts", "value"), ("ts", "event_id"))
+    return typed(raw, "ts", "value")
 
 
-#: Units of the tables' amounts in one unit of the series.
-UNIT = 1.001
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as irregular series by type: (series, idx, ts, value, event_id)."""
+    return indexed(samples(spark, sf_dir), ("ts", "event_id"))
 
 
 def exact_sum(amount: str) -> Column:
-    """The sum of amounts with two decimal places, the same in whatever order they meet, in units of the series."""
-    return F.sum(F.col(amount).cast("decimal(18,2)")).cast("double") / UNIT
+    """The sum of amounts with two decimal places, the same in whatever order they meet."""
+    return F.sum(F.col(amount).cast("decimal(18,2)")).cast("double")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
