@@ -58,6 +58,13 @@ def kmeans_members(df: DataFrame, vector: str, k: int, keep: list[str], seed: in
     return model.transform(df).select(*keep, "cluster")
 
 
+def assigned(df: DataFrame, data: str, centres: dict[int, list[float]]) -> DataFrame:
+    """Adds cluster, the nearest of given centres (the first on ties), and distance, its squared distance."""
+    square = lambda c: F.aggregate(F.zip_with(F.col(data).cast("array<double>"), F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    nearest = F.array_min(F.array(*[F.struct(square(c).alias("d"), F.lit(k).cast("long").alias("k")) for k, c in sorted(centres.items())]))
+    return df.withColumn("_n", nearest).withColumns({"cluster": F.col("_n.k"), "distance": F.col("_n.d")}).drop("_n")
+
+
 def cluster_profiles(df: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:
     """(cluster, pos, mean) of the members' data by position."""
     return df.join(members, on).select("cluster", F.posexplode("data").alias("pos", "v")).groupBy("cluster", "pos").agg(F.avg("v").alias("mean"))

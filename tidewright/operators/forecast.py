@@ -49,6 +49,20 @@ def fit_arima(x: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, .
     return float(aic), {"order": order, "seasonal": seasonal, "period": period, "b": b, "resid": resid}
 
 
+def refreshed(x: np.ndarray, model: dict) -> dict:
+    """A fitted model with its residuals on other data of the same series; its coefficients stay."""
+    if not model:
+        return {}
+    (p, d, q), (sp, sd, sq), period, b = model["order"], (*model["seasonal"], 0)[:3], model["period"], model["b"]
+    z = _differenced(np.asarray(x, float), d, sd, period)
+    e = np.zeros(len(z))
+    first = max([0, p, period * sp, q, period * sq])
+    for t in range(first, len(z)):
+        row = [1.0, *(z[t - n] for n in range(1, p + 1)), *(z[t - period * i] for i in range(1, sp + 1)), *(e[t - n] for n in range(1, q + 1)), *(e[t - period * i] for i in range(1, sq + 1))]
+        e[t] = z[t] - np.dot(row, b)
+    return {**model, "resid": e}
+
+
 def forecast_arima(x: np.ndarray, model: dict, steps: int) -> np.ndarray:
     """Recursive forecasts; the differences are undone step by step. Zeros if there is no model."""
     if not model:
@@ -66,15 +80,15 @@ def forecast_arima(x: np.ndarray, model: dict, steps: int) -> np.ndarray:
 
 
 def order_grid(df: DataFrame, max_order: int = 2, max_d: int = 1) -> DataFrame:
-    """(series, p, d, q, aic): every order of the grid for every series, one fit a task row."""
+    """(series, p, d, q, aic): every order of the grid for every series, one fit for each of them, each in a group of its own."""
     orders = [(p, d, q) for p, d, q in itertools.product(range(max_order + 1), range(max_d + 1), range(max_order + 1))]
+    each = df.select("series", "idx", "value").withColumn("o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("pdq", o, strict=True)]) for o in orders]))).select("series", "idx", "value", "o.*")
 
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["value"].to_numpy(float)
-        fits = [(pdf["series"].iloc[0], *o, fit_arima(x, o)[0]) for o in orders]
-        return pd.DataFrame(fits, columns=["series", "p", "d", "q", "aic"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        o = tuple(int(pdf[c].iloc[0]) for c in "pdq")
+        return pd.DataFrame([(pdf["series"].iloc[0], *o, fit_arima(pdf.sort_values("idx")["value"].to_numpy(float), o)[0])], columns=["series", "p", "d", "q", "aic"])
 
-    return per_series(df, body, "series string, p int, d int, q int, aic double")
+    return each.groupBy("series", "p", "d", "q").applyInPandas(run, "series string, p int, d int, q int, aic double")
 
 
 def best_orders(grid: DataFrame) -> DataFrame:

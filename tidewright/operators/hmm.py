@@ -9,9 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewright.operators import states
 from tidewright.operators.spectra import per_series
+from tidewright.operators.windows import BLOCK
 
 
 @dataclass
@@ -108,6 +110,111 @@ def estimated(df: DataFrame, codes: list[int]) -> tuple[DataFrame, DataFrame]:
     return states.emissions(df), states.transition_matrix(df, codes)
 
 
+def as_dictionaries(m: Model, names: list, observations: np.ndarray, labels: list) -> tuple[dict, dict, dict]:
+    """(start, moves, emissions) of a model by the names of its states and the labels of observations."""
+    b = m.emission(observations)
+    start = {s: float(p) for s, p in zip(names, m.start, strict=True)}
+    moves = {s: {t: float(p) for t, p in zip(names, row, strict=True)} for s, row in zip(names, m.moves, strict=True)}
+    return start, moves, {s: {label: float(b[k, i]) for k, label in enumerate(labels)} for i, s in enumerate(names)}
+
+
+def to_fields(start: np.ndarray, moves: np.ndarray, mean: np.ndarray, std: np.ndarray, codes: list[int]) -> dict:
+    """A model with normal emissions as plain lists, to be saved."""
+    return {"start": np.asarray(start).tolist(), "moves": np.asarray(moves).tolist(), "mean": np.asarray(mean).tolist(), "std": np.asarray(std).tolist(), "codes": list(codes)}
+
+
+def from_fields(fields: dict) -> Model:
+    return Model(np.array(fields["start"]), np.array(fields["moves"]), gaussian(np.array(fields["mean"]), np.array(fields["std"])))
+
+
+def parameters(df: DataFrame, codes: list[int], value: str = "value", state: str = "state") -> DataFrame:
+    """(series, start, moves, mean, std): arrays by state in the order of codes, from grouped counts; absent states keep small floors."""
+    kinds = F.array(*map(F.lit, codes))
+    stats = states.emissions(df, state, value)
+    table = stats.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("state", F.struct("pi", "mean", "std")))).alias("s"))  # a row for each state
+    part = lambda name, none: F.transform(kinds, lambda c: F.coalesce(F.element_at("s", c)[name], F.lit(none)))
+    counts = states.transition_counts(df, state).groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "n"))).alias("n"))
+    n = lambda i, j: F.coalesce(F.element_at("n", F.struct(i.alias("i"), j.alias("j"))).cast("double"), F.lit(0.0)) + 1e-6
+    row = lambda i: F.transform(kinds, lambda j: n(i, j) / F.aggregate(F.transform(kinds, lambda k: n(i, k)), F.lit(0.0), lambda a, v: a + v))
+    total = F.aggregate(part("pi", 0.0), F.lit(0.0), lambda a, v: a + v + 1e-9)
+    both = table.join(counts, "series", "left")
+    return both.select("series", F.transform(part("pi", 0.0), lambda p: (p + 1e-9) / total).alias("start"), F.transform(kinds, row).alias("moves"), part("mean", 0.0).alias("mean"), part("std", 1e-4).alias("std"))
+
+
+def log_likelihood(df: DataFrame, models: DataFrame, value: str = "value", size: int = BLOCK) -> DataFrame:
+    """(series, n, logp) under models (series, start, moves, mean, std) with normal emissions.
+
+    A block of samples is one matrix, the product of its steps' moves and emissions, scaled; only these meet by series, in order.
+    """
+    placed = df.select("series", "idx", F.col(value).alias("v"), F.floor(F.col("idx") / size).alias("b")).join(models, "series")
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        ready = pdf.sort_values("idx")
+        r = ready.iloc[0]
+        start, moves = np.array(r["start"]), np.array([list(x) for x in r["moves"]])
+        b = gaussian(np.array(r["mean"]), np.array(r["std"]))(ready["v"].to_numpy())
+        m, scale = np.eye(len(start)), 0.0
+        for t, row in enumerate(b):
+            m = (m if ready["idx"].iloc[0] == 0 and t == 0 else m @ moves) * row
+            s = m.sum()
+            m, scale = (m / s, scale + math.log(s)) if s > 0 else (m, -math.inf)
+        return pd.DataFrame({"series": [r["series"]], "b": [r["b"]], "n": [len(b)], "m": [m.ravel()], "scale": [scale], "start": [start]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        ready = pdf.sort_values("b")
+        a, total = np.array(ready["start"].iloc[0]), 0.0
+        for m, scale in zip(ready["m"], ready["scale"], strict=True):
+            a = a @ np.array(m).reshape(len(a), -1)
+            s = a.sum()
+            a, total = (a / s, total + scale + math.log(s)) if s > 0 else (a, -math.inf)
+        return pd.DataFrame({"series": [ready["series"].iloc[0]], "n": [int(ready["n"].sum())], "logp": [total]})
+
+    parts = placed.groupBy("series", "b").applyInPandas(block, "series string, b long, n long, m array<double>, scale double, start array<double>")
+    return parts.groupBy("series").applyInPandas(whole, "series string, n long, logp double")
+
+
+def smoothed_power(df: DataFrame, unit: float, value: str = "value", rates: bool = False) -> DataFrame:
+    """(series, idx, programmed, smooth): the value in whole units, and the most probable path of its levels given the value.
+
+    Levels between the smallest and the largest that never occur count with small floors. Emissions are normal by level, or Poisson
+    with the levels' shares as rates. A series is one task, as a path needs all of it.
+    """
+    from tidewright.functions.scalars import quantised
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        level, x = pdf["programmed"].to_numpy(), pdf[value].to_numpy(float)
+        low, k = int(level.min()), int(np.ptp(level)) + 1
+        at = level - low
+        share = np.bincount(at, minlength=k) / len(at)
+        moves = np.full((k, k), 1e-6)
+        np.add.at(moves, (at[:-1], at[1:]), 1)
+        if rates:
+            emission, seen = poisson(np.maximum(share, 1e-6)), at
+        else:
+            mean = np.array([x[at == i].mean() if share[i] else low + i for i in range(k)])
+            std = np.array([max(1e-2, x[at == i].std()) if share[i] else 1e-2 for i in range(k)])
+            emission, seen = gaussian(mean, std), x
+        path = viterbi(Model((share + 1e-9) / (share + 1e-9).sum(), moves / moves.sum(1, keepdims=True), emission), seen)[0]
+        return pd.DataFrame({"series": pdf["series"], "idx": pdf["idx"], "programmed": level, "smooth": np.array(path) + low})
+
+    return per_series(df.withColumn("programmed", quantised(F.col(value), unit)), body, "series string, idx long, programmed long, smooth long")
+
+
+#: Units of power of the sources (fixed values).
+UNITS = {"diesel": 1.02, "demand": 1.0, "wind": 1.0, "turbine": 1.0, "pump": 0.5}
+
+
+def programmed_power(df: DataFrame, rates: bool = True) -> DataFrame:
+    """(series, idx, source, programmed, smooth) of wide rows (series, idx, diesel, demand, wind, hydro): hydro is split into turbine and pump first."""
+    parts = {"turbine": F.greatest("hydro", F.lit(0.0)), "pump": F.greatest(-F.col("hydro"), F.lit(0.0)), **{c: F.col(c) for c in ("diesel", "demand", "wind")}}
+    out = None
+    for source, value in parts.items():
+        one = smoothed_power(df.select(F.concat_ws("|", "series", F.lit(source)).alias("series"), "idx", value.alias("value")), UNITS[source], rates=rates)
+        out = one if out is None else out.unionByName(one)
+    name = F.split("series", r"\|")
+    return out.select(F.get(name, F.lit(0)).alias("series"), "idx", F.get(name, F.lit(1)).alias("source"), "programmed", "smooth")
+
+
 def decoded(df: DataFrame, codes: list[int], value: str = "value", state: str = "state") -> DataFrame:
     """(series, idx, state, viterbi, posterior): trains on a series' own labels and decodes it; a series a task."""
 

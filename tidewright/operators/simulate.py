@@ -24,6 +24,27 @@ class Device:
         return STEPS[self.kind][self.state] * (-1 if self.kind == "pump" else 1)
 
 
+def credit_tokens(kind: str, state: int, power: float, step: float = 0.1) -> tuple[int, int]:
+    """(up, down): tokens of power that a device may still take on or give up.
+
+    A pump, and a turbine the other way round, only moves from its first state and from its last one; a diesel moves between neighbouring states.
+    """
+    table = STEPS[kind]
+    last = len(table) - 1
+    if kind == "diesel":
+        above = table[min(state + 1, last)]
+        below = table[max(state - 1, 0)]
+        return int((above - power) / step + 1e-9), -int(-(power - below) / step - 1e-9) if state else 0
+    off = int((table[min(state + 1, last)] - power) / step + 1e-9) if state == 0 else 0
+    on = int((power - table[0]) / step + 1e-9) if state == last else 0
+    return (on, off) if kind == "pump" else (off, on)
+
+
+def fleet(counts: dict[str, int], models: dict[str, list[str]]) -> list[Device]:
+    """Devices of each kind, their models in turn."""
+    return [Device(f"{models[kind][i % len(models[kind])]}-{i}", kind) for kind, n in counts.items() for i in range(n)]
+
+
 def imbalance_range(value: float) -> int:
     """0 to 3 by the imbalance at 0.5, 0 and -0.5."""
     return 0 if value >= 0.5 else 1 if value >= 0 else 2 if value >= -0.5 else 3

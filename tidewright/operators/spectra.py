@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.windows import BLOCK, autocorrelation
+
 
 def per_series(df: DataFrame, body, schema: str) -> DataFrame:
     """Applies a sequential function to each series, ordered by idx, in one task a series."""
@@ -16,18 +18,32 @@ def per_series(df: DataFrame, body, schema: str) -> DataFrame:
 
 
 def welch(df: DataFrame, segment: int = 256, fs: float = 1.0, value: str = "value") -> DataFrame:
-    """(series, frequency, power): mean of Hann-windowed periodograms of segments that overlap by half."""
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        n = min(segment, len(x))
-        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        parts = np.array([x[i : i + n] for i in range(0, len(x) - n + 1, max(1, n // 2))])
-        p = (np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * w, axis=1)) ** 2).mean(0) / (fs * (w * w).sum())
-        p[1 : (None if n % 2 else -1)] *= 2
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "frequency": np.fft.rfftfreq(n, 1 / fs), "power": p})
-
-    return per_series(df, body, "series string, frequency double, power double")
+    """(series, frequency, power): mean of Hann-windowed periodograms of segments that overlap by half.
+
+    Segments are groups of their own, whatever the length of the series; a series shorter than one is one segment.
+    """
+    sizes = df.groupBy("series").agg((F.max("idx") + 1).alias("_n")).withColumn("_s", F.least(F.col("_n"), F.lit(segment)))
+    hop = F.greatest(F.floor(F.col("_s") / 2), F.lit(1))
+    last = F.floor((F.col("_n") - F.col("_s")) / hop)
+    own = F.floor(F.col("idx") / hop)
+    first = F.greatest(F.ceil((F.col("idx") - F.col("_s") + 1) / hop), F.lit(0))
+    placed = df.join(sizes, "series").filter(first <= F.least(own, last)).select("series", "idx", F.col(value).alias("v"), "_s", F.explode(F.sequence(first, F.least(own, last))).alias("part"))
+    parts = placed.groupBy("series", "part", "_s").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("x"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for raw in pdf["x"]:
+                x = np.asarray(raw, float)
+                w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x))
+                p = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 / (fs * (w * w).sum())
+                p[1 : (None if len(x) % 2 else -1)] *= 2
+                out.append(p)
+            yield pd.DataFrame({"series": pdf["series"], "n": pdf["_s"], "power": out})
+
+    each = parts.select("series", "_s", "x").mapInPandas(run, "series string, n long, power array<double>")
+    rows = each.select("series", "n", F.posexplode("power").alias("k", "power"))
+    return rows.groupBy("series", "n", "k").agg(F.avg("power").alias("power")).select("series", (F.col("k") * fs / F.col("n")).alias("frequency"), "power")
 
 
 def periodogram(df: DataFrame, fs: float = 1.0, value: str = "value") -> DataFrame:
@@ -62,46 +78,83 @@ def correlograms(df: DataFrame, season: int, value: str = "value") -> DataFrame:
 
 
 def partial_autocorrelation(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
-    """(series, lag, r): Durbin-Levinson recursion on the biased autocorrelations."""
+    """(series, lag, r): Durbin-Levinson recursion on the biased autocorrelations, which come from blocks; only they meet by series."""
+    r = autocorrelation(df, list(range(1, lags + 1)), value)
+    row = r.groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("lag", "r"))), lambda x: x["r"]).alias("r"))
 
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        x = x - x.mean()
-        k = min(lags, len(x) - 1)
-        r = np.array([(x[i:] * x[: len(x) - i]).sum() for i in range(k + 1)]) / (x * x).sum()
-        phi, out, v = np.zeros(0), [], 1.0
-        for m in range(1, k + 1):
-            a = (r[m] - (phi * r[m - 1 : 0 : -1]).sum()) / v if m > 1 else r[1]
-            phi = np.append(phi - a * phi[::-1], a)
-            v *= 1 - a * a
-            out.append(a)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "lag": np.arange(1, k + 1), "r": out})
+    def run(batches):
+        for pdf in batches:
+            for name, raw in zip(pdf["series"], pdf["r"], strict=True):
+                r, phi, out, v = np.concatenate([[1.0], raw]), np.zeros(0), [], 1.0
+                for m in range(1, len(r)):
+                    a = (r[m] - (phi * r[m - 1 : 0 : -1]).sum()) / v if m > 1 else r[1]
+                    phi = np.append(phi - a * phi[::-1], a)
+                    v *= 1 - a * a
+                    out.append(a)
+                yield pd.DataFrame({"series": name, "lag": np.arange(1, len(r)), "r": out})
 
-    return per_series(df, body, "series string, lag int, r double")
+    return row.mapInPandas(run, "series string, lag int, r double")
 
 
-def haar_denoised(df: DataFrame, threshold: float, value: str = "value") -> DataFrame:
-    """(series, idx, approximation, denoised): Haar wavelets; details under the threshold go; the approximation has none."""
+#: Levels of the wavelets: aligned blocks of 2 to that power are transformed each by itself.
+LEVELS = 6
 
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        n = 1 << max(1, (len(x) - 1).bit_length())
-        left = (n - len(x)) // 2
-        low, details = np.pad(x, (left, n - len(x) - left), mode="symmetric"), []
-        levels = min(6, n.bit_length() - 1)
-        for _ in range(levels):
-            details.append((low[::2] - low[1::2]) / math.sqrt(2))
-            low = (low[::2] + low[1::2]) / math.sqrt(2)
-
-        def back(a, keep):
-            for d in details[::-1]:
-                d = np.where(np.abs(d) < threshold, 0, d) if keep else np.zeros_like(d)
-                a = np.stack([(a + d) / math.sqrt(2), (a - d) / math.sqrt(2)], 1).ravel()
-            return a[left : left + len(x)]
-
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "idx": pdf["idx"].to_numpy(), "approximation": back(low, False), "denoised": back(low, True)})
-
-    return per_series(df, body, "series string, idx long, approximation double, denoised double")
+
+def haar_denoised(df: DataFrame, threshold: float, value: str = "value") -> DataFrame:
+    """(series, idx, approximation, denoised): Haar wavelets; details under the threshold go; the approximation has none.
+
+    A series is centred in the next power of two, its ends mirrored. Haar's steps stay within aligned blocks, so each block that holds a
+    sample is a group of its own; those at the ends get the mirrored samples too.
+    """
+    n = df.groupBy("series").agg((F.max("idx") + 1).alias("_n")).withColumn("_p", F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2("_n"))), F.lit(2.0)).cast("long"))
+    sizes = n.withColumns({"_left": F.floor((F.col("_p") - F.col("_n")) / 2), "_size": F.least(F.col("_p"), F.lit(1 << LEVELS))})
+    # Places of a sample: its own, and those of its mirror images that share a block with a sample.
+    around = F.ceil(F.col("_size") / F.col("_n")).cast("int") + 1
+    at = F.col("idx") + F.col("_left")
+    mirror = F.col("_left") - 1 - F.col("idx")
+    every = F.flatten(F.transform(F.sequence(-around, around), lambda k: F.array(at + k * 2 * F.col("_n"), mirror + k * 2 * F.col("_n"))))
+    low = F.floor(F.col("_left") / F.col("_size")) * F.col("_size")
+    high = (F.floor((F.col("_left") + F.col("_n") - 1) / F.col("_size")) + 1) * F.col("_size")
+    near = F.filter(every, lambda p: (p >= low) & (p < high))
+    placed = df.join(sizes, "series").select("series", F.col(value).alias("v"), "_size", "_left", "_n", F.explode(near).alias("p"))
+    blocks = placed.groupBy("series", "_size", "_left", "_n", F.floor(F.col("p") / F.col("_size")).alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("x"))
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                a, details = np.asarray(r.x, float), []
+                while len(a) > 1:
+                    details.append((a[::2] - a[1::2]) / math.sqrt(2))
+                    a = (a[::2] + a[1::2]) / math.sqrt(2)
+                made = []
+                for keep in (False, True):
+                    y = a
+                    for d in details[::-1]:
+                        d = np.where(np.abs(d) < threshold, 0, d) if keep else np.zeros_like(d)
+                        y = np.stack([(y + d) / math.sqrt(2), (y - d) / math.sqrt(2)], 1).ravel()
+                    made.append(y)
+                idx = r.b * r.size + np.arange(r.size) - r.left
+                own = (idx >= 0) & (idx < r.n)
+                yield pd.DataFrame({"series": r.series, "idx": idx[own], "approximation": made[0][own], "denoised": made[1][own]})
+
+    ready = blocks.select("series", F.col("_size").alias("size"), F.col("_left").alias("left"), F.col("_n").alias("n"), "b", "x")
+    return ready.mapInPandas(run, "series string, idx long, approximation double, denoised double")
+
+
+def kpss(df: DataFrame, value: str = "value") -> DataFrame:
+    """(series, lags, kpss): the level statistic, from partial sums within blocks and lagged products; no series meets in one task."""
+    stats = df.groupBy("series").agg(F.avg(value).alias("_m"), F.count("*").alias("_n"), F.var_pop(value).alias("_v"))
+    centred = df.join(stats, "series").select("series", "idx", (F.col(value) - F.col("_m")).alias("value"), F.floor(F.col("idx") / BLOCK).alias("_b"))
+    blocks = centred.groupBy("series", "_b").agg(F.sum("value").alias("_s"))
+    before = blocks.select("series", "_b", F.coalesce(F.sum("_s").over(Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    inside = F.sum("value").over(Window.partitionBy("series", "_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = centred.withColumn("_c", inside).join(before, ["series", "_b"]).groupBy("series").agg(F.sum((F.col("_c") + F.col("_before")) ** 2).alias("_cc"))
+    top = F.ceil(12 * F.pow(F.col("_n") / 100, F.lit(0.25)))
+    most = stats.select(F.max(top)).first()[0] or 0
+    r = autocorrelation(df, list(range(1, int(most) + 1)), value).join(stats.select("series", "_n", top.alias("q")), "series").filter((F.col("lag") <= F.col("q")) & (F.col("lag") < F.col("_n")))
+    long = r.groupBy("series").agg(F.sum((1 - F.col("lag") / (F.col("q") + 1)) * F.col("r")).alias("_w"))
+    variance = F.col("_n") * F.col("_v") * (1 + 2 * F.coalesce("_w", F.lit(0.0)))
+    return stats.join(sums, "series").join(long, "series", "left").select("series", top.cast("int").alias("lags"), (F.col("_cc") / F.col("_n") / variance).alias("kpss"))
 
 
 #: 5 % points of the Dickey-Fuller (with constant) and KPSS (level) statistics.

@@ -713,6 +713,69 @@ def stream_transitions(spark, d):
 # Models: their results are checked by tests, not by SQL
 
 
+@query(f"""WITH RECURSIVE {CENTRED}, {PAIRS}, e AS (SELECT series, state, count(*) / n AS pi, avg(value) AS mean, CASE WHEN count(*) = 1 THEN 1e-4 ELSE greatest(0.01, stddev_pop(value)) END AS std FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM st) GROUP BY series, state, n),
+    k AS (SELECT * FROM (SELECT DISTINCT series FROM st), (SELECT unnest([-1, 0, 1]) AS state)), p AS (SELECT k.series, list((coalesce(pi, 0) + 1e-9) ORDER BY k.state) AS pi, list(coalesce(mean, 0) ORDER BY k.state) AS mean, list(coalesce(std, 1e-4) ORDER BY k.state) AS std FROM k LEFT JOIN e ON e.series = k.series AND e.state = k.state GROUP BY k.series),
+    c AS (SELECT a.series, a.state AS i, b.state AS j, count(tr.i) + 1e-6 AS n FROM k a JOIN k b ON a.series = b.series LEFT JOIN tr ON tr.series = a.series AND tr.i = a.state AND tr.j = b.state GROUP BY ALL), m AS (SELECT series, list(n / t ORDER BY i, j) AS a FROM (SELECT *, sum(n) OVER (PARTITION BY series, i) AS t FROM c) GROUP BY series),
+    x AS (SELECT series, list(value ORDER BY idx) AS x, count(*) AS n FROM st GROUP BY series), q AS (SELECT series, pi, mean, std, a, x, n FROM p JOIN m USING (series) JOIN x USING (series)),
+    z AS (SELECT series, 1 AS t, list_transform([1, 2, 3], lambda j: pi[j] / list_sum(pi) * exp(-(((x[1] - mean[j]) / std[j]) ** 2) / 2) / (std[j] * sqrt(2 * pi()))) AS f, 0.0::DOUBLE AS lp FROM q
+        UNION ALL SELECT z.series, t + 1, list_transform([1, 2, 3], lambda j: (f[1] * a[j] + f[2] * a[3 + j] + f[3] * a[6 + j]) / list_sum(f) * exp(-(((x[t + 1] - mean[j]) / std[j]) ** 2) / 2) / (std[j] * sqrt(2 * pi()))), lp + ln(list_sum(f)) FROM z JOIN q USING (series) WHERE t < n)
+    SELECT series, n, round(lp + ln(list_sum(f)), 4) AS logp FROM z JOIN q USING (series) WHERE t = n""")
+def hmm_likelihood(spark, d):
+    from tidewright.operators import hmm
+
+    rows = states.centred(series.hourly(spark, d))
+    return rounded(hmm.log_likelihood(rows, hmm.parameters(rows, [-1, 0, 1])), 4)
+
+
+@query()
+def hmm_smoothed(spark, d):
+    from tidewright.operators import hmm
+
+    return hmm.smoothed_power(series.hourly(spark, d).withColumn("value", F.col("value") / 50), 1.0)
+
+
+@query()
+def hmm_programmed(spark, d):
+    from tidewright.operators import hmm
+
+    wide = _wide(spark, d).select("series", "idx", (F.col("a") / 100).alias("diesel"), ((F.col("a") + F.col("b") + F.col("c")) / 100).alias("demand"), (F.col("b") / 100).alias("wind"), (F.col("c") / 100).alias("hydro"))
+    return hmm.programmed_power(wide)
+
+
+@query()
+def model_forecasts(spark, d):
+    """The configured models trained on each hourly series, and their forecasts."""
+    from tidewright.operators import networks
+
+    rows = series.hourly(spark, d)
+    return networks.forecasts(rows, networks.trained(rows, ("mlp_1", "univar_cnn", "best_arima"), epochs=1))
+
+
+def _signals(spark, d, rows, seed: int, **other):
+    from tidewright.operators import waveforms
+
+    bits = rows.withColumn("bits", packets.bits(F.format_string("%02X", F.pmod("event_id", F.lit(256)))))
+    return waveforms.signals(packets.stream_transitions(bits), seed=seed, bitrate=1e6, **other)
+
+
+@query()
+def waveform_words(spark, d):
+    """Fingerprints of the first half's waves in a Bloom filter, and the second half's transitions that it doesn't know."""
+    from tidewright.operators import waveforms
+
+    rows, half = series.events(spark, d), F.expr("timestamp '2024-01-16 00:00:00'")
+    bits_, k = waveforms.filter_size(20_000, 0.05)
+    words = waveforms.trained_words(_signals(spark, d, rows.filter(F.col("ts") < half), 1))
+    return waveforms.unknown_transitions(_signals(spark, d, rows.filter(F.col("ts") >= half), 2), packets.bloom(words, "item", bits_, k), bits_, k).groupBy("series").agg(F.sum("n").alias("n"), F.sum("unknown").alias("unknown"))
+
+
+@query()
+def waveform_labels(spark, d):
+    """Histograms of waves with their labels, a twentieth of them distorted."""
+    made = _signals(spark, d, series.events(spark, d), 3, distorted=0.05)
+    return made.groupBy("y").agg(F.count("*").alias("n"), *[F.avg(F.get("histogram", F.lit(i))).alias(f"bin{i}") for i in range(7)])
+
+
 @query()
 def hmm_decode(spark, d):
     from tidewright.operators import hmm
@@ -780,25 +843,45 @@ def mlp_forecast(spark, d):
     return forecast.network_forecasts(series.hourly(spark, d), epochs=5)
 
 
-@query()
+@query(f"""WITH {HOURLY}, n AS (SELECT series, least(count(*), 256) AS n, count(*) AS rows FROM hr GROUP BY series), p AS (SELECT series, n, unnest(range(0, (rows - n) // greatest(n // 2, 1) + 1)) AS part FROM n),
+    x AS (SELECT p.series, part, p.n, idx - part * (p.n // 2) AS i, value FROM p JOIN hr ON hr.series = p.series AND idx BETWEEN part * (p.n // 2) AND part * (p.n // 2) + p.n - 1),
+    w AS (SELECT series, part, n, i, (value - avg(value) OVER (PARTITION BY series, part)) * (0.5 - 0.5 * cos(2 * pi() * i / n)) AS v FROM x), k AS (SELECT series, n, unnest(range(0, n // 2 + 1)) AS k FROM n),
+    f AS (SELECT w.series, part, w.n, k, power(sum(v * cos(2 * pi() * k * i / w.n)), 2) + power(sum(v * sin(2 * pi() * k * i / w.n)), 2) AS q FROM w JOIN k USING (series) GROUP BY ALL)
+    SELECT series, k / n AS frequency, round(avg(q) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END / (0.375 * n), 4) AS power FROM f GROUP BY series, k, n""")
 def welch_psd(spark, d):
     from tidewright.operators.spectra import welch
 
-    return welch(series.hourly(spark, d))
+    return welch(series.hourly(spark, d)).withColumn("power", F.round("power", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HOURLY}, s AS (SELECT *, avg(value) OVER (PARTITION BY series) AS m, var_pop(value) OVER (PARTITION BY series) AS v, count(*) OVER (PARTITION BY series) AS n FROM hr),
+    a AS (SELECT x.series, y.idx - x.idx AS lag, sum((x.value - x.m) * (y.value - y.m)) / any_value(x.n * x.v) AS r FROM s x JOIN s y ON x.series = y.series AND y.idx - x.idx BETWEEN 1 AND 12 GROUP BY ALL),
+    l AS (SELECT series, list(r ORDER BY lag) AS r FROM a GROUP BY series), d AS (SELECT series, r, 1 AS m, [r[1]] AS phi, 1 - r[1] * r[1] AS v, r[1] AS a FROM l
+        UNION ALL SELECT series, r, m + 1, list_concat(list_transform(range(1, m + 1), lambda i: phi[i] - b * phi[m + 1 - i]), [b]), v * (1 - b * b), b FROM (SELECT *, (r[m + 1] - list_sum(list_transform(range(1, m + 1), lambda i: phi[i] * r[m + 1 - i]))) / v AS b FROM d WHERE m < 12))
+    SELECT series, m AS lag, round(a, 6) AS r FROM d""")
 def pacf_lags(spark, d):
     from tidewright.operators.spectra import partial_autocorrelation
 
-    return partial_autocorrelation(series.hourly(spark, d), 12)
+    return rounded(partial_autocorrelation(series.hourly(spark, d), 12))
 
 
-@query()
+@query(f"""WITH {HOURLY}, n AS (SELECT series, count(*) AS n, CAST(power(2, ceil(log2(count(*)))) AS BIGINT) AS p2 FROM hr GROUP BY series), z AS (SELECT series, n, (p2 - n) // 2 AS l, p2 FROM n),
+    g AS (SELECT series, n, l, unnest(range(0, p2)) AS p FROM z), x0 AS (SELECT g.series, g.p, g.l, g.n, hr.value AS v FROM g JOIN hr ON hr.series = g.series AND hr.idx = CASE WHEN (p - l + 2 * n) % (2 * n) < n THEN (p - l + 2 * n) % (2 * n) ELSE 2 * n - 1 - (p - l + 2 * n) % (2 * n) END),
+    x1 AS (SELECT *, (sum(CASE WHEN p % 2 < 1 THEN v ELSE -v END) OVER (PARTITION BY series, p // 2)) / sqrt(2) AS d1 FROM x0), x2 AS (SELECT *, (sum(CASE WHEN p % 4 < 2 THEN v ELSE -v END) OVER (PARTITION BY series, p // 4)) / sqrt(4) AS d2 FROM x1), x3 AS (SELECT *, (sum(CASE WHEN p % 8 < 4 THEN v ELSE -v END) OVER (PARTITION BY series, p // 8)) / sqrt(8) AS d3 FROM x2), x4 AS (SELECT *, (sum(CASE WHEN p % 16 < 8 THEN v ELSE -v END) OVER (PARTITION BY series, p // 16)) / sqrt(16) AS d4 FROM x3), x5 AS (SELECT *, (sum(CASE WHEN p % 32 < 16 THEN v ELSE -v END) OVER (PARTITION BY series, p // 32)) / sqrt(32) AS d5 FROM x4), x6 AS (SELECT *, (sum(CASE WHEN p % 64 < 32 THEN v ELSE -v END) OVER (PARTITION BY series, p // 64)) / sqrt(64) AS d6 FROM x5)
+    SELECT series, p - l AS idx, round(approximation, 9) AS approximation, round(approximation + CASE WHEN abs(d1) < 50 THEN 0 ELSE d1 END / sqrt(2) * CASE WHEN p % 2 < 1 THEN 1 ELSE -1 END + CASE WHEN abs(d2) < 50 THEN 0 ELSE d2 END / sqrt(4) * CASE WHEN p % 4 < 2 THEN 1 ELSE -1 END + CASE WHEN abs(d3) < 50 THEN 0 ELSE d3 END / sqrt(8) * CASE WHEN p % 8 < 4 THEN 1 ELSE -1 END + CASE WHEN abs(d4) < 50 THEN 0 ELSE d4 END / sqrt(16) * CASE WHEN p % 16 < 8 THEN 1 ELSE -1 END + CASE WHEN abs(d5) < 50 THEN 0 ELSE d5 END / sqrt(32) * CASE WHEN p % 32 < 16 THEN 1 ELSE -1 END + CASE WHEN abs(d6) < 50 THEN 0 ELSE d6 END / sqrt(64) * CASE WHEN p % 64 < 32 THEN 1 ELSE -1 END, 9) AS denoised FROM (SELECT *, avg(v) OVER (PARTITION BY series, p // 64) AS approximation FROM x6) WHERE p - l BETWEEN 0 AND n - 1""")
 def wavelet_denoise(spark, d):
     from tidewright.operators.spectra import haar_denoised
 
-    return haar_denoised(series.hourly(spark, d), 50.0)
+    return rounded(haar_denoised(series.hourly(spark, d), 50.0), 9)
+
+
+@query(f"""WITH {HOURLY}, s AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS e, count(*) OVER (PARTITION BY series) AS n, CAST(ceil(12 * power(count(*) OVER (PARTITION BY series) / 100, 0.25)) AS INTEGER) AS q FROM hr),
+    c AS (SELECT *, sum(e) OVER (PARTITION BY series ORDER BY idx) AS c FROM s), a AS (SELECT x.series, sum((1 - (y.idx - x.idx) / (x.q + 1)) * x.e * y.e) AS w FROM s x JOIN s y ON x.series = y.series AND y.idx - x.idx BETWEEN 1 AND x.q GROUP BY x.series)
+    SELECT series, any_value(q) AS lags, round(sum(c * c) / any_value(n) / (sum(e * e) + 2 * any_value(w)), 6) AS kpss FROM c JOIN a USING (series) GROUP BY series""")
+def kpss_levels(spark, d):
+    from tidewright.operators.spectra import kpss
+
+    return rounded(kpss(series.hourly(spark, d)))
 
 
 @query()
@@ -817,6 +900,23 @@ def block_clusters(spark, d):
     return cluster.cluster_profiles(blocks, cluster.kmeans_members(pcs, "pcs", 3, ["series", "start"]), ["series", "start"])
 
 
+@query("""WITH c AS (SELECT vec_id AS cluster, embedding FROM embeddings WHERE vec_id < 4), d AS (SELECT e.vec_id, cluster, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) ** 2)) AS d FROM embeddings e, c)
+    SELECT vec_id, cluster, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1""")
+def nearest_centres(spark, d):
+    from tidewright.operators import cluster
+
+    rows = _table(spark, d, "embeddings").withColumnRenamed("embedding", "data")
+    return rounded(cluster.assigned(rows, "data", {r["vec_id"]: list(r["data"]) for r in rows.filter("vec_id < 4").collect()}).select("vec_id", "cluster", "distance"))
+
+
+@query()
+def cluster_costs(spark, d):
+    from tidewright.operators import cluster
+
+    rows = _table(spark, d, "embeddings").withColumnRenamed("embedding", "data")
+    return cluster.kmeans_costs(cluster.centred_columns(rows), "centred", range(1, 4))
+
+
 @query()
 def kmeans_embeddings(spark, d):
     from tidewright.operators import cluster
