@@ -115,3 +115,68 @@ def test_more_languages_than_one_model_holds(spark):
     words = {f"l{i:03d}": "".join(chr(97 + (i * k + k * k) % 26) for k in range(1, 9)) for i in range(language.LANGUAGES + 4)}
     df = spark.createDataFrame([(i, " ".join([w] * 9), k) for i, (k, w) in enumerate(words.items())], "doc_id long, text string, lang string")
     assert set(language.fit(df, F.lit(True)).languages) == set(words)
+
+
+def test_repeated_rows_teach_once_and_rows_without_a_language_teach_nothing(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[0], "abab baba abab", "x"), (ids[0], "abab baba abab", "x"), (ids[0], "zzzz", "x"), (ids[1], "cdcd dcdc", "y"), (ids[1], "qqqq", None), (ids[2], "cddc", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("at", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("grams", F.lit("g"))
+    from tidewright.llm.common import Scratch
+
+    taught = sorted((r.lang, r.text) for r in language.sampled(df, F.lit(True), 10, Scratch(spark)).collect())
+    assert taught == [("x", "abab baba abab"), ("y", "cdcd dcdc"), ("y", "cddc")]
+    assert language.language_id(df).count() == 6
+
+
+def test_long_texts_are_scored_in_slices(corpus, monkeypatch):
+    rows = corpus("documents").filter("doc_id < 80")
+    model = language.fit(rows, F.lit(True))
+    text = " ".join(r.text for r in rows.select("text").collect() if r.text)[:120_000]
+    whole = model.entropies([text, "the end", text[:50]])
+    monkeypatch.setattr(language, "SLICE", 1000)
+    assert np.allclose(whole[0], model.entropies([text, "the end", text[:50]])[0])
+
+
+def plain_ftrl(sample, bits, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal one coordinate at a time, in dictionaries."""
+    rows = []
+    for raw, y in sample:
+        data = np.frombuffer(raw, np.uint8)
+        rows.append((set(toxicity.features(data, np.array([0, len(data)]), bits)[0].tolist()), y))
+    share = sum(y for _, y in rows) / len(rows)
+    l1 *= math.sqrt(len(rows))
+    base, z, n = math.log(share / (1 - share)), Counter(), Counter()
+
+    def weight(f):
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for _ in range(epochs):
+        for found, y in rows[: len(rows) - len(rows) // 4]:
+            w = {f: weight(f) for f in found}
+            g = 1 / (1 + math.exp(-(base + sum(w.values())))) - y
+            for f in found:
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z if weight(f)}
+
+
+def test_weights_are_those_of_a_plain_ftrl():
+    texts, toxic = labelled(300, 5)
+    sample = [(t.encode(), y) for t, y in zip(texts, toxic, strict=True)]
+    at, w, _, _ = toxicity.train(sample, 14, 1.0, 1.0, 0.11, 0.05, 2)
+    want = plain_ftrl(sample, 14, 1.0, 1.0, 0.11, 0.05, 2)
+    assert set(at.tolist()) == set(want) and all(abs(want[i] - x) < 1e-9 for i, x in zip(at.tolist(), w.tolist(), strict=True))
+
+
+def test_ties_repeated_rows_long_texts_and_a_bounded_sample(spark):
+    texts, toxic = labelled(200, 2)
+    ids = list(range(200))
+    df = spark.createDataFrame([(i, t, "e", "s", 1, 0.5, 1) for i, t in zip([*ids, 0, 0, 1], [*texts, texts[0], "other", "x " * 600_000], strict=True)], "doc_id long, text string, lang string, source string, n_chars long, score double, label int")
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(df.withColumn("c0", F.lit("x")), labels).collect()
+    assert len(got) == 203 and len({r.score for r in got if r.doc_id == 0}) == 2
+    one = toxicity.fit(df, labels, F.lit(True), size=1)  # a sample of one row has one class
+    assert not len(one[0]) and abs(one[3]) == 40 and len(toxicity.fit(df, labels, F.lit(True))[0])
