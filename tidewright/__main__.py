@@ -1,28 +1,6 @@
-"""python -m tidewright QUERY --tables FOLDER [--out FOLDER] [--format parquet|csv]: runs one query of the catalogue."""
-
-from __future__ import annotations
-
-import argparse
-
-from pyspark.sql import SparkSession
-
-from tidewright.plans import catalogue
-
-
-def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="tidewright", description=__doc__)
-    parser.add_argument("query", choices=sorted(catalogue.QUERIES))
-    parser.add_argument("--tables", required=True, help="folder of the Parquet tables")
-    parser.add_argument("--out", help="folder to write; rows are shown if there is none")
-    parser.add_argument("--format", choices=("parquet", "csv"), default="parquet")
-    args = parser.parse_args(argv)
-    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    rows = catalogue.QUERIES[args.query](spark, args.tables)
-    if args.out:
-        rows.write.mode("overwrite").format(args.format).options(header=True).save(args.out)
-    else:
-        rows.show(truncate=False)
+"""python -m tidewright: see tidewright.commands."""
 
+from tidewright.commands import main
 
 if __name__ == "__main__":
     main()
