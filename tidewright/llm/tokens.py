@@ -37,8 +37,8 @@ from tidewright.llm.words import SAME, WHITE, chunks, places, slices, words
 
 #: Ids of a frame, at least; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
-#: Words that a worker's table holds, and bytes of them (about 60 MB with the ids).
-TABLE_WORDS, TABLE_BYTES = 600_000, 16 << 20
+#: Words that a worker's table holds, and bytes of them (about 120 MB with the ids).
+TABLE_WORDS, TABLE_BYTES = 1_500_000, 32 << 20
 #: Magic numbers of zstandard's skippable frames and seek tables.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
@@ -65,8 +65,8 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.start, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.spell, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.start, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.spell, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.bytes, self.spelled = np.empty(1 << 18, np.uint8), 0
 
@@ -135,7 +135,7 @@ class Encoder:
             self._learn(distinct[new], [raw[starts[i] : ends[i]] for i in index[new]])
             at = np.searchsorted(self.keys, distinct)
         row = at[inverse]
-        start, count, flat = self.start[row], self.count[row], self.flat
+        start, count, flat = self.start[row], self.count[row].astype(np.int64), self.flat
         if len(strange := self._strange(data, starts, ends - starts, row)):
             ids = [np.array(x, np.uint32) for x in self._ids([data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in strange])]
             count[strange] = [len(x) for x in ids]
