@@ -38,12 +38,8 @@ def _mask(turns: Column) -> Column:
     return F.aggregate(turns, start, add, lambda s: F.array_join(s["spans"], ","))
 
 
-def preference_pairs(conversations: DataFrame, pair: Column, rejected: Column) -> DataFrame:
-    """(pair_id, prompt, prompt_turns, chosen, rejected, chosen_mask, rejected_mask) of each pair; rejected tells the sides apart."""
-    turn = F.struct(rejected.alias("side"), F.col("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = conversations.filter(pair.isNotNull() & rejected.isNotNull()).groupBy(pair.alias("pair_id")).agg(F.sort_array(F.collect_set(turn)).alias("turns"))
-    plain = lambda side: F.transform(F.filter("turns", lambda t: t["side"] == side), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    sides = grouped.select("pair_id", plain(False).alias("c"), plain(True).alias("r"))
+def _formatted(sides: DataFrame) -> DataFrame:
+    """The pairs of sides (pair_id, c, r), arrays of (role, text), as prompt and completions; an empty array is a side that is missing."""
     differ = F.array_position(F.zip_with("c", "r", lambda a, b: a.eqNullSafe(b)), False)
     shared = sides.withColumn("prompt_turns", F.when(differ == 0, F.size("c")).otherwise(differ - 1).cast("int"))
     rest = lambda side: F.when(F.size(side) > 0, F.slice(F.col(side), F.col("prompt_turns") + 1, F.greatest(F.size(side), F.lit(1))))
@@ -51,19 +47,35 @@ def preference_pairs(conversations: DataFrame, pair: Column, rejected: Column) -
     return cut.select("pair_id", _rendered(F.col("prompt")).alias("prompt"), "prompt_turns", _rendered(F.col("c")).alias("chosen"), _rendered(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
 
 
+def _plain(turns: Column) -> Column:
+    return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
+def preference_pairs(conversations: DataFrame, pair: Column, rejected: Column) -> DataFrame:
+    """(pair_id, prompt, prompt_turns, chosen, rejected, chosen_mask, rejected_mask) of each pair; rejected tells the sides apart."""
+    turn = F.struct(rejected.alias("side"), F.col("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = conversations.filter(pair.isNotNull() & rejected.isNotNull()).groupBy(pair.alias("pair_id")).agg(F.sort_array(F.collect_set(turn)).alias("turns"))
+    side = lambda which: _plain(F.filter("turns", lambda t: t["side"] == which))
+    return _formatted(grouped.select("pair_id", side(False).alias("c"), side(True).alias("r")))
+
+
 def answer_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs that share their turns up to the last answer: each conversation is chosen, and rejected with another's last answer instead.
 
     The other conversation of 2n is 2n + 1 and the reverse; the pair has the number of the chosen one. Turns from the last
     assistant turn on are those that differ. A conversation without an answer, or whose neighbour has none, has no rejected side.
+    Only the answers move a second time.
     """
-    turns = conversations.filter("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    last = turns.filter("role = 'assistant'").groupBy(F.col("conv_id").alias("of")).agg(F.max(F.struct("turn", "text")).alias("last"))
-    answers = last.select("of", F.col("last.turn").alias("at")).join(last.select(F.col("of").bitwiseXOR(F.lit(1).cast("long")).alias("of"), F.col("last.text").alias("other")), "of")
-    chosen = turns.withColumn("side", F.lit(False))
-    before = turns.join(answers, F.col("conv_id") == F.col("of")).filter(F.col("turn").isNull() | (F.col("turn") < F.col("at"))).select("conv_id", "turn", "role", "text", F.lit(True).alias("side"))
-    swapped = answers.select(F.col("of").alias("conv_id"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"), F.lit(True).alias("side"))
-    return preference_pairs(chosen.unionByName(before).unionByName(swapped), F.col("conv_id"), F.col("side"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = conversations.filter("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("pair_id")).agg(F.sort_array(F.collect_set(turn)).alias("turns"))
+    ready = grouped.withColumn("last", F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1)))
+    others = ready.filter("last is not null").select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("of"), F.col("last.text").alias("other"))
+    both = ready.join(others, F.col("pair_id") == F.col("of"), "left")
+    before = F.filter("turns", lambda t: t["turn"].isNull() | (t["turn"] < F.col("last.turn")))
+    answer = F.struct(F.col("last.turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    swapped = F.sort_array(F.array_distinct(F.concat(before, F.array(answer))))
+    rejected = F.when(F.col("last").isNotNull() & F.col("other").isNotNull(), _plain(swapped)).otherwise(_plain(F.slice("turns", 1, 0)))
+    return _formatted(both.select("pair_id", _plain(F.col("turns")).alias("c"), rejected.alias("r")))
 
 
 def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
