@@ -44,6 +44,16 @@ def test_clashing_columns_null_ids_and_a_doc_id_that_many_rows_repeat(spark):
     assert got[0][0] is None and [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
 
 
+def test_encoder_gives_the_library_s_ids(corpus):
+    from tidewright.llm.tokens import _SEPARATOR
+
+    texts = [r.text or "" for r in corpus("documents").collect()] + [f"a{_SEPARATOR}b {_SEPARATOR} c", "DON'T Stop,now. <|ENDOFTEXT|> <|endoftext|> ÉTÉ É i̇ K ﬁ ' ''s x" * 3, "\x00 \x7f\u200b q", "w" * 5000]
+    raw = [t.encode() for t in texts]
+    ids, bounds = tokens.Encoder(PATH).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for a, b, want in zip(bounds[:-1], bounds[1:], expected(texts, 0), strict=True):
+        assert ids[a:b].tolist() == want[:-1]
+
+
 def thue_morse(n):
     a, b = "a", "b"
     for _ in range(n):

@@ -19,6 +19,7 @@ smallest long. An empty table has no shard and gives no rows. Other columns, wha
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import materialise, shared_path
-from tidewright.llm.words import SAME, WHITE, chunks, places, slices, words
+from tidewright.llm.words import LOWER, SAME, WHITE, chunks, places, slices, words
 
 #: Ids of a frame, at least; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
@@ -62,6 +63,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = np.array(self._ids([_SEPARATOR])[0], np.uint32)
+        # Words that differ in the case of A-Z only have one entry if the tokenizer lowers case itself, but for its special tokens.
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = parts["normalizer"] or {}
+        lowers = any(n["type"] == "Lowercase" for n in kinds.get("normalizers", [kinds]) if n)
+        self.lowers, self.special = lowers, [t["content"].lower().encode() for t in parts["added_tokens"]]
         self._empty()
 
     def _empty(self) -> None:
@@ -73,34 +79,36 @@ class Encoder:
     def _ids(self, some: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def _encode(self, new: list[str]) -> list[np.ndarray]:
-        """Ids of words; plain ones are encoded many at a time, with a separator that none of them holds."""
-        out: list = [None] * len(new)
-        plain = [i for i, w in enumerate(new) if _SEPARATOR not in w and len(w) <= 100]
-        for low in range(0, len(plain), 500):
-            part = plain[low : low + 500]
-            ids = np.array(self._ids([f" {_SEPARATOR} ".join(["", *(new[i] for i in part), ""])])[0], np.uint32)
-            hit = ids[: len(ids) - len(self.mark) + 1] == self.mark[0]
-            for k in range(1, len(self.mark)):
-                hit &= ids[k : len(ids) - len(self.mark) + 1 + k] == self.mark[k]
+    def _encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word): many words at a time, with a separator between them; one by one where a word holds it."""
+        between = f" {_SEPARATOR} ".encode()
+        flat, counts, n = [], [], len(self.mark)
+        for low in range(0, len(new), 500):
+            part = new[low : low + 500]
+            ids = np.array(self._ids([(between + between.join(part) + between).decode("utf-8", "replace")])[0], np.uint32)
+            hit = ids[: len(ids) - n + 1] == self.mark[0]
+            for k in range(1, n):
+                hit &= ids[k : len(ids) - n + 1 + k] == self.mark[k]
             at = np.flatnonzero(hit)
-            if len(at) != len(part) + 1:
-                continue
-            for i, a, b in zip(part, at[:-1] + len(self.mark), at[1:], strict=True):
-                out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._ids([new[i] for i in rest]), strict=True):
-            out[i] = np.array(ids, np.uint32)
-        return out
+            if len(at) == len(part) + 1 and (np.diff(at) >= n).all():
+                word = np.ones(len(ids), bool)
+                for k in range(n):
+                    word[at + k] = False
+                flat.append(ids[word])
+                counts.append(np.diff(at) - n)
+            else:
+                each = self._ids([w.decode("utf-8", "replace") for w in part])
+                flat += [np.array(x, np.uint32) for x in each]
+                counts.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(flat), np.concatenate(counts)
 
     @staticmethod
     def _room(flat: np.ndarray, used: int, more: int) -> np.ndarray:
         return flat if len(flat) >= used + more else np.concatenate([flat[:used], np.empty(used + more, flat.dtype)])
 
-    def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
-        found = self._encode([w.decode("utf-8", "replace") for w in new])
-        count, size = np.array([len(x) for x in found], np.int64), np.array([len(w) for w in new], np.int64)
-        more, spelled = np.concatenate(found), np.frombuffer(b"".join(new), np.uint8)
+    def _learn(self, hashes: np.ndarray, new: list[bytes], fold: np.ndarray) -> None:
+        (more, count), size = self._encode(new), np.array([len(w) for w in new], np.int64)
+        spelled = fold[np.frombuffer(b"".join(new), np.uint8)]
         self.flat, self.bytes = self._room(self.flat, self.used, len(more)), self._room(self.bytes, self.spelled, len(spelled))
         self.flat[self.used : self.used + len(more)] = more
         self.bytes[self.spelled : self.spelled + len(spelled)] = spelled
@@ -109,20 +117,23 @@ class Encoder:
         at = np.searchsorted(self.keys, hashes)
         self.keys, self.start, self.count, self.spell, self.size = (np.insert(a, at, b) for a, b in ((self.keys, hashes), (self.start, start), (self.count, count), (self.spell, spell), (self.size, size)))
 
-    def _strange(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def _strange(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, row: np.ndarray, fold: np.ndarray) -> np.ndarray:
         """The words whose bytes aren't those of the table's word of their hash (its row)."""
         same = size == self.size[row]
         for low, high in slices(size):
             some = np.flatnonzero(same[low:high]) + low
             n = size[some]
             at = places(n)
-            differ = data[np.repeat(starts[some], n) + at] != self.bytes[np.repeat(self.spell[row[some]], n) + at]
+            differ = fold[data[np.repeat(starts[some], n) + at]] != self.bytes[np.repeat(self.spell[row[some]], n) + at]
             same[np.repeat(some, n)[differ]] = False
         return np.flatnonzero(~same)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text i of a chunk has ids[bounds[i]:bounds[i+1]]."""
-        hashes, starts, ends, first = words(data, offsets, WHITE, SAME)
+        raw = data.tobytes()
+        low = raw.lower() if self.lowers else b""
+        fold = LOWER if self.lowers and not any(t in low for t in self.special) else SAME
+        hashes, starts, ends, first = words(data, offsets, WHITE, fold)
         if not len(hashes):
             return np.empty(0, np.uint32), first
         distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -131,12 +142,11 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[starts[i] : ends[i]] for i in index[new]])
+            self._learn(distinct[new], [raw[starts[i] : ends[i]] for i in index[new]], fold)
             at = np.searchsorted(self.keys, distinct)
         row = at[inverse]
         start, count, flat = self.start[row], self.count[row].astype(np.int64), self.flat
-        if len(strange := self._strange(data, starts, ends - starts, row)):
+        if len(strange := self._strange(data, starts, ends - starts, row, fold)):
             ids = [np.array(x, np.uint32) for x in self._ids([data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in strange])]
             count[strange] = [len(x) for x in ids]
             start[strange] = self.used + np.cumsum(count[strange]) - count[strange]
