@@ -85,3 +85,66 @@ def test_spectra(spark):
     p[1:-1] *= 2
     assert np.allclose([r.power for r in periodogram(df).orderBy("k").collect()], p)
     assert welch(df, 32).count() == 17
+
+
+def test_emissions_forecasts_and_saved_models(spark):
+    b = hmm.discrete(np.array([[0.1, 0.9], [0.6, 0.4]]))([1, 0])
+    assert b.tolist() == [[0.9, 0.4], [0.1, 0.6]]
+    assert hmm.poisson(np.array([2.0]))([3])[0, 0] == pytest.approx(math.exp(-2) * 8 / 6)
+    m = hmm.Model(PI3, A3, hmm.gaussian(np.array([-1.0, 0, 1]), np.array([2.0, 1, 2])))
+    assert hmm.forecast_states(m, np.array([1.0, 0, 0]), 2) == [int((A3[0]).argmax()), int((A3[0] @ A3).argmax())]
+    start, moves, emit = hmm.as_dictionaries(m, ["a", "b", "c"], OBS[:2], ["t0", "t1"])
+    assert start["b"] == 0.5 and moves["a"]["b"] == 0.7 and emit["c"]["t1"] == pytest.approx(math.exp(-((-5 - 1) / 2) ** 2 / 2) / (2 * math.sqrt(2 * math.pi)))
+    again = hmm.from_fields(hmm.to_fields(PI3, A3, [-1.0, 0, 1], [2.0, 1, 2], [0, 1, 2]))
+    assert hmm.forward(again, OBS)[1] == pytest.approx(hmm.forward(m, OBS)[1])
+    df = spark.createDataFrame([("s", i, float(v), int(v > 0)) for i, v in enumerate(OBS)], "series string, idx long, value double, state int")
+    emissions, transitions = hmm.estimated(df, [0, 1])
+    assert emissions.count() == 2 and transitions.count() == 4
+
+
+@pytest.mark.parametrize("size", [3, 100])
+def test_likelihood_by_blocks(spark, size):
+    models = spark.createDataFrame([("s", PI3.tolist(), A3.tolist(), [-1.0, 0.0, 1.0], [2.0, 1.0, 2.0])], "series string, start array<double>, moves array<array<double>>, mean array<double>, std array<double>")
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(OBS)], "series string, idx long, value double")
+    m = hmm.Model(PI3, A3, hmm.gaussian(np.array([-1.0, 0, 1]), np.array([2.0, 1, 2])))
+    r = hmm.log_likelihood(df, models, size=size).first()
+    assert r.n == 8 and r.logp == pytest.approx(hmm.forward(m, OBS)[1])
+
+
+def test_welch_haar_and_pacf_by_parts(spark):
+    from tidewright.operators import spectra
+
+    x = np.random.default_rng(4).normal(size=200).cumsum()
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "series string, idx long, value double")
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
+    parts = np.array([x[i : i + 64] for i in range(0, 137, 32)])
+    p = (np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * w, axis=1)) ** 2).mean(0) / (w * w).sum()
+    p[1:-1] *= 2
+    assert np.allclose([r.power for r in spectra.welch(df, 64).orderBy("frequency").collect()], p)
+    rows = spectra.haar_denoised(df, 0.0).orderBy("idx").collect()
+    assert np.allclose([r.denoised for r in rows], x)
+    padded = np.pad(x, (28, 28), mode="symmetric").reshape(-1, 64).mean(1).repeat(64)[28:228]
+    assert np.allclose([r.approximation for r in rows], padded)
+    for n in (1, 2, 3, 5):
+        small = spectra.haar_denoised(df.filter(f"idx < {n}"), 0.0).orderBy("idx").collect()
+        assert np.allclose([r.denoised for r in small], x[:n])
+
+
+def test_f_quantiles():
+    from tidewright.operators import regress
+
+    # Table values of the 95 % point.
+    assert regress.f_quantile(0.95, 1, 10) == pytest.approx(4.9646, abs=1e-4) and regress.f_quantile(0.95, 6, 30) == pytest.approx(2.4205, abs=1e-4)
+    assert regress.f_quantile(0.5, 10, 10) == pytest.approx(1) and regress.f_quantile(1.2, 3, 4) is None
+
+
+def test_seasonal_tests():
+    from tidewright.operators import spectra
+
+    rng = np.random.default_rng(0)
+    still = np.tile(np.sin(np.arange(12) / 12 * 2 * np.pi) * 5, 30) + rng.normal(size=360)
+    assert spectra.canova_hansen(still, 12)[2] == 0 and spectra.ocsb(still, 12)[1] == 0
+    walk = np.zeros(360)
+    for i in range(360):
+        walk[i] = (walk[i - 12] if i >= 12 else 0) + rng.normal()
+    assert spectra.canova_hansen(walk, 12)[2] == 1 and spectra.ocsb(walk, 12)[1] == 1

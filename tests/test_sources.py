@@ -42,3 +42,36 @@ def test_registry(spark, tmp_path):
 def test_command_line(spark, tmp_path):
     main(["confusion", "--tables", "/root/testdata/sf0.001", "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_sinks_and_bundles(spark, tmp_path):
+    import datetime as dt
+
+    from tidewright.operators import forecast, packets
+
+    ts = lambda h: dt.datetime(2024, 1, 1, h)
+    made = spark.createDataFrame([("s", m, h, float(10 * h)) for m in ("a", "b") for h in (1, 2)], "series string, model string, horizon int, forecast double")
+    last = spark.createDataFrame([("s", ts(5))], "series string, last_ts timestamp")
+    rows = forecast.bundle(made, last, 10)
+    assert sorted({r.ts for r in rows.collect()}) == [ts(5) + dt.timedelta(minutes=10), ts(5) + dt.timedelta(minutes=20)]
+    wide = registry.forecast_table(rows, ["a", "b"]).collect()
+    assert [(r.a, r.b) for r in wide] == [(10, 10), (20, 20)]
+    actual = spark.createDataFrame([("s", ts(5) + dt.timedelta(minutes=10), 11.0)], "series string, ts timestamp, value double")
+    assert sorted((r.horizon, r.actual) for r in registry.with_actuals(rows, actual).filter("model = 'a'").collect()) == [(1, 11.0), (2, None)]
+    registry.write_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 4
+    for n in (1, 2, 2):
+        registry.write_versioned(rows.limit(n), str(tmp_path / "kept"), n)
+    assert spark.read.parquet(str(tmp_path / "kept")).groupBy("version").count().orderBy("version").collect()[1]["count"] == 2
+    (tmp_path / "d.log").write_text("(1.5) can0 1A#FF\nno packet\n")
+    assert packets.read_dump(spark, str(tmp_path / "d.log")).first().bits == "11111111"
+    assert packets.bloom_size(1 << 12, 0.05) == 656 and packets.bloom_hashes(1 << 12, 656) == 4
+
+
+def test_retention_by_new_rows(spark):
+    import datetime as dt
+
+    from tidewright.functions import scalars
+
+    rows = lambda a, b: spark.createDataFrame([("s", dt.datetime(2024, 1, i), float(i)) for i in range(a, b)], "series string, ts timestamp, value double")
+    assert sorted(r.value for r in scalars.unioned(rows(1, 8), rows(8, 11)).collect()) == [4, 5, 6, 7, 8, 9, 10]

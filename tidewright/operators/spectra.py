@@ -194,3 +194,63 @@ def stationarity(df: DataFrame, value: str = "value") -> DataFrame:
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], "adf": [t], "lags": [p], "kpss": [kpss(x)], "ndiffs": [d]})
 
     return per_series(df, body, "series string, adf double, lags int, kpss double, ndiffs int")
+
+
+#: Points of 5 % of the seasonal stability statistic by its degrees of freedom, from 1 on (fixed values).
+STABILITY5 = (0.470, 0.749, 1.010, 1.240, 1.470, 1.680, 1.900, 2.110, 2.320, 2.540, 2.750, 2.960)
+
+
+def canova_hansen(x: np.ndarray, period: int) -> tuple[float, float, int]:
+    """(statistic, its 5 % point, seasonal differences): whether a seasonal pattern stays as it is.
+
+    The residuals of the series on a constant and the waves of the period are summed up wave by wave; their long-run covariance has
+    Bartlett weights over period * (n / 100)^0.25 lags. Beyond the table the point grows by 0.214 a degree.
+    """
+    x, n = np.asarray(x, float), len(x)
+    t = np.arange(1, n + 1)
+    waves = [f(2 * np.pi * k * t / period) for k in range(1, period // 2 + 1) for f in (np.cos, np.sin) if not (f is np.sin and 2 * k == period)]
+    z = np.column_stack(waves)
+    a = np.column_stack([np.ones(n), z])
+    e = x - a @ np.linalg.lstsq(a, x, rcond=None)[0]
+    f = z * e[:, None]
+    lags = int(round(period * (n / 100) ** 0.25))
+    omega = f.T @ f / n
+    for i in range(1, min(lags, n - 1) + 1):
+        c = f[i:].T @ f[:-i] / n
+        omega += (1 - i / (lags + 1)) * (c + c.T)
+    sums = f.cumsum(0)
+    statistic = float(np.trace(np.linalg.pinv(omega) @ (sums.T @ sums)) / n**2)
+    df = z.shape[1]
+    point = STABILITY5[df - 1] if df <= len(STABILITY5) else STABILITY5[-1] + 0.214 * (df - len(STABILITY5))
+    return statistic, point, int(statistic > point)
+
+
+def ocsb(x: np.ndarray, period: int, lags: int = 3) -> tuple[float, int]:
+    """(t statistic, seasonal differences): a regression of the doubly differenced series on its seasonal level; far below zero it needs no difference."""
+    x = np.asarray(x, float)
+    d = np.diff(x)
+    y = d[period:] - d[:-period]
+    level, seasonal = x[period:] - x[:-period], d
+    rows = np.arange(max(lags, period), len(y))
+    if len(rows) < 2 * lags + 8:
+        return 0.0, 0
+    columns = [y[rows - i] for i in range(1, lags + 1)] + [level[rows - 1 + 0], seasonal[rows + period - period]]
+    z = np.column_stack(columns)
+    b, *_ = np.linalg.lstsq(z, y[rows], rcond=None)
+    e = y[rows] - z @ b
+    s = (e @ e) / max(1, len(rows) - z.shape[1]) * np.linalg.pinv(z.T @ z)
+    t = float(b[-1] / np.sqrt(s[-1, -1] + 1e-300))
+    # The smoothed 5 % point of the statistic by the logarithm of the period (fixed values).
+    log = np.log(period)
+    point = -0.2937411 * np.exp(-0.2850853 * (log - 0.7656451) - 0.05983644 * (log - 0.7656451) ** 2) - 1.652202
+    return t, int(t > point)
+
+
+def seasonality(df: DataFrame, period: int, value: str = "value") -> DataFrame:
+    """(series, ch, ch_point, ch_differences, ocsb, ocsb_differences) of each series, which is one task."""
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[value].to_numpy(float)
+        return pd.DataFrame([(pdf["series"].iloc[0], *canova_hansen(x, period), *ocsb(x, period))], columns=["series", "ch", "ch_point", "ch_differences", "ocsb", "ocsb_differences"])
+
+    return per_series(df, body, "series string, ch double, ch_point double, ch_differences int, ocsb double, ocsb_differences int")

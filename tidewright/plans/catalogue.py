@@ -58,6 +58,22 @@ def src_json_props(spark, d):
     return _table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+WIDGET_ROWS = """w AS (SELECT CAST(ts AS DATE) AS day, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, value, row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) AS i FROM events)"""
+
+
+@query(f"WITH {WIDGET_ROWS} SELECT a.ts, a.value AS first, b.value AS second, c.value AS third, b.value - a.value AS imbalance FROM w a JOIN w b USING (day, i) JOIN w c USING (day, i) WHERE a.event_type = 'click' AND b.event_type = 'purchase' AND c.event_type = 'view'")
+def src_widget(spark, d):
+    """Widgets of three series a day as JSON, zipped by position over the shortest."""
+    value = F.struct("value", F.lit(0.0).alias("percentage"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000+00:00")).alias("datetime"))
+    rows = _table(spark, d, "events").filter(F.col("event_type").isin("click", "purchase", "view"))
+    lists = rows.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", value.alias("v")))), lambda x: x["v"]).alias("values"))
+    part = F.struct(F.lit("s").alias("type"), F.col("event_type").alias("id"), F.struct(F.col("event_type").alias("title"), "values").alias("attributes"))
+    whole = lists.groupBy("day").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_type", part.alias("p")))), lambda x: x["p"]).alias("included"))
+    head = F.struct(F.lit("w").alias("type"), F.col("day").cast("string").alias("id"), F.struct(F.lit("t").alias("title"), F.lit("u").alias("last-update")).alias("attributes"))
+    payload = whole.select(F.to_json(F.struct(head.alias("data"), "included")).alias("payload"))
+    return series.widget_series(payload)
+
+
 @query("""
     WITH rows AS (SELECT event_id, printf('%08X', event_id) AS data FROM events)
     SELECT event_id, printf('%03X', event_id % 2048) AS id, data, printf('%03X', event_id % 2048) || data AS packet, lpad(bin(event_id), 32, '0') AS bits FROM rows""")
@@ -884,6 +900,23 @@ def kpss_levels(spark, d):
     return rounded(kpss(series.hourly(spark, d)))
 
 
+@query()
+def seasonal_tests(spark, d):
+    from tidewright.operators.spectra import seasonality
+
+    return seasonality(series.hourly(spark, d), 24)
+
+
+@query()
+def hmm_states36(spark, d):
+    """The model of the 36 states over the hydraulic series, and how well its path meets them."""
+    from tidewright.operators import hmm
+
+    rows = states.change_states(_wide(spark, d), "a", "b", "c").withColumn("state", F.coalesce("state", F.lit(-1))).withColumn("value", F.col("c"))
+    found = hmm.decoded(rows, [-1, *range(36)])
+    return rounded(cleaning.mismatches(found, F.col("viterbi"), F.col("state")))
+
+
 @query()
 def stationarity(spark, d):
     from tidewright.operators.spectra import stationarity as tested
