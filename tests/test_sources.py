@@ -75,3 +75,65 @@ def test_retention_by_new_rows(spark):
 
     rows = lambda a, b: spark.createDataFrame([("s", dt.datetime(2024, 1, i), float(i)) for i in range(a, b)], "series string, ts timestamp, value double")
     assert sorted(r.value for r in scalars.unioned(rows(1, 8), rows(8, 11)).collect()) == [4, 5, 6, 7, 8, 9, 10]
+
+
+def test_optional_files_and_balances(spark, tmp_path):
+    assert series.read_if_exists(spark, str(tmp_path / "none.csv"), "t") is None
+    (tmp_path / "b.csv").write_text("t,made,used\n01.02.2021 00:00,1.5,2\n01.02.2021 00:10,2,1.25\n01.02.2021 00:20,,4\n01.02.2021 00:30,3,3\n")
+    path = str(tmp_path / "b.csv")
+    assert series.value_columns(spark, path, "t") == ["made", "used"] and series.read_if_exists(spark, path, "t").count() == 7
+    rows = series.read_balance(spark, path, "t", "made", "used").orderBy("ts").collect()
+    assert [(r.generated, r.value) for r in rows] == [(1.5, 0.5), (2.0, -0.75)]
+
+
+def test_widget_source(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from tidewright.sources import widgets
+
+    parts = widgets.stretches(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 16), 7)
+    assert len(parts) == 3 and parts[-1] == (dt.datetime(2024, 1, 15), dt.datetime(2024, 1, 16))
+    widgets.register(spark)
+    (tmp_path / "w.json").write_text('{"data": {"type": "w", "id": "9", "attributes": {"title": "t"}}, "included": []}')
+    urls = [f"file://{tmp_path}/w.json", f"file://{tmp_path}/none.json"]
+    rows = spark.read.format("widget").option("urls", json.dumps(urls)).load().orderBy("url").collect()
+    assert rows[0].payload is None and rows[0].error and rows[1].error is None
+    assert series.widget_header(spark.createDataFrame(rows[1:], widgets.SCHEMA)).first().id == "9"
+    asked = []
+    monkeypatch.setattr(widgets, "fetch", lambda url, timeout, attempts: asked.append(url) or (url, "{}", "no" if len(asked) == 1 else None))
+    stream = widgets._Stream({"base": "http://x", "start": "2024-01-01T00:00:00", "until": "2024-01-08T00:00:00"})
+    first = stream.initialOffset()
+    assert stream.read(first)[1] == first  # the request failed: the next one asks for the same time
+    got, end = stream.read(first)
+    assert len(list(got)) == 1 and end == {"end": "2024-01-08T00:00:00"} and stream.read(end)[1] == end and "start_date=2024-01-01T00:00" in asked[1]
+    assert len(list(stream.readBetweenOffsets(first, end))) == 1 and not list(stream.readBetweenOffsets(end, end))
+
+
+def test_widget_stream(spark, tmp_path):
+    import http.server
+    import threading
+
+    from tidewright.sources import widgets
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"asked": "%s"}' % self.path.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        widgets.register(spark)
+        base = f"http://127.0.0.1:{server.server_port}/w"
+        stream = spark.readStream.format("widget").options(base=base, start="2024-01-01T00:00:00", until="2024-01-08T00:00:00", attempts="1").load()
+        seen = []
+        query = stream.writeStream.foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        query.stop()
+        assert len(seen) == 1 and "start_date=2024-01-01T00:00&end_date=2024-01-08T00:00" in seen[0].payload
+    finally:
+        server.shutdown()

@@ -47,6 +47,29 @@ def read_csv(spark: SparkSession, path: str, ts: str, values: Sequence[str], pat
     return typed(long, "_ts", "raw", pattern=pattern).select("series", "ts", "value")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path names anything, on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_if_exists(spark: SparkSession, path: str, ts: str, values: Sequence[str] = (), pattern: str = "dd.MM.yyyy HH:mm") -> DataFrame | None:
+    """read_csv of a path that may be absent, of all columns but the time if none are named; None if it is."""
+    return read_csv(spark, path, ts, list(values) or value_columns(spark, path, ts), pattern) if exists(spark, path) else None
+
+
+def value_columns(spark: SparkSession, path: str, ts: str) -> list[str]:
+    """The columns of a CSV file besides its time."""
+    return [c for c in spark.read.csv(path, header=True).columns if c != ts]
+
+
+def read_balance(spark: SparkSession, path: str, ts: str, generated: str, consumed: str, pattern: str = "dd.MM.yyyy HH:mm") -> DataFrame:
+    """(series, ts, generated, consumed, value): wide rows up to the first one without a generated value, and the imbalance, consumed less generated."""
+    raw = spark.read.csv(path, header=True)
+    rows = typed(raw.select(F.col(f"`{ts}`").alias("_ts"), F.col(f"`{generated}`").alias("raw"), F.col(f"`{consumed}`").try_cast("double").alias("consumed")), "_ts", "raw", missing=PREFIX, pattern=pattern)
+    return rows.select(F.lit("balance").alias("series"), "ts", F.col("value").alias("generated"), "consumed", F.bround(F.col("consumed") - F.col("value"), 2).alias("value"))
+
+
 #: A polled widget: its included series have values in one order of times.
 WIDGET = (
     "data struct<type string, id string, attributes struct<title string, `last-update` string>>, "
