@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewright.llm import decontaminate, queries, toxicity
+from tidewright.llm.common import materialise
 
 from test_ngram_jaccard import brute as groups_of
 
@@ -80,7 +81,7 @@ def test_stages_against_plain_versions(spark):
     names, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs.collect()
-        docs = corpus_pipeline.materialise(stage(spark, docs, FOLDER), "test")
+        docs = materialise(stage(spark, docs, FOLDER), "test")
         assert docs.columns == names
         kept[name] = (before, docs.collect())
     before, after = kept["toxicity"]
@@ -120,7 +121,7 @@ def test_odd_documents_go_through(spark, tmp_path, case):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     now = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        now = corpus_pipeline.materialise(stage(spark, now, str(tmp_path)), "odd")
+        now = materialise(stage(spark, now, str(tmp_path)), "odd")
         assert now.columns == docs.columns
     if case == "odd":
         got = now.collect()
@@ -130,5 +131,19 @@ def test_odd_documents_go_through(spark, tmp_path, case):
     assert len({(r.doc_id, r.piece) for r in packed}) >= (7 if case == "odd" else 0) and (case == "odd" or not packed)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
+    found = c.execute(queries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    df = queries.QUERIES[name](spark, FOLDER)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(str, found.fetchall()))
+
+
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewright.llm.chat_format import answer_pairs
 from tidewright.llm.common import table
@@ -30,11 +31,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "set_id")
+    return ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Queries that SQL can express over whole tables; the others are tested against brute force.
 ORACLES: dict[str, str] = {
+    # All pairs of texts that share a shingle, and a transitive closure.
+    "op2_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+        c AS (SELECT s, len(s) AS n, min(doc_id) AS rep FROM s GROUP BY s),
+        e AS (SELECT rep, n, unnest(s) AS x FROM c),
+        l AS (
+            SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT rep AS a, rep AS b FROM c WHERE n > 0 UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a),
+        g AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(g.component_id, s.doc_id) AS component_id FROM s JOIN c ON c.s = s.s LEFT JOIN g ON g.rep = c.rep AND c.n > 0""",
+    # Every passage against every part that shares a word.
+    "op3_benchmark_decontamination": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+        i AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        k AS (SELECT row_number() OVER () AS item, item_id, w, greatest(1, (len(w) + 63) // 64) AS k FROM i),
+        q AS (SELECT item_id, item, w, k, unnest(range(0, k)) AS j FROM k),
+        parts AS (
+            SELECT row_number() OVER () AS part, item_id, w[j * (len(w) // k) + least(j, len(w) % k) + 1:(j + 1) * (len(w) // k) + least(j + 1, len(w) % k)] AS p FROM q),
+        long AS (SELECT * FROM parts WHERE len(p) >= 5),
+        tf AS (SELECT part, len(p) AS n, t, count(*) AS tf FROM (SELECT part, p, unnest(p) AS t FROM long) GROUP BY ALL),
+        df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+        im AS (
+            SELECT part, t, ln(1 + ((SELECT count(*) FROM long) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(p)) FROM long))) AS v FROM tf JOIN df USING (t)),
+        share AS (SELECT part, t, v / sum(v) OVER (PARTITION BY part) AS v FROM im),
+        pas AS (SELECT doc_id, w[64 * s + 1:64 * s + 128] AS w, s FROM (SELECT doc_id, w, unnest(range(0, greatest(1, (len(w) + 63) // 64 - 1))) AS s FROM d)),
+        has AS (SELECT DISTINCT doc_id, s, t FROM (SELECT doc_id, s, unnest(w) AS t FROM pas)),
+        hit AS (SELECT doc_id, s, part, sum(v) AS score FROM has JOIN share USING (t) GROUP BY ALL HAVING sum(v) >= 0.6),
+        cand AS (
+            SELECT doc_id, item_id, score, p[1:len(p) - greatest(2, len(p) // 3)] AS question, p[len(p) - greatest(2, len(p) // 3) + 1:] AS answer, w
+            FROM hit JOIN long USING (part) JOIN pas USING (doc_id, s)),
+        sides AS (
+            SELECT doc_id, item_id, score, list_transform([question, answer], lambda x: list_avg(list_transform(range(1, len(x) - least(3, len(x)) + 2), lambda a: CASE WHEN list_contains(
+                list_transform(range(1, len(w) - least(3, len(x), len(w)) + 2), lambda b: w[b:b + least(3, len(x), len(w)) - 1]), x[a:a + least(3, len(x)) - 1]) THEN 1 ELSE 0 END))) AS o FROM cand),
+        found AS (
+            SELECT doc_id, item_id, score, o[1] AS qo, o[2] AS ao FROM sides WHERE least(o[1], o[2]) >= 0.6
+            UNION ALL SELECT doc_id, item_id, 1, 1, 1 FROM d JOIN parts ON d.w = parts.p WHERE len(p) BETWEEN 1 AND 4)
+        SELECT doc_id, item_id, round(b.score, 6) AS score, round(b.qo, 6) AS question_overlap, round(b.ao, 6) AS answer_overlap
+        FROM (SELECT doc_id, item_id, max({'score': score, 'qo': qo, 'ao': ao}) AS b FROM found GROUP BY ALL)""",
+    # The exact neighbours: what the search gives as long as the table is one block, as the small tables are.
+    "op6_nearest_neighbours": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
     "op9_preference_format": """
         WITH plain AS (
             SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
