@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.common import materialise, prepare, table
+from tidewright.llm.common import Scratch, prepare, table
 from tidewright.llm.decontaminate import without_benchmark
 from tidewright.llm.ngram_jaccard import drop_near_copies
 from tidewright.llm.packing import pack
@@ -54,8 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each result is written as Parquet to the shared folder and reread as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn; each result is written as Parquet to the shared folder and reread as the next one's docs.
+
+    A stage's table is deleted when the next one's is written; the last stage writes what it needs before it returns.
+    """
+    docs, now = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, now = now, Scratch(spark)
+        docs = now.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        before.clear()
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    now.clear()
+    return packed
