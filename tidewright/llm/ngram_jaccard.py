@@ -457,7 +457,7 @@ def _linked(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
     return den * inter >= num * (n + m - inter)
 
 
-def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
+def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, whole: bool, scratch: Scratch) -> DataFrame:
     """Of the pairs (a, b) those whose sketches, or whole sets, pass; sets is (sid, n, data).
 
     A b with many pairs is dealt to several groups, to each of which its own set goes once.
@@ -474,15 +474,18 @@ def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, whole: bool) -
                     found.append((sid, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    ends = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(TILE_SETS)).cast("int").alias("t"))
+    ends = scratch.table(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(TILE_SETS)).cast("int").alias("t")), "ends")
+    # Only a b of several groups needs its number there; those are few, and no pairs move to find them.
+    large = ends.filter("t > 1")
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
     salt = F.when(F.col("t") > 1, F.pmod(F.xxhash64("a", F.lit(5)), F.col("t"))).otherwise(0).cast("int")
-    leaves = pairs.join(ends, "b").select(F.col("a").alias("sid"), "b", salt.alias("salt"), F.lit(1).alias("leaf"))
+    leaves = pairs.join(large, "b", "left").select(F.col("a").alias("sid"), "b", salt.alias("salt"), F.lit(1).alias("leaf"))
     roots = ends.select(F.col("b").alias("sid"), "b", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("salt"), F.lit(0).alias("leaf"))
     rows = leaves.unionByName(roots).join(sets, "sid").select("b", "salt", "leaf", "sid", "n", "data")
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "leaf").mapInArrow(run, "a long, b long")
 
 
-def _tested(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
+def _tested(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool, scratch: Scratch) -> DataFrame:
     """Links (a, b) within each list of members (list, sid, root), or the pairs that sketches leave; root tells what is connected already.
 
     A list that fits a tile is one. Of a larger one, the sets outside its largest connected part and the others are cut into blocks;
@@ -515,8 +518,8 @@ def _tested(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool
     lists = parts.groupBy("list").agg(F.sum("c").alias("c"), F.sum("bytes").alias("bytes"), F.max(F.struct("c", "root", "bytes")).alias("top"))
     fits = (F.col("c") <= TILE_SETS) & (F.col("bytes") <= TILE_BYTES)
     cut = lambda c, b: F.greatest(F.ceil(c * 2 / TILE_SETS), F.ceil(b * 2 / TILE_BYTES)).cast("int")
-    large = lists.filter(~fits).select("list", F.col("top.root").alias("top"), cut(F.col("c") - F.col("top.c"), F.col("bytes") - F.col("top.bytes")).alias("outer"), cut(F.col("top.c"), F.col("top.bytes")).alias("inner"))
-    both = sized.join(large, "list", "left")
+    large = scratch.table(lists.filter(~fits).select("list", F.col("top.root").alias("top"), cut(F.col("c") - F.col("top.c"), F.col("bytes") - F.col("top.bytes")).alias("outer"), cut(F.col("top.c"), F.col("top.bytes")).alias("inner")), "large")
+    both = sized.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "list", "left")
     inside = F.col("root") == F.col("top")
     slot = lambda n: F.pmod(F.xxhash64("sid", F.lit(7)), F.greatest(n, F.lit(1))).cast("int")
     own = F.when(inside, F.col("outer") + slot(F.col("inner"))).otherwise(slot(F.col("outer")))
@@ -554,16 +557,16 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 1
 
     pivots = members.groupBy("list").agg(F.min("sid").alias("b"))
     pairs = members.join(pivots, "list").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
-    near = scratch.table(_pairs(scratch.table(pairs, "pairs"), sketched, num, den, False), "near")
+    near = scratch.table(_pairs(scratch.table(pairs, "pairs"), sketched, num, den, False, scratch), "near")
     open_ = scratch.table(_unsettled(members, components(near, scratch)), "open")
-    more = scratch.table(_tested(open_, sketched, num, den, False), "more")
+    more = scratch.table(_tested(open_, sketched, num, den, False, scratch), "more")
 
     near = near.unionByName(more).distinct()
     groups = scratch.table(components(near, scratch).withColumnRenamed("node", "sid").join(classes.select("sid", "rep"), "sid"), "groups")
     whole = _rebuilt(docs, groups.select("sid", "rep"), k, scratch)
-    links = scratch.table(_pairs(near, whole, num, den, True), "links")
+    links = scratch.table(_pairs(near, whole, num, den, True, scratch), "links")
     open_ = scratch.table(_unsettled(groups.select(F.col("root").alias("list"), "sid"), components(links, scratch)), "unlinked")
-    links = links.unionByName(scratch.table(_tested(open_, whole, num, den, True), "last"))
+    links = links.unionByName(scratch.table(_tested(open_, whole, num, den, True, scratch), "last"))
 
     least = classes.select("sid", "rep").join(components(links, scratch).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     smallest = least.groupBy("root").agg(F.min("rep").alias("component_id"))
