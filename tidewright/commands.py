@@ -177,7 +177,7 @@ def regression(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _dump(spark: SparkSession, a: argparse.Namespace, offset: int, size: int) -> DataFrame:
     """Packets of a range of lines: (series, idx, id, data, bits, packet, ts, event_id)."""
-    lines = store.line_range(spark, a.icsim_dump, offset, size)
+    lines = store.line_range(spark, a.dump, offset, size)
     part = lambda i: F.regexp_extract("value", packets.LINE, i)
     rows = lines.filter(F.col("value").rlike(packets.LINE)).select("line", part(1).cast("decimal(20,6)").alias("s"), part(3).alias("id"), part(4).alias("raw"))
     data = F.when(F.length("raw") % 2 == 1, F.concat(F.lit("0"), "raw")).otherwise(F.col("raw"))
@@ -263,7 +263,7 @@ def pictures(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 CSV = (("-c", "--csv_dataset", {"required": True}), (None, "--timestamp", {"default": "Date Time"}), (None, "--pattern", {"default": PATTERN}))
-DUMP = (("-d", "--icsim_dump", {"required": True}), ("-S", "--train_size", {"type": int, "default": 1024}), ("-s", "--test_size", {"type": int, "default": 512}), ("-c", "--chunk", {"type": int, "default": 32}))
+DUMP = (("-d", "--dump", {"required": True}), ("-S", "--train_size", {"type": int, "default": 1024}), ("-s", "--test_size", {"type": int, "default": 512}), ("-c", "--chunk", {"type": int, "default": 32}))
 
 
 def _int(short: str | None, long: str, default: int) -> tuple:
