@@ -190,3 +190,11 @@ def test_small_operators(spark):
     codes = cleaning.dense_codes(spark.createDataFrame([(7,), (3,), (None,), (7,)], "v int"), "v").collect()
     assert sorted((r.v or 0, r.dense) for r in codes if r.v) == [(3, 0), (7, 1), (7, 1)] and any(r.dense is None for r in codes)
     assert cleaning.excluded(codes and spark.createDataFrame([("a",), (None,)], "k string"), "k", ["a"]).count() == 1
+
+
+def test_one_classifier_learns_chunks_in_turn(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, [float(v) for v in rng.normal(size=4) + 3 * np.eye(4)[k]], k) for c in range(4) for k in range(3) for _ in range(120)]
+    df = spark.createDataFrame(rows, "chunk int, features array<double>, y int")
+    r = intrusion.trained_in_turn(df, 10, 3).first()
+    assert r.chunks == 4 and r.n == 360 and r.accuracy > 0.85

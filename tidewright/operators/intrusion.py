@@ -118,6 +118,27 @@ def trained(df: DataFrame, key: str, features: str = "features", epochs: int = 1
     return bounded.groupBy("key").applyInPandas(run, "key string, model binary")
 
 
+def trained_in_turn(chunks: DataFrame, epochs: int = 5, classes: int = 10, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(model, chunks, n, accuracy): one classifier that learns the chunks (chunk, features, y) one after the other and is evaluated on the last.
+
+    It is one task, so each chunk gives at most so many rows, those with the smallest hashes.
+    """
+    place = F.pmod(F.xxhash64("features", "y"), F.lit(1 << 52)) / float(1 << 52)
+    sizes = chunks.groupBy("chunk").agg((F.lit(1.25 * rows) / F.count("*")).alias("_share"))
+    bounded = chunks.select("chunk", "features", "y", place.alias("_at")).join(sizes, "chunk").filter(F.col("_at") < F.col("_share")).drop("_share")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [p.sort_values("_at").head(rows) for _, p in pdf.groupby("chunk", sort=True)]
+        x = lambda p: np.stack(p["features"].to_numpy())
+        model = Classifier(x(parts[0]).shape[1], classes=classes)
+        for i, p in enumerate(parts[:-1] or parts):
+            model.fit(x(p), p["y"].to_numpy(), epochs, seed=i)
+        hit = model.scores(x(parts[-1])).argmax(1) == parts[-1]["y"].to_numpy()
+        return pd.DataFrame({"model": [model.to_bytes()], "chunks": [len(parts)], "n": [len(hit)], "accuracy": [float(hit.mean())]})
+
+    return bounded.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "model binary, chunks int, n long, accuracy double")
+
+
 def scored(df: DataFrame, models: DataFrame, key: str, features: str = "features") -> DataFrame:
     """The rows with their key as text, score (of class 1) and predicted; rows of keys without a model are left out. Models are joined by a shuffle."""
     rows = df.withColumn("key", F.col(key).cast("string")).join(models, "key")

@@ -792,6 +792,16 @@ def waveform_labels(spark, d):
     return made.groupBy("y").agg(F.count("*").alias("n"), *[F.avg(F.get("histogram", F.lit(i))).alias(f"bin{i}") for i in range(7)])
 
 
+@query()
+def waveform_classifier(spark, d):
+    """A classifier of transitions that learns histograms of waves chunk by chunk; its accuracy on the last chunk."""
+    from tidewright.operators import intrusion
+
+    rows = series.events(spark, d)
+    made = _signals(spark, d, rows, 3, distorted=0.05).select((F.pmod(F.col("idx"), F.lit(40)) / 10).cast("int").alias("chunk"), F.transform("histogram", lambda v: v.cast("double")).alias("features"), "y")
+    return intrusion.trained_in_turn(made, 2).select("chunks", "n", F.round("accuracy", 6).alias("accuracy"))
+
+
 @query()
 def hmm_decode(spark, d):
     from tidewright.operators import hmm
