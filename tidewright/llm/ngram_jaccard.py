@@ -49,7 +49,7 @@ HOT = 256
 #: A tile holds so many sets and bytes of sketches or elements at most.
 TILE_SETS, TILE_BYTES = 4096, 16 << 20
 #: Signatures of a bucket on average, of a packet of one task, and sets that a packet's table names.
-BUCKET, PACKET, NAMED = 4 << 20, 4 << 20, 1 << 15
+BUCKET, PACKET, NAMED = 2 << 20, 1 << 20, 1 << 15
 #: Elements of so many sets of a tile are counted by a matrix product, rarer ones pair by pair.
 FREQUENT = 32
 #: Up to so many ids are broadcast to find their texts (about 30 MB); more are joined by a shuffle.
@@ -215,7 +215,7 @@ def _packets(sid: np.ndarray, n: np.ndarray, sig: np.ndarray, owner: np.ndarray,
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         used, mine = np.unique(owner[a:b], return_inverse=True)
         packed = low[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes() + (mine.astype("<u2") << 1 | step[a:b]).astype("<u2").tobytes()
-        named = sid[used].astype("<i8").tobytes() + n[used].astype("<i8").tobytes()
+        named = sid[used].astype("<i8").tobytes() + n[used].astype("<i4").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([packed], pa.binary()), pa.array([named], pa.binary())], names=["bucket", "packed", "named"])
 
 
@@ -263,11 +263,12 @@ class _Bucket:
         self.held, self.rows, self.limit, self.hot = [], 0, self.least, np.empty(0, np.uint64)
 
     def add(self, packed: bytes, named: bytes) -> Iterator[pa.RecordBatch]:
-        m, names = len(packed) // 7, np.frombuffer(named, "<i8").reshape(2, -1)
+        m, k = len(packed) // 7, len(named) // 12
+        sid, n = np.frombuffer(named, "<i8", k), np.frombuffer(named, "<i4", k, 8 * k)
         low = np.zeros((m, 8), np.uint8)
         low[:, :5] = np.frombuffer(packed, np.uint8, 5 * m).reshape(5, m).T
         mine = np.frombuffer(packed, "<u2", m, 5 * m)
-        self.held.append((low.view("<u8").ravel(), *names[:, mine >> 1], (mine & 1).astype(np.int8)))
+        self.held.append((low.view("<u8").ravel(), sid[mine >> 1], n[mine >> 1], (mine & 1).astype(np.int8)))
         self.rows += m
         if self.rows > self.limit:
             # Hot signatures leave at once, so that what is held stays near the bucket's due share.
@@ -295,7 +296,8 @@ class _Bucket:
             return
         sig, sid, n = sig[~hot], sid[~hot], n[~hot]
         new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (n[:-1] * self.den < n[1:] * self.num)
+        size = n.astype(np.int64)
+        new[1:] = (sig[1:] != sig[:-1]) | (size[:-1] * self.den < size[1:] * self.num)
         group = np.cumsum(new) - 1
         many = (np.bincount(group, minlength=1) > 1)[group] if len(sig) else np.empty(0, bool)
         sid, group = sid[many], group[many]
