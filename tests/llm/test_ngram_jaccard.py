@@ -51,7 +51,7 @@ def test_same_as_all_pairs(docs, k, num, den, seed):
     assert got == brute(list(enumerate(texts)), k, num, den)
 
 
-@pytest.mark.parametrize("sizes", [{"TILE_SETS": 6}, {"HOT": 2, "TILE_SETS": 4}, {"HOT": 3, "BUCKET": 20, "PACKET": 50, "NAMED": 7, "TILE_BYTES": 2000}, {"BROADCAST_IDS": 0, "HOT": 5}])
+@pytest.mark.parametrize("sizes", [{"TILE_SETS": 6, "LEAVES": 3}, {"HOT": 2, "TILE_SETS": 4, "LEAVES": 2}, {"HOT": 3, "BUCKET": 20, "PACKET": 50, "NAMED": 7, "TILE_BYTES": 2000}, {"BROADCAST_IDS": 0, "HOT": 5}])
 def test_small_tiles_packets_and_hot_lists_lose_no_link(docs, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(nj, name, value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,26 @@ class Scratch:
         self.paths = []
 
 
+#: Spark's settings of how small shuffled partitions are put together: (setting, its default, ours).
+_COALESCE = (("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true", "false"), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864b", "8388608b"))
+
+
+@contextmanager
+def few_small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffled partitions are put together up to 8 MB, so that the many small tables of an operator are few files; larger ones stay.
+
+    Settings that aren't Spark's defaults are left alone.
+    """
+    ours = [(k, spark.conf.get(k, default), value) for k, default, value in _COALESCE if spark.conf.get(k, default) in (default, default.rstrip("b"), "64MB")]
+    for k, _, value in ours:
+        spark.conf.set(k, value)
+    try:
+        yield
+    finally:
+        for k, before, _ in ours:
+            spark.conf.set(k, before)
+
+
 class WordCache(dict):
     """Computes a value for each distinct word once; it is emptied when it is full, so its memory is bounded."""
 

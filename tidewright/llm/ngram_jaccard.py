@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch, components, mix
+from tidewright.llm.common import Scratch, components, few_small_tasks, mix
 from tidewright.llm.words import chunks, words
 
 #: Cells a first-level partition has, and cells that may differ in one.
@@ -50,6 +50,8 @@ HOT = 256
 TILE_SETS, TILE_BYTES = 4096, 16 << 20
 #: Signatures of a bucket on average, of a packet of one task, and sets that a packet's table names.
 BUCKET, PACKET, NAMED = 2 << 20, 1 << 20, 1 << 15
+#: Sets that are compared with one pivot in a task.
+LEAVES = 512
 #: Elements of so many sets of a tile are counted by a matrix product, rarer ones pair by pair.
 FREQUENT = 32
 #: Up to so many ids are broadcast to find their texts (about 30 MB); more are joined by a shuffle.
@@ -476,7 +478,7 @@ def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, whole: bool, s
                     found.append((sid, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    ends = scratch.table(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(TILE_SETS)).cast("int").alias("t")), "ends")
+    ends = scratch.table(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(LEAVES)).cast("int").alias("t")), "ends")
     # Only a b of several groups needs its number there; those are few, and no pairs move to find them.
     large = ends.filter("t > 1")
     large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
@@ -543,6 +545,11 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 1
 
     component_id is the smallest doc_id reachable by links; set_id is the class of documents with equal sets (null: empty).
     """
+    with few_small_tasks(docs.sparkSession):
+        return _groups(docs, k, num, den)
+
+
+def _groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sets = scratch.keep(document_sets(docs, k), "sets")
