@@ -138,6 +138,10 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+#: Edges that one task of a round of components writes.
+EDGES = 500_000
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges of long ids: (node, root), root being the smallest id that a node reaches.
 
@@ -158,6 +162,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = scratch.table(small, "stars")
+        # No step adds edges beyond twice what it had: a file for each half a million, however many tasks a shuffle has.
+        now = scratch.table(small.coalesce(max(1, -(-2 * state[0] // EDGES))), "stars")
         before.clear()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
