@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.chat_format import answer_pairs
 from tidewright.llm.common import table
 from tidewright.llm.decontaminate import contaminated
+from tidewright.llm.filter_audit import DUPLICATE, filter_audit
 from tidewright.llm.hilbert_ann import nearest
 from tidewright.llm.language import language_id
 from tidewright.llm.ngram_jaccard import ngram_jaccard_groups
@@ -67,6 +68,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end=0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = {
+        "A": F.col("n_words") < 100,
+        "B": 100 * F.col("n_distinct") < 80 * F.col("n_words"),
+        "C": 100 * F.col("n_capitals") > 10 * F.col("n_chars"),
+        "D": F.col("n_symbols") > 0,
+        "E": DUPLICATE,
+    }
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filters, part="lang", symbols="#$%&*|")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_preference_format,
         op10_best_fit_packing,
+        op11_filter_audit,
     )
 }
 
@@ -178,4 +191,29 @@ ORACLES: dict[str, str] = {
                 CAST(CAST(coalesce(list_sum(list_transform(rt[1:i - 1], lambda s: length(s))), 0) AS BIGINT) + 13 + length(r[i].role) AS VARCHAR) || ':' ||
                 CAST(CAST(list_sum(list_transform(rt[1:i], lambda s: length(s))) AS BIGINT) - 1 AS VARCHAR)), 'string_agg', ','), '') END AS rejected_mask
         FROM parts""",
+    # Every order of the five filters against the counts by mask.
+    "op11_filter_audit": """
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+                + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+            FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (
+            SELECT [a.f, b.f, c.f, d.f, e.f] AS fs, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+        s AS (SELECT array_to_string(fs, '') AS filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS gone FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        r AS (
+            SELECT part, filter_order, step, own, sum(CASE WHEN mask & (gone | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & gone = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & gone > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & gone = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & gone = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
 }
