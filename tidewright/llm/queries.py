@@ -18,6 +18,7 @@ from tidewright.llm.ngram_jaccard import ngram_jaccard_groups
 from tidewright.llm.packing import pack
 from tidewright.llm.pii import pseudonymise
 from tidewright.llm.secret_scan import secret_scan
+from tidewright.llm.spelling import spelling_groups
 from tidewright.llm.tokens import tokenised
 from tidewright.llm.toxicity import toxicity
 
@@ -79,6 +80,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filters, part="lang", symbols="#$%&*|")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"), least=5, often=3, ratio=2, spoil=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_preference_format,
         op10_best_fit_packing,
         op11_filter_audit,
+        op13_spelling_variants,
     )
 }
 

@@ -56,18 +56,22 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, i
 
 def words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = WHITE, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first): the words of all texts of a chunk; first[i] is the index of text i's first word."""
-    n = len(data)
+    starts, ends = spans(~ends_word[data], offsets)
+    return hashes(data, starts, ends - starts, fold), starts, ends, np.searchsorted(starts, offsets)
+
+
+def spans(inner: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends): maximal runs of the bytes that are marked as within words; none goes beyond its text."""
+    n = len(inner)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    inner = ~ends_word[data]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = inner.copy()
     starts[1:] &= ~inner[:-1] | edge[1:n]
     ends = inner.copy()
     ends[:-1] &= ~inner[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return _hashes(data, starts, ends - starts, fold), starts, ends, np.searchsorted(starts, offsets)
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
 def slices(size: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -84,7 +88,8 @@ def places(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that start so and have so many bytes."""
     out = np.empty(len(starts), np.uint64)
     for low, high in slices(size):
         n = size[low:high]
