@@ -101,10 +101,10 @@ def test_a_list_holds_words_that_differ_in_one_gram_only():
     keys = {}
     for size in (5, 6):
         mine = [w for w in words if len(w) == size]
-        for gram, _, key in spelling.postings(size, np.array([list(w) for w in mine], np.uint8)):
+        for gram, short, key in spelling.postings(size, np.array([list(w) for w in mine], np.uint8)):
             for w, k in zip(mine, key.tolist(), strict=True):
-                keys.setdefault((gram, k), []).append(w)
-    met = sorted(sorted(v) for v in keys.values() if len(v) > 1)
+                keys.setdefault((gram, k), []).append((w, short))
+    met = sorted(sorted(w for w, _ in v) for v in keys.values() if len(v) > 1 and not all(short for _, short in v))
     assert met == [[b"abcde", b"abcdef", b"abcdeg"], [b"abcdef", b"abxdef"], [b"abcdef", b"xbcdef"]]
     data, offsets = spelling.latin(pa.array(["é÷a", "", "ÿ"]))
     assert data.tobytes().decode("latin-1") == "é÷aÿ" and offsets.tolist() == [0, 3, 3, 4]
