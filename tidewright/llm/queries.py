@@ -13,6 +13,7 @@ from tidewright.llm.common import table
 from tidewright.llm.decontaminate import contaminated
 from tidewright.llm.filter_audit import DUPLICATE, filter_audit
 from tidewright.llm.hilbert_ann import nearest
+from tidewright.llm.katz import lm_scores
 from tidewright.llm.language import language_id
 from tidewright.llm.ngram_jaccard import ngram_jaccard_groups
 from tidewright.llm.packing import pack
@@ -80,6 +81,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filters, part="lang", symbols="#$%&*|")
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"), least=5, often=3, ratio=2, spoil=97)
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_preference_format,
         op10_best_fit_packing,
         op11_filter_audit,
+        op12_lm_scoring,
         op13_spelling_variants,
     )
 }
