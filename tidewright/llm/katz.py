@@ -14,6 +14,7 @@ Counts are never gathered in one place; they are tables dealt to buckets by hash
    frequent word go to the buckets of their contexts instead, and those of two frequent words to buckets of their own, so no word makes a
    bucket large. A bucket adds the counts up, knows the counts of words and bigrams there, and gives each text the sum of its logarithms; what depends
    on the discounts, which aren't known yet, is given as numbers of tokens with each small count.
+   The bigrams that were learned are kept with their counts, a row for each bucket; so are the weights of 3.
 3. It also sends sums over the seen words of each context, and the bigrams that it didn't find, to the buckets of the contexts, where the
    weights are made and looked up. The weights of frequent contexts are broadcast.
 4. Each block adds up what its texts got.
@@ -45,14 +46,14 @@ TURING, LOSS = 5, 0.5
 #: Share of all tokens from which a word is frequent.
 FREQUENT = 1e-3
 #: Tokens of a block and of a bucket, and the numbers of buckets.
-BLOCK, BUCKET, FEWEST, MOST = 1 << 21, 3_000_000, 36, 1 << 16
+BLOCK, BUCKET, FEWEST, MOST = 3 << 19, 2_000_000, 36, 1 << 16
 #: The start context and the end of a text, as hashes.
 START, END = np.uint64(0xA5A5_17C3_90E1), np.uint64(0x5A5A_E83C_6F1E)
 #: Units of the sums.
 UNIT = 2.0**32
 
 #: Rows between the steps.
-DOCS, SUMS, COUNTS, CONTEXTS, MISSED, MISSED_FREQUENT, GRAMS, WEIGHTS = range(8)
+DOCS, SUMS, COUNTS, CONTEXTS, MISSED, MISSED_FREQUENT, GRAMS, WEIGHTS, FREQUENT_WEIGHTS = range(9)
 STEP = "kind int, at int, block long, counts array<long>, data binary"
 _NAMES = ("kind", "at", "block", "counts", "data")
 
@@ -226,7 +227,7 @@ def sums(of: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
     return np.rint(np.bincount(of, weights=values, minlength=texts) * UNIT).astype(np.int64)
 
 
-def merger(frequent, buckets: int, keep: bool):
+def merger(frequent, buckets: int):
     """Adds up the counts of a bucket's bigrams, looks all texts' bigrams up in them, and passes on what the contexts decide."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -267,8 +268,7 @@ def merger(frequent, buckets: int, keep: bool):
             missed.append((u[at[some]], np.full(len(some), block, np.int64), of[some], n[some]))
         of_counts = np.bincount(np.minimum(seen, TURING + 2), minlength=TURING + 3)[1 : TURING + 2].tolist()
         found.append((COUNTS, None, None, of_counts, None))
-        if keep:
-            found.append((GRAMS, None, None, None, pack(u[seen > 0], w[seen > 0], seen[seen > 0].astype(np.uint32), count[seen > 0].astype(np.uint32))))
+        found.append((GRAMS, table.column("bucket")[0].as_py(), None, None, pack(u[seen > 0], w[seen > 0], seen[seen > 0].astype(np.uint32), count[seen > 0].astype(np.uint32))))
         found += [(CONTEXTS, k, None, None, pack(*x)) for k, x in dealt(context_sums(u, seen, count), buckets)]
         found += [(MISSED, k, None, None, pack(*x)) for k, x in dealt([np.concatenate([m[k] for m in missed]) for k in range(4)], buckets)]
         return pa.Table.from_batches([rows(found, _STEP)])
@@ -329,7 +329,7 @@ class Discounts:
         return np.log10(left) - np.log10(np.maximum(1 - taken, self.unknown))
 
 
-def weigher(frequent, discounts, keep: bool):
+def weigher(frequent, discounts):
     """Makes the weights of a bucket's contexts and looks up those of the bigrams that weren't found."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -344,9 +344,8 @@ def weigher(frequent, discounts, keep: bool):
         weight = discounts.value.weights(columns)
         hot = frequent.value.number(u)
         if (hot >= 0).any():
-            found.append((WEIGHTS, 0, None, None, pack(hot[hot >= 0], weight[hot >= 0])))
-        if keep:
-            found.append((WEIGHTS, 1, None, None, pack(u, columns[0], weight - np.log10(columns[0]))))
+            found.append((FREQUENT_WEIGHTS, None, None, None, pack(hot[hot >= 0], weight[hot >= 0])))
+        found.append((WEIGHTS, table.column("at")[0].as_py(), None, None, pack(u, columns[0], weight - np.log10(columns[0]))))
         if sent[MISSED]:
             x, block, of, n = (np.concatenate(c) for c in zip(*sent[MISSED], strict=True))
             at = np.minimum(np.searchsorted(u, x), len(u) - 1)
@@ -399,8 +398,8 @@ def language_scores(docs: DataFrame, held: Column, tables: str | None = None) ->
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document, by a model of those that aren't held out.
 
     base_score: the text's log10 probability by single words with half a count added to each; score: that by the model. Where
-    held is null the document isn't learned. tables: a folder for the model: grams (context, word, their count and the word's) and weights
-    (context, its count, log10 of its weight), by hash and bucket; see ``read_tables``.
+    held is null the document isn't learned. The model stays in the shared folder as two tables, a row for each bucket: bigrams (context, word,
+    their count and the word's) and weights (context, its count, log10 of its weight); tables is a folder for a copy, which ``read_tables`` opens.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     share = spark.sparkContext.broadcast
@@ -409,17 +408,17 @@ def language_scores(docs: DataFrame, held: Column, tables: str | None = None) ->
     whole["texts"] = docs.filter("learned").select(F.lit(1)).agg(F.count("*")).first()[0]
     buckets, frequent = min(MOST - 1, max(FEWEST, -(-whole["tokens"] // BUCKET))), share(Frequent(top))
     sent = docs.mapInArrow(sender(frequent, buckets), "bucket int, block long, data binary")
-    step = scratch.keep(sent.groupBy("bucket").applyInArrow(merger(frequent, buckets, tables is not None), STEP), "grams")
+    step = scratch.keep(sent.groupBy("bucket").applyInArrow(merger(frequent, buckets), STEP), "grams")
     counts = step.filter(F.col("kind") == COUNTS).agg(*[F.coalesce(F.sum(F.col("counts")[k]), F.lit(0)) for k in range(TURING + 1)]).first()
     discounts = Discounts(list(counts), whole)
-    after = step.filter(F.col("kind").isin(CONTEXTS, MISSED)).groupBy("at").applyInArrow(weigher(frequent, share(discounts), tables is not None), STEP)
+    after = step.filter(F.col("kind").isin(CONTEXTS, MISSED)).groupBy("at").applyInArrow(weigher(frequent, share(discounts)), STEP)
     after = scratch.keep(after, "weights")
     weights = np.zeros(len(frequent.value.hashes))
-    for r in after.filter((F.col("kind") == WEIGHTS) & (F.col("at") == 0)).select("data").collect():
+    for r in after.filter(F.col("kind") == FREQUENT_WEIGHTS).select("data").collect():
         at, value = unpack(r.data)
         weights[at] = value
     if tables is not None:
-        step.filter(F.col("kind") == GRAMS).unionByName(after.filter((F.col("kind") == WEIGHTS) & (F.col("at") == 1))).select("kind", "data").write.partitionBy("kind").parquet(tables)
+        step.filter(F.col("kind") == GRAMS).unionByName(after.filter(F.col("kind") == WEIGHTS)).select("kind", "at", "data").write.partitionBy("kind").parquet(tables)
     parts = step.filter(F.col("kind").isin(DOCS, SUMS, MISSED_FREQUENT)).unionByName(after.filter(F.col("kind") == MISSED)).select("kind", "block", "data")
     scratch.clear()
     return parts.groupBy("block").applyInArrow(assembler(share((whole, discounts, weights))), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
