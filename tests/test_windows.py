@@ -63,7 +63,7 @@ def test_eight_states_tell_turbine_pump_and_off_apart(spark):
     cases = [(1, 0, 0, 0), (0, 1, 0, 1), (1, 1, 0, 2), (1, 0, 1, 3), (0, 1, 1, 4), (1, 1, 1, 5), (0, 1, -1, 6), (1, 1, -1, 7), (0, 0, 0, None), (0, 0, 1, None), (1, 0, -1, None), (-1, 1, 0, None)]
     df = spark.createDataFrame([(float(d), float(w), float(h), c) for d, w, h, c in cases], "d double, w double, h double, c int")
     assert all(r.c == r.s for r in df.withColumn("s", states.eight_states(F.col("d"), F.col("w"), F.col("h"))).collect())
-    assert states.names8()[6] == ("WP_", "WindTurbines, Hydraulic Pump")
+    assert states.NAMES8[6] == ("WP_", "Diesels Off, WindTurbines, Hydrawlic Pump")
 
 
 def test_change_states(spark):
@@ -71,7 +71,7 @@ def test_change_states(spark):
     df = spark.createDataFrame([("s", *r) for r in rows], "series string, idx long, d double, w double, h double")
     found = states.change_states(df, "d", "w", "h").orderBy("idx").collect()
     assert [r.code for r in found] == [1 + 8 + 128, 1, 2 + 16, 1 + 32 + 128, 4 + 8 + 256, 4, 0]
-    names = states.names36()
+    names = states.NAMES36
     assert len(names) == 36 and [r.state is not None and names[r.state][0] for r in found] == ["_D_WT", "_Dxxx", False, "_DdWT", "dD_WP", False, False]
     assert states.change_states(df, "d", "w", "h", compat=False).filter("idx = 0").first().code == 1
     assert {n for n, _ in names.values()} >= {"xxxW_", "xxiWT", "iDiWP", "dDxxT", "_D_W_"}

@@ -16,39 +16,60 @@ NAMES5 = {
     EXCESS: ("EXCS", "Excess electrical power"),
     GENERATION_RISE: ("SIGP", "Sharp increase in generation power"),
 }
-#: The eight states in the order of their codes: diesels, wind turbines, and the hydraulic plant as turbine (T), as pump (P) or off (fixed values).
-NAMES8 = ("D__", "W__", "DW_", "DT_", "WT_", "DWT", "WP_", "DWP")
-#: The 36 states in the order of their codes, by what the hydraulic plant does: (diesels, wind turbines), each off (empty), steady (_), or
-#: changing power up (i) or down (d) (fixed values).
-STATES36 = {
-    "": (("_", ""), ("i", ""), ("", "_"), ("", "i"), ("", "d"), ("_", "_"), ("_", "i"), ("_", "d"), ("i", "_"), ("i", "d"), ("d", "_"), ("d", "i")),
-    "T": (("_", ""), ("i", ""), ("d", ""), ("", "_"), ("", "i"), ("", "d"), ("_", "_"), ("_", "i"), ("_", "d"), ("i", "_"), ("i", "d"), ("d", "_"), ("d", "i")),
-    "P": (("", "_"), ("", "i"), ("", "d"), ("_", "_"), ("_", "i"), ("_", "d"), ("i", "_"), ("i", "i"), ("i", "d"), ("d", "_"), ("d", "i")),
+#: The eight states by code: (short, long) names (fixed values).
+NAMES8 = {
+    0: ("D__", "Diesels, WindTurbine Off, Hydrawlic Off"),
+    1: ("W__", "Diesels Off,WindTurbine, Hydrawlic Off"),
+    2: ("DW_", "Diesels, WindTurbine, Hydrawlic Off"),
+    3: ("DT_", "Diesels, WindTurbines Off, Hydrawlic Turbine"),
+    4: ("WT_", "Diesels Off, WindTurbines, Hydrawlic Turbine"),
+    5: ("DWT", "Diesels , WindTurbines, Hydrawlic Turbine"),
+    6: ("WP_", "Diesels Off, WindTurbines, Hydrawlic Pump"),
+    7: ("DWP", "Diesels , WindTurbines, Hydrawlic Pump"),
 }
+#: The 36 states in the order of their codes: (flags, short, long) (fixed values). Two short names are misprints in the surveyed table,
+#: which has iDiW_ for dDiW_ (a fall of the diesels) and dWxxP for xxdWP; here each is the name of its state.
+STATES36 = (
+    (1, "_Dxxx", "Diesels, WindTurbine Off, Hydrawlic Off"),
+    (2, "iDxxx", "IncPower Diesels, WindTurbine Off, Hydrawlic Off"),
+    (8, "xxxW_", "Diesels Off, WindTurbine, Hydrawlic Off"),
+    (16, "xxiW_", "Diesels Off, IncPower WindTurbine, Hydrawlic Off"),
+    (32, "xxdW_", "Diesels Off, DecPower WindTurbine, Hydrawlic Off"),
+    (9, "_D_W_", "Diesels, WindTurbine, Hydrawlic Off"),
+    (17, "_DiW_", "Diesels, IncPower WindTurbine, Hydrawlic Off"),
+    (33, "_DdW_", "Diesels, DecPower WindTurbine, Hydrawlic Off"),
+    (10, "iD_W_", "IncPower Diesels, WindTurbine, Hydrawlic Off"),
+    (34, "iDdW_", "IncPower Diesels, DecPower WindTurbine, Hydrawlic Off"),
+    (12, "dD_W_", "DecPower Diesels, WindTurbine, Hydrawlic Off"),
+    (20, "dDiW_", "DecPower Diesels, IncPower WindTurbine, Hydrawlic Off"),
+    (129, "_DxxT", "Diesels, WindTurbine Off, Hydrawlic Turbine"),
+    (130, "iDxxT", "IncPower Diesels, WindTurbine Off,Hydrawlic Turbine"),
+    (132, "dDxxT", "DecPower Diesels, WindTurbine Off, Hydrawlic Turbine"),
+    (136, "xxxWT", "Diesels Off, WindTurbine, Hydrawlic Turbine"),
+    (144, "xxiWT", "Diesels Off, IncPower WindTurbine, Hydrawlic Turbine"),
+    (160, "xxdWT", "Diesels Off, DecPower WindTurbine, Hydrawlic Turbine"),
+    (137, "_D_WT", "Diesels, WindTurbine, Hydrawlic Turbine"),
+    (145, "_DiWT", "Diesels, IncPower WindTurbine, Hydrawlic Turbine"),
+    (161, "_DdWT", "Diesels, DecPower WindTurbine, Hydrawlic Turbine"),
+    (138, "iD_WT", "IncPower Diesels, WindTurbine, Hydrawlic Turbine"),
+    (162, "iDdWT", "IncPower Diesels, DecPower WindTurbine, Hydrawlic Turbine"),
+    (140, "dD_WT", "DecPower Diesels, WindTurbine, Hydrawlic Turbine"),
+    (148, "dDiWT", "DecPower Diesels, IncPower WindTurbine, Hydrawlic Turbine"),
+    (264, "xxxWP", "Diesels Off, WindTurbine, Hydrawlic Pump"),
+    (272, "xxiWP", "Diesels Off, IncPower WindTurbine, Hydrawlic Pump"),
+    (288, "xxdWP", "Diesels Off, DecPower WindTurbine, Hydrawlic Pump"),
+    (265, "_D_WP", "Diesels, WindTurbine, Hydrawlic Pump"),
+    (273, "_DiWP", "Diesels, IncPower WindTurbine, Hydrawlic Pump"),
+    (289, "_DdWP", "Diesels, DecPower WindTurbine, Hydrawlic Pump"),
+    (266, "iD_WP", "IncPower Diesels, WindTurbine, Hydrawlic Pump"),
+    (274, "iDiWP", "IncPower Diesels, IncPower WindTurbine, Hydrawlic Pump"),
+    (290, "iDdWP", "IncPower Diesels, DecPower WindTurbine, Hydrawlic Pump"),
+    (268, "dD_WP", "DecPower Diesels, WindTurbine, Hydrawlic Pump"),
+    (276, "dDiWP", "DecPower Diesels, IncPower WindTurbine, Hydrawlic Pump"),
+)
+NAMES36 = {i: (short, long) for i, (_, short, long) in enumerate(STATES36)}
 #: Bits of the flags: a source that is steady, rising, falling; the plant as turbine, as pump (fixed values).
-DIESEL_BITS, WIND_BITS, PLANT_BITS = {"": 0, "_": 1, "i": 2, "d": 4}, {"": 0, "_": 8, "i": 16, "d": 32}, {"": 0, "T": 128, "P": 256}
-
-
-def codes36() -> list[int]:
-    """The flags of the 36 states, in the order of their codes."""
-    return [DIESEL_BITS[d] + WIND_BITS[w] + PLANT_BITS[h] for h, pairs in STATES36.items() for d, w in pairs]
-
-
-def names8() -> dict[int, tuple[str, str]]:
-    part = {"D": "Diesels", "W": "WindTurbines", "T": "Hydraulic Turbine", "P": "Hydraulic Pump"}
-    return {i: (n, ", ".join(part[c] for c in n if c != "_")) for i, n in enumerate(NAMES8)}
-
-
-def names36() -> dict[int, tuple[str, str]]:
-    power = {"_": "", "i": "IncPower ", "d": "DecPower "}
-    out = {}
-    for h, pairs in STATES36.items():
-        for d, w in pairs:
-            wind = "xx" if not w else f"x{'W'}" if not d and w == "_" else f"{w}W"
-            short = (f"{d}D" if d else "xx") + wind + (h or ("_" if w else "x"))
-            long = (f"{power[d]}Diesels" if d else "Diesels Off", f"{power[w]}WindTurbine" if w else "WindTurbine Off", {"": "Hydraulic Off", "T": "Hydraulic Turbine", "P": "Hydraulic Pump"}[h])
-            out[len(out)] = (short, ", ".join(long))
-    return out
+DIESEL_STEADY, DIESEL_RISE, DIESEL_FALL, WIND_STEADY, WIND_RISE, WIND_FALL, TURBINE, PUMP = 1, 2, 4, 8, 16, 32, 128, 256
 
 
 def named(df: DataFrame, code: str, names: dict[int, tuple[str, str]]) -> DataFrame:
@@ -83,7 +104,7 @@ def eight_states(diesel: Column, wind: Column, hydro: Column) -> Column:
     on = {"D": diesel > 0, "W": wind > 0, "T": hydro > 0, "P": hydro < 0}
     off = {"D": diesel == 0, "W": wind == 0, "T": hydro == 0}
     state = F.lit(None).cast("int")
-    for code, name in enumerate(NAMES8):
+    for code, (name, _) in NAMES8.items():
         plant = on["T"] if "T" in name else on["P"] if "P" in name else off["T"]
         state = F.when((on if "D" in name else off)["D"] & (on if "W" in name else off)["W"] & plant, code).otherwise(state)
     return state
@@ -96,18 +117,18 @@ def change_states(df: DataFrame, diesel: str, wind: str, hydro: str, threshold:
     """
 
     def body(d: DataFrame, w) -> DataFrame:
-        def flags(c: str, bits: dict[str, int]) -> Column:
+        def flags(c: str, steady: int, rise: int, fall: int) -> Column:
             step = F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
-            return F.when(step > threshold, bits["i"]).when(step < -threshold, bits["d"]).when(F.col(c) > 0, bits["_"]).otherwise(0)
+            return F.when(step > threshold, rise).when(step < -threshold, fall).when(F.col(c) > 0, steady).otherwise(0)
 
-        plant = F.when(F.col(hydro) > 0, PLANT_BITS["T"]).when(F.col(hydro) < 0, PLANT_BITS["P"]).otherwise(0)
-        code = flags(diesel, DIESEL_BITS) + flags(wind, WIND_BITS) + plant
+        plant = F.when(F.col(hydro) > 0, TURBINE).when(F.col(hydro) < 0, PUMP).otherwise(0)
+        code = flags(diesel, DIESEL_STEADY, DIESEL_RISE, DIESEL_FALL) + flags(wind, WIND_STEADY, WIND_RISE, WIND_FALL) + plant
         if compat:
-            first = F.when(F.col(diesel) > 0, DIESEL_BITS["_"]).otherwise(0) + F.lit(WIND_BITS["_"] + PLANT_BITS["T"]) + F.when(F.col(hydro) < 0, PLANT_BITS["P"]).otherwise(0)
+            first = F.when(F.col(diesel) > 0, DIESEL_STEADY).otherwise(0) + F.lit(WIND_STEADY + TURBINE) + F.when(F.col(hydro) < 0, PUMP).otherwise(0)
             code = F.when(F.col("idx") == 0, first).otherwise(code)
         return d.withColumn("code", code)
 
-    number = F.create_map(*[F.lit(x) for i, c in enumerate(codes36()) for x in (c, i)])
+    number = F.create_map(*[F.lit(x) for i, (flags, _, _) in enumerate(STATES36) for x in (flags, i)])
     return in_blocks(df, 1, 0, body).withColumn("state", F.element_at(number, F.col("code")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,16 @@ def query(sql: str | None = None):
     """Registers a query, and its SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Spark 4.1 may take a union for dealt by its branches' keys after it has merged the branches' partitions differently.
+            spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
-        return f
+        return run
 
     return add
 
@@ -901,6 +908,38 @@ def wavelet_denoise(spark, d):
     return rounded(haar_denoised(series.hourly(spark, d), 50.0), 9)
 
 
+#: The four taps of the second Daubechies wavelet, in the order of the analysis, and those of its high pass.
+DB2 = "[(1 - sqrt(3)) / (4 * sqrt(2)), (3 - sqrt(3)) / (4 * sqrt(2)), (3 + sqrt(3)) / (4 * sqrt(2)), (1 + sqrt(3)) / (4 * sqrt(2))]"
+
+
+@query(f"""WITH RECURSIVE {HOURLY}, raw AS (SELECT series, list(value ORDER BY idx) AS x, count(*) AS own FROM hr GROUP BY series),
+    z AS (SELECT *, CASE WHEN own > 4 AND own < 65536 THEN CAST(power(2, ceil(round(log2(own), 9))) AS BIGINT) - own ELSE 0 END AS more FROM raw),
+    s AS (SELECT series, own, more // 2 AS l, list_concat(list_transform(range(more // 2, 0, -1), lambda m: x[1] + m * (x[1] - x[2])), x, list_transform(range(1, more - more // 2 + 1), lambda m: x[own] + m * (x[own] - x[own - 1]))) AS x FROM z),
+    w AS (SELECT {DB2} AS h, [-1, 1, -1, 1] AS g), top AS (SELECT series, own, l, x, CAST(floor(round(log2(len(x) / 3), 9)) AS INTEGER) AS top FROM s),
+    down AS (SELECT series, own, l, top, 0 AS lev, x, CAST([] AS DOUBLE[][]) AS d, [len(x)] AS n FROM top
+        UNION ALL SELECT series, own, l, top, lev + 1, list_transform(range(0, (len(x) + 3) // 2), lambda k: h[1] * e[2 * k + 4] + h[2] * e[2 * k + 3] + h[3] * e[2 * k + 2] + h[4] * e[2 * k + 1]),
+            list_append(d, list_transform(range(0, (len(x) + 3) // 2), lambda k: -h[4] * e[2 * k + 4] + h[3] * e[2 * k + 3] - h[2] * e[2 * k + 2] + h[1] * e[2 * k + 1])), list_append(n, (len(x) + 3) // 2)
+        FROM (SELECT *, list_concat([x[1] + 2 * (x[1] - x[2]), 2 * x[1] - x[2]], x, list_transform([1, 2, 3], lambda m: x[len(x)] + m * (x[len(x)] - x[len(x) - 1]))) AS e FROM down, w WHERE lev < top)),
+    up AS (SELECT series, own, l, lev, d, n, x AS a, x AS y FROM down WHERE lev = top
+        UNION ALL SELECT series, own, l, lev - 1, d, n,
+            list_transform(range(0, n[lev]), lambda i: CASE WHEN i % 2 = 0 THEN a[i // 2 + 1] * h[2] + a[i // 2 + 2] * h[4] ELSE a[i // 2 + 1] * h[1] + a[i // 2 + 2] * h[3] END),
+            list_transform(range(0, n[lev]), lambda i: CASE WHEN i % 2 = 0 THEN y[i // 2 + 1] * h[2] + y[i // 2 + 2] * h[4] + t[i // 2 + 1] * h[3] + t[i // 2 + 2] * h[1] ELSE y[i // 2 + 1] * h[1] + y[i // 2 + 2] * h[3] - t[i // 2 + 1] * h[4] - t[i // 2 + 2] * h[2] END)
+        FROM (SELECT *, list_transform(d[lev], lambda c: CASE WHEN abs(c) < 50 THEN 0 ELSE c END) AS t FROM up, w WHERE lev > 0))
+    SELECT series, i AS idx, round(a[l + i + 1], 6) AS approximation, round(y[l + i + 1], 6) AS denoised FROM (SELECT *, unnest(range(0, own)) AS i FROM up WHERE lev = 0)""")
+def wavelet_db2(spark, d):
+    from tidewright.operators import wavelets
+
+    return rounded(wavelets.denoised(series.hourly(spark, d), 2, 50.0))
+
+
+@query()
+def wavelet_family(spark, d):
+    """The series by each of the surveyed wavelets, at all levels."""
+    from tidewright.operators import wavelets
+
+    return wavelets.family(series.hourly(spark, d), threshold=50.0)
+
+
 @query(f"""WITH {HOURLY}, s AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS e, count(*) OVER (PARTITION BY series) AS n, CAST(ceil(12 * power(count(*) OVER (PARTITION BY series) / 100, 0.25)) AS INTEGER) AS q FROM hr),
     c AS (SELECT *, sum(e) OVER (PARTITION BY series ORDER BY idx) AS c FROM s), a AS (SELECT x.series, sum((1 - (y.idx - x.idx) / (x.q + 1)) * x.e * y.e) AS w FROM s x JOIN s y ON x.series = y.series AND y.idx - x.idx BETWEEN 1 AND x.q GROUP BY x.series)
     SELECT series, any_value(q) AS lags, round(sum(c * c) / any_value(n) / (sum(e * e) + 2 * any_value(w)), 6) AS kpss FROM c JOIN a USING (series) GROUP BY series""")
