@@ -49,6 +49,49 @@ def test_posterior_against_enumeration():
     assert np.allclose(hmm.posterior(m, np.arange(3)), weight / weight.sum(1, keepdims=True))
 
 
+def sequential(model, obs):
+    """(path, posterior states) of a whole series, in whole units of logarithms."""
+    start, moves, mean, std = model
+    b = np.rint(hmm.log_emissions(obs, mean, std, "normal") * hmm.LOG_UNIT).astype(np.int64)
+    a, v, back = hmm.whole_logs(moves), hmm.whole_logs(start) + b[0], []
+    for row in b[1:]:
+        step = v[:, None] + a
+        back.append(step.argmax(0))
+        v = step.max(0) + row
+    path = [int(v.argmax())]
+    for row in back[::-1]:
+        path.append(int(row[path[-1]]))
+    return path[::-1], hmm.posterior(hmm.Model(start, moves, hmm.gaussian(mean, std)), obs).argmax(1).tolist()
+
+
+@pytest.mark.parametrize("size", [3, 7, 1000])
+def test_paths_by_blocks_are_those_of_the_whole_series(spark, size):
+    rng = np.random.default_rng(size)
+    start, moves, mean, std = np.array([0.2, 0.5, 0.3]), np.array([[0.6, 0.2, 0.2], [0.1, 0.8, 0.1], [0.3, 0.0, 0.7]]), np.array([-1.0, 0, 1]), np.array([1.0, 0.7, 1.0])
+    # In "even" all states look and move alike, so every path ties.
+    models = {"one": (start, moves, mean, std), "two": (start, moves, mean, std), "even": (np.ones(3) / 3, np.ones((3, 3)) / 3, np.zeros(3), np.ones(3))}
+    data = {"one": rng.normal(size=50), "two": np.array([0.3]), "even": np.round(rng.normal(size=25), 1)}
+    rows = spark.createDataFrame([(s, i, float(v)) for s, x in data.items() for i, v in enumerate(x)], "series string, idx long, value double")
+    table = spark.createDataFrame([(s, m[0].tolist(), m[1].tolist(), m[2].tolist(), m[3].tolist()) for s, m in models.items()], "series string, start array<double>, moves array<array<double>>, mean array<double>, std array<double>")
+    found = hmm.paths(rows, table, size=size).toPandas().sort_values(["series", "idx"])
+    for s, x in data.items():
+        path, best = sequential(models[s], x)
+        got = found[found.series == s]
+        assert got.viterbi.tolist() == path
+        if s != "even":
+            assert got.posterior.tolist() == best
+
+
+@pytest.mark.parametrize("rates", [False, True])
+def test_levels_by_blocks(spark, rates):
+    rng = np.random.default_rng(5)
+    x = np.abs(np.cumsum(rng.normal(size=200))) + 0.2
+    rows = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "series string, idx long, value double")
+    whole, cut = (hmm.smoothed_power(rows, 1.0, rates=rates, size=n).toPandas().sort_values("idx") for n in (1000, 30))
+    assert whole.equals(cut.reset_index(drop=True)) or whole.smooth.tolist() == cut.smooth.tolist()
+    assert whole.smooth.between(whole.programmed.min(), whole.programmed.max()).all() and whole.idx.tolist() == list(range(200))
+
+
 def test_arima_finds_an_autoregression():
     rng, x = np.random.default_rng(0), [0.0]
     for e in rng.normal(size=2000):

@@ -736,10 +736,14 @@ def stream_transitions(spark, d):
 # Models: their results are checked by tests, not by SQL
 
 
-@query(f"""WITH RECURSIVE {CENTRED}, {PAIRS}, e AS (SELECT series, state, count(*) / n AS pi, avg(value) AS mean, CASE WHEN count(*) = 1 THEN 1e-4 ELSE greatest(0.01, stddev_pop(value)) END AS std FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM st) GROUP BY series, state, n),
+#: The model of the sign states of each hourly series, and its samples as a list.
+SIGN_MODEL = f"""{CENTRED}, {PAIRS}, e AS (SELECT series, state, count(*) / n AS pi, avg(value) AS mean, CASE WHEN count(*) = 1 THEN 1e-4 ELSE greatest(0.01, stddev_pop(value)) END AS std FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM st) GROUP BY series, state, n),
     k AS (SELECT * FROM (SELECT DISTINCT series FROM st), (SELECT unnest([-1, 0, 1]) AS state)), p AS (SELECT k.series, list((coalesce(pi, 0) + 1e-9) ORDER BY k.state) AS pi, list(coalesce(mean, 0) ORDER BY k.state) AS mean, list(coalesce(std, 1e-4) ORDER BY k.state) AS std FROM k LEFT JOIN e ON e.series = k.series AND e.state = k.state GROUP BY k.series),
     c AS (SELECT a.series, a.state AS i, b.state AS j, count(tr.i) + 1e-6 AS n FROM k a JOIN k b ON a.series = b.series LEFT JOIN tr ON tr.series = a.series AND tr.i = a.state AND tr.j = b.state GROUP BY ALL), m AS (SELECT series, list(n / t ORDER BY i, j) AS a FROM (SELECT *, sum(n) OVER (PARTITION BY series, i) AS t FROM c) GROUP BY series),
-    x AS (SELECT series, list(value ORDER BY idx) AS x, count(*) AS n FROM st GROUP BY series), q AS (SELECT series, pi, mean, std, a, x, n FROM p JOIN m USING (series) JOIN x USING (series)),
+    x AS (SELECT series, list(value ORDER BY idx) AS x, count(*) AS n FROM st GROUP BY series), q AS (SELECT series, pi, mean, std, a, x, n FROM p JOIN m USING (series) JOIN x USING (series))"""
+
+
+@query(f"""WITH RECURSIVE {SIGN_MODEL},
     z AS (SELECT series, 1 AS t, list_transform([1, 2, 3], lambda j: pi[j] / list_sum(pi) * exp(-(((x[1] - mean[j]) / std[j]) ** 2) / 2) / (std[j] * sqrt(2 * pi()))) AS f, 0.0::DOUBLE AS lp FROM q
         UNION ALL SELECT z.series, t + 1, list_transform([1, 2, 3], lambda j: (f[1] * a[j] + f[2] * a[3 + j] + f[3] * a[6 + j]) / list_sum(f) * exp(-(((x[t + 1] - mean[j]) / std[j]) ** 2) / 2) / (std[j] * sqrt(2 * pi()))), lp + ln(list_sum(f)) FROM z JOIN q USING (series) WHERE t < n)
     SELECT series, n, round(lp + ln(list_sum(f)), 4) AS logp FROM z JOIN q USING (series) WHERE t = n""")
@@ -809,7 +813,23 @@ def waveform_classifier(spark, d):
     return intrusion.trained_in_turn(made, 2).select("chunks", "n", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query()
+#: The logarithms of a sample's densities, and of transitions, in whole units, as the operator adds them.
+_LB = "greatest(-(((x[{t}] - mean[j]) / std[j]) ** 2) / 2 - ln(std[j] * sqrt(2 * pi())), -65536)"
+_WHOLE = "CAST(round({0} * 16777216) AS BIGINT)"
+_CAND = "[v[1] + la[j], v[2] + la[3 + j], v[3] + la[6 + j]]"
+
+
+@query(f"""WITH RECURSIVE {SIGN_MODEL}, l AS (SELECT series, n, x, mean, std, a, list_transform(pi, lambda p: p / list_sum(pi)) AS ps, list_transform(pi, lambda p: {_WHOLE.format("greatest(ln(p / list_sum(pi)), -65536)")}) AS lp, list_transform(a, lambda p: {_WHOLE.format("greatest(ln(p), -65536)")}) AS la FROM q),
+    f AS (SELECT series, CAST(1 AS BIGINT) AS t, list_transform([1, 2, 3], lambda j: lp[j] + {_WHOLE.format(_LB.format(t="1"))}) AS v, [1, 2, 3]::BIGINT[] AS bp FROM l
+        UNION ALL SELECT series, t + 1, list_transform([1, 2, 3], lambda j: list_max({_CAND}) + {_WHOLE.format(_LB.format(t="t + 1"))}), list_transform([1, 2, 3], lambda j: CAST(list_position({_CAND}, list_max({_CAND})) AS BIGINT)) FROM f JOIN l USING (series) WHERE t < n),
+    back AS (SELECT series, n AS t, CAST(list_position(v, list_max(v)) AS BIGINT) AS s FROM f JOIN l USING (series) WHERE t = n UNION ALL SELECT b.series, b.t - 1, f.bp[b.s] FROM back b JOIN f ON f.series = b.series AND f.t = b.t WHERE b.t > 1),
+    lb AS (SELECT series, n, a, ps, t, list_transform([1, 2, 3], lambda j: {_LB.format(t="t")}) AS lb FROM (SELECT *, unnest(range(1, n + 1)) AS t FROM l)), pt AS (SELECT series, n, a, ps, t, list_transform(lb, lambda v: exp(v - list_max(lb))) AS p FROM lb),
+    al AS (SELECT series, t, list_transform([1, 2, 3], lambda j: ps[j] * p[j]) AS g FROM pt WHERE t = 1
+        UNION ALL SELECT al.series, pt.t, list_transform([1, 2, 3], lambda j: (g[1] * a[j] + g[2] * a[3 + j] + g[3] * a[6 + j]) / list_sum(g) * p[j]) FROM al JOIN pt ON pt.series = al.series AND pt.t = al.t + 1),
+    be AS (SELECT series, n AS t, [1.0, 1.0, 1.0]::DOUBLE[] AS h FROM l
+        UNION ALL SELECT be.series, be.t - 1, list_transform([0, 3, 6], lambda i: (a[i + 1] * p[1] * h[1] + a[i + 2] * p[2] * h[2] + a[i + 3] * p[3] * h[3]) / list_sum(h)) FROM be JOIN pt ON pt.series = be.series AND pt.t = be.t WHERE be.t > 1),
+    ga AS (SELECT series, t, list_transform([1, 2, 3], lambda j: g[j] * h[j]) AS g FROM al JOIN be USING (series, t))
+    SELECT st.series, idx, state, CAST(s - 2 AS INTEGER) AS viterbi, CAST(list_position(g, list_max(g)) - 2 AS INTEGER) AS posterior FROM st JOIN back ON back.series = st.series AND back.t = idx + 1 JOIN ga ON ga.series = st.series AND ga.t = idx + 1""")
 def hmm_decode(spark, d):
     from tidewright.operators import hmm
 
