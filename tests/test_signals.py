@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import cleaning, images, intrusion, networks, packets, simulate, waveforms
+from tidewright.operators import cleaning, images, intrusion, networks, packets, regress, simulate, waveforms
 from tidewright.sources import store
 
 
@@ -198,3 +198,22 @@ def test_one_classifier_learns_chunks_in_turn(spark):
     df = spark.createDataFrame(rows, "chunk int, features array<double>, y int")
     r = intrusion.trained_in_turn(df, 10, 3).first()
     assert r.chunks == 4 and r.n == 360 and r.accuracy > 0.85
+
+
+def test_least_squares_on_any_number_of_columns(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 4)) * 1024) / 1024
+    y = 3 + x @ [1.0, -2.0, 0.5, 4.0] + np.round(rng.normal(size=300) * 1024) / 1024
+    want, *_ = np.linalg.lstsq(np.column_stack([np.ones(300), x]), y, rcond=None)
+    columns = [F.col(f"x{i}") for i in range(4)]
+    for shift in (0.0, 1e8):
+        df = spark.createDataFrame([(float(b), *map(float, a + shift)) for a, b in zip(x, y, strict=True)], "y double, x0 double, x1 double, x2 double, x3 double")
+        fit = regress.solved(regress.gram(df, F.col("y"), columns, [])).first()
+        assert fit.n == 300 and fit.rank == 5 and list(fit.b)[1:] == pytest.approx(want[1:], rel=1e-6)
+        assert fit.sse == pytest.approx(((y - np.column_stack([np.ones(300), x]) @ want) ** 2).sum(), rel=1e-6)
+    # A column that depends on others has no coefficient; the fit is that of the others.
+    twice = df.withColumn("x4", F.col("x1") + F.col("x2")).withColumn("x5", F.lit(7.0))
+    fit = regress.solved(regress.gram(twice, F.col("y"), [*columns[:3], F.col("x4"), F.col("x5"), columns[3]], [])).first()
+    assert fit.rank == 5 and fit.b[4] is None and fit.b[5] is None and fit.b[6] == pytest.approx(want[4], rel=1e-6)
+    q = regress.quality(df, F.col("y"), columns).first()
+    assert q.r2 == pytest.approx(1 - fit.sse / ((y - y.mean()) ** 2).sum(), rel=1e-6) and q.rank == 5

@@ -1,5 +1,8 @@
 """Windows, runs, states and scalings on small series with results worked out by hand."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,9 +29,54 @@ def test_padding_and_shift(spark):
     assert [r.shifted for r in windows.shifted(series(spark, [1, 2, 3]), 1, -1.0).orderBy("idx").collect()] == [-1, 1, 2]
 
 
+def three_points(v):
+    v = list(v)
+    for i in range(len(v) - 2):
+        if v[i] == v[i + 2]:
+            v[i + 1] = v[i]
+    return v
+
+
 def test_smoothing_carries_on(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 1.0, 5.0, 1.0],), ([1.0, 2.0],)], "v array<double>")
-    assert [list(r[0]) for r in df.select(windows.smoothed(F.col("v"))).collect()] == [[1, 1, 1, 1, 1], [1, 2]]
+    assert three_points([1, 2, 1, 5, 1]) == [1, 1, 1, 1, 1]
+    rng = random.Random(3)
+    data = {"a": [1.0, 2.0, 1.0, 5.0, 1.0], "b": [1.0, 2.0], "c": [4.0]} | {f"r{k}": [float(rng.randrange(k % 3 + 2)) for _ in range(60)] for k in range(9)}
+    rows = spark.createDataFrame([(s, i, v) for s, x in data.items() for i, v in enumerate(x)], "series string, idx long, value double")
+    for size in (1, 2, 7, 100):
+        found = windows.smoothed(rows, size=size).toPandas().sort_values(["series", "idx"])
+        for s, x in data.items():
+            assert found[found.series == s].smooth.tolist() == three_points(x), (s, size)
+
+
+def test_differences_as_polynomials(spark):
+    assert windows.lag_polynomial(1, 1) == {0: 1, 1: -2, 2: 1} and windows.lag_polynomial(1, 2) == {0: 1, 1: -1, 2: -1, 3: 1} and windows.lag_polynomial() == {0: 1}
+    x = [float(v * v % 37) for v in range(40)]
+    want = np.array(x)
+    for d in (1, 3, 4):
+        want = want[:-d] - want[d:]
+    got = windows.filtered(series(spark, x), {"chain": (windows.lag_polynomial(1, 3, 4), 8)}).orderBy("idx").collect()
+    assert [r.chain for r in got] == [*want.tolist(), *[None] * 8]
+    long = windows.filtered_series(series(spark, x), {"chain": (windows.lag_polynomial(1, 3, 4), 8), "plain": (windows.lag_polynomial(), 0)})
+    assert sorted((r.series, r["count"]) for r in long.groupBy("series").count().collect()) == [("s|chain", 32), ("s|plain", 40)]
+
+
+def test_a_large_mean_changes_no_autocorrelation(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=400) * 1024) / 1024
+    got = [{r.lag: r.r for r in windows.autocorrelation(series(spark, (x + m).tolist()), [1, 2, 5]).collect()} for m in (0.0, 1e8)]
+    e = x - x.mean()
+    assert all(got[0][k] == pytest.approx((e[k:] * e[:-k]).sum() / (e * e).sum()) and got[1][k] == pytest.approx(got[0][k], rel=1e-6) for k in (1, 2, 5))
+
+
+def test_an_outlier_leaves_the_ranges_even(spark):
+    rng = np.random.default_rng(2)
+    values = [*np.round(rng.normal(size=6000), 6).tolist(), 1e12]
+    counts = spark.createDataFrame([("s", v, 1) for v in set(values)], "series string, value double, n long")
+    placed = counts.join(windows.splitters(counts, "value"), "series").withColumn("r", windows.range_of(F.col("value"), F.col("splitters")))
+    sizes = sorted(r["count"] for r in placed.groupBy("r").count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2] and len(sizes) > 900
+    ranked = sorted((r.value, r._before) for r in windows.cumulated(counts).collect())
+    assert [b for _, b in ranked] == list(range(len(ranked)))
 
 
 def test_runs_and_longest(spark):

@@ -162,17 +162,19 @@ def matrix(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def regression(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Least squares of a column on two others; with categories, lines of their own against one for all, and the decision between them."""
-    x1, x2 = names(a.exogen)[:2]
+    """Least squares of a column on others; with categories, planes of their own against one for all, and the decision between them."""
+    xs = names(a.exogen)
     raw = spark.read.csv(a.csv_dataset, header=True)
-    rows = raw.select(*[F.col(f"`{c}`").try_cast("double").alias(n) for c, n in ((a.endogen, "y"), (x1, "x1"), (x2, "x2"))], *([F.col(f"`{a.category}`").alias("category")] if a.category else []))
-    clean = rows.dropna(subset=["y", "x1", "x2"])
-    _write(regress.quality(clean, F.col("y"), F.col("x1"), F.col("x2")), a, "quality")
+    rows = raw.select(*[F.col(f"`{c}`").try_cast("double").alias(n) for c, n in ((a.endogen, "y"), *((c, f"x{i}") for i, c in enumerate(xs, 1)))], *([F.col(f"`{a.category}`").alias("category")] if a.category else []))
+    columns = [f"x{i}" for i in range(1, len(xs) + 1)]
+    clean, x = rows.dropna(subset=["y", *columns]), [F.col(c) for c in columns]
+    found = regress.quality(clean, F.col("y"), x)
+    _write(found.select("n", "rank", *[F.get("b", F.lit(i)).alias(f"b{i}") for i in range(len(x) + 1)], "r2", "sigma2", "mean_abs", "max_abs", "f"), a, "quality")
     if a.category:
-        if not regress.shapes(rows, ["x1", "x2"], "y", "category").first()["valid"]:
+        if not regress.shapes(rows, columns, "y", "category").first()["valid"]:
             raise SystemExit("a category lacks values")
-        _write(regress.decision(regress.anova(clean, F.col("y"), F.col("x1"), F.col("x2"), "category")), a, "anova")
-        _write(regress.predicted(clean, F.col("y"), F.col("x1"), F.col("x2"), "category"), a, "predictions")
+        _write(regress.decision(regress.anova(clean, F.col("y"), x, "category")), a, "anova")
+        _write(regress.predicted(clean, F.col("y"), x, "category"), a, "predictions")
 
 
 def _dump(spark: SparkSession, a: argparse.Namespace, offset: int, size: int) -> DataFrame:

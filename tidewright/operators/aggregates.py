@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.windows import cumulated
+
 
 def scalar_properties(df: DataFrame, value: str = "value") -> DataFrame:
     """(series, low, high, mean, median, mode, std); the mode is the smallest of the most frequent values.
 
-    The median comes from the running counts of distinct values within buckets of the range, so no series' values meet in one buffer.
+    The median comes from the running counts of distinct values within ranges between sampled splitters, so no series' values meet in one buffer.
     """
     counts = df.groupBy("series", F.col(value).alias("value")).agg(F.count("*").alias("n"))
     mode = counts.groupBy("series").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("mode"))
     stats = df.groupBy("series").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("_n"))
-    share = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
-    placed = counts.join(stats.select("series", "low", "high", "_n"), "series").withColumn("_b", F.floor(share * 1024))
-    buckets = placed.groupBy("series", "_b").agg(F.sum("n").alias("_rows"))
-    before = buckets.select("series", "_b", F.coalesce(F.sum("_rows").over(Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("series", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = placed.join(before, ["series", "_b"]).withColumn("_to", upto)
-    holds = lambda rank: F.when((F.col("_to") > rank) & (F.col("_to") - F.col("n") <= rank), F.col("value"))
+    ranked = cumulated(counts).join(stats.select("series", "_n"), "series")
+    holds = lambda rank: F.when((F.col("_before") <= rank) & (F.col("_before") + F.col("n") > rank), F.col("value"))
     middle = ranked.groupBy("series").agg(((F.max(holds(F.floor((F.col("_n") - 1) / 2))) + F.max(holds(F.floor(F.col("_n") / 2)))) / 2).alias("median"))
     return stats.drop("_n").join(mode, "series").join(middle, "series").select("series", "low", "high", "mean", "median", "mode", "std")
 

@@ -36,15 +36,12 @@ def first_open(forecasts: DataFrame) -> DataFrame:
     return forecasts.filter("actual is null").groupBy("series").agg(F.min_by(F.struct(*[c for c in forecasts.columns if c != "series"]), "ts").alias("r")).select("series", "r.*")
 
 
-def concatenated(parts: Sequence[DataFrame], name: str) -> DataFrame:
-    """The rows (idx, value, state) of several files as one series, each file's positions after those of the files before."""
-    whole = None
-    for i, df in enumerate(parts):
-        rows = df.withColumn("_part", F.lit(i))
-        whole = rows if whole is None else whole.unionByName(rows)
-    sizes = whole.groupBy("_part").agg((F.max("idx") + 1).alias("_n"))
-    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))  # one row for each file
-    return whole.join(F.broadcast(shift), "_part").select(F.lit(name).alias("series"), (F.col("idx") + F.col("_shift")).alias("idx"), *[c for c in parts[0].columns if c != "idx"])
+def concatenated(df: DataFrame, name: str) -> DataFrame:
+    """The rows of several series as one, in the order of their names: each one's positions come after those of the ones before."""
+    sizes = df.groupBy("series").agg((F.max("idx") + 1).alias("_n"))
+    earlier = Window.orderBy("series").rowsBetween(Window.unboundedPreceding, -1)  # one row for each series
+    shift = sizes.select("series", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    return df.join(shift, "series").select(F.lit(name).alias("series"), (F.col("idx") + F.col("_shift")).alias("idx"), *[c for c in df.columns if c not in ("series", "idx")])
 
 
 def blocks_from(df: DataFrame, labels: DataFrame, size: int, value: str = "value") -> DataFrame:

@@ -1,43 +1,75 @@
-"""Least squares from grouped sums, analysis of variance, and tests of event rates."""
+"""Least squares on any number of columns from grouped sums, analysis of variance, and tests of event rates."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def moments(df: DataFrame, y: Column, x1: Column, x2: Column, by: list[str]) -> DataFrame:
-    """The sums that the normal equations of y on 1, x1, x2 need, by group, about the given columns."""
-    s = lambda e, n: F.sum(e).alias(n)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), s(x1, "s1"), s(x2, "s2"), s(y, "sy"), s(x1 * x1, "s11"), s(x1 * x2, "s12"), s(x2 * x2, "s22"), s(x1 * y, "s1y"), s(x2 * y, "s2y"), s(y * y, "syy"))
+#: Share of a column's variance that the columns before it must leave for it to count as one of its own.
+RANK = 1e-10
 
 
-def solved(sums: DataFrame) -> DataFrame:
-    """Adds b0, b1, b2 and sse, by Cramer's rule on the centred sums."""
-    n = F.col("n")
-    c = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / n
-    c11, c12, c22, c1y, c2y, cyy = c("s11", "s1", "s1"), c("s12", "s1", "s2"), c("s22", "s2", "s2"), c("s1y", "s1", "sy"), c("s2y", "s2", "sy"), c("syy", "sy", "sy")
-    det = c11 * c22 - c12 * c12
-    out = sums.withColumns({"b1": (c1y * c22 - c2y * c12) / det, "b2": (c2y * c11 - c1y * c12) / det, "sst": cyy})
-    out = out.withColumn("b0", (F.col("sy") - F.col("b1") * F.col("s1") - F.col("b2") * F.col("s2")) / n)
-    return out.withColumn("sse", F.col("sst") - F.col("b1") * c1y - F.col("b2") * c2y)
+def gram(df: DataFrame, y: Column, xs: list[Column], by: list[str]) -> DataFrame:
+    """(by, n, mean, gram): means of the x and y, and the sums of products of their deviations, row by row, over rows without nulls.
 
+    The sums come from covariances, which are merged about the means of their parts, so a large constant costs no digits.
+    """
+    names = [f"_x{i}" for i in range(len(xs))] + ["_y"]
+    rows = df.select(*by, *[c.cast("double").alias(n) for c, n in zip([*xs, y], names, strict=True)]).dropna(subset=names)
+    pairs = {(i, j): F.covar_pop(names[i], names[j]) * F.count("*") for i in range(len(names)) for j in range(i, len(names))}
+    whole = F.array(*[pairs[min(i, j), max(i, j)] for i in range(len(names)) for j in range(len(names))])
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(n) for n in names]).alias("mean"), whole.alias("gram")).filter("n > 0")
+
+
+def fitted(n: int, mean: np.ndarray, gram: np.ndarray) -> tuple[int, list[float | None], float, float]:
+    """(rank, coefficients from the constant on, sum of squares of y, of the residuals), by Cholesky's method; columns that depend on earlier ones have none."""
+    k = len(mean) - 1
+    g, used = gram.reshape(k + 1, k + 1).copy(), []
+    scale = g.diagonal().copy()
+    for i in range(k):  # what the columns so far leave of the others
+        if g[i, i] > RANK * scale[i] and scale[i] > 0:
+            used.append(i)
+            g = g - np.outer(g[:, i], g[i]) / g[i, i]
+    b: list[float | None] = [None] * (k + 1)
+    whole = gram.reshape(k + 1, k + 1)
+    if used:
+        root = np.sqrt(scale[used])
+        lower = np.linalg.cholesky(whole[np.ix_(used, used)] / np.outer(root, root))
+        own = np.linalg.solve(lower.T, np.linalg.solve(lower, whole[used, k] / root)) / root
+        for i, v in zip(used, own, strict=True):
+            b[i + 1] = float(v)
+    b[0] = float(mean[k] - sum(b[i + 1] * mean[i] for i in used))
+    return len(used) + 1, b, float(whole[k, k]), max(0.0, float(g[k, k]))
+
+
+def solved(grams: DataFrame) -> DataFrame:
+    """Adds rank, b (the constant first), sst and sse: least squares of y on a constant and the x, one small system a row."""
+
+    def run(parts):
+        for pdf in parts:
+            found = [fitted(n, np.asarray(m, float), np.asarray(g, float)) for n, m, g in zip(pdf["n"], pdf["mean"], pdf["gram"], strict=True)]
+            yield pdf.assign(rank=[f[0] for f in found], b=[f[1] for f in found], sst=[f[2] for f in found], sse=[f[3] for f in found])
 
-def pooled(sums: DataFrame) -> DataFrame:
-    """The sums of all groups together."""
-    return sums.agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "sy", "s11", "s12", "s22", "s1y", "s2y", "syy")])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grams.schema)
+    return grams.mapInPandas(run, f"{schema}, rank int, b array<double>, sst double, sse double")
 
 
-def anova(df: DataFrame, y: Column, x1: Column, x2: Column, by: str) -> DataFrame:
-    """One row: separate lines by category against one line for all: sse, ssb, mse, f, divergence."""
-    sums = moments(df, y, x1, x2, [by])
-    own = solved(sums).agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    one = solved(pooled(sums)).select(F.col("sse").alias("sse_pooled"))
-    both = own.join(one)  # one row each
-    ssb, mse = F.col("sse_pooled") - F.col("sse"), F.col("sse") / (F.col("n") - 3 * F.col("k"))
-    return both.select("n", "k", "sse", ssb.alias("ssb"), mse.alias("mse"), (ssb / (3 * (F.col("k") - 1)) / mse).alias("f"), (ssb / mse).alias("divergence"))
+def line(b: Column, xs: list[Column]) -> Column:
+    """What coefficients say of the x; columns without one count as nothing."""
+    return sum((F.coalesce(F.get(b, F.lit(i + 1)), F.lit(0.0)) * x for i, x in enumerate(xs)), F.get(b, F.lit(0)))
+
+
+def anova(df: DataFrame, y: Column, xs: list[Column], by: str) -> DataFrame:
+    """One row: separate planes by category against one plane for all: n, k categories, p coefficients, sse, ssb, mse, f, divergence."""
+    own = solved(gram(df, y, xs, [by])).agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    one = solved(gram(df, y, xs, [])).select(F.col("sse").alias("sse_pooled"))
+    both = own.join(one).withColumn("p", F.lit(len(xs) + 1))  # one row each
+    ssb, mse = F.col("sse_pooled") - F.col("sse"), F.col("sse") / (F.col("n") - F.col("p") * F.col("k"))
+    return both.select("n", "k", "p", "sse", ssb.alias("ssb"), mse.alias("mse"), (ssb / (F.col("p") * (F.col("k") - 1)) / mse).alias("f"), (ssb / mse).alias("divergence"))
 
 
 def _beta(a: float, b: float, x: float) -> float:
@@ -74,7 +106,7 @@ def decision(table: DataFrame) -> DataFrame:
 
     def run(parts):
         for pdf in parts:
-            dfn, dfd = 3 * (pdf["k"] - 1), pdf["n"] - 3 * pdf["k"]
+            dfn, dfd = pdf["p"] * (pdf["k"] - 1), pdf["n"] - pdf["p"] * pdf["k"]
             share = pdf["divergence"] / dfn
             at = lambda q: [f_quantile(x, a, b) for x, a, b in zip(q, dfn, dfd, strict=True)]
             yield pdf.assign(dfn=dfn, dfd=dfd, critical=at([0.95] * len(pdf)), quantile=at(share))
@@ -92,24 +124,21 @@ def shapes(df: DataFrame, columns: list[str], y: str, by: str) -> DataFrame:
     return each.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit(len(columns)).alias("p"), (F.coalesce(F.every("whole"), F.lit(False))).alias("valid"))
 
 
-def predicted(df: DataFrame, y: Column, x1: Column, x2: Column, by: str) -> DataFrame:
-    """The rows with own and pooled: what the line of their category, and the one of all, say."""
-    sums = moments(df, y, x1, x2, [by])
-    own = solved(sums).select(F.col(by).alias("_by"), *[F.col(f"b{i}").alias(f"_b{i}") for i in range(3)])
-    one = solved(pooled(sums)).select(*[F.col(f"b{i}").alias(f"_p{i}") for i in range(3)])
+def predicted(df: DataFrame, y: Column, xs: list[Column], by: str) -> DataFrame:
+    """The rows with own and pooled: what the plane of their category, and the one of all, say."""
+    own = solved(gram(df, y, xs, [by])).select(F.col(by).alias("_by"), F.col("b").alias("_own"))
+    one = solved(gram(df, y, xs, [])).select(F.col("b").alias("_one"))
     both = df.join(own, F.col(by).eqNullSafe(F.col("_by"))).join(F.broadcast(one))  # one row
-    line = lambda p: F.col(f"_{p}0") + F.col(f"_{p}1") * x1 + F.col(f"_{p}2") * x2
-    return both.withColumns({"own": line("b"), "pooled": line("p")}).drop("_by", *[f"_{p}{i}" for p in "bp" for i in range(3)])
-
-
-def quality(df: DataFrame, y: Column, x1: Column, x2: Column) -> DataFrame:
-    """One row: fit of y on 1, x1, x2 with r2, sse, ssr, sigma2, mean_abs, max_abs, f, from one more pass over the residuals."""
-    fit = solved(moments(df, y, x1, x2, []))
-    residual = y - F.col("b0") - F.col("b1") * x1 - F.col("b2") * x2
-    e = df.join(F.broadcast(fit.select("b0", "b1", "b2", "sst"))).select(residual.alias("e"), "b0", "b1", "b2", "sst")  # one row
-    q = e.groupBy("b0", "b1", "b2", "sst").agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("sse"), F.avg(F.abs("e")).alias("mean_abs"), F.max(F.abs("e")).alias("max_abs"))
-    ssr = F.col("sst") - F.col("sse")
-    return q.select("n", "b0", "b1", "b2", (ssr / F.col("sst")).alias("r2"), (F.col("sse") / (F.col("n") - 1)).alias("sigma2"), "mean_abs", "max_abs", (ssr / 2 / (F.col("sse") / (F.col("n") - 3))).alias("f"))
+    return both.withColumns({"own": line(F.col("_own"), xs), "pooled": line(F.col("_one"), xs)}).drop("_by", "_own", "_one")
+
+
+def quality(df: DataFrame, y: Column, xs: list[Column]) -> DataFrame:
+    """One row: fit of y on a constant and the x: n, rank, b, r2, sigma2, mean_abs, max_abs, f, from one more pass over the residuals."""
+    fit = solved(gram(df, y, xs, []))
+    e = df.join(F.broadcast(fit.select("b", "sst", "rank"))).select((y - line(F.col("b"), xs)).alias("e"), "b", "sst", "rank").dropna(subset=["e"])  # one row
+    q = e.agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("sse"), F.avg(F.abs("e")).alias("mean_abs"), F.max(F.abs("e")).alias("max_abs"), *[F.first(c).alias(c) for c in ("b", "sst", "rank")])
+    ssr, k = F.col("sst") - F.col("sse"), F.col("rank") - 1
+    return q.select("n", "rank", "b", (ssr / F.col("sst")).alias("r2"), (F.col("sse") / (F.col("n") - 1)).alias("sigma2"), "mean_abs", "max_abs", (ssr / k / (F.col("sse") / (F.col("n") - 1 - k))).alias("f"))
 
 
 def exponential_rates(gaps: DataFrame, least: int, key: str = "key") -> DataFrame:

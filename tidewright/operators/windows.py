@@ -96,16 +96,15 @@ def lag_pairs(df: DataFrame, lags: list[int], value: str = "value") -> DataFrame
 
 
 def autocorrelation(df: DataFrame, lags: list[int], value: str = "value") -> DataFrame:
-    """(series, lag, r): biased autocorrelation, sum of products of deviations over n times the population variance."""
-    stats = df.groupBy("series").agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"), F.count("*").alias("_n"))
-    sums = lag_pairs(df, lags, value).groupBy("series", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("_ab"), F.sum("a").alias("_a"), F.sum("b").alias("_b"), F.count("*").alias("_k"))
-    r = (F.col("_ab") - F.col("_m") * (F.col("_a") + F.col("_b")) + F.col("_k") * F.col("_m") * F.col("_m")) / (F.col("_n") * F.col("_v"))
-    return sums.join(stats, "series").select("series", "lag", r.alias("r"))
+    """(series, lag, r): biased autocorrelation, sum of products of deviations over n times the population variance.
 
-
-def pearson_lags(df: DataFrame, lags: list[int], value: str = "value") -> DataFrame:
-    """(series, lag, r): correlation of each value with the one lag rows before it, over the pairs."""
-    return lag_pairs(df, lags, value).groupBy("series", "lag").agg(F.corr("a", "b").alias("r"))
+    The mean goes before anything is multiplied, so a large one costs no digits.
+    """
+    stats = df.groupBy("series").agg(F.avg(value).alias("_m"), F.count("*").alias("_n"))
+    centred = df.join(stats, "series").select("series", "idx", "_n", (F.col(value) - F.col("_m")).alias("value"))
+    whole = centred.groupBy("series").agg(F.sum(F.col("value") * F.col("value")).alias("_s"))
+    sums = lag_pairs(centred, lags).groupBy("series", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("_ab"))
+    return sums.join(whole, "series").select("series", "lag", (F.col("_ab") / F.col("_s")).alias("r"))
 
 
 def pearson_all_lags(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
@@ -115,18 +114,53 @@ def pearson_all_lags(df: DataFrame, lags: int, value: str = "value") -> DataFram
     return pairs.groupBy("series", (F.col("_n") - 1 - F.col("_at")).alias("lag")).agg(F.corr("a", "_p.b").alias("r"))
 
 
-def transformed(df: DataFrame, season: int) -> DataFrame:
-    """The series and its first, second and first-of-seasonal differences, as series named series|kind, re-indexed."""
+def lag_polynomial(*periods: int) -> dict[int, int]:
+    """{offset: factor} of differences x[i] - x[i + d] taken one after the other for each given d: their product as polynomials."""
+    out = {0: 1}
+    for d in periods:
+        more: dict[int, int] = {}
+        for at, factor in out.items():
+            for offset, sign in ((0, 1), (d, -1)):
+                more[at + offset] = more.get(at + offset, 0) + sign * factor
+        out = {at: factor for at, factor in sorted(more.items()) if factor}
+    return out
+
+
+#: The surveyed sum over 4, 8 and 12 hours and a day of ten-minute samples, by offset (fixed values).
+COMPOSITE = {0: 1, 24: -1, 48: -1, 96: 1, 120: 1, 168: 1, 192: 1, 240: -1, 264: -1, 288: 1}
+#: The surveyed filters by name: (factors by offset, samples at the end that have none) (fixed values).
+FILTERS: dict[str, tuple[dict[int, int], int]] = {
+    "diff0": (lag_polynomial(), 0),
+    "diff1": (lag_polynomial(1), 1),
+    "ddiff1": (lag_polynomial(1, 1), 2),
+    "seas24": (lag_polynomial(24), 24),
+    "seas48": (lag_polynomial(48), 48),
+    "seas72": (lag_polynomial(72), 72),
+    "seas144": (lag_polynomial(144), 144),
+    "seas288": (COMPOSITE, 288),
+    "diff1seas": (lag_polynomial(1, 72), 74),
+    "ddiff1seas": (lag_polynomial(1, 1, 72), 75),
+}
+
+
+def filtered(df: DataFrame, filters: dict[str, tuple[dict[int, int], int]], value: str = "value") -> DataFrame:
+    """Adds a column for each filter: the sum of factors times later values, in one window pass; null for so many samples at the end."""
+    reach = max(max(kernel) for kernel, _ in filters.values())
+    ends = df.groupBy("series").agg((F.max("idx") + 1).alias("_n"))
 
     def body(d: DataFrame, w) -> DataFrame:
-        lag = lambda n: F.lag("value", n).over(w)
-        x = F.col("value")
-        kinds = {"plain": (x, 0), "diff1": (x - lag(1), 1), "diff2": (x - 2 * lag(1) + lag(2), 2), "diff1s": ((x - lag(1)) - (lag(season) - lag(season + 1)), season + 1)}
-        ready = d.withColumns({f"_{k}": v for k, (v, _) in kinds.items()})
-        made = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("value"), (F.col("idx") - n).alias("idx")) for k, (_, n) in kinds.items()])
-        return ready.select("series", "_home", "_block", F.explode(made).alias("p")).select("_home", "_block", F.concat_ws("|", "series", "p.kind").alias("series"), "p.idx", "p.value")
+        at = lambda offset: F.lead(value, offset).over(w) if offset else F.col(value)
+        made = {name: sum((factor * at(offset) for offset, factor in list(kernel.items())[1:]), list(kernel.values())[0] * at(list(kernel)[0])) for name, (kernel, _) in filters.items()}
+        return d.withColumns({name: F.when(F.col("idx") < F.col("_n") - lost, made[name]) for name, (_, lost) in filters.items()})
+
+    return in_blocks(df.join(ends, "series"), 0, reach, body).drop("_n")
 
-    return in_blocks(df, season + 1, 0, body).filter("value is not null")
+
+def filtered_series(df: DataFrame, filters: dict[str, tuple[dict[int, int], int]], value: str = "value") -> DataFrame:
+    """The filters as series of their own, named series|filter, for spectra and correlograms."""
+    made = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("value")) for name in filters])
+    rows = filtered(df, filters, value).select("series", "idx", F.explode(made).alias("p"))
+    return rows.select(F.concat_ws("|", "series", "p.kind").alias("series"), "idx", "p.value").filter("value is not null")
 
 
 def runs(df: DataFrame, state: str = "state") -> DataFrame:
@@ -173,22 +207,49 @@ def exactly(value: Column, places: int) -> Column:
     return F.bround(value.cast("decimal(28,9)"), places).cast("double")
 
 
+#: Ranges of values that rows of a series are dealt to, less one.
+SPLITTERS = 1023
+
+
+def splitters(df: DataFrame, value: str) -> DataFrame:
+    """(series, splitters): values that cut the rows of a series into ranges of about as many rows, whatever their distribution."""
+    return df.groupBy("series").agg(F.percentile_approx(value, F.array(*[F.lit(i / (SPLITTERS + 1)) for i in range(1, SPLITTERS + 1)]), 20_000).alias("splitters"))
+
+
+def range_of(value: Column, cuts: Column) -> Column:
+    """How many of the SPLITTERS sorted values are at most the given one, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(SPLITTERS.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.element_at(cuts, at + step) <= value, step).otherwise(0))
+
+
+def cumulated(counts: DataFrame, value: str = "value") -> DataFrame:
+    """Adds _before, the rows n of smaller values of the series, to counts (series, value, n) of distinct values.
+
+    Values are ranked within ranges between sampled splitters; only the ranges' totals meet by series.
+    """
+    placed = counts.join(splitters(counts, value), "series").withColumn("_range", range_of(F.col(value), F.col("splitters"))).drop("splitters")
+    totals = placed.groupBy("series", "_range").agg(F.sum("n").alias("_rows"))
+    earlier = Window.partitionBy("series").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select("series", "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
+    inside = F.sum("n").over(Window.partitionBy("series", "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(shift, ["series", "_range"]).withColumn("_before", F.col("_shift") + F.col("_inside")).drop("_shift", "_inside", "_range")
+
+
 def power_rates(df: DataFrame, minutes: float, value: str = "value", places: int = 3) -> DataFrame:
     """(series, idx, rate, kind): the tenth of steps (2 at least) that fall and rise most a minute; idx is the first step of that rate.
 
-    Steps are ranked within buckets of rates, so no series is sorted in one task.
+    Steps are counted by rate first, and rates are ranked within ranges, so no series is sorted in one task.
     """
     moved = in_blocks(df, 0, 1, lambda d, w: d.withColumn("_next", F.lead(value).over(w))).filter("_next is not null")
     steps = moved.select("series", "idx", exactly((F.col("_next") - F.col(value)) / minutes, places).alias("rate"))
-    ends = steps.groupBy("series").agg(F.min("rate").alias("_a"), F.max("rate").alias("_b"), F.count("*").alias("_n"))
+    counts = steps.groupBy("series", "rate").agg(F.count("*").alias("n"), F.min("idx").alias("idx"))
+    total = counts.groupBy("series").agg(F.sum("n").alias("_n"))
     k = F.greatest(F.floor((F.col("_n") + 1) / 10), F.lit(0))
-    sized = steps.join(ends, "series").withColumn("_k", F.least(F.when(k > 1, k).otherwise(2), F.col("_n")))
-    bucket = F.floor(F.coalesce(F.try_divide((F.col("rate") - F.col("_a")) * 1024, F.col("_b") - F.col("_a")), F.lit(0.0)))
-    ranked = positions(sized.withColumn("at", F.col("idx")), ("rate", "at"), bucket)
-    first = steps.groupBy("series", "rate").agg(F.min("idx").alias("idx"))
-    low = ranked.filter(F.col("rank") < F.col("_k")).select("series", "rate", F.lit("fall").alias("kind"))
-    high = ranked.filter(F.col("rank") >= F.col("_n") - F.col("_k")).select("series", "rate", F.lit("rise").alias("kind"))
-    return low.unionByName(high).join(first, ["series", "rate"]).select("series", "idx", "rate", "kind")
+    sized = cumulated(counts, "rate").join(total, "series").withColumn("_k", F.least(F.when(k > 1, k).otherwise(2), F.col("_n")))
+    taken = lambda left: F.greatest(F.least(F.col("_k") - left, F.col("n")), F.lit(0)).cast("int")
+    kinds = F.array(F.struct(F.lit("fall").alias("kind"), taken(F.col("_before")).alias("m")), F.struct(F.lit("rise").alias("kind"), taken(F.col("_n") - F.col("_before") - F.col("n")).alias("m")))
+    rows = sized.select("series", "idx", "rate", F.explode(kinds).alias("x")).filter("x.m > 0")
+    return rows.select("series", "idx", "rate", "x.kind", F.explode(F.array_repeat(F.lit(1), F.col("x.m"))).alias("_")).drop("_")
 
 
 def positions(df: DataFrame, order: tuple[str, ...], bucket: Column) -> DataFrame:
@@ -242,8 +303,33 @@ def day_profiles(df: DataFrame, value: str = "value") -> DataFrame:
     return rows.filter((F.col("idx") >= F.col("at")) & (F.col("at") < F.col("_last"))).select("series", "day", (F.col("idx") - F.col("at")).alias("pos"), "value")
 
 
-def smoothed(values: Column) -> Column:
-    """v[i+1] = v[i] wherever v[i] = v[i+2], left to right, so that a change carries on."""
-    start = F.slice(values, 1, 2)
-    step = lambda a, x: F.when(F.element_at(a, -2) == x, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.element_at(a, -2), x))).otherwise(F.concat(a, F.array(x)))
-    return F.when(F.size(values) < 3, values).otherwise(F.aggregate(F.slice(values, 3, F.size(values)), start, step))
+def smoothed(df: DataFrame, value: str = "value", size: int = BLOCK) -> DataFrame:
+    """Adds smooth: from left to right, each value between two equal ones becomes that value, so that a change carries on.
+
+    A sample either stays or takes the next one's value. Which of the two depends on what its neighbour before it did, so a sample is a map
+    of two states: both to one, each to itself, or each to the other. What a sample does is what the last map to one state gives, turned
+    round by the swaps since; blocks are composed to such maps, and only those meet by series.
+    """
+    ends = df.groupBy("series").agg(F.max("idx").alias("_last"))
+
+    def maps(d: DataFrame, w) -> DataFrame:
+        before, after = F.lag(value).over(w), F.lead(value).over(w)
+        stayed, moved = F.coalesce(before.eqNullSafe(after), F.lit(False)), F.coalesce(F.col(value).eqNullSafe(after), F.lit(False))
+        border = (F.col("idx") == 0) | (F.col("idx") == F.col("_last"))
+        fixed = F.when(border, F.lit(False)).when(stayed == moved, stayed)
+        return d.withColumns({"_after": after, "_fixed": fixed.cast("int"), "_swap": F.when(border | (stayed == moved), 0).otherwise(stayed.cast("int"))})
+
+    block = F.floor(F.col("idx") / size)
+    rows = in_blocks(df.join(ends, "series"), 1, 1, maps, size).withColumn("_b", block)
+    w = Window.partitionBy("series", "_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_turns", F.sum("_swap").over(w))
+    # The last fixed state, as it would be with no swap before it in the block.
+    rows = rows.withColumn("_base", F.last(F.when(F.col("_fixed").isNotNull(), (F.col("_fixed") + F.col("_turns")) % 2), ignorenulls=True).over(w))
+    blocks = rows.groupBy("series", "_b").agg(F.sum("_swap").alias("_all"), F.max_by("_base", "idx").alias("_tail"))
+    so_far = Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("_sum", F.sum("_all").over(so_far))
+    blocks = blocks.withColumn("_held", F.last(F.when(F.col("_tail").isNotNull(), (F.col("_tail") + F.col("_sum") - F.col("_all")) % 2), ignorenulls=True).over(so_far))
+    entry = blocks.select("series", (F.col("_b") + 1).alias("_b"), ((F.col("_held") + F.col("_sum")) % 2).alias("_entry"))
+    ready = rows.join(entry, ["series", "_b"], "left")
+    taken = (F.coalesce(F.col("_base"), F.col("_entry")) + F.col("_turns")) % 2 == 1
+    return ready.select(*df.columns, F.when(taken, F.col("_after")).otherwise(F.col(value)).alias("smooth"))

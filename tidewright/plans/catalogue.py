@@ -160,6 +160,37 @@ def first_diff(spark, d):
     return windows.first_difference(series.hourly(spark, d)).select("series", "idx", "diff")
 
 
+def _filter_sql(kernel: dict[int, int], lost: int) -> str:
+    terms = " ".join(f"{'+' if f > 0 else '-'} {abs(f)} * lead(value, {k}) OVER w" for k, f in kernel.items())
+    return f"round(CASE WHEN idx < count(*) OVER (PARTITION BY series) - {lost} THEN {terms.lstrip('+ ')} END, 6)"
+
+
+#: The surveyed filters, and three differences one after the other.
+CHAINED = windows.FILTERS | {"chain": (windows.lag_polynomial(1, 24, 168), 193)}
+
+
+@query(f"WITH {HOURLY} SELECT series, idx, {', '.join(f'{_filter_sql(k, n)} AS {name}' for name, (k, n) in CHAINED.items() if name != 'chain')}, round(c, 6) AS chain FROM (SELECT *, b - lead(b, 168) OVER w AS c FROM (SELECT *, a - lead(a, 24) OVER w AS b FROM (SELECT *, value - lead(value) OVER w AS a FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)) WINDOW w AS (PARTITION BY series ORDER BY idx)) WINDOW w AS (PARTITION BY series ORDER BY idx)) WINDOW w AS (PARTITION BY series ORDER BY idx)")
+def seasonal_filters(spark, d):
+    return rounded(windows.filtered(series.hourly(spark, d), CHAINED).select("series", "idx", *CHAINED))
+
+
+@query(f"""WITH {HOURLY}, f AS (SELECT series || '|diff1seas' AS series, idx, {_filter_sql(*windows.FILTERS["diff1seas"])} AS value FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx) UNION ALL SELECT series || '|seas24', idx, {_filter_sql(*windows.FILTERS["seas24"])} FROM hr WINDOW w AS (PARTITION BY series ORDER BY idx)),
+    s AS (SELECT *, value - avg(value) OVER (PARTITION BY series) AS e FROM f WHERE value IS NOT NULL), v AS (SELECT series, sum(e * e) AS v FROM s GROUP BY series)
+    SELECT a.series, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.e * b.e) / any_value(v), 6) AS r FROM s a JOIN s b ON a.series = b.series AND b.idx - a.idx IN (1, 24, 72) JOIN v ON v.series = a.series GROUP BY ALL""")
+def filter_correlograms(spark, d):
+    """Autocorrelations of filtered series."""
+    chosen = {k: windows.FILTERS[k] for k in ("diff1seas", "seas24")}
+    return rounded(windows.autocorrelation(windows.filtered_series(series.hourly(spark, d), chosen), [1, 24, 72]))
+
+
+@query(f"""WITH RECURSIVE {HOURLY}, q AS (SELECT series, idx, CAST(floor(value / 100) AS INTEGER) AS v FROM hr), l AS (SELECT series, list(v ORDER BY idx) AS v, count(*) AS n FROM q GROUP BY series),
+    r AS (SELECT series, CAST(0 AS BIGINT) AS idx, v[1] AS now FROM l UNION ALL SELECT series, idx + 1, CASE WHEN idx + 2 < n AND now = v[idx + 3] THEN now ELSE v[idx + 2] END FROM r JOIN l USING (series) WHERE idx + 1 < n)
+    SELECT series, idx, now AS smooth FROM r""")
+def three_point_rule(spark, d):
+    rows = series.hourly(spark, d).withColumn("value", F.floor(F.col("value") / 100).cast("int"))
+    return windows.smoothed(rows).select("series", "idx", "smooth")
+
+
 AUTOCORR = """s AS (SELECT *, avg(value) OVER (PARTITION BY series) AS m, var_pop(value) OVER (PARTITION BY series) AS v, count(*) OVER (PARTITION BY series) AS n FROM {0}),
     p AS (SELECT a.series, CAST(b.idx - a.idx AS INTEGER) AS lag, a.value AS x, b.value AS y, a.m, a.v, a.n FROM s a JOIN s b ON a.series = b.series AND b.idx - a.idx IN (1, 2, 3, 24))"""
 
@@ -234,8 +265,11 @@ def day_slot_matrix(spark, d):
 def slot_day_cells(spark, d):
     """Cells as rows, as the days are those of the data; cells without events have no value."""
     cells = _matrices(spark, d)
-    grid = cells.select("series", "slot").distinct().crossJoin(F.broadcast(cells.select("day").distinct()))
-    return grid.join(cells, ["series", "slot", "day"], "left")
+    ends = cells.agg(F.min(F.to_date("day")).alias("a"), F.max(F.to_date("day")).alias("b"))
+    known = cells.select("day").distinct()
+    # The days of a calendar between two dates are few; those without any event are left out.
+    every = cells.select("series", "slot").distinct().join(F.broadcast(ends)).select("series", "slot", F.explode(F.transform(F.sequence("a", "b"), lambda x: x.cast("string"))).alias("day"))
+    return every.join(known, "day", "left_semi").join(cells, ["series", "slot", "day"], "left").select("series", "slot", "day", "value")
 
 
 @query(f"""WITH {HOURLY}, {MATRICES} SELECT series, margin, key, round(ave, 6) AS ave, round(std, 6) AS std, low, high FROM (
@@ -553,20 +587,35 @@ def _lines(spark, d):
 
 @query(f"WITH {LINES} SELECT flag, n, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2 FROM ({_ols_sql('flag, ')})")
 def ols_multi(spark, d):
-    return rounded(regress.solved(regress.moments(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), ["flag"])).select("flag", "n", "b0", "b1", "b2"), 4)
+    fit = regress.solved(regress.gram(_lines(spark, d), F.col("y"), [F.col("x1"), F.col("x2")], ["flag"]))
+    return rounded(fit.select("flag", "n", *[F.get("b", F.lit(i)).alias(f"b{i}") for i in range(3)]), 4)
+
+
+#: Gauss and Jordan's steps on the sums of products of five columns, the last of them y: after four, its column has the coefficients.
+@query("""WITH RECURSIVE li AS (SELECT l_returnflag AS flag, [l_quantity, l_discount, l_tax, l_linenumber, l_extendedprice / 1000] AS v FROM lineitem),
+    m AS (SELECT flag, count(*) AS n, list_transform([1, 2, 3, 4, 5], lambda i: 0.0) AS z, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4]), avg(v[5])] AS m FROM li GROUP BY flag),
+    p AS (SELECT li.flag, i, j, sum((v[i] - m[i]) * (v[j] - m[j])) AS s FROM li JOIN m USING (flag), (SELECT unnest([1, 2, 3, 4, 5]) AS i), (SELECT unnest([1, 2, 3, 4, 5]) AS j) GROUP BY ALL),
+    g AS (SELECT flag, 0 AS k, list(s ORDER BY i, j) AS g FROM p GROUP BY flag
+        UNION ALL SELECT flag, k + 1, list_transform(range(0, 25), lambda z: CASE WHEN z // 5 = k THEN g[z + 1] / g[6 * k + 1] ELSE g[z + 1] - g[z // 5 * 5 + k + 1] * g[k * 5 + z % 5 + 1] / g[6 * k + 1] END) FROM g WHERE k < 4)
+    SELECT flag, n, CAST(5 AS INTEGER) AS rank, round(m[5] - g[5] * m[1] - g[10] * m[2] - g[15] * m[3] - g[20] * m[4], 6) AS b0, round(g[5], 6) AS b1, round(g[10], 6) AS b2, round(g[15], 6) AS b3, round(g[20], 6) AS b4, round(g[25], 4) AS sse
+    FROM g JOIN m USING (flag) WHERE k = 4""")
+def ols_four(spark, d):
+    rows = _table(spark, d, "lineitem").withColumn("flag", F.col("l_returnflag"))
+    fit = regress.solved(regress.gram(rows, F.col("l_extendedprice") / 1000, [F.col(c) for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")], ["flag"]))
+    return rounded(fit.select("flag", "n", "rank", *[F.get("b", F.lit(i)).alias(f"b{i}") for i in range(5)], F.round("sse", 4).alias("sse")))
 
 
 @query(f"""WITH {LINES}, f AS ({_ols_sql('')}), e AS (SELECT y - b0 - b1 * x1 - b2 * x2 AS e, f.* FROM li, f), q AS (SELECT any_value(sst) AS sst, sum(e * e) AS sse, avg(abs(e)) AS mean_abs, max(abs(e)) AS max_abs, count(*) AS n FROM e)
     SELECT n, round((sst - sse) / sst, 4) AS r2, round(sse / (n - 1), 4) AS sigma2, round(mean_abs, 4) AS mean_abs, round(max_abs, 4) AS max_abs, round((sst - sse) / 2 / (sse / (n - 3)), 1) AS f FROM q""")
 def ols_quality(spark, d):
-    q = regress.quality(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"))
+    q = regress.quality(_lines(spark, d), F.col("y"), [F.col("x1"), F.col("x2")])
     return q.select("n", *[F.round(c, 4).alias(c) for c in ("r2", "sigma2", "mean_abs", "max_abs")], F.round("f", 1).alias("f"))
 
 
 @query(f"""WITH {LINES}, o AS (SELECT sum(sse) AS sse, sum(n) AS n, count(*) AS k FROM ({_ols_sql('flag, ')})), p AS (SELECT sse AS pooled FROM ({_ols_sql('')}))
     SELECT CAST(n AS BIGINT) AS n, k, round(sse, 2) AS sse, round(pooled - sse, 2) AS ssb, round(sse / (n - 3 * k), 4) AS mse, round((pooled - sse) / (3 * (k - 1)) / (sse / (n - 3 * k)), 4) AS f, round((pooled - sse) / (sse / (n - 3 * k)), 4) AS divergence FROM o, p""")
 def anova_categories(spark, d):
-    a = regress.anova(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), "flag")
+    a = regress.anova(_lines(spark, d), F.col("y"), [F.col("x1"), F.col("x2")], "flag")
     return a.select("n", "k", F.round("sse", 2).alias("sse"), F.round("ssb", 2).alias("ssb"), *[F.round(c, 4).alias(c) for c in ("mse", "f", "divergence")])
 
 
@@ -652,9 +701,7 @@ def first_open_forecast(spark, d):
     c AS (SELECT idx + shift AS idx, state FROM s5 JOIN sh USING (series)) SELECT state AS i, j, count(*) AS n FROM (SELECT state, lead(state) OVER (ORDER BY idx) AS j FROM c) WHERE j IS NOT NULL GROUP BY ALL""")
 def concatenated_transitions(spark, d):
     """Files one after the other: their borders count as transitions, as in the surveyed method."""
-    rows = _five(spark, d).select("series", "idx", "value", "state")
-    names = sorted(r["series"] for r in rows.select("series").distinct().collect())
-    whole = cleaning.concatenated([rows.filter(F.col("series") == n).drop("series") for n in names], "all")
+    whole = cleaning.concatenated(_five(spark, d).select("series", "idx", "state"), "all")
     return states.transition_counts(whole).select("i", "j", "n")
 
 
@@ -710,7 +757,7 @@ def stability_times(spark, d):
 
 @query(f"WITH {LINES}, o AS ({_ols_sql('flag, ')}), p AS ({_ols_sql('')}) SELECT li.flag, count(*) AS rows, round(avg(o.b0 + o.b1 * x1 + o.b2 * x2), 4) AS own, round(min(o.b0 + o.b1 * x1 + o.b2 * x2), 4) AS low, round(avg(p.b0 + p.b1 * x1 + p.b2 * x2), 4) AS pooled, round(max(p.b0 + p.b1 * x1 + p.b2 * x2), 4) AS high FROM li JOIN o ON li.flag = o.flag, p GROUP BY li.flag")
 def ols_predictions(spark, d):
-    rows = regress.predicted(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), "flag")
+    rows = regress.predicted(_lines(spark, d), F.col("y"), [F.col("x1"), F.col("x2")], "flag")
     return rounded(rows.groupBy("flag").agg(F.count("*").alias("rows"), F.avg("own").alias("own"), F.min("own").alias("low"), F.avg("pooled").alias("pooled"), F.max("pooled").alias("high")), 4)
 
 
@@ -1041,7 +1088,7 @@ def packet_classifiers(spark, d):
 
 @query()
 def anova_decision(spark, d):
-    return rounded(regress.decision(regress.anova(_lines(spark, d), F.col("y"), F.col("x1"), F.col("x2"), "flag")), 4)
+    return rounded(regress.decision(regress.anova(_lines(spark, d), F.col("y"), [F.col("x1"), F.col("x2")], "flag")), 4)
 
 
 @query()

@@ -109,8 +109,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_sum(amount: str) -> Column:
-    """The sum of amounts with two decimal places, the same in whatever order they meet."""
-    return F.sum(F.col(amount).cast("decimal(18,2)")).cast("double")
+    """The sum of amounts with up to nine decimal places, the same in whatever order they meet; further places are rounded."""
+    return F.sum(F.col(amount).cast("decimal(28,9)")).cast("double")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
