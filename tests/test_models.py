@@ -181,13 +181,88 @@ def test_f_quantiles():
     assert regress.f_quantile(0.5, 10, 10) == pytest.approx(1) and regress.f_quantile(1.2, 3, 4) is None
 
 
-def test_seasonal_tests():
+def frame(spark, data):
+    return spark.createDataFrame([(s, i, float(v)) for s, x in data.items() for i, v in enumerate(x)], "series string, idx long, value double")
+
+
+def seasonal_walk(n=360, season=12):
+    rng, walk = np.random.default_rng(0), np.zeros(n)
+    for i in range(n):
+        walk[i] = (walk[i - season] if i >= season else 0) + rng.normal()
+    return walk
+
+
+def test_seasonal_stability():
     from tidewright.operators import spectra
 
     rng = np.random.default_rng(0)
     still = np.tile(np.sin(np.arange(12) / 12 * 2 * np.pi) * 5, 30) + rng.normal(size=360)
-    assert spectra.canova_hansen(still, 12)[2] == 0 and spectra.ocsb(still, 12)[1] == 0
-    walk = np.zeros(360)
-    for i in range(360):
-        walk[i] = (walk[i - 12] if i >= 12 else 0) + rng.normal()
-    assert spectra.canova_hansen(walk, 12)[2] == 1 and spectra.ocsb(walk, 12)[1] == 1
+    assert spectra.canova_hansen(still, 12)[2] == 0 and spectra.canova_hansen(seasonal_walk(), 12)[2] == 1
+
+
+def direct_dickey_fuller(x):
+    """(statistic, lags, observations) by least squares on the rows themselves."""
+    x = x - x.mean()
+    n, d = len(x), np.diff(x)
+    top = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
+
+    def fit(p, first):
+        t = np.arange(first, n)
+        z = np.column_stack([np.ones(len(t)), x[t - 1], *[d[t - 1 - i] for i in range(1, p + 1)]])
+        b, *_ = np.linalg.lstsq(z, d[t - 1], rcond=None)
+        e = d[t - 1] - z @ b
+        return len(t) * (math.log(2 * math.pi * (e @ e) / len(t)) + 1) + 2 * (p + 2), b[1] / math.sqrt((e @ e) / (len(t) - p - 2) * np.linalg.inv(z.T @ z)[1, 1])
+
+    p = min(range(top + 1), key=lambda p: (fit(p, top + 1)[0], p))
+    return fit(p, p + 1)[1], p, n - p - 1
+
+
+def test_dickey_fuller_by_blocks(spark):
+    from tidewright.operators import unitroots
+
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=400)
+    auto = np.zeros(300)
+    for i in range(2, 300):
+        auto[i] = 0.6 * auto[i - 1] - 0.3 * auto[i - 2] + noise[i]
+    data = {"walk": np.cumsum(noise), "auto": auto, "short": noise[:15], "far": auto + 1e8, "|odd|": noise[:50]}
+    for size in (64, 1 << 16):
+        found = {r.series: r for r in unitroots.stationarity(frame(spark, data)).collect()} if size > 64 else {r.series: r for r in unitroots.dickey_fuller(frame(spark, data), size=size).collect()}
+        for s, x in data.items():
+            t, p, n = direct_dickey_fuller(x)
+            assert (found[s].lags, found[s].nobs) == (p, n) and found[s].adf == pytest.approx(t, rel=1e-4 if s == "far" else 1e-7)
+    assert found["walk"].ndiffs == 1 and found["auto"].ndiffs == 0 and found["walk"].p > 0.1 and found["auto"].p < 0.01
+    # Published values: the 5 % point and its share.
+    assert unitroots.p_value(-2.86154) == pytest.approx(0.05, abs=2e-3) and unitroots.p_value(-3.43035) == pytest.approx(0.01, abs=1e-3) and unitroots.p_value(-30) == 0 and unitroots.p_value(3) == 1
+    assert unitroots.point(0.05, 100) == pytest.approx(-2.8909, abs=1e-3)
+
+
+def direct_seasonal(x, m, p):
+    """The t value of the filtered difference a season before, with p lags, by least squares on the rows themselves."""
+    n, top = len(x), 3
+    at = lambda f, t: np.array([f(i) for i in t])
+    v, w = (lambda i: x[i] - x[i - 1]), (lambda i: x[i] - x[i - m])
+    y = lambda i: w(i) - w(i - 1)
+    t = np.arange(m + top + 1, n)
+    lags = np.column_stack([at(y, t - i) for i in range(1, p + 1)])
+    phi = np.linalg.lstsq(lags, at(y, t), rcond=None)[0]
+    z4 = at(w, t - 1) - sum(phi[i] * at(w, t - 2 - i) for i in range(p))
+    z5 = at(v, t - m) - sum(phi[i] * at(v, t - m - 1 - i) for i in range(p))
+    z = np.column_stack([lags, z4, z5])
+    b = np.linalg.lstsq(z, at(y, t), rcond=None)[0]
+    e = at(y, t) - z @ b
+    return b[-1] / math.sqrt((e @ e) / (len(t) - p - 2) * np.linalg.inv(z.T @ z)[-1, -1])
+
+
+def test_seasonal_roots_by_blocks(spark):
+    from tidewright.operators import unitroots
+
+    rng = np.random.default_rng(0)
+    still = np.tile(np.sin(np.arange(12) / 12 * 2 * np.pi) * 5, 30) + rng.normal(size=360)
+    data = {"still": still, "walk": seasonal_walk(), "short": still[:18], "one": still[:1]}
+    for size in (50, 1 << 16):
+        found = {r.series: r for r in unitroots.seasonal_roots(frame(spark, data), 12, size=size).collect()}
+        assert found["still"].differences == 0 and found["walk"].differences == 1 and found["short"].lags == 0
+        for s in ("still", "walk"):
+            assert found[s].ocsb == pytest.approx(direct_seasonal(data[s], 12, found[s].lags), rel=1e-6)
+    assert unitroots.seasonal_point(12) == pytest.approx(-1.803, abs=5e-3)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars
-from tidewright.operators import aggregates, cluster, forecast, hmm, images, intrusion, networks, packets, regress, spectra, states, waveforms, windows
+from tidewright.operators import aggregates, cluster, forecast, hmm, images, intrusion, networks, packets, regress, spectra, states, unitroots, waveforms, windows
 from tidewright.sources import series, store
 
 PATTERN = "dd.MM.yyyy HH:mm"
@@ -52,7 +52,7 @@ def offline(spark: SparkSession, a: argparse.Namespace) -> None:
         hours = [int(h) for h in names(a.hours)]
         rows = series.indexed(rows.filter(F.hour("ts").isin(hours) & (F.minute("ts") == a.minute)).withColumn("series", F.concat_ws("|", "series", F.hour("ts"))).drop("idx"))
     parts = scalars.chronological(rows, a.eval, a.test)
-    _write(spectra.stationarity(rows), a, "stationarity")
+    _write(unitroots.stationarity(rows), a, "stationarity")
     _write(spectra.welch(rows), a, "psd")
     train = parts.filter("split = 'train'").select("series", "idx", "value")
     models = networks.trained(train, tuple(names(a.models)), a.n_step, a.epochs)

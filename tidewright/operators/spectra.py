@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.windows import BLOCK, autocorrelation
@@ -141,15 +141,18 @@ def haar_denoised(df: DataFrame, threshold: float, value: str = "value") -> Data
     return ready.mapInPandas(run, "series string, idx long, approximation double, denoised double")
 
 
-def kpss(df: DataFrame, value: str = "value") -> DataFrame:
-    """(series, lags, kpss): the level statistic, from partial sums within blocks and lagged products; no series meets in one task."""
+def kpss(df: DataFrame, value: str = "value", lags: Column | None = None) -> DataFrame:
+    """(series, lags, kpss): the level statistic, from partial sums within blocks and lagged products; no series meets in one task.
+
+    lags are given by the number of samples _n; 12 (_n / 100)^0.25 if not.
+    """
     stats = df.groupBy("series").agg(F.avg(value).alias("_m"), F.count("*").alias("_n"), F.var_pop(value).alias("_v"))
     centred = df.join(stats, "series").select("series", "idx", (F.col(value) - F.col("_m")).alias("value"), F.floor(F.col("idx") / BLOCK).alias("_b"))
     blocks = centred.groupBy("series", "_b").agg(F.sum("value").alias("_s"))
     before = blocks.select("series", "_b", F.coalesce(F.sum("_s").over(Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
     inside = F.sum("value").over(Window.partitionBy("series", "_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sums = centred.withColumn("_c", inside).join(before, ["series", "_b"]).groupBy("series").agg(F.sum((F.col("_c") + F.col("_before")) ** 2).alias("_cc"))
-    top = F.ceil(12 * F.pow(F.col("_n") / 100, F.lit(0.25)))
+    top = lags if lags is not None else F.ceil(12 * F.pow(F.col("_n") / 100, F.lit(0.25)))
     most = stats.select(F.max(top)).first()[0] or 0
     r = autocorrelation(df, list(range(1, int(most) + 1)), value).join(stats.select("series", "_n", top.alias("q")), "series").filter((F.col("lag") <= F.col("q")) & (F.col("lag") < F.col("_n")))
     long = r.groupBy("series").agg(F.sum((1 - F.col("lag") / (F.col("q") + 1)) * F.col("r")).alias("_w"))
@@ -157,43 +160,8 @@ def kpss(df: DataFrame, value: str = "value") -> DataFrame:
     return stats.join(sums, "series").join(long, "series", "left").select("series", top.cast("int").alias("lags"), (F.col("_cc") / F.col("_n") / variance).alias("kpss"))
 
 
-#: 5 % points of the Dickey-Fuller (with constant) and KPSS (level) statistics.
-ADF5, KPSS5 = -2.86, 0.463
-
-
-def stationarity(df: DataFrame, value: str = "value") -> DataFrame:
-    """(series, adf, lags, kpss, ndiffs): augmented Dickey-Fuller with AIC lags, KPSS, and the differences KPSS asks for."""
-
-    def adf(x: np.ndarray) -> tuple[float, int]:
-        top, best = min(int(12 * (len(x) / 100) ** 0.25), len(x) // 4), None
-        dx = np.diff(x)
-        for p in range(top + 1):
-            y = dx[top:]
-            z = np.column_stack([np.ones(len(y)), x[top:-1], *[dx[top - i : len(dx) - i] for i in range(1, p + 1)]])
-            b, *_ = np.linalg.lstsq(z, y, rcond=None)
-            e = y - z @ b
-            aic = len(y) * np.log((e * e).mean() + 1e-300) + 2 * z.shape[1]
-            s = (e * e).sum() / max(1, len(y) - z.shape[1])
-            t = b[1] / np.sqrt(s * np.linalg.pinv(z.T @ z)[1, 1] + 1e-300)
-            if best is None or aic < best[0]:
-                best = (aic, float(t), p)
-        return best[1], best[2]
-
-    def kpss(x: np.ndarray) -> float:
-        e = x - x.mean()
-        q = int(np.ceil(12 * (len(x) / 100) ** 0.25))
-        v = (e * e).sum() + 2 * sum((1 - i / (q + 1)) * (e[i:] * e[:-i]).sum() for i in range(1, min(q, len(x) - 1) + 1))
-        return float((np.cumsum(e) ** 2).sum() / len(x) / max(v, 1e-300))
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        t, p = adf(x)
-        d, y = 0, x
-        while d < 5 and len(y) > 20 and kpss(y) > KPSS5:
-            d, y = d + 1, np.diff(y)
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "adf": [t], "lags": [p], "kpss": [kpss(x)], "ndiffs": [d]})
-
-    return per_series(df, body, "series string, adf double, lags int, kpss double, ndiffs int")
+#: The 5 % point of the KPSS (level) statistic.
+KPSS5 = 0.463
 
 
 #: Points of 5 % of the seasonal stability statistic by its degrees of freedom, from 1 on (fixed values).
@@ -225,32 +193,18 @@ def canova_hansen(x: np.ndarray, period: int) -> tuple[float, float, int]:
     return statistic, point, int(statistic > point)
 
 
-def ocsb(x: np.ndarray, period: int, lags: int = 3) -> tuple[float, int]:
-    """(t statistic, seasonal differences): a regression of the doubly differenced series on its seasonal level; far below zero it needs no difference."""
-    x = np.asarray(x, float)
-    d = np.diff(x)
-    y = d[period:] - d[:-period]
-    level, seasonal = x[period:] - x[:-period], d
-    rows = np.arange(max(lags, period), len(y))
-    if len(rows) < 2 * lags + 8:
-        return 0.0, 0
-    columns = [y[rows - i] for i in range(1, lags + 1)] + [level[rows - 1 + 0], seasonal[rows + period - period]]
-    z = np.column_stack(columns)
-    b, *_ = np.linalg.lstsq(z, y[rows], rcond=None)
-    e = y[rows] - z @ b
-    s = (e @ e) / max(1, len(rows) - z.shape[1]) * np.linalg.pinv(z.T @ z)
-    t = float(b[-1] / np.sqrt(s[-1, -1] + 1e-300))
-    # The smoothed 5 % point of the statistic by the logarithm of the period (fixed values).
-    log = np.log(period)
-    point = -0.2937411 * np.exp(-0.2850853 * (log - 0.7656451) - 0.05983644 * (log - 0.7656451) ** 2) - 1.652202
-    return t, int(t > point)
+def stability(df: DataFrame, period: int, value: str = "value") -> DataFrame:
+    """(series, ch, ch_point, ch_differences): whether the seasonal pattern of each series, which is one task, stays as it is."""
 
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["series"].iloc[0], *canova_hansen(pdf[value].to_numpy(float), period))], columns=["series", "ch", "ch_point", "ch_differences"])
 
-def seasonality(df: DataFrame, period: int, value: str = "value") -> DataFrame:
-    """(series, ch, ch_point, ch_differences, ocsb, ocsb_differences) of each series, which is one task."""
+    return per_series(df, body, "series string, ch double, ch_point double, ch_differences int")
 
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        return pd.DataFrame([(pdf["series"].iloc[0], *canova_hansen(x, period), *ocsb(x, period))], columns=["series", "ch", "ch_point", "ch_differences", "ocsb", "ocsb_differences"])
 
-    return per_series(df, body, "series string, ch double, ch_point double, ch_differences int, ocsb double, ocsb_differences int")
+def seasonality(df: DataFrame, period: int, value: str = "value") -> DataFrame:
+    """(series, ch, ch_point, ch_differences, ocsb, ocsb_differences)."""
+    from tidewright.operators.unitroots import seasonal_roots
+
+    roots = seasonal_roots(df, period, value).select("series", "ocsb", F.col("differences").alias("ocsb_differences"))
+    return stability(df, period, value).join(roots, "series")

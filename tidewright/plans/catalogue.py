@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars
-from tidewright.operators import aggregates, cleaning, packets, regress, states, windows
+from tidewright.operators import aggregates, cleaning, packets, regress, states, unitroots, windows
 from tidewright.sources import series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1016,6 +1016,42 @@ def kpss_levels(spark, d):
     return rounded(kpss(series.hourly(spark, d)))
 
 
+#: What one step of Gauss and Jordan's sweep makes of a symmetric matrix of w columns, kept row by row; k is the column.
+_SWEEP = """list_transform(range(0, w * w), lambda z: CASE WHEN z // w = k AND z % w = k THEN -1 / g[k * w + k + 1] WHEN z // w = k THEN g[z + 1] / g[k * w + k + 1] WHEN z % w = k THEN g[z + 1] / g[k * w + k + 1]
+        ELSE g[z + 1] - g[z // w * w + k + 1] * g[k * w + z % w + 1] / g[k * w + k + 1] END)"""
+
+
+def _lagged_sql(name: str, source: str) -> str:
+    """CTEs {name}s: the sweeps of the Dickey-Fuller regression with the lags of source (series, v, d, n, top), one column after the other."""
+    return f"""{name}z AS (SELECT series, top + 3 AS w, n - top - 1 AS m, list_concat([1.0, v[t]], list_transform(range(1, top + 1), lambda i: d[t - i + 1]), [d[t + 1]]) AS z FROM (SELECT *, unnest(range(top + 1, n)) AS t FROM {source})),
+    {name}g AS (SELECT series, w, m, list(s ORDER BY i, j) AS g FROM (SELECT series, w, m, i, j, sum(z[i] * z[j]) AS s FROM (SELECT *, unnest(range(1, w + 1)) AS j FROM (SELECT *, unnest(range(1, w + 1)) AS i FROM {name}z)) GROUP BY ALL) GROUP BY series, w, m),
+    {name}s AS (SELECT series, w, m, CAST(0 AS BIGINT) AS k, g FROM {name}g UNION ALL SELECT series, w, m, k + 1, {_SWEEP} FROM {name}s WHERE k < w - 1)"""
+
+
+#: The normal distribution function by its power series, term by term.
+SERIES = "list_sum(list_transform(range(0, 160), lambda k: CASE WHEN z = 0 THEN 0 ELSE sign(z) * exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) END))"
+
+
+def _horner(points: tuple[float, ...], x: str) -> str:
+    return " + ".join(f"{c!r} * power({x}, {i})" for i, c in enumerate(points))
+
+
+@query(f"""WITH RECURSIVE {HOURLY}, v AS (SELECT series, list((value - m) / s ORDER BY idx) AS v, any_value(n) AS n, CAST(greatest(least(ceil(12 * power(any_value(n) / 100, 0.25)), any_value(n) // 2 - 2), 0) AS BIGINT) AS top FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(*) OVER w AS n FROM hr WINDOW w AS (PARTITION BY series)) GROUP BY series),
+    vd AS (SELECT *, list_concat([NULL], list_transform(range(2, n + 1), lambda i: v[i] - v[i - 1])) AS d FROM v), {_lagged_sql("x", "vd")},
+    best AS (SELECT series, min_by(k - 2, m * (ln(2 * pi() * g[w * w] / m) + 1) + 2 * k) AS lags FROM (SELECT * FROM asw WHERE k >= 2) GROUP BY series),
+    vb AS (SELECT vd.series, v, d, n, lags AS top FROM vd JOIN best USING (series)), {_lagged_sql("y", "vb")},
+    t AS (SELECT series, w - 3 AS lags, m AS nobs, g[2 * w] / sqrt(g[w * w] / (m - w + 1) * -g[w + 2]) AS t FROM bsw WHERE k = w - 1),
+    q AS (SELECT *, CASE WHEN t <= {unitroots.BORDER} THEN {_horner(unitroots.BELOW, "t")} ELSE {_horner(unitroots.ABOVE, "t")} END AS z FROM t),
+    dl AS (SELECT series, CAST(0 AS BIGINT) AS k, list(value ORDER BY idx) AS x FROM hr GROUP BY series UNION ALL SELECT series, k + 1, list_transform(range(1, len(x)), lambda i: x[i] - x[i + 1]) FROM dl WHERE k < 5),
+    de AS (SELECT series, k, i, len(x) AS n, CAST(floor(3 * sqrt(len(x)) / 13) AS BIGINT) AS q, x[i] - list_avg(x) AS e FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM dl)),
+    dc AS (SELECT *, sum(e) OVER (PARTITION BY series, k ORDER BY i) AS c FROM de), dw AS (SELECT a.series, a.k, sum((1 - (b.i - a.i) / (a.q + 1)) * a.e * b.e) AS w FROM de a JOIN de b ON a.series = b.series AND a.k = b.k AND b.i - a.i BETWEEN 1 AND a.q GROUP BY ALL),
+    dk AS (SELECT series, k, sum(c * c) / any_value(n) / (sum(e * e) + 2 * coalesce(any_value(w), 0)) AS kpss FROM dc LEFT JOIN dw USING (series, k) GROUP BY ALL), dn AS (SELECT series, max(kpss) FILTER (k = 0) AS kpss, coalesce(min(k) FILTER (kpss <= 0.463), 5) AS ndiffs FROM dk GROUP BY series)
+    SELECT series, round(t, 6) AS adf, CAST(lags AS INTEGER) AS lags, nobs, round(CASE WHEN t <= {unitroots.LOW_END} THEN 0 WHEN t >= {unitroots.HIGH_END} THEN 1 ELSE 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * {SERIES} END, 6) AS p,
+        {", ".join(f"round({_horner(unitroots.POINTS[share], '(1 / nobs)')}, 6) AS point{round(100 * share)}" for share in unitroots.POINTS)}, round(kpss, 6) AS kpss, CAST(ndiffs AS INTEGER) AS ndiffs FROM q JOIN dn USING (series)""".replace("asw", "xs").replace("bsw", "ys"))
+def stationarity(spark, d):
+    return rounded(unitroots.stationarity(series.hourly(spark, d)))
+
+
 @query()
 def seasonal_tests(spark, d):
     from tidewright.operators.spectra import seasonality
@@ -1033,13 +1069,6 @@ def hmm_states36(spark, d):
     return rounded(cleaning.mismatches(found, F.col("viterbi"), F.col("state")))
 
 
-@query()
-def stationarity(spark, d):
-    from tidewright.operators.spectra import stationarity as tested
-
-    return tested(series.hourly(spark, d))
-
-
 @query()
 def block_clusters(spark, d):
     from tidewright.operators import cluster
@@ -1098,10 +1127,6 @@ def sim_traffic(spark, d):
     return simulations(spark, 16)
 
 
-#: The normal distribution function by its power series, term by term.
-SERIES = "list_sum(list_transform(range(0, 160), lambda k: CASE WHEN z = 0 THEN 0 ELSE sign(z) * exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) END))"
-
-
 @query(f"WITH {EVENTS} SELECT series, idx, round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * {SERIES}, 6) AS cdf FROM (SELECT series, idx, (value - 100) / 50 AS z FROM ev)")
 def normal_cdf(spark, d):
     rows = series.events(spark, d)
