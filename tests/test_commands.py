@@ -49,6 +49,15 @@ RUNS = [
 ]
 
 
+def test_train_then_predict(spark, made, tmp_path):
+    at = ["-c", str(made / "a.csv"), "--out", str(tmp_path)]
+    main(["train", *at, "--models", "mlp_1,best_arima", "--epochs", "1"])
+    main(["predict", *at, "-p", "3"])
+    rows = spark.read.parquet(f"{tmp_path}/forecasts").orderBy("model", "horizon").collect()
+    assert [(r.model, r.horizon) for r in rows] == [(m, h) for m in ("best_arima", "mlp_1") for h in (1, 2, 3)] and str(rows[0].ts) == "2021-03-07 00:00:00"
+    main(["control", "--out", str(tmp_path)])
+
+
 @pytest.mark.parametrize(("kind", "options", "tables"), RUNS)
 def test_series_commands(spark, made, tmp_path, kind, options, tables):
     main([kind, "-c", str(made / "a.csv"), *options.split(), "--out", str(tmp_path)])
@@ -74,4 +83,4 @@ def test_pictures(spark, made, tmp_path):
 
 
 def test_lists_of_names():
-    assert names("") == [] and names("a, b") == ["a", "b"] and len(KINDS) == 12
+    assert names("") == [] and names("a, b") == ["a", "b"] and len(KINDS) == 16

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import scalars
 from tidewright.operators import aggregates, cluster, forecast, hmm, images, intrusion, networks, packets, regress, spectra, states, unitroots, waveforms, windows
 from tidewright.sources import series, store
+from tidewright.streaming import live, loop
 
 PATTERN = "dd.MM.yyyy HH:mm"
 
@@ -264,6 +266,30 @@ def pictures(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(cluster.kmeans_members(vectors, "centred", a.num_clusters, ["name"]), a, "clusters")
 
 
+def auto(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Polls a service of widgets, and trains and forecasts as samples come, until it is stopped; a later run with the same folder goes on."""
+    first = a.start or (dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0) - dt.timedelta(days=loop.FIRST_DAYS)).isoformat()
+    controller = live.Controller(a.seconds, a.keep, a.num_predicts, a.n_step, a.every, a.attempts)
+    live.run(live.start(spark, a.url, a.out, first, a.seconds, controller, attempts=str(a.attempts)), a.batches)
+
+
+def train(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Trains the configured models on a column of a CSV file and keeps them."""
+    rows = _series(spark, a, [a.tsname]).select("series", "idx", "value")
+    _write(networks.trained(rows, tuple(names(a.models)), a.n_step, a.epochs), a, "models")
+
+
+def predict(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Forecasts of a column of a CSV file by the models that train kept in the same folder, with their times."""
+    rows = _series(spark, a, [a.tsname])
+    found = networks.forecasts(rows.select("series", "idx", "value"), spark.read.parquet(f"{a.out}/models"), a.num_predicts)
+    _write(forecast.bundle(found, rows.groupBy("series").agg(F.max("ts").alias("last_ts")), a.discret), a, "forecasts")
+
+
+def control(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Does nothing, as in the surveyed program."""
+
+
 CSV = (("-c", "--csv_dataset", {"required": True}), (None, "--timestamp", {"default": "Date Time"}), (None, "--pattern", {"default": PATTERN}))
 DUMP = (("-d", "--dump", {"required": True}), ("-S", "--train_size", {"type": int, "default": 1024}), ("-s", "--test_size", {"type": int, "default": 512}), ("-c", "--chunk", {"type": int, "default": 32}))
 
@@ -274,6 +300,10 @@ def _int(short: str | None, long: str, default: int) -> tuple:
 
 #: The command lines: what runs, and its options as (short, long, settings).
 KINDS: dict[str, tuple[Callable, tuple]] = {
+    "auto": (auto, (("-u", "--url", {"required": True}), ("-s", "--start", {"default": ""}), (None, "--seconds", {"type": float, "default": 60.0 * loop.MINUTES}), _int("-k", "--keep", 512), _int("-p", "--num_predicts", 4), _int("-n", "--n_step", 6), _int(None, "--every", loop.RETRAIN), _int(None, "--attempts", loop.ATTEMPTS), (None, "--batches", {"type": int}))),
+    "train": (train, (*CSV, ("-t", "--tsname", {"default": "Imbalance"}), _int("-n", "--n_step", 32), _int(None, "--epochs", 10), (None, "--models", {"default": ",".join(networks.MODELS)}))),
+    "predict": (predict, (*CSV, ("-t", "--tsname", {"default": "Imbalance"}), _int("-p", "--num_predicts", 4), _int("-d", "--discret", 10))),
+    "control": (control, ()),
     "offline": (offline, (*CSV, ("-m", "--mode", {"default": "offlp", "choices": ("offlp", "hmofflp")}), ("-t", "--endogen", {"required": True}), _int("-n", "--n_step", 32), _int("-p", "--num_predicts", 4), _int("-s", "--test", 32), _int("-e", "--eval", 256), (None, "--hours", {"default": "7,19"}), _int(None, "--minute", 0), _int(None, "--epochs", 10), (None, "--models", {"default": ",".join(networks.MODELS)}))),
     "arima": (arima, (*CSV, ("-o", "--endogen", {"required": True}), _int("-u", "--chunk", 512), _int("-f", "--out_sample", 4), _int("-p", "--p_max", 4), _int("-d", "--d_max", 2), _int("-q", "--q_max", 2), _int("-P", "--P_max", 2), _int("-D", "--D_max", 0), _int("-Q", "--Q_max", 1), _int("-S", "--season", 0))),
     "clusters": (clusters, (*CSV, ("-t", "--tsname", {"default": "Imbalance"}), _int("-b", "--block_size", 144), _int("-n", "--num_block", 500), _int("-l", "--num_clusters", 3))),

@@ -52,7 +52,7 @@ class _Stream(SimpleDataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.base, self.trunc = options["base"], options.get("trunc", "hour")
-        self.start, self.minutes = options["start"], int(options.get("minutes", "10"))
+        self.start, self.seconds = options["start"], float(options.get("seconds", 60 * int(options.get("minutes", "10"))))
         self.timeout, self.attempts = float(options.get("timeout", "30")), int(options.get("attempts", "6"))
         self.until = options.get("until")
 
@@ -62,13 +62,14 @@ class _Stream(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         low = dt.datetime.fromisoformat(start["end"])
         now = dt.datetime.fromisoformat(self.until) if self.until else dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0)
-        if now - low < dt.timedelta(minutes=self.minutes):
+        if now - low < dt.timedelta(seconds=self.seconds):
             return iter([]), start
         row = fetch(self.url(low, now), self.timeout, self.attempts)
         return (iter([row]), {"end": now.isoformat()}) if row[2] is None else (iter([]), start)
 
     def url(self, low: dt.datetime, high: dt.datetime) -> str:
-        return widget_url(self.base, low.isoformat(timespec="minutes"), high.isoformat(timespec="minutes"), self.trunc)
+        unit = "minutes" if self.seconds % 60 == 0 else "seconds"
+        return widget_url(self.base, low.isoformat(timespec=unit), high.isoformat(timespec=unit), self.trunc)
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         if start == end:
@@ -77,7 +78,7 @@ class _Stream(SimpleDataSourceStreamReader):
 
 
 class WidgetSource(DataSource):
-    """Format ``widget``. Batch options: urls, a JSON list; timeout, attempts. Stream options: base, start, trunc, minutes, timeout, attempts."""
+    """Format ``widget``. Batch options: urls, a JSON list; timeout, attempts. Stream options: base, start, trunc, minutes (or seconds), timeout, attempts."""
 
     @classmethod
     def name(cls) -> str:
