@@ -46,7 +46,7 @@ TURING, LOSS = 5, 0.5
 #: Share of all tokens from which a word is frequent.
 FREQUENT = 1e-3
 #: Tokens of a block and of a bucket, and the numbers of buckets.
-BLOCK, BUCKET, FEWEST, MOST = 3 << 19, 2_000_000, 36, 1 << 16
+BLOCK, BUCKET, FEWEST, MOST = 1 << 20, 1_500_000, 36, 1 << 16
 #: The start context and the end of a text, as hashes.
 START, END = np.uint64(0xA5A5_17C3_90E1), np.uint64(0x5A5A_E83C_6F1E)
 #: Units of the sums.
@@ -88,7 +88,7 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.bi
 
 
 class Block:
-    """Texts as tokens; ``tokens`` gives words, the words before them, and the texts that they are of."""
+    """Texts as tokens, one after the other, each with the number of its text."""
 
     def __init__(self):
         self.parts, self.ids, self.learned, self.sizes, self.n = [], [], [], [], 0
@@ -96,23 +96,22 @@ class Block:
     def add(self, ids: pa.Array, learned: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         hashes, _, _, first = words(data, offsets, WHITE, LOWER)
         count = np.diff(first)
-        begin = first[:-1] + np.arange(len(count))
+        last = first[1:] + np.arange(len(count))
         own = np.empty(len(hashes) + len(count), np.uint64)
-        last = begin + count
         own[last] = END
         inner = np.ones(len(own), bool)
         inner[last] = False
         own[inner] = hashes >> np.uint64(16)
-        before = np.concatenate([own[:1], own[:-1]])
-        before[begin] = START
-        self.parts.append((own, before, np.repeat(np.arange(len(count)) + len(self.ids), count + 1)))
+        self.parts.append(own)
         self.ids += ids.to_pylist()
         self.learned += learned.to_pylist()
         self.sizes += (count + 1).tolist()
         self.n += len(own)
 
-    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.concatenate([p[k] for p in self.parts]) for k in range(3))
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, numbers of texts); the block holds its tokens no more."""
+        own, self.parts = np.concatenate(self.parts), []
+        return own, np.repeat(np.arange(len(self.sizes), dtype=np.uint32), self.sizes)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -136,8 +135,9 @@ def word_counts(docs: DataFrame, scratch: Scratch, buckets: int) -> tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            own, _, of = block.tokens()
+            own, of = block.tokens()
             kinds, which = np.unique(own, return_inverse=True)
+            del own
             every = np.bincount(which)
             learned = np.bincount(which, weights=np.array(block.learned)[of], minlength=len(kinds))
             to = bucket(kinds, buckets)
@@ -183,26 +183,37 @@ def sender(frequent, buckets: int):
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for seq, block in enumerate(blocks(batches)):
             number = (task << 32) + seq
-            own, before, of = block.tokens()
-            kinds = np.unique(np.append(own, START))
-            w, u, texts = np.searchsorted(kinds, own).astype(np.uint64), np.searchsorted(kinds, before).astype(np.uint64), len(block.ids)
+            own, of = block.tokens()
+            texts = len(block.ids)
+            kinds, w = np.unique(own, return_inverse=True)
+            kinds, w = np.append(kinds, START), w.astype(np.uint64)
+            own = u = np.concatenate([w[:1], w[:-1]])
+            u[np.cumsum(block.sizes) - block.sizes] = len(kinds) - 1
             if (int(len(kinds)) ** 2 * texts).bit_length() <= 64:
-                key, n = np.unique((w * np.uint64(len(kinds)) + u) * np.uint64(texts) + of.astype(np.uint64), return_counts=True)
+                w *= np.uint64(len(kinds))
+                w += u
+                w *= np.uint64(texts)
+                w += of
+                key, n = np.unique(w, return_counts=True)
+                del w, u, own, of
                 pair, of = np.divmod(key, np.uint64(texts))
+                del key
                 w, u = np.divmod(pair, np.uint64(len(kinds)))
+                del pair
             else:
                 order = np.lexsort((of, u, w))
                 w, u, of = w[order], u[order], of[order]
                 new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (of[1:] != of[:-1])))
                 n = np.diff(np.append(new, len(w)))
                 w, u, of = w[new], u[new], of[new]
+            of, n, w, u = of.astype(np.uint32), n.astype(np.uint32), w.astype(np.uint32), u.astype(np.uint32)
             hot, own_bucket = frequent.value.number(kinds) >= 0, bucket(kinds, buckets)
-            w, u = w.astype(np.int64), u.astype(np.int64)
             to = np.where(~hot[w], own_bucket[w], np.where(~hot[u], own_bucket[u], 0))
             both = np.flatnonzero(hot[w] & hot[u])
             to[both] = bucket(mix(kinds[w[both]]) + kinds[u[both]], buckets)
             order = np.argsort(to, kind="stable")
-            to, w, u, of, n = to[order], w[order], u[order], of[order].astype(np.uint32), n[order].astype(np.uint32)
+            to, w, u, of, n = to[order], w[order], u[order], of[order], n[order]
+            del order
             new = np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (to[1:] != to[:-1]))
             start = np.flatnonzero(new)
             learned = np.add.reduceat(np.where(np.array(block.learned)[of], n, 0), start).astype(np.uint32)
