@@ -38,7 +38,8 @@ RUNS = [
     ("offline", "-t Imbalance --models mlp_1,best_arima --epochs 1 -e 100", ["forecasts", "baseline", "psd"]),
     ("offline", "-m hmofflp -t Imbalance --models best_arima -n 2 -s 1 -e 1 --hours 7,19", ["forecasts"]),
     ("arima", "-o Imbalance -p 1 -q 1 -d 1 -u 200", ["orders", "forecasts"]),
-    ("arima", "-o Imbalance -p 1 -q 1 -d 1 -P 1 -S 6 -u 200", ["orders", "forecasts"]),
+    ("arima", "-o Imbalance -p 1 -q 1 -d 1 -P 1 -S 6 -u 200", ["orders", "errors", "error_summary", "forecasts"]),
+    ("arima", "-o Imbalance -p 1 -q 1 -d 1 -P 1 -Q 0 -S 6 -u 150 --search steps", ["search", "errors", "forecasts"]),
     ("clusters", "-b 36 -n 60 -l 2", ["members", "profiles", "costs"]),
     ("labels", "-m ddbld -x Wind,Hydro", ["labels", "centres"]),
     ("labels", "-m stcls -x Wind,Hydro -l Label", ["predictions"]),
@@ -70,6 +71,8 @@ def test_dump_commands(spark, made, tmp_path):
         main(["physical", *at[:4], "-S", "100", "-s", "50", "-m", mode, "-b", "1000"])
         main(["frequency", *at, "-m", mode])
     assert spark.read.parquet(f"{tmp_path}/anomalies").count() == 3
+    main(["physical", *at[:4], "-c", "20", "--chunks", "3", "-m", "test", "-b", "1000"])
+    assert spark.read.parquet(f"{tmp_path}/anomalies").count() == 60
     main(["frequency", *at, "-m", "test", "-M", "mle"])
     assert spark.read.parquet(f"{tmp_path}/anomalies").count() == 3
     for mode in ("dset", "train", "test"):

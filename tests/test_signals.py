@@ -217,3 +217,19 @@ def test_least_squares_on_any_number_of_columns(spark):
     assert fit.rank == 5 and fit.b[4] is None and fit.b[5] is None and fit.b[6] == pytest.approx(want[4], rel=1e-6)
     q = regress.quality(df, F.col("y"), columns).first()
     assert q.r2 == pytest.approx(1 - fit.sse / ((y - y.mean()) ** 2).sum(), rel=1e-6) and q.rank == 5
+
+
+def test_clusters_are_numbered_by_their_centres(spark):
+    from tidewright.operators import cluster
+
+    rows = spark.createDataFrame([(i, float(i % 3) * 10 + i / 100) for i in range(30)], "idx int, v double")
+    members = spark.createDataFrame([(i, (2, 0, 1)[i % 3]) for i in range(30)], "idx int, cluster int")
+    numbered = cluster.by_centre(members, rows, ["idx"], "v")
+    assert all(r.cluster == r.idx % 3 for r in numbered.collect())
+    both = numbered.join(members.withColumnRenamed("cluster", "other"), "idx")
+    assert sorted((r.a, r.b, r.n, round(r.share, 6)) for r in cluster.agreement(both, "cluster", "other").collect()) == [(0, 2, 10, 0.333333), (1, 0, 10, 0.333333), (2, 1, 10, 0.333333)]
+
+
+def test_chunks_get_noisier(spark):
+    rows = spark.range(12).select(waveforms.falling_ratio(14.0, F.col("id")).alias("snr")).collect()
+    assert [r.snr for r in rows] == [14, 9, 4, -1, -1, -1, -1, -1, -1, -1, -1, -1]

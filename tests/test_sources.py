@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.__main__ import main
@@ -137,3 +138,20 @@ def test_widget_stream(spark, tmp_path):
         assert len(seen) == 1 and "start_date=2024-01-01T00:00&end_date=2024-01-08T00:00" in seen[0].payload
     finally:
         server.shutdown()
+
+
+def test_balance_is_normalised_and_summed_up(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("t,made,used\n01.03.2021 00:00,1,3\n01.03.2021 00:10,2,5\n01.03.2021 00:20,2,9\n01.03.2021 00:30,,4\n01.03.2021 00:40,1,1\n")
+    rows = series.read_balance(spark, str(tmp_path / "b.csv"), "t", "made", "used")
+    got = series.balance_summary(rows).first()
+    assert (got.first_value, got.low, got.high, got["mean"], got["std"]) == (2.0, 2.0, 7.0, 4.0, pytest.approx(7**0.5))
+    assert got.low_normalised == pytest.approx(-2 / 7**0.5) and got.high_normalised == pytest.approx(3 / 7**0.5) and str(got.last_time) == "2021-03-01 00:20:00"
+
+
+def test_forecasts_of_one_time_of_the_day(spark):
+    from tidewright.sources import registry
+
+    made = spark.createDataFrame([("s", "m", h, float(h)) for h in (1, 2, 3)], "series string, model string, horizon int, forecast double")
+    last = spark.createDataFrame([("s", "2024-02-28 17:40:00")], "series string, t string").select("series", F.to_timestamp("t").alias("last_ts"))
+    got = [str(r.ts) for r in registry.hourly_bundle(made, last, 7, 30).orderBy("horizon").collect()]
+    assert got == ["2024-02-29 07:30:00", "2024-03-01 07:30:00", "2024-03-02 07:30:00"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars
-from tidewright.operators import aggregates, cluster, forecast, hmm, images, intrusion, networks, packets, regress, spectra, states, unitroots, waveforms, windows
+from tidewright.operators import aggregates, cluster, forecast, hmm, images, intrusion, networks, orders, packets, regress, spectra, states, unitroots, waveforms, windows
 from tidewright.sources import series, store
 from tidewright.streaming import live, loop
 
@@ -72,8 +72,19 @@ def arima(spark: SparkSession, a: argparse.Namespace) -> None:
         _write(forecast.seasonal_orders(rows, a.season, (a.p_max, a.d_max, a.q_max), (a.P_max, a.D_max, a.Q_max)), a, "orders")
     else:
         _write(forecast.order_grid(rows, max(a.p_max, a.q_max), a.d_max), a, "orders")
-    best = networks.trained(rows, ("seasonal_arima" if a.season else "best_arima",), period=a.season or 24)
-    _write(networks.forecasts(rows, best, a.out_sample), a, "forecasts")
+    if a.search == "steps":
+        needed = unitroots.differences_needed(rows, a.d_max).select("series", F.col("ndiffs").alias("d"), F.lit(0).alias("sd"))
+        tried = orders.search(rows, a.season, (a.p_max, a.q_max, a.P_max, a.Q_max), needed)
+        _write(tried, a, "search")
+        best = tried.filter("chosen")
+    elif a.season:
+        best = spark.read.format(a.format).options(header=True, inferSchema=True).load(f"{a.out}/orders").filter("chosen")
+    else:
+        best = forecast.best_orders(forecast.order_grid(rows, max(a.p_max, a.q_max), a.d_max)).selectExpr("series", "p", "d", "q", "0 AS sp", "0 AS sd", "0 AS sq")
+    errors = orders.errors_inside(rows, best, a.season)
+    _write(errors, a, "errors")
+    _write(orders.error_summary(errors), a, "error_summary")
+    _write(orders.forecasts(rows, best, a.season, a.out_sample), a, "forecasts")
 
 
 def clusters(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -107,7 +118,10 @@ def labels(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def labelled(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """rows with five clusterings (all columns, components, standardised, min-max, exogenous), their combined code and its dense number."""
+    """rows with five clusterings (all columns, components, standardised, min-max, exogenous), their combined code and its dense number.
+
+    The clusters of each are numbered by the mean of the first column, so that their numbers can be compared.
+    """
     from tidewright.operators import cleaning
 
     scale = {"all": columns, "pca": columns, "standard": columns, "minmax": columns, "exog": columns[1:] or columns}
@@ -123,7 +137,8 @@ def labelled(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
         vectors = cluster.centred_columns(wide.select("idx", data.alias("data")))
         if name == "pca":
             vectors = cluster.principal(vectors, 0.99)[0].withColumn("centred", F.col("pcs"))
-        out = out.join(cluster.kmeans_members(vectors, "centred", k, ["idx"]).withColumnRenamed("cluster", name), "idx")
+        members = cluster.by_centre(cluster.kmeans_members(vectors, "centred", k, ["idx"]), rows, ["idx"], columns[0])
+        out = out.join(members.withColumnRenamed("cluster", name), "idx")
     code = cleaning.combined_code(*[F.col(n) for n in ("all", "pca", "standard", "minmax", "exog")])
     return cleaning.dense_codes(out.withColumn("code", code), "code", "desired")
 
@@ -191,10 +206,17 @@ def _dump(spark: SparkSession, a: argparse.Namespace, offset: int, size: int) ->
 
 
 def physical(spark: SparkSession, a: argparse.Namespace) -> None:
-    """train: fingerprints of waves to a Bloom filter. test: packets with transitions that it doesn't know."""
+    """train: fingerprints of waves to a Bloom filter. test: packets with transitions that it doesn't know.
+
+    With --chunks the lines come in so many chunks (8 at most to train, 10 to test), and in a test each chunk has 5 dB more noise than the one before.
+    """
     start, size = (0, a.train_size) if a.mode == "train" else (a.train_size, a.test_size)
-    stream = packets.stream_transitions(_dump(spark, a, start, size))
-    waves = waveforms.signals(stream, a.fsample * 1e6, a.bitrate * 1e3, a.slope, a.snr, seed=start)
+    if a.chunks:
+        size = a.chunk * min(a.chunks, waveforms.CHUNKS[a.mode])
+    dump = _dump(spark, a, start, size)
+    falling = waveforms.falling_ratio(a.snr, F.floor((F.col("event_id") - start) / a.chunk)) if a.chunks and a.mode == "test" else F.lit(a.snr)
+    stream = packets.stream_transitions(dump.withColumn("snr", falling)).join(dump.select("series", "idx", falling.alias("snr")), ["series", "idx"])
+    waves = waveforms.signals(stream, a.fsample * 1e6, a.bitrate * 1e3, a.slope, F.col("snr"), seed=start)
     if a.mode == "train":
         bits, k = waveforms.filter_size(a.bf_size, a.bf_prob)
         store.save_filter(packets.bloom(waveforms.trained_words(waves), "item", bits, k), f"{a.out}/filter", bits, k)
@@ -305,13 +327,13 @@ KINDS: dict[str, tuple[Callable, tuple]] = {
     "predict": (predict, (*CSV, ("-t", "--tsname", {"default": "Imbalance"}), _int("-p", "--num_predicts", 4), _int("-d", "--discret", 10))),
     "control": (control, ()),
     "offline": (offline, (*CSV, ("-m", "--mode", {"default": "offlp", "choices": ("offlp", "hmofflp")}), ("-t", "--endogen", {"required": True}), _int("-n", "--n_step", 32), _int("-p", "--num_predicts", 4), _int("-s", "--test", 32), _int("-e", "--eval", 256), (None, "--hours", {"default": "7,19"}), _int(None, "--minute", 0), _int(None, "--epochs", 10), (None, "--models", {"default": ",".join(networks.MODELS)}))),
-    "arima": (arima, (*CSV, ("-o", "--endogen", {"required": True}), _int("-u", "--chunk", 512), _int("-f", "--out_sample", 4), _int("-p", "--p_max", 4), _int("-d", "--d_max", 2), _int("-q", "--q_max", 2), _int("-P", "--P_max", 2), _int("-D", "--D_max", 0), _int("-Q", "--Q_max", 1), _int("-S", "--season", 0))),
+    "arima": (arima, (*CSV, ("-o", "--endogen", {"required": True}), _int("-u", "--chunk", 512), _int("-f", "--out_sample", 4), _int("-p", "--p_max", 4), _int("-d", "--d_max", 2), _int("-q", "--q_max", 2), _int("-P", "--P_max", 2), _int("-D", "--D_max", 0), _int("-Q", "--Q_max", 1), _int("-S", "--season", 0), (None, "--search", {"default": "grid", "choices": ("grid", "steps")}))),
     "clusters": (clusters, (*CSV, ("-t", "--tsname", {"default": "Imbalance"}), _int("-b", "--block_size", 144), _int("-n", "--num_block", 500), _int("-l", "--num_clusters", 3))),
     "labels": (labels, (*CSV, ("-m", "--mode", {"default": "stcls", "choices": ("stcls", "ddbld")}), ("-t", "--endogen", {"default": "Imbalance"}), ("-x", "--exogen", {"default": ""}), ("-l", "--label", {"default": ""}))),
     "analyse": (analyse, (*CSV, ("-t", "--tsname", {"default": "Imbalance"}), ("-x", "--extra_ts", {"default": ""}), ("-u", "--one_side_upper", {"default": ""}), ("-l", "--one_side_lower", {"default": ""}), ("-w", "--two_sides", {"default": ""}), ("-b", "--abrupt_type", {"default": "upper", "choices": ("all", "upper", "lower")}), ("-r", "--abrupt_level", {"type": float, "default": 0.9}), _int("-d", "--discret", 10))),
     "matrix": (matrix, (*CSV, ("-t", "--ts", {"required": True}), ("-r", "--direction", {"default": "X", "choices": ("X", "Y")}), _int("-p", "--period", 144), ("-s", "--scale", {"default": "NO"}))),
     "regression": (regression, (("-c", "--csv_dataset", {"required": True}), ("-e", "--endogen", {"required": True}), ("-x", "--exogen", {"required": True}), (None, "--category", {"default": ""}))),
-    "physical": (physical, (*DUMP, ("-m", "--mode", {"default": "train", "choices": ("train", "test")}), ("-f", "--fsample", {"type": float, "default": 16.0}), ("-b", "--bitrate", {"type": float, "default": 256.0}), ("-R", "--snr", {"type": float, "default": 40.0}), ("-p", "--slope", {"type": float, "default": 0.3}), _int(None, "--bf_size", 2048), (None, "--bf_prob", {"type": float, "default": 0.05}))),
+    "physical": (physical, (*DUMP, ("-m", "--mode", {"default": "train", "choices": ("train", "test")}), ("-f", "--fsample", {"type": float, "default": 16.0}), ("-b", "--bitrate", {"type": float, "default": 256.0}), ("-R", "--snr", {"type": float, "default": 40.0}), ("-p", "--slope", {"type": float, "default": 0.3}), _int(None, "--bf_size", 2048), (None, "--bf_prob", {"type": float, "default": 0.05}), _int(None, "--chunks", 0))),
     "frequency": (frequency, (*DUMP, ("-m", "--mode", {"default": "train", "choices": ("train", "test")}), ("-M", "--method", {"default": "ppd", "choices": ("ppd", "mle")}), ("-k", "--matched_key", {"default": "ID", "choices": ("ID", "Packet", "Data")}))),
     "detectors": (detectors, (*DUMP, ("-m", "--mode", {"default": "dset", "choices": ("dset", "train", "test")}), _int("-e", "--epochs", 10), (None, "--exclude", {"default": ""}), (None, "--share", {"type": float, "default": 0.1}))),
     "markov": (markov, (*CSV, ("-t", "--tsname", {"default": "Imbalance"}))),

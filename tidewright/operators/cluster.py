@@ -7,7 +7,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.windows import in_blocks
@@ -58,6 +58,19 @@ def kmeans_members(df: DataFrame, vector: str, k: int, keep: list[str], seed: in
     return model.transform(df).select(*keep, "cluster")
 
 
+def by_centre(members: DataFrame, rows: DataFrame, on: list[str], column: str, cluster: str = "cluster") -> DataFrame:
+    """members with their clusters numbered by the mean of a column of rows, smallest first, so that several clusterings' numbers mean the same."""
+    means = members.join(rows.select(*on, F.col(column).alias("_v")), on).groupBy(cluster).agg(F.avg("_v").alias("_mean"))
+    number = means.select(cluster, (F.row_number().over(Window.orderBy("_mean", cluster)) - 1).cast("int").alias("_number"))  # a row for each cluster
+    return members.join(F.broadcast(number), cluster).withColumn(cluster, F.col("_number")).drop("_number")
+
+
+def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n, share): how often two clusterings of the rows say what, and what share of all rows that is."""
+    n = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("_all")))).select("a", "b", "n", (F.col("n") / F.col("_all")).alias("share"))  # one row
+
+
 def assigned(df: DataFrame, data: str, centres: dict[int, list[float]]) -> DataFrame:
     """Adds cluster, the nearest of given centres (the first on ties), and distance, its squared distance."""
     square = lambda c: F.aggregate(F.zip_with(F.col(data).cast("array<double>"), F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)

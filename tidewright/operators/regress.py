@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.windows import differences
+
 
 #: Share of a column's variance that the columns before it must leave for it to count as one of its own.
 RANK = 1e-10
@@ -141,6 +143,26 @@ def quality(df: DataFrame, y: Column, xs: list[Column]) -> DataFrame:
     return q.select("n", "rank", "b", (ssr / F.col("sst")).alias("r2"), (F.col("sse") / (F.col("n") - 1)).alias("sigma2"), "mean_abs", "max_abs", (ssr / k / (F.col("sse") / (F.col("n") - 1 - k))).alias("f"))
 
 
+#: Bands of a density, by thirds of its range (fixed values).
+BANDS = ("LOW", "MID", "HIGH")
+
+
+def density_subsets(df: DataFrame, output: str, source: str, least: float = 1e-6) -> DataFrame:
+    """Adds density, output over source; flag, -1 where the source is under least and 0 else; d and dd, the source's differences; and band, by thirds of the density's range, null for flagged rows.
+
+    A third is closed above, and the lowest one below; its width is rounded to 4 places, so the highest values may have no band.
+    """
+    rows = differences(df.withColumnRenamed(source, "_s"), 1, "_s").select(*[F.col("_s").alias(source) if c == source else F.col(c) for c in df.columns], F.col("d1").alias("d"), F.col("d2").alias("dd"))
+    rows = rows.withColumn("flag", F.when(F.abs(source) < least, -1).otherwise(0))
+    rows = rows.withColumn("density", F.when(F.col("flag") == 0, F.bround(F.col(output) / F.col(source), 4)))
+    ends = rows.agg(F.min("density").alias("_low"), F.max("density").alias("_high"))
+    both = rows.join(F.broadcast(ends))  # one row
+    third = F.bround((F.col("_high") - F.col("_low")) / 3, 4)
+    x = F.col("density")
+    band = F.when(x <= F.col("_low") + third, BANDS[0]).when(x <= F.col("_low") + 2 * third, BANDS[1]).when(x <= F.col("_high"), BANDS[2])
+    return both.withColumn("band", band).drop("_low", "_high")
+
+
 def exponential_rates(gaps: DataFrame, least: int, key: str = "key") -> DataFrame:
     """(key, n, rate, variance) of exponential gaps in seconds, for keys with enough of them."""
     n = gaps.groupBy(key).agg(F.count("*").alias("n"), F.sum("gap").alias("total")).filter((F.col("n") >= least) & (F.col("total") > 0))

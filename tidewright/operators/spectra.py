@@ -154,10 +154,10 @@ def kpss(df: DataFrame, value: str = "value", lags: Column | None = None) -> Dat
     sums = centred.withColumn("_c", inside).join(before, ["series", "_b"]).groupBy("series").agg(F.sum((F.col("_c") + F.col("_before")) ** 2).alias("_cc"))
     top = lags if lags is not None else F.ceil(12 * F.pow(F.col("_n") / 100, F.lit(0.25)))
     most = stats.select(F.max(top)).first()[0] or 0
-    r = autocorrelation(df, list(range(1, int(most) + 1)), value).join(stats.select("series", "_n", top.alias("q")), "series").filter((F.col("lag") <= F.col("q")) & (F.col("lag") < F.col("_n")))
+    r = autocorrelation(df, list(range(1, max(1, int(most)) + 1)), value).join(stats.select("series", "_n", top.alias("q")), "series").filter((F.col("lag") <= F.col("q")) & (F.col("lag") < F.col("_n")))
     long = r.groupBy("series").agg(F.sum((1 - F.col("lag") / (F.col("q") + 1)) * F.col("r")).alias("_w"))
     variance = F.col("_n") * F.col("_v") * (1 + 2 * F.coalesce("_w", F.lit(0.0)))
-    return stats.join(sums, "series").join(long, "series", "left").select("series", top.cast("int").alias("lags"), (F.col("_cc") / F.col("_n") / variance).alias("kpss"))
+    return stats.join(sums, "series").join(long, "series", "left").select("series", top.cast("int").alias("lags"), F.try_divide(F.col("_cc") / F.col("_n"), variance).alias("kpss"))
 
 
 #: The 5 % point of the KPSS (level) statistic.

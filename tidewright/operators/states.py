@@ -178,6 +178,32 @@ def emissions(df: DataFrame, state: str = "state", value: str = "value", floor:
     return stats.join(total, "series").select("series", "state", (F.col("n") / F.col("total")).alias("pi"), "mean", std.alias("std"))
 
 
+#: Signs by state, and the patterns of neighbouring signs and of the first one (fixed values).
+SIGNS = {-1: "-", 0: "0", 1: "+"}
+PATTERNS = ("--", "-0", "-+", "0-", "00", "0+", "+-", "+0", "++", "Start-", "Start0", "Start+")
+
+
+def _sign(state: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair]), state)
+
+
+def pattern_totals(df: DataFrame, state: str = "state") -> DataFrame:
+    """(pattern, n): how often each of PATTERNS comes in all series together, zeros included."""
+    pairs = in_blocks(df, 0, 1, lambda d, w: d.withColumn("_next", F.lead(state).over(w)))
+    found = F.array(F.concat(_sign(F.col(state)), _sign(F.col("_next"))), F.when(F.col("idx") == 0, F.concat(F.lit("Start"), _sign(F.col(state)))))
+    counts = pairs.select(F.explode(found).alias("pattern")).filter("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    return every.join(counts, "pattern", "left").fillna(0, ["n"])
+
+
+def sign_statistics(df: DataFrame, value: str = "value", state: str = "state") -> DataFrame:
+    """(series, sign, n, mean, std, start) for all three signs of each series; std is the population's, start whether the series begins so."""
+    stats = df.groupBy("series", F.col(state).alias("state")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max(F.col("idx") == 0).alias("start"))
+    every = df.select("series").distinct().select("series", F.explode(F.array(*map(F.lit, SIGNS))).alias("state"))
+    rows = every.join(stats, ["series", "state"], "left").fillna(0, ["n"]).fillna(False, ["start"])
+    return rows.select("series", _sign(F.col("state")).alias("sign"), "n", "mean", "std", "start")
+
+
 def rates(df: DataFrame, minutes: int, state: str = "state") -> DataFrame:
     """(series, state, rate, period): events by minute and its inverse."""
     total = df.groupBy("series").agg(F.count("*").alias("total"))

@@ -122,14 +122,14 @@ def dickey_fuller(df: DataFrame, value: str = "value", size: int = BLOCK) -> Dat
 def differences_needed(df: DataFrame, most: int = MOST_DIFFERENCES, value: str = "value") -> DataFrame:
     """(series, kpss, ndiffs): the level statistic of the series, and the fewest differences with which it is under its 5 % point, most if none is.
 
-    The differences of all orders are series of their own, so the search takes one round. Its statistic has 3 sqrt(n) / 13 lags.
+    The differences of all orders are series of their own, so the search takes one round. Its statistic has 3 sqrt(n) / 13 lags; a series that doesn't vary needs none.
     """
     kinds = {f"d{k}": (lag_polynomial(*[1] * k), k) for k in range(most + 1)}
     found = kpss(filtered_series(df, kinds, value), lags=F.floor(3 * F.sqrt("_n") / 13))
     name = F.split("series", r"\|")
     order = F.substring(F.element_at(name, -1), 2, 9).cast("int")
     each = found.select(F.array_join(F.slice(name, F.lit(1), F.size(name) - 1), "|").alias("series"), order.alias("d"), "kpss")
-    return each.groupBy("series").agg(F.max(F.when(F.col("d") == 0, F.col("kpss"))).alias("kpss"), F.coalesce(F.min(F.when(F.col("kpss") <= KPSS5, F.col("d"))), F.lit(most)).alias("ndiffs"))
+    return each.groupBy("series").agg(F.max(F.when(F.col("d") == 0, F.col("kpss"))).alias("kpss"), F.coalesce(F.min(F.when(F.coalesce("kpss", F.lit(0.0)) <= KPSS5, F.col("d"))), F.lit(most)).alias("ndiffs"))
 
 
 def stationarity(df: DataFrame, value: str = "value") -> DataFrame:

@@ -62,16 +62,28 @@ def word(code: Column, histogram: Column) -> Column:
     return F.concat(short(code), F.lit("_"), F.array_join(F.transform(histogram, short), ""))
 
 
-def signals(stream: DataFrame, fsample: float = 16e6, bitrate: float = 125e3, slope: float = 0.3, snr: float = 40.0, seed: int = 0, distorted: float = 0.0, snr_distorted: float = 3.0) -> DataFrame:
+#: Most chunks of lines to train on and to test (fixed values).
+CHUNKS = {"train": 8, "test": 10}
+
+
+def falling_ratio(snr: float, chunk: Column) -> Column:
+    """The ratio in decibels of a chunk: 5 less with each, until it is 3 or less."""
+    ratios = [snr]
+    while len(ratios) < CHUNKS["test"]:
+        ratios.append(ratios[-1] - 5 if ratios[-1] > 3 else ratios[-1])
+    return F.element_at(F.array(*map(F.lit, ratios)), F.least(chunk, F.lit(CHUNKS["test"] - 1)).cast("int") + 1)
+
+
+def signals(stream: DataFrame, fsample: float = 16e6, bitrate: float = 125e3, slope: float = 0.3, snr: float | Column = 40.0, seed: int = 0, distorted: float = 0.0, snr_distorted: float = 3.0) -> DataFrame:
     """(series, idx, pos, code, y, wave, histogram) of each transition of packets (series, idx, codes).
 
     A share ``distorted`` of the transitions has the worse noise and the label DISTORTED; the others' label is their code.
     """
     n = samples_of(fsample, bitrate)
-    each = stream.select("series", "idx", F.posexplode("codes").alias("pos", "code"))
+    each = stream.select("series", "idx", (snr if isinstance(snr, Column) else F.lit(float(snr))).alias("_snr"), F.posexplode("codes").alias("pos", "code"))
     key = (F.lit(seed), F.col("series"), F.col("idx"), F.col("pos"))
     bad = F.pmod(F.xxhash64(*key, F.lit("bad")), F.lit(1 << 52)) / float(1 << 52) < distorted
-    ready = each.withColumn("_bad", bad).withColumn("wave", noisy(pure_wave(F.col("code"), n, slope), F.when(F.col("_bad"), snr_distorted).otherwise(snr), *key))
+    ready = each.withColumn("_bad", bad).withColumn("wave", noisy(pure_wave(F.col("code"), n, slope), F.when(F.col("_bad"), snr_distorted).otherwise(F.col("_snr")), *key))
     return ready.select("series", "idx", "pos", "code", F.when(F.col("_bad"), DISTORTED).otherwise(F.col("code")).alias("y"), "wave", F.element_at(F.transform(F.array("wave"), wave_histogram), 1).alias("histogram"))
 
 

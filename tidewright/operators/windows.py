@@ -34,6 +34,23 @@ def supervised(df: DataFrame, k: int, value: str = "value") -> DataFrame:
     return in_blocks(df, k, 0, body).filter(F.size("x") == k)
 
 
+def last_windows(df: DataFrame, k: int, n: int, value: str = "value") -> DataFrame:
+    """supervised for the last n rows of each series, and one row more, without y, for what comes after them."""
+    ends = df.groupBy("series").agg((F.max("idx") + 1).alias("_end"))
+    rows = df.join(ends, "series").filter(F.col("idx") >= F.col("_end") - n - k)
+    inside = supervised(rows.drop("_end"), k, value).join(ends, "series").filter(F.col("idx") >= F.col("_end") - n).select("series", "idx", "x", "y")
+    tail = rows.filter(F.col("idx") >= F.col("_end") - k).groupBy("series", "_end").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.col(value).alias("v")))), lambda r: r["v"]).alias("x"))
+    return inside.unionByName(tail.filter(F.size("x") == k).select("series", F.col("_end").alias("idx"), "x", F.lit(None).cast("double").alias("y")))
+
+
+def tail_windows(df: DataFrame, k: int, size: int, newest_first: bool = False, value: str = "value") -> DataFrame:
+    """supervised within the last size rows of each series, so size - k rows; with newest_first x begins with the last value."""
+    ends = df.groupBy("series").agg((F.max("idx") + 1).alias("_end"))
+    rows = df.join(ends, "series").filter(F.col("idx") >= F.col("_end") - size).drop("_end")
+    found = supervised(rows, k, value)
+    return found.withColumn("x", F.reverse("x")) if newest_first else found
+
+
 def padded(df: DataFrame, k: int, value: str = "value") -> DataFrame:
     """Like supervised for every row, with zeros to the left where the history is short."""
 
@@ -98,13 +115,13 @@ def lag_pairs(df: DataFrame, lags: list[int], value: str = "value") -> DataFrame
 def autocorrelation(df: DataFrame, lags: list[int], value: str = "value") -> DataFrame:
     """(series, lag, r): biased autocorrelation, sum of products of deviations over n times the population variance.
 
-    The mean goes before anything is multiplied, so a large one costs no digits.
+    The mean goes before anything is multiplied, so a large one costs no digits. Null for series that don't vary.
     """
     stats = df.groupBy("series").agg(F.avg(value).alias("_m"), F.count("*").alias("_n"))
     centred = df.join(stats, "series").select("series", "idx", "_n", (F.col(value) - F.col("_m")).alias("value"))
     whole = centred.groupBy("series").agg(F.sum(F.col("value") * F.col("value")).alias("_s"))
     sums = lag_pairs(centred, lags).groupBy("series", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("_ab"))
-    return sums.join(whole, "series").select("series", "lag", (F.col("_ab") / F.col("_s")).alias("r"))
+    return sums.join(whole, "series").select("series", "lag", F.try_divide("_ab", "_s").alias("r"))
 
 
 def pearson_all_lags(df: DataFrame, lags: int, value: str = "value") -> DataFrame:

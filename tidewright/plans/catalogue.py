@@ -141,6 +141,22 @@ def sld_exog(spark, d):
     return rows.select("idx", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("x_sum"), "exog", (F.col("y") > F.get("x", F.lit(6))).cast("int").alias("label"))
 
 
+@query(f"""WITH {HOURLY}, e AS (SELECT series, count(*) AS n FROM hr GROUP BY series), g AS (SELECT series, unnest(range(n - 5, n + 1)) AS idx FROM e)
+    SELECT g.series, g.idx, round(sum(h.value * (h.idx - g.idx + 25)), 6) AS weighted, max(y.value) AS y FROM g JOIN hr h ON h.series = g.series AND h.idx BETWEEN g.idx - 24 AND g.idx - 1 LEFT JOIN hr y ON y.series = g.series AND y.idx = g.idx GROUP BY ALL""")
+def sld_last(spark, d):
+    rows = windows.last_windows(series.hourly(spark, d), 24, 5)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("series", "idx", F.round(weighted, 6).alias("weighted"), "y")
+
+
+@query(f"""WITH {HOURLY}, t AS (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM hr)
+    SELECT a.series, a.idx, round(sum(b.value * (a.idx - b.idx)), 6) AS weighted, any_value(a.value) AS y FROM t a JOIN t b ON a.series = b.series AND b.idx BETWEEN a.idx - 7 AND a.idx - 1 WHERE a.idx >= a.n - 32 + 7 GROUP BY a.series, a.idx""")
+def sld_tail(spark, d):
+    rows = windows.tail_windows(series.hourly(spark, d), 7, 32, newest_first=True)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("series", "idx", F.round(weighted, 6).alias("weighted"), "y")
+
+
 @query(f"WITH {EVENTS} SELECT series, idx, coalesce(lag(value, 3) OVER w, -1) AS back, coalesce(lead(value, 2) OVER w, 0) AS ahead FROM ev WINDOW w AS (PARTITION BY series ORDER BY idx)")
 def shift_fill(spark, d):
     rows = series.events(spark, d)
@@ -466,6 +482,37 @@ def initial_dist(spark, d):
     return rounded(first.join(F.broadcast(total)).select("state", (F.col("n") / F.col("total")).alias("pi")))  # one row
 
 
+@query(f"""WITH {CENTRED}, p AS (SELECT s || t AS pattern FROM (SELECT CASE state WHEN -1 THEN '-' WHEN 0 THEN '0' ELSE '+' END AS s, CASE lead(state) OVER (PARTITION BY series ORDER BY idx) WHEN -1 THEN '-' WHEN 0 THEN '0' WHEN 1 THEN '+' END AS t FROM st) WHERE t IS NOT NULL
+    UNION ALL SELECT 'Start' || CASE state WHEN -1 THEN '-' WHEN 0 THEN '0' ELSE '+' END FROM st WHERE idx = 0)
+    SELECT e.pattern, count(p.pattern) AS n FROM (SELECT unnest(['--', '-0', '-+', '0-', '00', '0+', '+-', '+0', '++', 'Start-', 'Start0', 'Start+']) AS pattern) e LEFT JOIN p USING (pattern) GROUP BY e.pattern""")
+def pattern_totals(spark, d):
+    return states.pattern_totals(states.centred(series.hourly(spark, d)))
+
+
+@query(f"""WITH {CENTRED}, s AS (SELECT series, state, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, bool_or(idx = 0) AS start FROM st GROUP BY ALL)
+    SELECT g.series, CASE g.state WHEN -1 THEN '-' WHEN 0 THEN '0' ELSE '+' END AS sign, coalesce(n, 0) AS n, round(mean, 6) AS mean, round(std, 6) AS std, coalesce(start, false) AS start
+    FROM (SELECT series, unnest([-1, 0, 1]) AS state FROM (SELECT DISTINCT series FROM st)) g LEFT JOIN s ON s.series = g.series AND s.state = g.state""")
+def sign_statistics(spark, d):
+    return rounded(states.sign_statistics(states.centred(series.hourly(spark, d))))
+
+
+@query(f"""WITH {CENTRED}, e AS (SELECT series, state, min(value) AS a, max(value) AS b FROM st GROUP BY ALL),
+    c AS (SELECT series, state, CAST(CASE WHEN a = b THEN 0 ELSE least(floor((value - a) / ((b - a) / 10)), 9) END AS INTEGER) AS bin, count(*) AS n FROM st JOIN e USING (series, state) GROUP BY ALL)
+    SELECT g.series || '|' || CASE g.state WHEN -1 THEN '-' WHEN 0 THEN '0' ELSE '+' END AS series, g.bin, coalesce(n, 0) AS n FROM (SELECT series, state, CAST(unnest(range(0, 10)) AS INTEGER) AS bin FROM e) g LEFT JOIN c ON c.series = g.series AND c.state = g.state AND c.bin = g.bin""")
+def sign_histograms(spark, d):
+    rows = states.centred(series.hourly(spark, d))
+    sign = F.when(F.col("state") < 0, "-").when(F.col("state") > 0, "+").otherwise("0")
+    return aggregates.histogram(rows.withColumn("series", F.concat_ws("|", "series", sign))).select("series", "bin", "n")
+
+
+@query(f"""WITH {MOVES}, m AS (SELECT CASE WHEN change > 0 THEN 'gain' ELSE 'drop' END AS series, CAST(duration * 1440 AS DOUBLE) AS v FROM rp), e AS (SELECT series, min(v) AS a, max(v) AS b FROM m GROUP BY series),
+    c AS (SELECT series, CAST(CASE WHEN a = b THEN 0 ELSE least(floor((v - a) / ((b - a) / 10)), 9) END AS INTEGER) AS bin, count(*) AS n FROM m JOIN e USING (series) GROUP BY ALL)
+    SELECT series AS kind, bin, coalesce(n, 0) AS n FROM (SELECT series, CAST(unnest(range(0, 10)) AS INTEGER) AS bin FROM e) LEFT JOIN c USING (series, bin)""")
+def ramp_histogram(spark, d):
+    moved = windows.both_ramps(series.daily_orders(spark, d)).select(F.when(F.col("change") > 0, "gain").otherwise("drop").alias("series"), (F.col("duration") * 1440).cast("double").alias("value"))
+    return aggregates.histogram(moved).select(F.col("series").alias("kind"), "bin", "n")
+
+
 # Packets
 
 
@@ -629,6 +676,26 @@ def co2_bands(spark, d):
     return density.join(F.broadcast(ends)).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("density"), 4).alias("mean"))  # one row
 
 
+@query(f"""WITH {WIDE}, r AS (SELECT idx, b AS co2, a AS diesel, CASE WHEN abs(a) < 1e-6 THEN -1 ELSE 0 END AS flag, CASE WHEN abs(a) >= 1e-6 THEN round_even(b / a, 4) END AS density,
+        coalesce(round_even(a - lag(a) OVER w, 4), 0) AS d, coalesce(round_even(a - 2 * lag(a) OVER w + lag(a, 2) OVER w, 4), 0) AS dd FROM wd WINDOW w AS (ORDER BY idx)), e AS (SELECT min(density) AS lo, round_even((max(density) - min(density)) / 3, 4) AS t, max(density) AS hi FROM r)
+    SELECT CASE WHEN density <= lo + t THEN 'LOW' WHEN density <= lo + 2 * t THEN 'MID' WHEN density <= hi THEN 'HIGH' END AS band, idx, flag, co2, diesel, d, dd FROM r, e""")
+def co2_subsets(spark, d):
+    """The rows of the three subsets, and those without a band, by their density."""
+    rows = _wide(spark, d).select("series", "idx", F.col("b").alias("co2"), F.col("a").alias("diesel"))
+    return regress.density_subsets(rows, "co2", "diesel").select("band", "idx", "flag", "co2", "diesel", "d", "dd")
+
+
+@query(f"WITH {HOURLY} SELECT series, epoch_us(ts) AS micros, lag(value) OVER (PARTITION BY series ORDER BY idx) AS forecast, value AS actual FROM (SELECT series, idx, ts, value FROM hr UNION ALL SELECT series, max(idx) + 1, max(ts) + INTERVAL 1 HOUR, NULL FROM hr GROUP BY series) QUALIFY idx > 0")
+def forecast_actuals(spark, d):
+    """Each hour's value as the forecast of the next one, with the value that came."""
+    from tidewright.sources import registry
+
+    rows = series.hourly(spark, d)
+    ahead = windows.in_blocks(rows, 0, 1, lambda x, w: x.withColumn("_next", F.lead("ts").over(w)))
+    made = ahead.select("series", F.coalesce("_next", F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("value").alias("forecast"))
+    return registry.with_actuals(made, rows).select("series", F.unix_micros("ts").alias("micros"), "forecast", "actual")
+
+
 # Sets, retention and forecasts
 
 
@@ -897,6 +964,29 @@ def sarima_grid(spark, d):
     return forecast.seasonal_orders(series.hourly(spark, d), 24)
 
 
+def _daily(spark, d):
+    """The last four weeks of each hourly series."""
+    return series.indexed(windows.last_n(series.hourly(spark, d), 672).drop("idx"))
+
+
+@query()
+def order_search(spark, d):
+    """Orders with a daily season by exact likelihood, from better to better neighbour; all that were fitted."""
+    from tidewright.operators import orders
+
+    return orders.search(_daily(spark, d), 24, (1, 1, 1, 0))
+
+
+@query()
+def order_errors(spark, d):
+    """One-step errors within the sample of a seasonal model of each series."""
+    from tidewright.operators import orders
+
+    rows = _daily(spark, d)
+    chosen = rows.select("series").distinct().selectExpr("series", "1 AS p", "0 AS d", "0 AS q", "1 AS sp", "0 AS sd", "0 AS sq")
+    return rounded(orders.error_summary(orders.errors_inside(rows, chosen, 24)))
+
+
 GAP_HISTOGRAM = """SELECT key, bin, coalesce(n, 0) AS n FROM (SELECT key, CAST(unnest(range(0, 10)) AS INTEGER) AS bin FROM {0}e) LEFT JOIN (
         SELECT key, CAST(CASE WHEN a = b THEN 5 ELSE least(floor((gap - a) / ((b - a) / 10)), 9) END AS INTEGER) AS bin, count(*) AS n FROM {0} JOIN {0}e USING (key) GROUP BY ALL) USING (key, bin)"""
 

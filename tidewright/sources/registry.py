@@ -47,6 +47,12 @@ def forecast_table(forecasts: DataFrame, models: list[str]) -> DataFrame:
     return forecasts.groupBy("ts").pivot("model", models).agg(F.first("forecast")).orderBy("ts")
 
 
+def hourly_bundle(forecasts: DataFrame, last: DataFrame, hour: int, minute: int) -> DataFrame:
+    """Long forecasts (series, model, horizon, forecast) of one time of the day: the first is for that time of the day after the series' last one, each later one a day on."""
+    day = F.date_add(F.col("last_ts"), F.col("horizon").cast("int")).cast("timestamp")
+    return forecasts.join(last, "series").withColumn("ts", day + F.make_interval(hours=F.lit(hour), mins=F.lit(minute))).drop("last_ts")
+
+
 def with_actuals(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:
     """Forecasts with the value that came later, null where it hasn't come yet."""
     return forecasts.join(actuals.select("series", "ts", F.col("value").alias("actual")), ["series", "ts"], "left")

@@ -64,10 +64,32 @@ def value_columns(spark: SparkSession, path: str, ts: str) -> list[str]:
 
 
 def read_balance(spark: SparkSession, path: str, ts: str, generated: str, consumed: str, pattern: str = "dd.MM.yyyy HH:mm") -> DataFrame:
-    """(series, ts, generated, consumed, value): wide rows up to the first one without a generated value, and the imbalance, consumed less generated."""
+    """(series, ts, generated, consumed, value, normalised): wide rows up to the first one without a generated value, the imbalance, consumed less generated, and its deviation from the mean over the sample deviation."""
     raw = spark.read.csv(path, header=True)
     rows = typed(raw.select(F.col(f"`{ts}`").alias("_ts"), F.col(f"`{generated}`").alias("raw"), F.col(f"`{consumed}`").try_cast("double").alias("consumed")), "_ts", "raw", missing=PREFIX, pattern=pattern)
-    return rows.select(F.lit("balance").alias("series"), "ts", F.col("value").alias("generated"), "consumed", F.bround(F.col("consumed") - F.col("value"), 2).alias("value"))
+    made = rows.select(F.lit("balance").alias("series"), "ts", F.col("value").alias("generated"), "consumed", F.bround(F.col("consumed") - F.col("value"), 2).alias("value"))
+    return normalised(made)
+
+
+def normalised(df: DataFrame, value: str = "value") -> DataFrame:
+    """Adds normalised: deviations from the series' mean over its sample deviation."""
+    stats = df.groupBy("series").agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    return df.join(stats, "series").withColumn("normalised", (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+
+
+def balance_summary(df: DataFrame, value: str = "value") -> DataFrame:
+    """(series, first_time, last_time, first_value, low, high, mean, std, low_normalised, high_normalised)."""
+    return df.groupBy("series").agg(
+        F.min("ts").alias("first_time"),
+        F.max("ts").alias("last_time"),
+        F.min_by(value, "ts").alias("first_value"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+        F.min("normalised").alias("low_normalised"),
+        F.max("normalised").alias("high_normalised"),
+    )
 
 
 #: A polled widget: its included series have values in one order of times.
