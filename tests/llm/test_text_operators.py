@@ -232,6 +232,30 @@ def test_a_name_and_its_value_are_two(docs, text):
     assert found.spans == f"novel:{at}:{len(text)}"
 
 
+def test_novelty_tells_keys_from_words_paths_and_names(docs):
+    """Planted strings, none of them used to fit the bound, after a sensitive word in prose of their own."""
+    own = random.Random(77)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    known = "publication subscription temperature calculation measurement permission translation connection description distribution governance destination observation recommendation experience".split()
+    key = lambda letters: lambda: "".join(own.choices(letters, k=own.randint(14, 40)))
+    some = lambda join, change=str: lambda: join.join(change(w) for w in own.sample(known, own.randint(2, 3)))
+    made = [(True, key(upper + lower + digits)), (True, key(upper + lower)), (True, key(lower + digits)), (False, some("/", lambda w: w)), (False, some("", str.capitalize)), (False, some("_")), (False, some("-")), (False, lambda: own.choice([w for w in known if len(w) > 11]))]
+    cases = [(secret, f()) for secret, f in made for _ in range(60)]
+    texts = [f"{sentence(40)} and the session was {s} before {sentence(40)}" for _, s in cases]
+    found = [r.n_novel > 0 for r in secret_scan.secret_scan(docs(texts)).orderBy("doc_id").collect()]
+    hits = sum(f and secret for f, (secret, _) in zip(found, cases, strict=True))
+    assert hits / sum(secret for secret, _ in cases) >= 0.9 and hits / sum(found) >= 0.65
+    # An independent measure of the same bytes, by the library's other interface.
+    import zstandard
+
+    primed = zstandard.ZstdCompressionDict(secret_scan.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    press = lambda raw: (lambda o: len(o.compress(raw) + o.flush()))(zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False).compressobj(size=len(raw)))
+    for (_, s), text, f in list(zip(cases, texts, found, strict=True))[::7]:
+        at = text.index(s)
+        rest = (text[max(0, at - 256) : at] + text[at + len(s) : at + len(s) + 256]).encode() + b"\n"
+        assert f == (press(rest + s.encode()) - press(rest) >= 0.75 * len(s))
+
+
 def test_secrets_in_long_texts(docs):
     filler = "plain words and more of them " * 40_000
     found = secret_scan.secret_scan(docs([filler + "token: abcdef12 " + filler, "a" * 1_200_000, "password " * 100_000])).orderBy("doc_id").collect()

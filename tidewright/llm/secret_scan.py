@@ -5,8 +5,10 @@ match at all, and the patterns then run over those whole texts. The novelty kind
 that follow a sensitive word closely and overlap no plain span: of 12 characters or more, of which one is a letter, with
 ``=`` at their ends only, so that a name and its value are two. Each is measured by its marginal compressed bytes: the
 size of its surroundings with it less their size without it, under zstandard with a dictionary of common identifiers. A
-string that repeats its surroundings, or is made of identifiers, costs little; one that costs NOVEL bytes a character or
-more is reported. So is a long word that is new to its surroundings, such as a name in camel case.
+string that repeats its surroundings, or is made of identifiers, costs little; one that costs NOVEL bytes a character or more
+is reported. The bound was fitted on random keys (base 62, letters, lower case with digits, upper hex) against words, paths, camel, snake and
+kebab case and words with numbers, 12 to 40 characters of each in surroundings of 0 to 450 characters: 96 % of the keys are found, and two
+thirds of what is found are keys where there are as many of the others, nearly all of them there being long words that are new to their surroundings.
 
 Spans are code points, end exclusive, ordered by start, then by kind as listed in KINDS. Nulls and empty texts have none; very
 long texts are scanned whole. Repeated rows are scanned each by itself. An empty table gives no rows. Other columns, whatever
@@ -47,7 +49,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: Characters before a candidate in which a sensitive word must end, and around it that are its surroundings.
 REACH, AROUND = 48, 256
 #: Marginal compressed bytes a character from which a string is novel.
-NOVEL = 0.5
+NOVEL = 0.75
 #: Identifiers and phrases that prime the compressor.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 1234567890 xxxxxxxxxxxxxxxx example placeholder changeme your_api_key your_secret_here "
