@@ -114,6 +114,33 @@ def check_packing(rows, texts_by_id, capacity):
     return len(places)
 
 
+def test_shards_end_at_a_bound_and_null_ids_are_no_number(spark, docs, tmp_path, monkeypatch):
+    low = -(1 << 63)
+    monkeypatch.setattr(tokens, "ROWS", 3)
+    rows = [(None, np.arange(3)), (None, np.arange(2)), (low, np.arange(4)), (5, np.arange(1))]
+    assert tokens.write_shard(str(tmp_path), "n.zst", iter(rows)) == (4, 10, None)
+    shard = tokens.Shard(str(tmp_path), "n.zst")
+    assert shard.find(low).tolist() == [0, 1, 2, 3] and shard.find(5).tolist() == [0] and shard.find(0) is None
+    # Bounds are those of the workers, so the file shows them: many documents of one task, two of them without an id.
+    texts = [f"word {i} of it" for i in range(40)]
+    ids = [None, low, None, *range(37)]
+    found = tokens.tokenised(docs(texts, ids), PATH)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens) for r in found.collect()), key=lambda r: r[2])
+    assert [r[:2] for r in got] == [(False, 0), (False, 0), (True, low), *((True, i) for i in range(37))]
+    assert [r[2] for r in got] == np.cumsum([0, *(r[3] for r in got)])[:-1].tolist()
+
+
+def test_a_task_writes_as_many_shards_as_it_takes(tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_DOCS", 4)
+    monkeypatch.setattr(tokens, "SHARD_IDS", 9)
+    written = []
+    monkeypatch.setattr(tokens, "write_shard", lambda root, name, some: written.append([len(x) for _, x in some]) or (len(written[-1]), sum(written[-1]), 0))
+    sizes = [1, 1, 1, 1, 5, 5, 20, 1]
+    for name, part in zip(range(9), tokens.shards_of((i, np.zeros(n, np.uint32)) for i, n in enumerate(sizes)), strict=False):
+        tokens.write_shard("", str(name), part)
+    assert written == [[1, 1, 1, 1], [5, 5], [20], [1]]
+
+
 def test_packing_keeps_every_id(docs):
     texts = dict(enumerate(expected(TEXTS, 0)))
     rows = packing.pack(docs(TEXTS), PATH, capacity=64).collect()

@@ -7,14 +7,14 @@ hash are encoded by themselves.
 
 File format. A shard holds documents in ascending doc_id order. The ids, little-endian unsigned 32-bit, are cut at document
 ends into blocks of about FRAME_IDS ids; each block is one zstandard frame with a content checksum. A skippable frame with
-the document index follows (doc_id, frame, first id in the frame, number of ids; 8 bytes each), then a skippable frame with
+the document index follows (doc_id, frame, first id in the frame, number of ids, 1 if there is no doc_id; 8 bytes each), then a skippable frame with
 the public seek table: for each frame its compressed size, decompressed size and the low 32 bits of the XXH64 of its
 decompressed bytes (4 bytes each), and at the very end the number of frames, a flags byte and a magic number. A reader takes
 the tail, finds the frames it needs and decompresses no others.
 
 Nulls and empty texts have the end id only; a very long text has a frame of its own. Rows that repeat a doc_id follow each
-other, ordered by the hash of their texts, over several shards if they are many. A null doc_id comes first and is stored as the
-smallest long. An empty table has no shard and gives no rows. Other columns, whatever their names, are ignored.
+other, ordered by the hash of their texts, over several shards if they are many. Documents without a doc_id come first. A shard ends
+after SHARD_DOCS documents or SHARD_IDS ids; a task writes as many as it takes. An empty table has no shard and gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from tidewright.llm.words import LOWER, SAME, WHITE, chunks, places, slices, wor
 
 #: Ids of a frame, at least; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
+#: Documents and ids after which a task begins another shard, so that its index and its read are bounded; documents that a reader gives at once.
+SHARD_DOCS, SHARD_IDS, ROWS = 1 << 20, 1 << 28, 1 << 14
 #: Words that a worker's table holds, and bytes of them (about 120 MB with the ids).
 TABLE_WORDS, TABLE_BYTES = 1_500_000, 32 << 20
 #: Magic numbers of zstandard's skippable frames and seek tables.
@@ -183,8 +185,8 @@ class _Store:
         return self.fs.open_input_file(f"{self.root}/{name}")
 
 
-def write_shard(root: str, name: str, documents: Iterable[tuple[int, np.ndarray]]) -> tuple[int, int, int | None]:
-    """(documents, ids, smallest doc_id) of a shard that is written frame by frame."""
+def write_shard(root: str, name: str, documents: Iterable[tuple[int | None, np.ndarray]]) -> tuple[int, int, int | None]:
+    """(documents, ids, first doc_id) of a shard that is written frame by frame; documents come in ascending order, those without a doc_id first."""
     press = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
     index, seek, totals = [], [], [0, 0, None]
 
@@ -199,18 +201,18 @@ def write_shard(root: str, name: str, documents: Iterable[tuple[int, np.ndarray]
             return packed
 
         for doc_id, ids in documents:
-            index.append((doc_id, len(seek), n, len(ids)))
+            index.append((doc_id or 0, len(seek), n, len(ids), doc_id is None))
             held.append(ids.astype("<u4").tobytes())
             n += len(ids)
             totals[0] += 1
             totals[1] += len(ids)
-            totals[2] = doc_id if totals[2] is None else min(totals[2], doc_id)
+            totals[2] = doc_id if totals[0] == 1 else totals[2]
             if n >= FRAME_IDS:
                 yield frame()
                 n = 0
         if held:
             yield frame()
-        body = np.array(index, "<i8").reshape(-1, 4).tobytes()
+        body = np.array(index, "<i8").reshape(-1, 5).tobytes()
         yield struct.pack("<II", SKIPPABLE_INDEX, len(body)) + body
         table = np.array(seek, "<u4").reshape(-1, 3).tobytes() + struct.pack("<IBI", len(seek), 0x80, SEEK_MAGIC)
         yield struct.pack("<II", SKIPPABLE_SEEK, len(table)) + table
@@ -234,7 +236,7 @@ class Shard:
         kind, length = struct.unpack("<II", self.file.read_at(8, int(self.at[-1])))
         if kind != SKIPPABLE_INDEX:
             raise ValueError(f"{name} has no document index")
-        self.index = np.frombuffer(self.file.read_at(length, int(self.at[-1]) + 8), "<i8").reshape(-1, 4)
+        self.index = np.frombuffer(self.file.read_at(length, int(self.at[-1]) + 8), "<i8").reshape(-1, 5)
         self.press, self.held = zstandard.ZstdDecompressor(), (-1, b"")
 
     def frame(self, k: int) -> np.ndarray:
@@ -250,34 +252,50 @@ class Shard:
         return self.held[1]
 
     def document(self, row: int) -> np.ndarray:
-        _, k, first, n = self.index[row]
+        _, k, first, n, _ = self.index[row]
         return self.frame(int(k))[first : first + n]
 
     def find(self, doc_id: int) -> np.ndarray | None:
         """Ids of a document, from its frame alone."""
-        row = int(np.searchsorted(self.index[:, 0], doc_id))
+        unknown = int(self.index[:, 4].sum())
+        row = unknown + int(np.searchsorted(self.index[unknown:, 0], doc_id))
         return self.document(row) if row < len(self.index) and self.index[row, 0] == doc_id else None
 
 
+def shards_of(documents: Iterator[tuple[int | None, np.ndarray]]) -> Iterator[Iterator[tuple[int | None, np.ndarray]]]:
+    """The documents of one shard after the other, each of which is to be read to its end."""
+    head = next(documents, None)
+
+    def some() -> Iterator[tuple[int | None, np.ndarray]]:
+        nonlocal head
+        n = ids = 0
+        while head is not None and n < SHARD_DOCS and ids < SHARD_IDS:
+            now, n, ids = head, n + 1, ids + len(head[1])
+            head = next(documents, None)
+            yield now
+
+    while head is not None:
+        yield some()
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, root: str, end: int = 2) -> DataFrame:
     """Encodes whole texts and writes shards under root; returns the manifest (name, first_id, n_docs, n_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, name = Encoder.of(tokenizer), f"shard-{TaskContext.get().partitionId():06d}.tokens.zst"
+        encoder, task = Encoder.of(tokenizer), TaskContext.get().partitionId()
 
-        def documents() -> Iterator[tuple[int, np.ndarray]]:
+        def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
-                ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                ids = batch.column("doc_id").to_pylist()
                 for low, high, data, offsets in chunks(batch):
                     flat, bounds = with_end(*encoder.encode(data, offsets), end)
                     for i in range(low, high):
-                        yield int(ids[i]), flat[bounds[i - low] : bounds[i - low + 1]]
+                        yield ids[i], flat[bounds[i - low] : bounds[i - low + 1]]
 
-        todo = documents()
-        head = next(todo, None)
-        if head is not None:
-            n_docs, n_tokens, first = write_shard(root, name, (x for part in ([head], todo) for x in part))
-            yield pa.RecordBatch.from_pydict({"name": [name], "first_id": [first], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+        for number, some in enumerate(shards_of(documents())):
+            name = f"shard-{task:06d}-{number:06d}.tokens.zst"
+            n_docs, n_tokens, first = write_shard(root, name, some)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([n_docs]), pa.array([n_tokens])], names=["name", "first_id", "n_docs", "n_tokens"])
 
     # The hash and a number for each row cut a doc_id that very many rows repeat.
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
@@ -293,12 +311,15 @@ def read_tokens(manifest: DataFrame, root: str) -> DataFrame:
             for name, before in zip(batch.column("name").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 shard = Shard(root, name)
                 n = shard.index[:, 3]
-                crc = [zlib.crc32(shard.document(i).tobytes()) for i in range(len(n))]
-                ids = pa.array(shard.index[:, 0], mask=shard.index[:, 0] == -(1 << 63))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                start = before + np.cumsum(n) - n
+                for low in range(0, len(n), ROWS):
+                    rows = slice(low, low + ROWS)
+                    crc = [zlib.crc32(shard.document(i).tobytes()) for i in range(low, min(low + ROWS, len(n)))]
+                    ids = pa.array(shard.index[rows, 0], mask=shard.index[rows, 4] == 1)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(start[rows]), pa.array(n[rows]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # The manifest has one row for each shard, so its running sum is a small task.
-    order = Window.orderBy("first_id", "name").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.asc_nulls_first("first_id"), "name").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("name", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
     return placed.repartition("name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
