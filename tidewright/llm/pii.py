@@ -1,13 +1,16 @@
 """Personal data: detected entities get keyed surrogates of the same type and format, by SQL functions alone.
 
-Kinds: e-mail address, IPv4 address, telephone number, social security number, payment card number (valid check digit) and
-person after a form of address. A surrogate depends on the key, by HMAC-SHA256, on the kind and on the canonical entity
+Kinds: e-mail address, IPv4 and IPv6 address (the latter of three groups or more, with two digits in a row somewhere in the text), bank
+account number (IBAN with valid check digits), telephone number, social security number, payment card number (valid check digit) and
+person after a form of address; where a person of two words or more is found so, every other mention of the name in the text is replaced too. A surrogate depends on the key, by HMAC-SHA256, on the kind and on the canonical entity
 (lower-cased address, bare digits, words of a name) only, so every mention gets the same one, in this text and in all others.
 
 * Numbers keep their length, separators and country code or first card digit; their other digits go through a keyed Feistel
   permutation (halves, four rounds), cards get a new check digit, IPv4 addresses are permuted as two halves of 16 bits.
   Country codes are read from the digits alone and none begins another, so different numbers, in whatever format, get
-  different surrogates: no collision is possible.
+  different surrogates: no collision is possible. A number of country code 1 with ten digits more is that of those ten digits.
+* IBANs keep country, letters and spaces, and get new check digits. IPv6 addresses are written in full; each group goes
+  through a keyed permutation that depends on the groups before it, so no two addresses meet.
 * E-mail addresses get a given name, letters and the same top-level domain under an example domain.
 * Persons get given names of the gender of the form of address and a family name of syllables, in the script of the name. The
   family name depends on the family name alone, the given names on the given names, so "Mr Smith" and "Mr John Smith" still share
@@ -20,7 +23,8 @@ the documents. A surrogate may by chance be the name or number of somebody else;
 Null texts stay null, empty texts empty; an empty table gives no rows. Very long texts are handled whole: no pattern repeats
 a group without bound, and the unbounded runs are single characters. Addresses count up to 64 characters before the @ and 253
 after it. Digits of other kinds (order numbers, cards with a wrong check digit) stay. Repeated rows are replaced alike. Columns
-of the documents stay, whatever their names, but those named like the counts n_<kind> are replaced where counts are asked for;
+of the documents stay, whatever their names, but those named like the counts n_<kind> are replaced where counts are asked for (n_person
+counts mentions with a form of address);
 n_chars, where there is one, is counted anew.
 """
 
@@ -37,14 +41,16 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[A-
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+IPV6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 #: Forms of address by gender (fixed values).
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
 ADDRESS = f"(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})"
 PERSON = rf"(?<![\p{{L}}]){ADDRESS}\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
-ENTITY = "|".join((EMAIL, IP, PHONE, SSN, CARD, PERSON))
-KINDS = ("email", "ip", "phone", "ssn", "card", "person")
+ENTITY = "|".join((EMAIL, IPV6, IP, IBAN, PHONE, SSN, CARD, PERSON))
+KINDS = ("email", "ip", "ipv6", "iban", "phone", "ssn", "card", "person")
 
 #: Given names by script and gender, and syllables of family names by script (fixed values).
 GIVEN = {
@@ -120,15 +126,73 @@ def _luhn(digits: Column, skip: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
 
 
+def _spaced(entity: Column, letters: Column) -> Column:
+    """The entity with its letters and digits replaced in turn, its spaces where they are."""
+    at = lambda i: F.length(F.regexp_replace(F.substr(entity, F.lit(1), i), " ", ""))
+    char = lambda i: F.substr(entity, i, F.lit(1))
+    return _let(letters, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.when(char(i) == " ", " ").otherwise(F.substr(d, at(i), F.lit(1)))), ""))
+
+
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters, A being 10, make together, modulo 97."""
+
+    def step(r: Column, i: Column) -> Column:
+        c = F.substr(text, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), step)
+
+
+def _iban_valid(entity: Column) -> Column:
+    return _let(F.regexp_replace(entity, " ", ""), lambda x: _mod97(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4)))) == 1)
+
+
+def _iban(entity: Column, key: str) -> Column:
+    country = F.substr(entity, F.lit(1), F.lit(2))
+
+    def rest(x: Column) -> Column:
+        return _let(_poured(x, _permuted(bare(x), key, "iban")), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+
+    return _spaced(entity, _let(F.substr(F.regexp_replace(entity, " ", ""), F.lit(5)), rest))
+
+
+def _groups(entity: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers."""
+
+    def expanded(sides: Column) -> Column:
+        part = lambda i: F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+        zeros = F.greatest(F.lit(8) - F.size(part(0)) - F.size(part(1)), F.lit(0))
+        return F.transform(F.concat(part(0), F.array_repeat(F.lit("0"), zeros), part(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+
+    return _let(F.split(entity, "::"), expanded)
+
+
+def _ipv6(entity: Column, key: str) -> Column:
+    def group(done: Column, v: Column) -> Column:
+        """One group by a Feistel permutation of its halves; done has the groups before it, as they were and as they are."""
+        rounds = F.aggregate(
+            F.sequence(F.lit(1), F.lit(4)),
+            F.struct(F.shiftright(v, 8).alias("l"), v.bitwiseAND(255).alias("r")),
+            lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(F.pmod(_random(key, "ipv6", done["was"], k, s["r"]), F.lit(256))).alias("r")),
+            lambda s: s["l"] * 256 + s["r"],
+        )
+        return F.struct(F.concat_ws(":", done["was"], v.cast("string")).alias("was"), F.concat(done["now"], F.array(F.lower(F.hex(rounds)))).alias("now"))
+
+    start = F.struct(F.lit("").alias("was"), F.array().cast("array<string>").alias("now"))
+    return F.aggregate(_groups(entity), start, group, lambda s: F.array_join(s["now"], ":"))
+
+
 def bare(entity: Column) -> Column:
     return F.regexp_replace(entity, "[^0-9]", "")
 
 
 def kind_of(entity: Column) -> Column:
-    """The kind of a match of ENTITY; null for a card number with a wrong check digit."""
+    """The kind of a match of ENTITY; null for card and account numbers with wrong check digits and IPv6 addresses of one group or two."""
     return (
         F.when(entity.contains("@"), "email")
+        .when(entity.contains(":"), F.when(F.size(F.filter(F.split(entity, ":"), lambda x: x != "")) >= 3, "ipv6"))
         .when(entity.rlike(rf"^(?:{IP})$"), "ip")
+        .when(entity.rlike(r"^[A-Z]{2}\d{2}"), F.when(_iban_valid(entity), "iban"))
         .when(entity.rlike(rf"^(?:{PHONE})$"), "phone")
         .when(entity.rlike(rf"^(?:{SSN})$"), "ssn")
         .when(entity.rlike(r"^\d"), F.when(_luhn(bare(entity), 0) % 10 == 0, "card"))
@@ -215,7 +279,9 @@ def surrogate(entity: Column, attempt, key: str) -> Column:
         lambda k: F.coalesce(
             F.when(k == "email", _email(entity, attempt(F.lower(entity)), key))
             .when(k == "ip", ip(F.split(entity, r"\.")))
-            .when(k == "phone", F.when(entity.startswith("+"), number("international", code)).otherwise(number("phone", code)))
+            .when(k == "ipv6", _ipv6(entity, key))
+            .when(k == "iban", _iban(entity, key))
+            .when(k == "phone", F.when(entity.startswith("+") & ~bare(entity).rlike(r"^1\d{10}$"), number("international", code)).otherwise(number("phone", code)))
             .when(k == "ssn", number("ssn", F.lit(0)))
             .when(k == "card", _let(bare(entity), card))
             .when(k == "person", _let(canonical(entity, k), lambda c: _person(entity, c, attempt, key))),
@@ -269,7 +335,14 @@ def pseudonymise(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
         attempt = lambda canon: F.coalesce(F.element_at(F.col("redrawn"), canon), F.lit(0))
     split = ready.withColumn("found", _entities(text))
     swapped = split.withColumn("new", F.transform("found", lambda e: F.struct(kind_of(e).alias("kind"), surrogate(e, attempt, key).alias("text"))))
-    gaps = F.split(text, ENTITY, -1)
+    # Names of two words or more, and what they become, without their forms of address.
+    name = lambda e: F.regexp_replace(e, rf"^{ADDRESS}\.? ", "")
+    pairs = F.filter(F.zip_with("found", "new", lambda e, n: F.struct(n["kind"].alias("kind"), name(e).alias("old"), name(n["text"]).alias("new"))), lambda x: (x["kind"] == "person") & x["old"].contains(" "))
+    swapped = swapped.withColumn("named", F.array_distinct(pairs))
+    bounded = lambda old: F.concat(F.lit(r"(?<![\p{L}])"), old, F.lit(r"(?![\p{L}])"))
+    mentions = lambda g: F.aggregate("named", g, lambda t, x: F.regexp_replace(t, bounded(x["old"]), x["new"]))
+    split_at = F.split(text, ENTITY, -1)
+    gaps = F.when(F.size("named") > 0, F.transform(split_at, mentions)).otherwise(split_at)
     whole = F.when(F.size("found") > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i)["text"], F.lit("")))), "")).otherwise(text)
     row = F.col("row").withField("text", whole)
     if "n_chars" in docs.columns:
