@@ -266,3 +266,5 @@ def test_seasonal_roots_by_blocks(spark):
         for s in ("still", "walk"):
             assert found[s].ocsb == pytest.approx(direct_seasonal(data[s], 12, found[s].lags), rel=1e-6)
     assert unitroots.seasonal_point(12) == pytest.approx(-1.803, abs=5e-3)
+    asked = {r.series: (r.d, r.sd) for r in unitroots.differences(frame(spark, {"still": still, "walk": seasonal_walk()}), 12).collect()}
+    assert asked["still"] == (0, 0) and asked["walk"] == (0, 1)

@@ -68,6 +68,19 @@ def test_a_large_mean_changes_no_autocorrelation(spark):
     assert all(got[0][k] == pytest.approx((e[k:] * e[:-k]).sum() / (e * e).sum()) and got[1][k] == pytest.approx(got[0][k], rel=1e-6) for k in (1, 2, 5))
 
 
+@pytest.mark.parametrize("size", [7, 40, 1000])
+def test_correlations_at_all_lags_by_blocks(spark, size):
+    rng = np.random.default_rng(size)
+    data = {"a": rng.normal(size=90) + 1e6, "b": np.cumsum(rng.normal(size=25)), "c": np.ones(6), "d": np.array([1.0])}
+    rows = spark.createDataFrame([(s, i, float(v)) for s, x in data.items() for i, v in enumerate(x)], "series string, idx long, value double")
+    got = {(r.series, r.lag): r.r for r in windows.pearson_all_lags(rows, 30, size=size).collect()}
+    assert set(got) == {(s, k) for s, x in data.items() for k in range(min(30, len(x)))}
+    for (s, k), r in got.items():
+        x = data[s]
+        if len(x) - k > 2 and s in "ab":
+            assert r == pytest.approx(np.corrcoef(x[k:], x[: len(x) - k])[0, 1], abs=1e-7)
+
+
 def test_an_outlier_leaves_the_ranges_even(spark):
     rng = np.random.default_rng(2)
     values = [*np.round(rng.normal(size=6000), 6).tolist(), 1e12]

@@ -73,7 +73,7 @@ def arima(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         _write(forecast.order_grid(rows, max(a.p_max, a.q_max), a.d_max), a, "orders")
     if a.search == "steps":
-        needed = unitroots.differences_needed(rows, a.d_max).select("series", F.col("ndiffs").alias("d"), F.lit(0).alias("sd"))
+        needed = unitroots.differences(rows, a.season if a.D_max else 0, most=a.d_max)
         tried = orders.search(rows, a.season, (a.p_max, a.q_max, a.P_max, a.Q_max), needed)
         _write(tried, a, "search")
         best = tried.filter("chosen")

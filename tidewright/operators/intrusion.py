@@ -119,24 +119,35 @@ def trained(df: DataFrame, key: str, features: str = "features", epochs: int = 1
 
 
 def trained_in_turn(chunks: DataFrame, epochs: int = 5, classes: int = 10, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(model, chunks, n, accuracy): one classifier that learns the chunks (chunk, features, y) one after the other and is evaluated on the last.
+    """(model, chunks, n, accuracy): one classifier that learns the chunks (chunk, features, y) one after the other and is evaluated on every row of the last.
 
-    It is one task, so each chunk gives at most so many rows, those with the smallest hashes.
+    Learning is one task, so each chunk gives at most so many rows to it, those with the smallest hashes; a single chunk is learned and evaluated.
     """
     place = F.pmod(F.xxhash64("features", "y"), F.lit(1 << 52)) / float(1 << 52)
     sizes = chunks.groupBy("chunk").agg((F.lit(1.25 * rows) / F.count("*")).alias("_share"))
-    bounded = chunks.select("chunk", "features", "y", place.alias("_at")).join(sizes, "chunk").filter(F.col("_at") < F.col("_share")).drop("_share")
+    ends = sizes.agg(F.max("chunk").alias("_last"), F.count("*").alias("chunks"))
+    placed = chunks.select("chunk", "features", "y", place.alias("_at")).join(F.broadcast(ends))  # one row
+    learned = placed.join(sizes, "chunk").filter((F.col("_at") < F.col("_share")) & ((F.col("chunk") < F.col("_last")) | (F.col("chunks") == 1))).drop("_share")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [p.sort_values("_at").head(rows) for _, p in pdf.groupby("chunk", sort=True)]
         x = lambda p: np.stack(p["features"].to_numpy())
         model = Classifier(x(parts[0]).shape[1], classes=classes)
-        for i, p in enumerate(parts[:-1] or parts):
+        for i, p in enumerate(parts):
             model.fit(x(p), p["y"].to_numpy(), epochs, seed=i)
-        hit = model.scores(x(parts[-1])).argmax(1) == parts[-1]["y"].to_numpy()
-        return pd.DataFrame({"model": [model.to_bytes()], "chunks": [len(parts)], "n": [len(hit)], "accuracy": [float(hit.mean())]})
-
-    return bounded.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "model binary, chunks int, n long, accuracy double")
+        return pd.DataFrame({"model": [model.to_bytes()], "chunks": [int(pdf["chunks"].iloc[0])]})
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for pdf in batches:
+            if len(pdf):
+                model = model or Classifier.from_bytes(pdf["model"].iloc[0])
+                yield pd.DataFrame({"hit": model.scores(np.stack(pdf["features"].to_numpy())).argmax(1) == pdf["y"].to_numpy()})
+
+    model = learned.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "model binary, chunks int").persist()
+    asked = placed.filter(F.col("chunk") == F.col("_last")).select("features", "y").join(F.broadcast(model.select("model")))  # one row, of the classifier's size
+    found = asked.mapInPandas(hits, "hit boolean").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+    return model.join(F.broadcast(found)).select("model", "chunks", "n", "accuracy")  # one row each
 
 
 def scored(df: DataFrame, models: DataFrame, key: str, features: str = "features") -> DataFrame:

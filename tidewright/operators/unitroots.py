@@ -187,6 +187,17 @@ def seasonal_roots(df: DataFrame, period: int, value: str = "value", size: int =
     return made.mapInPandas(solved, "series string, ocsb double, lags int, point double, differences int")
 
 
+def differences(df: DataFrame, period: int = 0, value: str = "value", most: int = MOST_DIFFERENCES) -> DataFrame:
+    """(series, d, sd): the differences that the level statistic asks for, and whether the seasonal test asks for one; where it does, d is that of the seasonal difference."""
+    plain = differences_needed(df, most, value).select("series", F.col("ndiffs").alias("d"))
+    if period < 2:
+        return plain.withColumn("sd", F.lit(0))
+    roots = seasonal_roots(df, period, value).select("series", F.col("differences").alias("sd"))
+    after = differences_needed(filtered_series(df, {"s": (lag_polynomial(period), period)}, value), most).select(F.regexp_replace("series", r"\|s$", "").alias("series"), F.col("ndiffs").alias("_after"))
+    both = plain.join(roots, "series").join(after, "series", "left")
+    return both.select("series", F.when(F.col("sd") > 0, F.coalesce("_after", F.lit(0))).otherwise(F.col("d")).alias("d"), "sd")
+
+
 def seasonal_point(period: int) -> float:
     """The smoothed 5 % point of the seasonal statistic by the logarithm of the period (fixed values)."""
     at = math.log(period) - 0.7656451

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,11 +126,41 @@ def autocorrelation(df: DataFrame, lags: list[int], value: str = "value") -> Dat
     return sums.join(whole, "series").select("series", "lag", F.try_divide("_ab", "_s").alias("r"))
 
 
-def pearson_all_lags(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
-    """(series, lag, r): correlation at every lag from 0 to lags - 1 that the series has pairs for."""
-    past = in_blocks(df, lags - 1, 0, lambda d, w: d.withColumn("_past", F.collect_list(F.struct(F.col(value).alias("b"))).over(w.rowsBetween(1 - lags, 0))))
-    pairs = past.select("series", F.col(value).alias("a"), F.size("_past").alias("_n"), F.posexplode("_past").alias("_at", "_p"))
-    return pairs.groupBy("series", (F.col("_n") - 1 - F.col("_at")).alias("lag")).agg(F.corr("a", "_p.b").alias("r"))
+def pearson_all_lags(df: DataFrame, lags: int, value: str = "value", size: int = BLOCK) -> DataFrame:
+    """(series, lag, r): correlation at every lag from 0 to lags - 1 that the series has pairs for.
+
+    A block of deviations from the mean, with the lags before it, gives the sums of all lags at once: products by a transform, the others by
+    running sums. Only these sums meet by series and lag.
+    """
+    stats = df.groupBy("series").agg(F.avg(value).alias("_m"), (F.max("idx") + 1).alias("_n"))
+    rows = df.join(stats, "series").select("series", "idx", "_n", (F.col(value) - F.col("_m")).alias("v"))
+    reach = F.sequence(F.floor(F.col("idx") / size), F.least(F.floor((F.col("idx") + lags - 1) / size), F.floor((F.col("_n") - 1) / size)))
+    blocks = rows.withColumn("b", F.explode(reach)).groupBy("series", "b").agg(F.min("idx").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("idx", "v"))), lambda r: r["v"]).alias("x"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                x = np.asarray(r.x, float)
+                skip = max(0, r.b * size - (lags - 1) - r.first)
+                x, first = x[skip:], r.first + skip
+                own = int(r.b * size - first)
+                top = min(lags, len(x))
+                n = 1 << int(2 * len(x)).bit_length()
+                late = np.concatenate([np.zeros(own), x[own:]])
+                ab = np.fft.irfft(np.fft.rfft(late, n) * np.conj(np.fft.rfft(x, n)), n)[:top]
+                s1, s2 = (np.concatenate([[0.0], np.cumsum(y)]) for y in (x, x * x))
+                k = np.arange(top)
+                start = np.maximum(own, k)  # the first of the block's samples that has one so far before it
+                pairs = len(x) - start
+                sums = [pairs.astype(float), s1[-1] - s1[start], s1[len(x) - k] - s1[start - k], s2[-1] - s2[start], s2[len(x) - k] - s2[start - k], ab]
+                out += [(r.series, int(i), *(float(c[i]) for c in sums)) for i in k if pairs[i] > 0]
+            yield pd.DataFrame(out, columns=["series", "lag", "n", "a", "b", "aa", "bb", "ab"])
+
+    parts = blocks.mapInPandas(run, "series string, lag int, n double, a double, b double, aa double, bb double, ab double")
+    whole = parts.groupBy("series", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    left = lambda xy, x, y: F.col(xy) - F.col(x) * F.col(y) / F.col("n")
+    return whole.select("series", "lag", F.try_divide(left("ab", "a", "b"), F.sqrt(F.greatest(left("aa", "a", "a"), F.lit(0.0)) * F.greatest(left("bb", "b", "b"), F.lit(0.0)))).alias("r"))
 
 
 def lag_polynomial(*periods: int) -> dict[int, int]:
