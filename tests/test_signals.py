@@ -233,3 +233,15 @@ def test_clusters_are_numbered_by_their_centres(spark):
 def test_chunks_get_noisier(spark):
     rows = spark.range(12).select(waveforms.falling_ratio(14.0, F.col("id")).alias("snr")).collect()
     assert [r.snr for r in rows] == [14, 9, 4, -1, -1, -1, -1, -1, -1, -1, -1, -1]
+
+
+def test_images_change_their_format(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    planes = rng.integers(0, 256, (5, 7, 4), dtype=np.uint8)
+    given = spark.createDataFrame([("alpha", 5, 7, 4, planes.tobytes()), ("grey", 5, 7, 1, planes[:, :, 0].tobytes())], "name string, height int, width int, channels int, data binary")
+    for r in images.converted(given).collect():
+        (tmp_path / f"{r.name}.png").write_bytes(bytes(r.content))
+    got = {r.name: images.rgb(bytes(r.data), r.height, r.width, r.channels) for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert (got["alpha"] == planes[:, :, 2::-1]).all() and (got["grey"] == planes[:, :, :1]).all()
+    plain = images.image_histograms(images.plain_images(spark)).collect()
+    assert {(r.name, r.value) for r in plain if r.share == 1} >= {("white", 255), ("black", 1)}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators.wavelets import daubechies
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(name, height, width, channels, data) of the image files of a folder; data are rows of blue, green, red (and alpha) bytes."""
@@ -24,6 +27,35 @@ def rgb(raw: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.repeat(a, 3, 2) if channels == 1 else a[:, :, 2::-1]
 
 
+def png(image: np.ndarray) -> bytes:
+    """Planes of red, green and blue as a PNG file."""
+    height, width = image.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), np.ascontiguousarray(image, np.uint8).reshape(height, -1)], 1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def converted(images: DataFrame) -> DataFrame:
+    """(name, content) of images of any readable format as PNG files of red, green and blue, without an alpha channel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [png(rgb(r["data"], r["height"], r["width"], r["channels"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(content, pa.binary())], names=["name", "content"])
+
+    return images.select("name", "height", "width", "channels", "data").mapInArrow(run, "name string, content binary")
+
+
+#: Height, width and value of the plain white and black images that others are held against (fixed values).
+PLAIN = {"white": (500, 335, 255), "black": (727, 626, 1)}
+
+
+def plain_images(spark: SparkSession) -> DataFrame:
+    """The plain images as read_images gives images, grey."""
+    rows = [(name, h, w, 1, bytes([v]) * (h * w)) for name, (h, w, v) in PLAIN.items()]
+    return spark.createDataFrame(rows, "name string, height int, width int, channels int, data binary")
+
+
 def densities(image: np.ndarray) -> np.ndarray:
     """The shares of the 256 values in each channel."""
     return np.stack([np.bincount(image[:, :, c].ravel(), minlength=256) / image[:, :, c].size for c in range(3)])
@@ -49,20 +81,6 @@ def gaussian_divergence(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndar
     return round(float(np.trace(back @ c0) + (m1 - m0) @ back @ (m1 - m0) - len(m0) + logs) / 2, 6)
 
 
-def daubechies(n: int) -> np.ndarray:
-    """The 2n coefficients of the scaling filter: the half of the roots inside the unit circle, and n roots at -1."""
-    poly = [math.comb(n - 1 + k, k) for k in range(n)]
-    h = np.array([1.0 + 0j])
-    for y in np.roots(poly[::-1]):
-        b = 1 - 2 * y
-        root = b + np.sqrt(b * b - 1 + 0j)
-        h = np.convolve(h, [1, -(root if abs(root) < 1 else 1 / root)])
-    for _ in range(n):
-        h = np.convolve(h, [1, 1])
-    h = h.real
-    return h / h.sum() * math.sqrt(2)
-
-
 def _bank(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(low-pass, high-pass) of the synthesis."""
     return h, h[::-1] * (-1) ** np.arange(len(h))
