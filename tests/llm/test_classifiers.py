@@ -180,3 +180,14 @@ def test_ties_repeated_rows_long_texts_and_a_bounded_sample(spark):
     assert len(got) == 203 and len({r.score for r in got if r.doc_id == 0}) == 2
     one = toxicity.fit(df, labels, F.lit(True), size=1)  # a sample of one row has one class
     assert not len(one[0]) and abs(one[3]) == 40 and len(toxicity.fit(df, labels, F.lit(True))[0])
+
+
+def test_letters_are_those_of_unicode(docs):
+    from tidewright.llm import language
+
+    texts = ["\U00032010", "\U0002fffe", "\U00020000", "\U0003134f", "\U000e0041", "ª", "123", "퟿"]
+    table = language._folded()
+    assert [bool(table[ord(t)] != 32) for t in texts if len(t) == 1] == [t.isalpha() for t in texts if len(t) == 1]
+    rows = docs([*texts[:-1], "the cat sat on the mat"] * 3)
+    got = [(r.doc_id % 8, r.lang_pred) for r in language.language_id(rows).collect()]
+    assert all((lang == "und") == (not (texts[:-1] + ["the"])[i].isalpha()) for i, lang in got)

@@ -53,11 +53,10 @@ def _folded() -> np.ndarray:
     """For each code point its lower case if it is a letter, else a blank."""
     if not _fold:
         table = np.full(0x110000, 32, np.uint32)
-        for c in (*range(0xD800), *range(0xE000, 0x20000)):
+        for c in (*range(0xD800), *range(0xE000, 0x110000)):
             if (x := chr(c)).isalpha():
                 low = x.lower()
                 table[c] = ord(low) if len(low) == 1 else c
-        table[0x20000:0x32000] = np.arange(0x20000, 0x32000, dtype=np.uint32)
         _fold.append(table)
     return _fold[0]
 
