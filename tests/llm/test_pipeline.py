@@ -136,7 +136,7 @@ def test_same_as_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "conversations"):
+    for t in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
     found = c.execute(queries.ORACLES[name])
     names = [d[0] for d in found.description]
