@@ -147,3 +147,31 @@ def test_same_as_sql(spark, name):
 
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_odd_documents_that_labels_and_the_benchmark_hit(spark, tmp_path):
+    """Nulls, repeated rows, ties and long texts among documents that the first stages reject."""
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    vile = lambda n: " ".join(rng.choice(["zokk", "vurm", "blagh"]) if rng.random() < 0.4 else rng.choice(words) for _ in range(n))
+    learned = [(i, vile(40) if i % 2 else prose(40)) for i in range(400)]
+    item, odd_vile = prose(30), vile(60)
+    odd = [(None, odd_vile), (None, None), (1000, ""), (1001, odd_vile), (1001, odd_vile), (1002, f"{prose(50)} {item} {prose(50)}"), (None, item), (1003, item), (1003, item), (1004, prose(70_000)), (1005, None)]
+    docs = spark.createDataFrame([(i, t, None if i is None else "en", "s", len(t or "")) for i, t in learned + odd], SCHEMA).withColumn("toxic", F.lit("mine")).withColumn("item_id", F.lit(5)).withColumn("a.b", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*[(i, None, i % 2) for i in range(400)], (0, 1, 0), (None, 1, 1), (7, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, ""), (1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialise(stage(spark, now, str(tmp_path)), "odd")
+        assert now.columns == docs.columns
+        kept[name] = now.select("doc_id", "text").collect()
+    left = [r.text for r in kept["toxicity"]]
+    assert odd_vile not in left and sum(t in left for i, t in learned if i % 2 == 0) >= 195 and sum(t in left for i, t in learned if i % 2) <= 10
+    assert sum(t is None or t == "" for t in left) == 3 and left.count(item) == 3
+    # Rows without a doc_id stay, and so do all rows of the doc_id that stays.
+    assert sorted((r.doc_id or 0) for r in kept["ngram_jaccard"] if r.text == item) == [0, 1003, 1003]
+    assert [r.doc_id for r in kept["decontamination"] if item in (r.text or "")] == [None] and {1000, 1004, 1005} <= {r.doc_id for r in kept["pii"]}
