@@ -584,6 +584,13 @@ def bloom_check(spark, d):
     return _bloom(spark, d, 1 << 27, 7)
 
 
+@query(f"WITH {BLOOM} SELECT item IN (SELECT item FROM t) AS known, count(*) AS n, true AS bounded FROM q GROUP BY known")
+def bloom_bounds(spark, d):
+    """What a filter of few bits promises: all trained items pass, and at most a tenth of the others."""
+    found = _bloom(spark, d, 1 << 20, 4)
+    return found.select("known", "n", F.when(F.col("known"), F.col("members") == F.col("n")).otherwise(F.col("members") <= F.col("n") / 10).alias("bounded"))
+
+
 @query()
 def bloom_small(spark, d):
     """A filter of few bits: every trained item passes, and some others."""
@@ -868,7 +875,23 @@ def hmm_likelihood(spark, d):
     return rounded(hmm.log_likelihood(rows, hmm.parameters(rows, [-1, 0, 1])), 4)
 
 
-@query()
+#: The logarithms of a sample's densities, and of transitions, in whole units, as the operator adds them.
+_LB = "greatest(-(((x[{t}] - mean[j]) / std[j]) ** 2) / 2 - ln(std[j] * sqrt(2 * pi())), -65536)"
+_WHOLE = "CAST(round({0} * 16777216) AS BIGINT)"
+_CAND = "[v[1] + la[j], v[2] + la[3 + j], v[3] + la[6 + j]]"
+
+
+@query(f"""WITH RECURSIVE {HOURLY}, pr AS (SELECT series, idx, value / 50 AS v, CAST(round_even(round_even(value / 50, 0), 0) AS BIGINT) AS g FROM hr),
+    ends AS (SELECT series, min(g) AS low, max(g) - min(g) + 1 AS k, count(*) AS n FROM pr GROUP BY series), lv AS (SELECT series, low, k, n, unnest(range(0, k)) AS i FROM ends), st AS (SELECT series, g, count(*) AS c, avg(v) AS mean, stddev_pop(v) AS std FROM pr GROUP BY ALL),
+    m AS (SELECT lv.series, any_value(low) AS low, any_value(k) AS k, any_value(n) AS n, list(coalesce(c, 0) / n + 1e-9 ORDER BY i) AS pi, list(coalesce(mean, low + i) ORDER BY i) AS mean, list(greatest(0.01, coalesce(std, 0.01)) ORDER BY i) AS std FROM lv LEFT JOIN st ON st.series = lv.series AND st.g = lv.low + lv.i GROUP BY lv.series),
+    tr AS (SELECT series, g, lead(g) OVER (PARTITION BY series ORDER BY idx) AS h FROM pr), tc AS (SELECT series, g, h, count(*) AS c FROM tr WHERE h IS NOT NULL GROUP BY ALL),
+    mv AS (SELECT a.series, a.i, b.i AS j, coalesce(c, 0) + 1e-6 AS c FROM lv a JOIN lv b ON a.series = b.series LEFT JOIN tc ON tc.series = a.series AND tc.g = a.low + a.i AND tc.h = b.low + b.i), ml AS (SELECT series, list({_WHOLE.format("greatest(ln(c / t), -65536)")} ORDER BY i, j) AS la FROM (SELECT *, sum(c) OVER (PARTITION BY series, i) AS t FROM mv) GROUP BY series),
+    xs AS (SELECT series, list(v ORDER BY idx) AS x FROM pr GROUP BY series), l AS (SELECT *, range(1, k + 1) AS js, list_transform(pi, lambda p: {_WHOLE.format("greatest(ln(p / list_sum(pi)), -65536)")}) AS lp FROM m JOIN ml USING (series) JOIN xs USING (series)),
+    f AS (SELECT series, CAST(1 AS BIGINT) AS t, list_transform(js, lambda j: lp[j] + {_WHOLE.format(_LB.format(t="1"))}) AS v, js AS bp FROM l
+        UNION ALL SELECT series, t + 1, list_transform(cand, lambda c, j: list_max(c) + {_WHOLE.format(_LB.format(t="t + 1"))}), list_transform(cand, lambda c: CAST(list_position(c, list_max(c)) AS BIGINT))
+        FROM (SELECT *, list_transform(js, lambda j: list_transform(js, lambda i: v[i] + la[(i - 1) * k + j])) AS cand FROM f JOIN l USING (series) WHERE t < n)),
+    back AS (SELECT series, n AS t, CAST(list_position(v, list_max(v)) AS BIGINT) AS s FROM f JOIN l USING (series) WHERE t = n UNION ALL SELECT b.series, b.t - 1, f.bp[b.s] FROM back b JOIN f ON f.series = b.series AND f.t = b.t WHERE b.t > 1)
+    SELECT pr.series, idx, g AS programmed, low + s - 1 AS smooth FROM pr JOIN back ON back.series = pr.series AND back.t = pr.idx + 1 JOIN ends ON ends.series = pr.series""")
 def hmm_smoothed(spark, d):
     from tidewright.operators import hmm
 
@@ -927,12 +950,6 @@ def waveform_classifier(spark, d):
     return intrusion.trained_in_turn(made, 2).select("chunks", "n", F.round("accuracy", 6).alias("accuracy"))
 
 
-#: The logarithms of a sample's densities, and of transitions, in whole units, as the operator adds them.
-_LB = "greatest(-(((x[{t}] - mean[j]) / std[j]) ** 2) / 2 - ln(std[j] * sqrt(2 * pi())), -65536)"
-_WHOLE = "CAST(round({0} * 16777216) AS BIGINT)"
-_CAND = "[v[1] + la[j], v[2] + la[3 + j], v[3] + la[6 + j]]"
-
-
 @query(f"""WITH RECURSIVE {SIGN_MODEL}, l AS (SELECT series, n, x, mean, std, a, list_transform(pi, lambda p: p / list_sum(pi)) AS ps, list_transform(pi, lambda p: {_WHOLE.format("greatest(ln(p / list_sum(pi)), -65536)")}) AS lp, list_transform(a, lambda p: {_WHOLE.format("greatest(ln(p), -65536)")}) AS la FROM q),
     f AS (SELECT series, CAST(1 AS BIGINT) AS t, list_transform([1, 2, 3], lambda j: lp[j] + {_WHOLE.format(_LB.format(t="1"))}) AS v, [1, 2, 3]::BIGINT[] AS bp FROM l
         UNION ALL SELECT series, t + 1, list_transform([1, 2, 3], lambda j: list_max({_CAND}) + {_WHOLE.format(_LB.format(t="t + 1"))}), list_transform([1, 2, 3], lambda j: CAST(list_position({_CAND}, list_max({_CAND})) AS BIGINT)) FROM f JOIN l USING (series) WHERE t < n),
