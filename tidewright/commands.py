@@ -364,7 +364,7 @@ def main(argv: list[str] | None = None) -> None:
     from tidewright.plans import catalogue
 
     a = parser().parse_args(argv)
-    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.unionOutputPartitioning", "false").getOrCreate()
     if a.kind in KINDS:
         KINDS[a.kind][0](spark, a)
         return
