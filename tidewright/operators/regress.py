@@ -197,8 +197,9 @@ def gap_divergence(train: DataFrame, test: DataFrame, key: str = "key", units: f
 
 
 def poisson_log(n: Column, rate: Column) -> Column:
-    """Logarithm of the Poisson probability of n events."""
-    return -rate + n * F.log(rate) - F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    """Logarithm of the Poisson probability of n events; at a rate of 0 none is certain and any are impossible."""
+    power = F.when(rate == 0, F.when(n == 0, 0.0).otherwise(float("-inf"))).otherwise(n * F.log(rate))
+    return -rate + power - F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
 
 
 def ks_points(bins: int) -> list[float]:
