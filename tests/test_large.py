@@ -21,6 +21,14 @@ def same_as_sql(spark, name, folder, tables):
     assert got == sorted((tuple(r) for r in found.fetchall()), key=str)
 
 
+def test_bloom_members_are_exact_in_a_full_filter(spark):
+    items, asked = spark.range(0, 2000, 2).withColumnRenamed("id", "item"), spark.range(2000).withColumnRenamed("id", "item")
+    loose = packets.bloom_check(asked, "item", packets.bloom(items, "item", 1 << 11, 3), 1 << 11, 3)
+    assert loose.filter("member and item % 2 = 1").count() > 100
+    sure = {r.item: r.member for r in packets.bloom_members(asked, items, "item", 1 << 11, 3).collect()}
+    assert sure == {i: i % 2 == 0 for i in range(2000)}
+
+
 def test_histogram_anomaly_of_a_share_that_rounds_to_nothing(spark, tmp_path):
     rates = spark.createDataFrame([("a", 2, 0.0), ("b", 0, 0.0), ("c", 1, 1.0), ("d", 1, None)], "key string, n long, rate double")
     none = spark.createDataFrame([], "key string, bin int, n long")
