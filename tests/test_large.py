@@ -21,6 +21,13 @@ def same_as_sql(spark, name, folder, tables):
     assert got == sorted((tuple(r) for r in found.fetchall()), key=str)
 
 
+def test_bloom_bounds_with_more_items_than_a_fixed_filter_holds(spark, tmp_path):
+    spark.range(1_000_000).select(F.col("id").alias("o_orderkey"), (F.col("id") / 100 + 1).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    same_as_sql(spark, "bloom_bounds", tmp_path, ["orders"])
+    bits = packets.bloom_bits(1000, 0.05, 4)
+    assert (1 - np.exp(-4 * 1000 / bits)) ** 4 == pytest.approx(0.05, rel=0.01)
+
+
 def test_bloom_members_are_exact_in_a_full_filter(spark):
     items, asked = spark.range(0, 2000, 2).withColumnRenamed("id", "item"), spark.range(2000).withColumnRenamed("id", "item")
     loose = packets.bloom_check(asked, "item", packets.bloom(items, "item", 1 << 11, 3), 1 << 11, 3)
