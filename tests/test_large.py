@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import packets, regress
+from tidewright.operators import intrusion, packets, regress
 from tidewright.plans import catalogue
 
 
@@ -48,3 +48,23 @@ def test_histogram_anomaly_of_a_share_that_rounds_to_nothing(spark, tmp_path):
     user = F.when(F.col("id").isin(7, 210_007, 210_008), 0).otherwise(F.col("id") % 50 + 1).cast("long")
     spark.range(210_500).select(F.col("id").alias("event_id"), at.alias("ts"), user.alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
     same_as_sql(spark, "histogram_anomaly", tmp_path, ["events"])
+
+
+def test_packet_classifiers_of_users_with_more_digits(spark, tmp_path):
+    user = F.when(F.col("id") % 3 == 0, F.col("id") * 1000).otherwise(F.col("id") % 9)
+    spark.range(600).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.when(F.col("id") != 5, user).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    r = catalogue.QUERIES["packet_classifiers"](spark, str(tmp_path)).collect()
+    assert len(r) == 1 and r[0].id == "view" and r[0].tn + r[0].fp > 30
+
+
+def test_a_key_is_scored_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(intrusion, "PART_ROWS", 10)
+    x = np.random.default_rng(0).uniform(size=(95, 3))
+    rows = spark.createDataFrame([("a" if i < 90 else "b", i, v.tolist(), i % 2) for i, v in enumerate(x)], "id string, row long, features array<double>, y int")
+    model = intrusion.Classifier(3)
+    models = spark.createDataFrame([("a", model.to_bytes())], "key string, model binary")
+    found = intrusion.scored(rows, models, "id")
+    assert found.columns == ["id", "row", "features", "y", "key", "score", "predicted"]
+    got = {r.row: (r.score, r.predicted) for r in found.collect()}
+    want = model.scores(x[:90])[:, 1]
+    assert sorted(got) == list(range(90)) and [got[i][0] for i in range(90)] == pytest.approx(want) and all(got[i][1] == (want[i] >= 0.5) for i in range(90))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HIDDEN = ((128, "relu"), (32, "relu"), (16, "sigmoid"))
 #: Rows of one id that a classifier learns from at most, those with the smallest hashes; all rows are scored.
 SAMPLE_ROWS = 20_000
+#: Rows of one key that are scored together.
+PART_ROWS = 65_536
 
 
 def _uniform(*seed: Column) -> Column:
@@ -151,26 +153,29 @@ def trained_in_turn(chunks: DataFrame, epochs: int = 5, classes: int = 10, rows:
 
 
 def scored(df: DataFrame, models: DataFrame, key: str, features: str = "features") -> DataFrame:
-    """The rows with their key as text, score (of class 1) and predicted; rows of keys without a model are left out. Models are joined by a shuffle."""
-    rows = df.withColumn("key", F.col(key).cast("string")).join(models, "key")
-    names = [c for c in rows.columns if c not in ("model",)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Classifier] = {}
-        for batch in batches:
-            p = np.zeros(batch.num_rows)
-            ids = np.array(batch.column("key").to_pylist())
-            for k in np.unique(ids):
-                at = np.flatnonzero(ids == k)
-                if k not in held:
-                    if len(held) >= 64:
-                        held.clear()
-                    held[k] = Classifier.from_bytes(batch.column("model")[int(at[0])].as_py())
-                p[at] = held[k].scores(np.array([batch.column(features)[int(i)].as_py() for i in at]))[:, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
-
-    return rows.select(*names, "model").mapInArrow(run, f"{schema}, score double, predicted int")
+    """The rows with their key as text, score (of class 1) and predicted; rows of keys without a model are left out.
+
+    A key's rows are dealt into parts of about PART_ROWS; a part meets its model once.
+    """
+    rows = df.withColumn("key", F.col(key).cast("string"))
+    names = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("_parts"))
+    dealt = rows.join(sizes, "key").select(*names, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.col("_parts")).cast("int").alias("_part"))
+    kept = models.select("key", "model").join(sizes, "key").select("key", "model", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(names)
+        if not right.num_rows:
+            left = left.slice(0, 0)
+        p = np.zeros(0)
+        if left.num_rows:
+            x = left.column(features).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1)
+            p = Classifier.from_bytes(right.column("model")[0].as_py()).scores(x)[:, 1]
+        return left.append_column("score", pa.array(p)).append_column("predicted", pa.array((p >= 0.5).astype(np.int32)))
+
+    at = ("key", "_part")
+    return dealt.groupBy(*at).cogroup(kept.groupBy(*at)).applyInArrow(run, f"{schema}, score double, predicted int")
 
 
 def binary_confusion(df: DataFrame, by: str) -> DataFrame:
