@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import intrusion, packets, regress
+from tidewright.operators import intrusion, packets, regress, waveforms
 from tidewright.plans import catalogue
 
 
@@ -68,3 +68,15 @@ def test_a_key_is_scored_in_parts(spark, monkeypatch):
     got = {r.row: (r.score, r.predicted) for r in found.collect()}
     want = model.scores(x[:90])[:, 1]
     assert sorted(got) == list(range(90)) and [got[i][0] for i in range(90)] == pytest.approx(want) and all(got[i][1] == (want[i] >= 0.5) for i in range(90))
+
+
+def test_signals_in_batches_are_those_of_the_expressions(spark):
+    stream = spark.createDataFrame([("s" if i % 3 else "t", i, [i % 9, (i * 5) % 9, 6]) for i in range(60)], "series string, idx long, codes array<int>")
+    for bitrate, slope in ((1e6, 0.3), (125e3, 0.5)):
+        made = waveforms.signals(stream, bitrate=bitrate, slope=slope, snr=12.0, seed=5, distorted=0.3, snr_distorted=1.0)
+        ratio = F.when(F.col("y") == waveforms.DISTORTED, 1.0).otherwise(12.0)
+        plain = waveforms.noisy(waveforms.pure_wave(F.col("code"), waveforms.samples_of(16e6, bitrate), slope), ratio, F.lit(5), F.col("series"), F.col("idx"), F.col("pos"))
+        rows = made.withColumn("plain", plain).withColumn("h", waveforms.wave_histogram(F.col("plain"))).collect()
+        assert len(rows) == 180 and 20 < sum(r.y == waveforms.DISTORTED for r in rows) < 90
+        for r in rows:
+            assert r.wave == pytest.approx(r.plain, rel=1e-14) and r.histogram == r.h
