@@ -80,3 +80,14 @@ def test_signals_in_batches_are_those_of_the_expressions(spark):
         assert len(rows) == 180 and 20 < sum(r.y == waveforms.DISTORTED for r in rows) < 90
         for r in rows:
             assert r.wave == pytest.approx(r.plain, rel=1e-14) and r.histogram == r.h
+
+
+def test_rows_with_equal_features_are_learned_in_their_share(spark, monkeypatch):
+    monkeypatch.setattr(intrusion, "PART_ROWS", 50)
+    # Three features only, each with its label: by the features' hashes alone a small bound takes all rows of one or none.
+    rows = [(c, [float(k == j) for j in range(3)], k, i) for c in range(3) for i in range(900) for k in (i % 3,)]
+    df = spark.createDataFrame(rows, "chunk int, features array<double>, y int, row int")
+    r = intrusion.trained_in_turn(df, 40, 3, rows=90).first()
+    assert (r.chunks, r.n, r.accuracy) == (3, 900, 1.0)
+    mixed = df.withColumn("y", F.when((F.col("chunk") == 2) & (F.col("row") < 90), (F.col("y") + 1) % 3).otherwise(F.col("y")))
+    assert intrusion.trained_in_turn(mixed, 40, 3, rows=90).first().accuracy == pytest.approx(0.9)

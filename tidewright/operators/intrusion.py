@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,12 +123,13 @@ def trained_in_turn(chunks: DataFrame, epochs: int = 5, classes: int = 10, rows:
     """(model, chunks, n, accuracy): one classifier that learns the chunks (chunk, features, y) one after the other and is evaluated on every row of the last.
 
     Learning is one task, so each chunk gives at most so many rows to it, those with the smallest hashes; a single chunk is learned and evaluated.
+    Further columns tell rows apart: rows with the same features and y then have different hashes. Equal features are scored once, and count as often as they come.
     """
-    place = F.pmod(F.xxhash64("features", "y"), F.lit(1 << 52)) / float(1 << 52)
-    sizes = chunks.groupBy("chunk").agg((F.lit(1.25 * rows) / F.count("*")).alias("_share"))
-    ends = sizes.agg(F.max("chunk").alias("_last"), F.count("*").alias("chunks"))
+    place = F.pmod(F.xxhash64(*chunks.columns), F.lit(1 << 52)) / float(1 << 52)
+    sizes = chunks.groupBy("chunk").agg(F.count("*").alias("_n")).withColumn("_share", F.lit(1.25 * rows) / F.col("_n"))
+    ends = sizes.agg(F.max("chunk").alias("_last"), F.count("*").alias("chunks"), F.ceil(F.max_by("_n", "chunk") / F.lit(PART_ROWS)).cast("int").alias("_parts"))
     placed = chunks.select("chunk", "features", "y", place.alias("_at")).join(F.broadcast(ends))  # one row
-    learned = placed.join(sizes, "chunk").filter((F.col("_at") < F.col("_share")) & ((F.col("chunk") < F.col("_last")) | (F.col("chunks") == 1))).drop("_share")
+    learned = placed.join(sizes.drop("_n"), "chunk").filter((F.col("_at") < F.col("_share")) & ((F.col("chunk") < F.col("_last")) | (F.col("chunks") == 1))).drop("_share")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [p.sort_values("_at").head(rows) for _, p in pdf.groupby("chunk", sort=True)]
@@ -137,18 +137,20 @@ def trained_in_turn(chunks: DataFrame, epochs: int = 5, classes: int = 10, rows:
         model = Classifier(x(parts[0]).shape[1], classes=classes)
         for i, p in enumerate(parts):
             model.fit(x(p), p["y"].to_numpy(), epochs, seed=i)
-        return pd.DataFrame({"model": [model.to_bytes()], "chunks": [int(pdf["chunks"].iloc[0])]})
-
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for pdf in batches:
-            if len(pdf):
-                model = model or Classifier.from_bytes(pdf["model"].iloc[0])
-                yield pd.DataFrame({"hit": model.scores(np.stack(pdf["features"].to_numpy())).argmax(1) == pdf["y"].to_numpy()})
-
-    model = learned.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "model binary, chunks int").persist()
-    asked = placed.filter(F.col("chunk") == F.col("_last")).select("features", "y").join(F.broadcast(model.select("model")))  # one row, of the classifier's size
-    found = asked.mapInPandas(hits, "hit boolean").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+        return pd.DataFrame({"model": [model.to_bytes()], "chunks": [int(pdf["chunks"].iloc[0])], "_parts": [int(pdf["_parts"].iloc[0])]})
+
+    def hits(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, hit = left.column("n").to_numpy(), np.zeros(0)
+        if left.num_rows:
+            x = left.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1)
+            hit = n * (Classifier.from_bytes(right.column("model")[0].as_py()).scores(x).argmax(1) == left.column("y").to_numpy())
+        return pa.table({"n": pa.array([int(n.sum())], pa.int64()), "hit": pa.array([int(hit.sum())], pa.int64())})
+
+    model = learned.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "model binary, chunks int, _parts int").persist()
+    asked = placed.filter(F.col("chunk") == F.col("_last")).groupBy("features", "y", "_parts").agg(F.count("*").alias("n"))
+    dealt = asked.select("features", "y", "n", F.pmod(F.xxhash64("features", "y"), F.col("_parts")).cast("int").alias("_part"))
+    kept = model.select("model", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    found = dealt.groupBy("_part").cogroup(kept.groupBy("_part")).applyInArrow(hits, "n long, hit long").agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"))
     return model.join(F.broadcast(found)).select("model", "chunks", "n", "accuracy")  # one row each
 
 
