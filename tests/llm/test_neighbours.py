@@ -83,6 +83,41 @@ def test_vectors_without_structure_meet_all_rows_once(spark, monkeypatch):
     assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
 
 
+def test_results_are_exact_at_any_size_and_for_any_choice_of_windows(spark, monkeypatch):
+    rows = clustered(3000, 31, 16, seed=2)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    want = {q: [i for i, _ in r] for q, r in brute(rows).items()}
+    plan, candidates, asked = ha.plan, ha.candidates, []
+    monkeypatch.setattr(ha, "candidates", lambda *a: asked.append(a[2:4]) or candidates(*a))
+    # One table as few blocks and as many; then no wide windows, and too narrow ones.
+    for block, choice in ((1024, None), (64, None), (64, (0, 0)), (64, (8, 1))):
+        monkeypatch.setattr(ha, "BLOCK", block)
+        monkeypatch.setattr(ha, "plan", lambda *a, choice=choice: (p := plan(*a))[:1] + (choice or p[1:3]) + p[3:])
+        assert {q: [i for i, _ in r] for q, r in found(df).items()} == want
+    assert asked[0] == (1, 0) and asked[1][0] > 1 and asked[2:] == [(1, 0), (8, 1)]
+
+
+def test_check_passes_over_blocks_and_keeps_ties():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 12)) * 3, 50, 0) + rng.normal(size=(2000, 12)) * 0.1
+    x[1700] *= 1e6
+    x[[60, 1999]] = x[10]  # three equal rows in three blocks
+    q = np.vstack([x[10:2000:97], x[1700]])
+    s = np.stack([np.cumsum(x * v, 1)[:, -1] for v in q])
+    ids = np.arange(2000)[::-1]
+    want = [ids[np.lexsort((ids, -v))[:7]].tolist() for v in s]
+    for least in (np.full(len(q), -np.inf), np.sort(s, 1)[:, -7]):
+        best = ha.Best(q, least, 7)
+        for low in rng.permutation(40) * 50:
+            best.meet(x[low : low + 50], ids[low : low + 50])
+        at, got, score = best.found()
+        assert [got[at == i].tolist() for i in range(len(q))] == want and np.array_equal(score, np.sort(s, 1)[:, :-8:-1].ravel())
+    assert best.compared < 0.3 * s.size
+    few = ha.Best(q, np.full(len(q), -np.inf), 7)
+    few.meet(x[:3], ids[:3])
+    assert len(few.found()[0]) == 3 * len(q)
+
+
 def test_positions_count_the_rows_before(spark, monkeypatch):
     monkeypatch.setattr(ha, "BLOCK", 50)
     rows = clustered(700, 7, 6)

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by largest inner product, over shifted space-filling curves.
+"""Nearest neighbours by largest inner product, over shifted space-filling curves, with an exact check.
 
 Vectors are scaled into the unit ball and lifted by one coordinate onto the sphere, where a larger inner product with a
 query is a smaller distance. For each of several curves they are projected to DIMS random directions, shifted, put on a grid and
@@ -10,8 +10,11 @@ inner products in double precision.
 A query's place on a curve is that of its direction on the sphere, or that of its own row. Place, number of curves and reach are
 calibrated: the true neighbours of sample queries (a tenth of them, PROBES at most) are found by one linear scan, and of the places and the numbers CURVES,
 each with the smallest reach that holds TARGET of them on some curve, the choice with the fewest comparisons is taken. Clustered vectors need a narrow reach. Where even that
-choice would compare over half of the rows, as vectors without structure do, windows save nothing: then all rows meet all queries, in
-matrix products of blocks of rows with tiles of queries, which is exact and moves no vector. The sample queries' own neighbours are known by then.
+choice would compare over half of the rows, as vectors without structure do or tables of few blocks, wide windows save nothing: then a query is only compared with the block it lies in, on one curve.
+
+This choice is one of cost, not of the result. However far the windows went, a check follows: the blocks of the first curve, in its order, meet
+tiles of queries, and a block is passed over by the queries whose k-th product so far its centre and radius can't reach. So what is returned are the exact
+neighbours, at any size and for any choice.
 
 Equal vectors are one class with its smallest vec_ids, as many as can ever be returned, so copies neither fill a block nor
 hide each other. Vectors that are null, zero, or hold null or non-finite components take no part; shorter ones than the longest
@@ -37,8 +40,10 @@ BLOCK, PROBES, TARGET = 1024, 200, 0.94
 SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 #: Queries that meet a block in one task.
 MEET = 4096
-#: Bytes of a tile of queries, which is broadcast, and rows of a block in a product with it.
+#: Bytes of a tile of queries, which is broadcast, with what a task finds for it, and rows that are held at once to meet it, up to TILE bytes too.
 TILE, PRODUCT = 16 << 20, 8192
+#: Queries of one matrix product.
+AT_ONCE = 512
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,6 +69,52 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+class Best:
+    """The k best (id, exact product) of each query so far, of those with a product of least or more, ties to the smaller id."""
+
+    def __init__(self, q: np.ndarray, least: np.ndarray, k: int):
+        self.q, self.least, self.k = q, least.copy(), k
+        self.norms = np.linalg.norm(q, axis=1)
+        self.scores, self.ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        self.compared = 0
+
+    def meet(self, x: np.ndarray, ids: np.ndarray) -> None:
+        """A block of rows: it is compared with the queries for which its centre and radius don't rule it out."""
+        centre = x.mean(0)
+        most = self.q @ centre + self.norms * np.sqrt(((x - centre) ** 2).sum(1).max())
+        reached = np.flatnonzero(~(most + _slack(self.q, x) < self.least))
+        for low in range(0, len(reached), AT_ONCE):
+            i = reached[low : low + AT_ONCE]
+            s = self.q[i] @ x.T
+            slack = _slack(self.q[i], x)
+            hit = s >= (self.least[i] - slack)[:, None]  # all pairs that could count are ranked by exact products
+            many = np.flatnonzero(hit.sum(1) > 4 * self.k)
+            if len(many):
+                hit[many] &= s[many] >= (np.partition(s[many], len(x) - self.k, 1)[:, len(x) - self.k] - slack[many])[:, None]
+            self.compared += s.size
+            rows, at = np.nonzero(hit)
+            step = max(1, TILE // (8 * x.shape[1]))
+            for first in range(0, len(rows), step):
+                r, a = i[rows[first : first + step]], at[first : first + step]
+                self._merge(r, ids[a], np.cumsum(self.q[r] * x[a], 1)[:, -1])  # term by term, as in _top
+
+    def _merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        kept = scores >= self.least[rows]
+        who = np.unique(rows[kept])
+        rows = np.concatenate([np.repeat(who, self.k), rows[kept]])
+        ids, scores = np.concatenate([self.ids[who].ravel(), ids[kept]]), np.concatenate([self.scores[who].ravel(), scores[kept]])
+        order = np.lexsort((ids, -scores, rows))
+        rows = rows[order]
+        order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k]
+        self.ids[who], self.scores[who] = ids[order].reshape(-1, self.k), scores[order].reshape(-1, self.k)
+        self.least[who] = np.maximum(self.least[who], self.scores[who, -1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, id, exact product)."""
+        rows, at = np.nonzero(self.scores > -np.inf)
+        return rows, self.ids[rows, at], self.scores[rows, at]
+
+
 class Curves:
     """The projections, shifts and grids of the curves, fitted on a bounded sample, and the sample's keys."""
 
@@ -102,6 +153,11 @@ class Curves:
         return np.stack([np.searchsorted(e, k, "right") for e, k in zip(ends.T, keys.T)], 1)
 
 
+def _slack(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each row of q, more than its products with rows of x, as matrix products give them, may differ from the exact ones."""
+    return 1e-12 * x.shape[1] * max(1.0, x.shape[1] / 1000) * np.abs(x).max(initial=0) * np.abs(q).max(1, initial=0)
+
+
 def _top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row of q, ids, exact products) of each query's k best rows of x with a product of least or more, ties to the smaller id."""
     for low in range(0, len(q), 512):
@@ -110,7 +166,7 @@ def _top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarra
         bound = np.partition(s, len(x) - k, 1)[:, len(x) - k] if len(x) > k else np.full(len(s), -np.inf)
         if least is not None:
             bound = np.maximum(bound, least[low : low + 512])
-        slack = 1e-12 * x.shape[1] * np.abs(x).max(initial=0) * np.abs(q[low : low + 512]).max(1, initial=0)
+        slack = _slack(q[low : low + 512], x)
         for i in range(len(s)):
             at = np.flatnonzero(s[i] >= bound[i] - slack[i])
             exact = np.cumsum(q[low + i] * x[at], 1)[:, -1]  # term by term, so that the sum doesn't depend on the machine
@@ -141,7 +197,7 @@ def prepared(vectors: DataFrame, k: int, every: int, scratch: Scratch) -> tuple[
 
 
 def plan(classes: DataFrame, k: int, scratch: Scratch) -> tuple[Curves, int, int, int, bool, DataFrame | None]:
-    """(curves, how many of them, reach in positions, rows, whether queries lie by direction, the best (q, rep, score) of some queries): fitted on a sample and calibrated on the true neighbours of those queries; no curves if a product of all is cheaper."""
+    """(curves, how many of them, reach in positions, rows, whether queries lie by direction, the best (q, rep, score) of some queries): fitted on a sample and calibrated on the true neighbours of those queries; no curves if such windows would hold over half of the rows."""
     spark = classes.sparkSession
     n, longest, d = classes.agg(F.count("*"), F.max("norm"), F.max(F.size("x"))).first()
     rows = max(PROBES, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
@@ -180,45 +236,46 @@ def plan(classes: DataFrame, k: int, scratch: Scratch) -> tuple[Curves, int, int
     return curves, c if 2 * compared((c, reach, sphere)) <= n else 0, reach, n, sphere, best.drop("share")
 
 
-def product(classes: DataFrame, known: DataFrame | None, k: int, scratch: Scratch) -> DataFrame:
-    """(q, rep, score): the k + 1 best classes of each asked class, by products of all rows with tiles of queries; those of known are taken from it."""
-    asked = classes.filter("asked").select("rep", "x")
-    if known is not None:
-        asked = asked.join(known.select(F.col("q").alias("rep")).distinct(), "rep", "left_anti")
-    size = asked.agg(F.coalesce(F.sum(F.size("x") * 8), F.lit(0))).first()[0]
-    tiles, found = max(1, -(-size // TILE)), known
-    for tile in range(tiles if size else 0):
-        some = asked.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(tiles)) == tile).toArrow()
+def checked(classes: DataFrame, rows: DataFrame, found: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(q, rep, score): the k + 1 best classes of each asked class, exactly: tiles of queries meet the rows (rep, block, x) of a curve, block by block, for what isn't below the last of the k + 1 best found."""
+    d = classes.agg(F.max(F.size("x"))).first()[0]
+    asks = scratch.table(classes.filter("asked").select("rep", "x").join(_least(_best(found, k), k), "rep", "left").fillna(float("-inf"), ["least"]), "checks")
+    tiles = -(-asks.count() * (8 * d + 16 * (k + 1)) // TILE)
+    for tile in range(tiles):
+        some = asks.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(tiles)) == tile).toArrow()
         if not len(some):
             continue
-        shared = classes.sparkSession.sparkContext.broadcast((some["rep"].to_numpy(), np.array(some["x"].combine_chunks().flatten(), float).reshape(len(some), -1)))
+        shared = classes.sparkSession.sparkContext.broadcast((some["rep"].to_numpy(), np.array(some["x"].combine_chunks().flatten(), float).reshape(-1, d), some["least"].to_numpy()))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            who, q = shared.value
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            who, q, least = shared.value
+            best, held = Best(q, least, k + 1), []
 
-            def met() -> pa.RecordBatch:
-                ids, m = np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])
+            def met() -> None:
+                ids, blocks, x = (np.concatenate(part) for part in zip(*held, strict=True))
                 held.clear()
-                best = list(_top(q, m, ids, k + 1))
-                names = np.repeat(who[[i for i, _, _ in best]], [len(r) for _, r, _ in best])
-                return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([r for _, r, _ in best])), pa.array(np.concatenate([s for _, _, s in best]))], names=["q", "rep", "score"])
+                order = np.argsort(blocks, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+                    best.meet(x[at], ids[at])
 
             for batch in batches:
                 if batch.num_rows:
-                    held.append((batch.column("rep").to_numpy(), np.array(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)))
-                    if sum(len(i) for i, _ in held) >= PRODUCT:
-                        yield met()
+                    held.append((batch.column("rep").to_numpy(), batch.column("block").to_numpy(), np.array(batch.column("x").flatten(), float).reshape(-1, d)))
+                    if sum(len(ids) for ids, _, _ in held) >= PRODUCT or sum(x.nbytes for _, _, x in held) >= TILE:
+                        met()
             if held:
-                yield met()
+                met()
+            at, ids, scores = best.found()
+            yield pa.RecordBatch.from_arrays([pa.array(who[at]), pa.array(ids), pa.array(scores)], names=["q", "rep", "score"])
 
-        best = scratch.table(_best(classes.select("rep", "x").mapInArrow(scan, "q long, rep long, score double"), k), "tile")
-        found = best if found is None else found.unionByName(best)
-    return found if found is not None else classes.sparkSession.createDataFrame([], "q long, rep long, score double")
+        best = _best(rows.select("rep", "block", "x").mapInArrow(scan, "q long, rep long, score double"), k)
+        found = found.unionByName(scratch.table(best, "tile"))
+        shared.destroy()
+    return _best(found, k)
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by every."""
+    """(query_id, rank, vec_id, score): the k nearest of each row whose vec_id is divisible by every."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     ready = prepared(vectors, k, every, scratch)
@@ -226,7 +283,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     named, classes = ready
     curves, count, reach, n, sphere, known = plan(classes, k, scratch)
-    best = scratch.keep(candidates(classes, curves, count, reach, n, sphere, k, scratch) if count else product(classes, known, k, scratch), "best")
+    if known is None:  # no vector is asked for
+        scratch.clear()
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found, rows = candidates(classes, curves, count or 1, reach if count else 0, n, sphere, k, scratch)
+    best = scratch.keep(checked(classes, rows.filter("curve = 0"), found.unionByName(known), k, scratch), "best")
     members = scratch.keep(best.join(classes.select("rep", "members"), "rep").select("q", "score", F.explode("members").alias("vec_id")), "members")
     queries = scratch.keep(named.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "h", "g").distinct().join(classes.select("h", "g", F.col("rep").alias("q")), ["h", "g"]).select("query_id", "q"), "queries")
     scratch.clear()
@@ -266,6 +327,11 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).drop("rank")
 
 
+def _least(best: DataFrame, k: int) -> DataFrame:
+    """(rep, least): the score that all of a query's k + 1 best (q, rep, score) reach; none while they are fewer."""
+    return best.groupBy(F.col("q").alias("rep")).agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
+
+
 def _met(asks: DataFrame, rows: DataFrame, x: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(q, rep, score): the k + 1 best rows (rep, curve, block, x) of each block that a query (rep, curve, block, least) asks for, of those with a score of least or more."""
     # Blocks that many queries ask for meet them in several tasks.
@@ -285,8 +351,8 @@ def _met(asks: DataFrame, rows: DataFrame, x: DataFrame, k: int, scratch: Scratc
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "q long, rep long, score double")
 
 
-def candidates(classes: DataFrame, curves: Curves, count: int, reach: int, n: int, sphere: bool, k: int, scratch: Scratch) -> DataFrame:
-    """(q, rep, score): the k + 1 best classes found of each asked class, by windows on each curve.
+def candidates(classes: DataFrame, curves: Curves, count: int, reach: int, n: int, sphere: bool, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((q, rep, score), (rep, curve, block, x)): the k + 1 best classes found of each asked class, by windows on each curve, and the rows in the blocks of the curves.
 
     The blocks that a query lies in come first; the others only give what isn't below the last of the best found there.
     """
@@ -296,10 +362,12 @@ def candidates(classes: DataFrame, curves: Curves, count: int, reach: int, n: in
     home = block(F.greatest(F.least(at, last), F.lit(0)))
     windows = F.sequence(block(F.greatest(at - reach, F.lit(0))), block(F.greatest(F.least(at + reach, last), F.lit(0))))
     x = classes.select("rep", "x")
-    rows = scratch.table(place.filter("not ask").select("rep", "curve", block(at).alias("block")).join(x, "rep"), "rows")
+    placed = place.filter("not ask").select("rep", "curve", block(at).alias("block")).join(x, "rep")
+    rows = scratch.table(placed.repartition("curve", "block").sortWithinPartitions("curve", "block"), "rows")
     first = place.filter("ask").select("rep", "curve", home.alias("block"), F.lit(float("-inf")).alias("least"))
     near = scratch.table(_best(_met(first, rows, x, k, scratch), k), "near")
-    bound = near.groupBy(F.col("q").alias("rep")).agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
+    if not reach:
+        return near, rows
     others = place.filter("ask").select("rep", "curve", home.alias("home"), F.explode(windows).alias("block")).filter("block <> home").drop("home")
-    far = _met(others.join(bound, "rep", "left").fillna(float("-inf"), ["least"]), rows, x, k, scratch)
-    return _best(near.unionByName(far), k)
+    far = _met(others.join(_least(near, k), "rep", "left").fillna(float("-inf"), ["least"]), rows, x, k, scratch)
+    return scratch.table(_best(near.unionByName(far), k), "found"), rows

@@ -156,7 +156,7 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT doc_id, item_id, 1, 1, 1 FROM d JOIN parts ON d.w = parts.p WHERE len(p) BETWEEN 1 AND 4)
         SELECT doc_id, item_id, round(b.score, 6) AS score, round(b.qo, 6) AS question_overlap, round(b.ao, 6) AS answer_overlap
         FROM (SELECT doc_id, item_id, max({'score': score, 'qo': qo, 'ao': ao}) AS b FROM found GROUP BY ALL)""",
-    # The exact neighbours: what the search gives as long as the table is one block, as the small tables are.
+    # The exact neighbours, which the search gives at any size.
     "op6_nearest_neighbours": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
