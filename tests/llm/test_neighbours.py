@@ -118,6 +118,21 @@ def test_check_passes_over_blocks_and_keeps_ties():
     assert len(few.found()[0]) == 3 * len(q)
 
 
+def test_groups_of_close_rows_rule_out_most_of_clustered_vectors():
+    x = np.array([v for _, v in clustered(4000, 40, 32)])
+    for rows in (x, x[:1], np.ones((700, 3)), np.full((300, 2), 1e200), np.where(np.arange(4000)[:, None] % 97, x, x * 1e5)):
+        with np.errstate(all="ignore"):
+            assert np.array_equal(np.sort(np.concatenate(list(ha.close_groups(rows)))), np.arange(len(rows)))
+    x = x[np.random.default_rng(8).permutation(4000)]
+    q, shares = x[::20], []
+    for groups in (list(ha.close_groups(x)), np.split(np.arange(4000), 40)):
+        best = ha.Best(q, np.sort(q @ x.T, 1)[:, -21] - 1e-6, 21)
+        for at in groups:
+            best.meet(x[at], at)
+        shares.append(best.compared / (len(q) * len(x)))
+    assert shares[0] < 0.2 < 0.9 < shares[1]
+
+
 def test_positions_count_the_rows_before(spark, monkeypatch):
     monkeypatch.setattr(ha, "BLOCK", 50)
     rows = clustered(700, 7, 6)

@@ -12,8 +12,8 @@ calibrated: the true neighbours of sample queries (a tenth of them, PROBES at mo
 each with the smallest reach that holds TARGET of them on some curve, the choice with the fewest comparisons is taken. Clustered vectors need a narrow reach. Where even that
 choice would compare over half of the rows, as vectors without structure do or tables of few blocks, wide windows save nothing: then a query is only compared with the block it lies in, on one curve.
 
-This choice is one of cost, not of the result. However far the windows went, a check follows: the blocks of the first curve, in its order, meet
-tiles of queries, and a block is passed over by the queries whose k-th product so far its centre and radius can't reach. So what is returned are the exact
+This choice is one of cost, not of the result. However far the windows went, a check follows: the rows in the order of the first curve, in groups of close ones, meet
+tiles of queries, and a group is passed over by the queries whose k-th product so far its centre and radius can't reach. So what is returned are the exact
 neighbours, at any size and for any choice.
 
 Equal vectors are one class with its smallest vec_ids, as many as can ever be returned, so copies neither fill a block nor
@@ -42,8 +42,8 @@ SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 MEET = 4096
 #: Bytes of a tile of queries, which is broadcast, with what a task finds for it, and rows that are held at once to meet it, up to TILE bytes too.
 TILE, PRODUCT = 16 << 20, 8192
-#: Queries of one matrix product.
-AT_ONCE = 512
+#: Queries of one matrix product, and about how many rows a group of close ones has.
+AT_ONCE, GROUP = 512, 128
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -69,6 +69,24 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def close_groups(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Cuts rows into groups of close ones: each goes to the nearest of evenly picked rows, those far from all of them are cut again."""
+    left = np.arange(len(x))
+    while len(left) > GROUP:
+        y = x[left]
+        picked = y[np.linspace(0, len(y) - 1, len(y) // GROUP).astype(int)]
+        apart = (picked * picked).sum(1) - 2 * (y @ picked.T)
+        nearest = apart.argmin(1)
+        apart = np.maximum(apart[np.arange(len(y)), nearest] + (y * y).sum(1), 0)
+        close = apart <= 4 * np.quantile(apart, 0.25)
+        close |= not close.any()  # distances that aren't finite
+        order = np.flatnonzero(close)[np.argsort(nearest[close], kind="stable")]
+        yield from np.split(left[order], np.flatnonzero(np.diff(nearest[order])) + 1)
+        left = left[~close]
+    if len(left):
+        yield left
+
+
 class Best:
     """The k best (id, exact product) of each query so far, of those with a product of least or more, ties to the smaller id."""
 
@@ -79,7 +97,7 @@ class Best:
         self.compared = 0
 
     def meet(self, x: np.ndarray, ids: np.ndarray) -> None:
-        """A block of rows: it is compared with the queries for which its centre and radius don't rule it out."""
+        """A group of rows: it is compared with the queries for which its centre and radius don't rule it out."""
         centre = x.mean(0)
         most = self.q @ centre + self.norms * np.sqrt(((x - centre) ** 2).sum(1).max())
         reached = np.flatnonzero(~(most + _slack(self.q, x) < self.least))
@@ -237,7 +255,7 @@ def plan(classes: DataFrame, k: int, scratch: Scratch) -> tuple[Curves, int, int
 
 
 def checked(classes: DataFrame, rows: DataFrame, found: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(q, rep, score): the k + 1 best classes of each asked class, exactly: tiles of queries meet the rows (rep, block, x) of a curve, block by block, for what isn't below the last of the k + 1 best found."""
+    """(q, rep, score): the k + 1 best classes of each asked class, exactly: tiles of queries meet the rows (rep, x) of a curve, by groups of close ones, for what isn't below the last of the k + 1 best found."""
     d = classes.agg(F.max(F.size("x"))).first()[0]
     asks = scratch.table(classes.filter("asked").select("rep", "x").join(_least(_best(found, k), k), "rep", "left").fillna(float("-inf"), ["least"]), "checks")
     tiles = -(-asks.count() * (8 * d + 16 * (k + 1)) // TILE)
@@ -252,23 +270,22 @@ def checked(classes: DataFrame, rows: DataFrame, found: DataFrame, k: int, scrat
             best, held = Best(q, least, k + 1), []
 
             def met() -> None:
-                ids, blocks, x = (np.concatenate(part) for part in zip(*held, strict=True))
+                ids, x = (np.concatenate(part) for part in zip(*held, strict=True))
                 held.clear()
-                order = np.argsort(blocks, kind="stable")
-                for at in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+                for at in close_groups(x):
                     best.meet(x[at], ids[at])
 
             for batch in batches:
                 if batch.num_rows:
-                    held.append((batch.column("rep").to_numpy(), batch.column("block").to_numpy(), np.array(batch.column("x").flatten(), float).reshape(-1, d)))
-                    if sum(len(ids) for ids, _, _ in held) >= PRODUCT or sum(x.nbytes for _, _, x in held) >= TILE:
+                    held.append((batch.column("rep").to_numpy(), np.array(batch.column("x").flatten(), float).reshape(-1, d)))
+                    if sum(len(ids) for ids, _ in held) >= PRODUCT or sum(x.nbytes for _, x in held) >= TILE:
                         met()
             if held:
                 met()
             at, ids, scores = best.found()
             yield pa.RecordBatch.from_arrays([pa.array(who[at]), pa.array(ids), pa.array(scores)], names=["q", "rep", "score"])
 
-        best = _best(rows.select("rep", "block", "x").mapInArrow(scan, "q long, rep long, score double"), k)
+        best = _best(rows.select("rep", "x").mapInArrow(scan, "q long, rep long, score double"), k)
         found = found.unionByName(scratch.table(best, "tile"))
         shared.destroy()
     return _best(found, k)
