@@ -91,3 +91,32 @@ def test_rows_with_equal_features_are_learned_in_their_share(spark, monkeypatch)
     assert (r.chunks, r.n, r.accuracy) == (3, 900, 1.0)
     mixed = df.withColumn("y", F.when((F.col("chunk") == 2) & (F.col("row") < 90), (F.col("y") + 1) % 3).otherwise(F.col("y")))
     assert intrusion.trained_in_turn(mixed, 40, 3, rows=90).first().accuracy == pytest.approx(0.9)
+
+
+def test_a_classifier_learns_all_rows_of_a_key(spark):
+    x = np.round(np.random.default_rng(1).uniform(size=(450, 4)), 3)
+    rows = [("a" if i < 400 else "b", i, v.tolist(), int(v[0] > 0.5)) for i, v in enumerate(x)]
+    parts = intrusion.split(spark.createDataFrame(rows, "id string, row long, features array<double>, y int"), "id", "row").withColumn("train", F.lit(True)).persist()
+    learn = lambda df, n: {r.key: intrusion.Classifier.from_bytes(r.model) for r in intrusion.trained(df, "id", epochs=12, rows=100 if n else 1000).collect()}
+    whole, places = learn(parts, True), sorted((r.at, r.row) for r in parts.filter("id = 'a'").collect())
+    # A bound of 100 rows would not reach the last place.
+    less = learn(parts.filter(F.col("row") != places[-1][1]), True)
+    assert np.abs(whole["a"].w[0] - less["a"].w[0]).max() > 1e-6 and (whole["b"].w[0] == less["b"].w[0]).all()
+    # A key of one part, beside one of four and alone: plain learning in the order of places.
+    order = [r.row for r in parts.filter("id = 'b'").orderBy("at").collect()]
+    direct = intrusion.Classifier(4).fit(x[order], (x[order, 0] > 0.5).astype(int), 12)
+    for models in (whole, learn(parts, False)):
+        assert all(a == pytest.approx(b) for a, b in zip(models["b"].w, direct.w, strict=True))
+    every = intrusion.Classifier(4).fit(x[[i for _, i in places]], (x[[i for _, i in places], 0] > 0.5).astype(int), 12)
+    assert all(a == pytest.approx(b) for a, b in zip(learn(parts, False)["a"].w, every.w, strict=True))
+
+
+def test_bits_of_users_of_any_sign(spark, tmp_path, monkeypatch):
+    users = [0, 5, 65_535, 65_536, None, -1, -(1 << 63), (1 << 63) - 1]
+    spark.createDataFrame([(i, "view", u) for i, u in enumerate(users)], "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(intrusion, "with_intrusions", lambda rows, *a: seen.append(rows) or (_ for _ in ()).throw(KeyError))
+    with pytest.raises(KeyError):
+        catalogue.QUERIES["packet_classifiers"](spark, str(tmp_path))
+    got = {r.event_id: "".join(str(int(b)) for b in r.features) for r in seen[0].collect()}
+    assert got == {i: f"{(u or 0) % (1 << 64):064b}" for i, u in enumerate(users)}
