@@ -120,3 +120,21 @@ def test_bits_of_users_of_any_sign(spark, tmp_path, monkeypatch):
         catalogue.QUERIES["packet_classifiers"](spark, str(tmp_path))
     got = {r.event_id: "".join(str(int(b)) for b in r.features) for r in seen[0].collect()}
     assert got == {i: f"{(u or 0) % (1 << 64):064b}" for i, u in enumerate(users)}
+
+
+def test_a_classifier_learns_all_rows_of_its_chunks(spark):
+    x = np.round(np.random.default_rng(2).uniform(size=(600, 4)), 3)
+    rows = [(int(i >= 400), i, v.tolist(), int(v[0] > 0.5)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "chunk int, row int, features array<double>, y int")
+    last = df.filter("chunk = 0").orderBy(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 52)).desc()).first().row
+    whole, less = (intrusion.trained_in_turn(d, 3, 2, rows=100).first() for d in (df, df.filter(F.col("row") != last)))
+    # A bound of 100 rows would not reach the last one.
+    assert (whole.chunks, whole.n) == (2, 200) == (less.chunks, less.n)
+    a, b = (intrusion.Classifier.from_bytes(r.model) for r in (whole, less))
+    assert np.abs(a.w[0] - b.w[0]).max() > 1e-6
+    assert whole.accuracy == pytest.approx((a.scores(x[400:]).argmax(1) == (x[400:, 0] > 0.5)).mean())
+    one = intrusion.trained_in_turn(df.filter("chunk = 1"), 2, 2).first()
+    assert (one.chunks, one.n) == (1, 200)
+    nothing = df.limit(0)
+    assert intrusion.trained_in_turn(nothing, 2, 2).collect() == []
+    assert intrusion.trained(intrusion.split(nothing, "chunk", "row"), "chunk").collect() == []

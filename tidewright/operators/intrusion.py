@@ -7,7 +7,6 @@ import math
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Layers between input and the two classes, with their functions (fixed values).
 HIDDEN = ((128, "relu"), (32, "relu"), (16, "sigmoid"))
-#: Rows of a chunk that a classifier learns from at most, those with the smallest hashes.
-SAMPLE_ROWS = 20_000
 #: Rows of one key that are learned or scored together.
 PART_ROWS = 65_536
 #: How often the parts of a key are averaged at most while they are learned.
@@ -215,39 +212,35 @@ def trained(df: DataFrame, key: str, features: str = "features", epochs: int = 1
     return _models(learned, 2)
 
 
-def trained_in_turn(chunks: DataFrame, epochs: int = 5, classes: int = 10, rows: int = SAMPLE_ROWS) -> DataFrame:
+def trained_in_turn(chunks: DataFrame, epochs: int = 5, classes: int = 10, rows: int = PART_ROWS) -> DataFrame:
     """(model, chunks, n, accuracy): one classifier that learns the chunks (chunk, features, y) one after the other and is evaluated on every row of the last.
 
-    Learning is one task, so each chunk gives at most so many rows to it, those with the smallest hashes; a single chunk is learned and evaluated.
+    All rows of a chunk are learned, in parts of about so many rows; a single chunk is learned and evaluated.
     Further columns tell rows apart: rows with the same features and y then have different hashes. Equal features are scored once, and count as often as they come.
     """
-    place = F.pmod(F.xxhash64(*chunks.columns), F.lit(1 << 52)) / float(1 << 52)
-    sizes = chunks.groupBy("chunk").agg(F.count("*").alias("_n")).withColumn("_share", F.lit(1.25 * rows) / F.col("_n"))
-    ends = sizes.agg(F.max("chunk").alias("_last"), F.count("*").alias("chunks"), F.ceil(F.max_by("_n", "chunk") / F.lit(PART_ROWS)).cast("int").alias("_parts"))
-    placed = chunks.select("chunk", "features", "y", place.alias("_at")).join(F.broadcast(ends))  # one row
-    learned = placed.join(sizes.drop("_n"), "chunk").filter((F.col("_at") < F.col("_share")) & ((F.col("chunk") < F.col("_last")) | (F.col("chunks") == 1))).drop("_share")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [p.sort_values("_at").head(rows) for _, p in pdf.groupby("chunk", sort=True)]
-        x = lambda p: np.stack(p["features"].to_numpy())
-        model = Classifier(x(parts[0]).shape[1], classes=classes)
-        for i, p in enumerate(parts):
-            model.fit(x(p), p["y"].to_numpy(), epochs, seed=i)
-        return pd.DataFrame({"model": [model.to_bytes()], "chunks": [int(pdf["chunks"].iloc[0])], "_parts": [int(pdf["_parts"].iloc[0])]})
+    at = F.pmod(F.xxhash64(*chunks.columns), F.lit(1 << 52)) / float(1 << 52)
+    placed = chunks.select("chunk", F.col("chunk").cast("string").alias("key"), "features", "y", at.alias("at"))
+    sizes = placed.filter(F.col("chunk").isNotNull()).groupBy("chunk", "key").agg(F.count("*").alias("n")).orderBy("chunk").collect()  # one row for each chunk
+    if not sizes:
+        return chunks.sparkSession.createDataFrame([], "model binary, chunks int, n long, accuracy double")
+    last = F.lit(sizes[-1].chunk)
+    parts = _parts(placed.filter(F.col("chunk") < last if len(sizes) > 1 else F.col("chunk") == last), rows)
+    learned = None
+    for i, r in enumerate(sizes[:-1] or sizes):
+        learned = _learned(parts.filter(F.col("key") == r.key), learned, epochs, classes, i)
+    parts.unpersist()
 
     def hits(left: pa.Table, right: pa.Table) -> pa.Table:
         n, hit = left.column("n").to_numpy(), np.zeros(0)
         if left.num_rows:
-            x = left.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1)
-            hit = n * (Classifier.from_bytes(right.column("model")[0].as_py()).scores(x).argmax(1) == left.column("y").to_numpy())
+            hit = n * (Classifier.from_bytes(right.column("model")[0].as_py()).scores(_matrix(left, "features")).argmax(1) == left.column("y").to_numpy())
         return pa.table({"n": pa.array([int(n.sum())], pa.int64()), "hit": pa.array([int(hit.sum())], pa.int64())})
 
-    model = learned.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "model binary, chunks int, _parts int").persist()
-    asked = placed.filter(F.col("chunk") == F.col("_last")).groupBy("features", "y", "_parts").agg(F.count("*").alias("n"))
-    dealt = asked.select("features", "y", "n", F.pmod(F.xxhash64("features", "y"), F.col("_parts")).cast("int").alias("_part"))
-    kept = model.select("model", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    found = dealt.groupBy("_part").cogroup(kept.groupBy("_part")).applyInArrow(hits, "n long, hit long").agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"))
-    return model.join(F.broadcast(found)).select("model", "chunks", "n", "accuracy")  # one row each
+    model, dealt = _models(learned, classes).select("model"), math.ceil(sizes[-1].n / PART_ROWS)
+    asked = placed.filter(F.col("chunk") == last).groupBy("features", "y").agg(F.count("*").alias("n"))
+    kept = model.select("model", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))).alias("_part"))
+    found = asked.withColumn("_part", F.pmod(F.xxhash64("features", "y"), F.lit(dealt)).cast("int")).groupBy("_part").cogroup(kept.groupBy("_part")).applyInArrow(hits, "n long, hit long")
+    return model.withColumn("chunks", F.lit(len(sizes))).join(F.broadcast(found.agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"))))  # one row each
 
 
 def scored(df: DataFrame, models: DataFrame, key: str, features: str = "features") -> DataFrame:
