@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import tempfile
 from functools import partial
 
 import numpy as np
@@ -179,13 +180,16 @@ def _learned(parts: DataFrame, start: DataFrame | None, epochs: int, classes: in
     keys = parts.groupBy("key", "_parts").agg(F.first("inputs").alias("inputs"))
     models = keys.withColumn("state", F.lit(None).cast("binary")) if start is None else keys.crossJoin(F.broadcast(start.select("state")))  # one row
     rounds = 1 if (parts.agg(F.max("_parts")).first()[0] or 1) == 1 else max(1, min(epochs, ROUNDS))
+    sc = parts.sparkSession.sparkContext
+    if not sc.getCheckpointDir() and sc.master.startswith("local"):  # elsewhere spark.checkpoint.dir has to be set
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-shared-"))
     for i in range(rounds):
         numbers = range(epochs * i // rounds, epochs * (i + 1) // rounds)
         asked = models.select(F.col("key").alias("_key"), "state", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
         found = parts.groupBy("key", "_part").cogroup(asked.groupBy("_key", "_part")).applyInArrow(partial(epochs_of, numbers), schema)
         # A key's parts meet in two steps, so that no task holds all of them.
         cells = found.groupBy("key", (F.col("_part") % F.ceil(F.sqrt("_parts"))).alias("_cell")).applyInArrow(mean, schema)
-        models = cells.groupBy("key").applyInArrow(mean, schema).localCheckpoint()  # the plans of the rounds don't nest
+        models = cells.groupBy("key").applyInArrow(mean, schema).checkpoint()  # the plans of the rounds don't nest
     return models
 
 
